@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import substring_dedup
+from fieldloom.llm import packing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
+    "op3_packing": packing.op3,
 }
 ORACLES: dict[str, str] = {}
