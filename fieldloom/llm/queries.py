@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import packing, substring_dedup
+from fieldloom.llm import packing, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op3_packing": packing.op3,
+    "op7_simhash": simhash.op7,
 }
 ORACLES: dict[str, str] = {}

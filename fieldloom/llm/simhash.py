@@ -178,9 +178,9 @@ def grid_links(points: DataFrame, most: int = MOST, groups: int = GROUPS, block:
 
     dealt = store(points.select("bits").mapInArrow(spread, "choice int, cell long, bits long"), "dealt")
     shared = dealt.groupBy("choice", "cell").count().filter("count > 1")
-    shared = store(shared.select("choice", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "cells")
+    shared = store(shared.select("choice", "cell", "count", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "cells")
     # A point goes to the tasks (i, j), i <= j, of its block.
-    rows = join_hot(dealt, shared, ["choice", "cell"], F.col("bits"))
+    rows = join_hot(dealt, shared, ["choice", "cell"], F.col("bits"), "count")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("bits", F.lit(7)), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["choice", "cell", "i", "j"]
     rows = rows.select("choice", "cell", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.expr("own > x").alias("far"), "bits")
@@ -222,15 +222,15 @@ def grid_links(points: DataFrame, most: int = MOST, groups: int = GROUPS, block:
 def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, bits, component_id): the smallest doc_id that links within most differing bits reach."""
     own = store(fingerprints(docs, shingle, seed), "fingerprints")
-    points = store(own.groupBy("bits").agg(F.min("doc_id").alias("name")), "points")
+    points = store(own.groupBy("bits").agg(F.min("doc_id").alias("name"), F.count("*").alias("n")), "points")
     # Components are named by their smallest document, so the points go by that number from here on.
     found = store(grid_links(points.select("bits"), most), "grid")
     release(docs.sparkSession)
     a = found.join(points.select(F.col("bits").alias("a"), F.col("name").alias("fa")), "a")
     pairs = a.join(points.select(F.col("bits").alias("b"), F.col("name").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     classes = components(points.select(F.col("name").alias("node")), pairs)
-    named = points.join(classes, points.name == classes.node).select("bits", F.col("component").alias("component_id"))
-    return join_hot(own, named, ["bits"], F.col("doc_id"))
+    named = points.join(classes, points.name == classes.node).select("bits", "n", F.col("component").alias("component_id"))
+    return join_hot(own, store(named, "classes"), ["bits"], F.col("doc_id"), "n")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
