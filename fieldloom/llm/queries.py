@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import packing, simhash, substring_dedup
+from fieldloom.llm import line_dedup, mixing, packing, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op3_packing": packing.op3,
     "op7_simhash": simhash.op7,
+    "op8_mixing": mixing.op8,
+    "op9_line_dedup": line_dedup.op9,
+}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.OP8_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
-ORACLES: dict[str, str] = {}
