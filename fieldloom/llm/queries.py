@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import line_dedup, mixing, packing, simhash, substring_dedup
+from fieldloom.llm import line_dedup, mixing, packing, quality_rules, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op3_packing": packing.op3,
+    "op5_quality_rules": quality_rules.op5,
     "op7_simhash": simhash.op7,
     "op8_mixing": mixing.op8,
     "op9_line_dedup": line_dedup.op9,
+    "op10_secrets": secrets.op10,
 }
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": quality_rules.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op10_secrets": secrets.OP10_SQL,
 }
