@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import line_dedup, mixing, packing, quality_rules, secrets, simhash, substring_dedup
+from fieldloom.llm import classifier, line_dedup, mixing, packing, quality_rules, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op3_packing": packing.op3,
     "op5_quality_rules": quality_rules.op5,
+    "op6_classifier": classifier.op6,
     "op7_simhash": simhash.op7,
     "op8_mixing": mixing.op8,
     "op9_line_dedup": line_dedup.op9,
