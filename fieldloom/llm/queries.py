@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import classifier, line_dedup, mixing, packing, quality_rules, secrets, simhash, substring_dedup
+from fieldloom.llm import classifier, embedding_dedup, line_dedup, mixing, packing, quality_rules, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op3_packing": packing.op3,
+    "op4_embedding_dedup": embedding_dedup.op4,
     "op5_quality_rules": quality_rules.op5,
     "op6_classifier": classifier.op6,
     "op7_simhash": simhash.op7,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_secrets": secrets.op10,
 }
 ORACLES: dict[str, str] = {
+    "op4_embedding_dedup": embedding_dedup.op4,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
