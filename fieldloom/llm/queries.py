@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import classifier, embedding_dedup, line_dedup, mixing, packing, quality_rules, secrets, simhash, substring_dedup
+from fieldloom.llm import chat, classifier, embedding_dedup, line_dedup, mixing, packing, quality_rules, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
+    "op2_chat": chat.op2,
     "op3_packing": packing.op3,
     "op4_embedding_dedup": embedding_dedup.op4,
     "op5_quality_rules": quality_rules.op5,
