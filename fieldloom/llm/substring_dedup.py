@@ -112,8 +112,8 @@ def texts_of(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (h, n) in levels. add() takes a batch of (doc_id, text) and returns how many of its hashes
-    history already had; repeated() has the hashes that occur twice or more in all that was added."""
+    """Sorted immutable runs (h, n) in levels, one row a hash. add() takes a batch of (doc_id, text); repeated() has the
+    hashes that occur twice or more in all that was added."""
 
     def __init__(self, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
         self.window, self.gram, self.fanout = window, gram, fanout
@@ -132,7 +132,7 @@ class FingerprintIndex:
         own = store(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, h array<long>, n array<int>"), "postings")
         self.postings.append(own)
         each = own.select(F.explode(F.arrays_zip("h", "n")).alias("x")).select("x.h", "x.n")
-        run = each.groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
+        run = each.groupBy("h").agg(F.sum("n").alias("n"))
         self._put(store(run.sortWithinPartitions("h"), "run"), 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
@@ -148,7 +148,7 @@ class FingerprintIndex:
         all_ = runs[0]
         for run in runs[1:]:
             new = run.select("h", F.col("n").alias("m"))
-            all_ = all_.hint("merge").join(new, "h", "full").select("h", F.least(F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)), F.lit(2)).alias("n"))
+            all_ = all_.hint("merge").join(new, "h", "full").select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
         merged = store(all_.sortWithinPartitions("h"), "run")
         discard(*runs)
         return merged
@@ -158,7 +158,7 @@ class FingerprintIndex:
         if len(runs) > 1:
             self.levels = [[] for _ in self.levels[:-1]] + [[self._merge(runs)]]
             runs = self.levels[-1]
-        return runs[0].filter("n >= 2").select("h")
+        return runs[0].filter("n >= 2")
 
     def marks(self) -> DataFrame:
         """(doc_id, marks): the hashes of each document that occur elsewhere too, or there twice."""
@@ -166,7 +166,7 @@ class FingerprintIndex:
         for x in self.postings[1:]:
             own = own.unionByName(x)
         each = own.select("doc_id", F.explode("h").alias("h"))
-        return join_hot(each, self.repeated(), ["h"], F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("h").alias("marks"))
+        return join_hot(each, self.repeated(), ["h"], F.col("doc_id"), "n").groupBy("doc_id").agg(F.collect_set("h").alias("marks"))
 
 
 def digests(words: list[bytes], at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,11 +219,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     held = docs.join(marks, "doc_id", "left").mapInArrow(candidates, "doc_id long, text string, n_words long, sha string, at array<int>, v array<long>, w array<long>")
     held = store(held.withColumn("uid", F.monotonically_increasing_id()), "candidates")
     discard(*index.postings)
+    del marks, index
     release(spark)
     each = held.filter("sha is null").select("uid", F.explode(F.arrays_zip("at", "v", "w")).alias("x")).select("uid", "x.at", "x.v", "x.w")
-    twice = store(each.groupBy("v", "w").count().filter("count >= 2").select("v", "w"), "windows")
+    twice = store(each.groupBy("v", "w").count().filter("count >= 2"), "windows")
     release(spark)
-    starts = join_hot(each, twice, ["v", "w"], F.col("uid")).groupBy("uid").agg(F.collect_set("at").alias("starts"))
+    starts = join_hot(each, twice, ["v", "w"], F.col("uid"), "count").groupBy("uid").agg(F.collect_set("at").alias("starts"))
 
     def cut(found):
         for b in found:
