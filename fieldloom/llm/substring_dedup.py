@@ -186,10 +186,11 @@ def outcome(words: list[bytes], starts, window: int) -> tuple[int, int, str, byt
     return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, keep_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, slices: int = 4, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) for each row of docs (doc_id: long, text: string).
 
-    Every word covered by a window whose words also start elsewhere goes. docs are added to the index in so many batches.
+    Every word covered by a window whose words also start elsewhere goes. docs are added to the index in so many batches;
+    candidate windows are verified in so many slices of their hashes, which bounds the disk that one shuffle takes.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -222,9 +223,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     del marks, index
     release(spark)
     each = held.filter("sha is null").select("uid", F.explode(F.arrays_zip("at", "v", "w")).alias("x")).select("uid", "x.at", "x.v", "x.w")
-    twice = store(each.groupBy("v", "w").count().filter("count >= 2"), "windows")
-    release(spark)
-    starts = join_hot(each, twice, ["v", "w"], F.col("uid"), "count").groupBy("uid").agg(F.collect_set("at").alias("starts"))
+    starts = None
+    for k in range(slices):
+        own = each.filter(F.pmod("v", F.lit(slices)) == k)
+        twice = store(own.groupBy("v", "w").count().filter("count >= 2"), "windows")
+        release(spark)
+        found = store(join_hot(own, twice, ["v", "w"], F.col("uid"), "count").groupBy("uid").agg(F.collect_set("at").alias("at")), "starts")
+        starts = found if starts is None else starts.unionByName(found)
+        discard(twice)
+        del own, twice, found
+        release(spark)
+    starts = starts.groupBy("uid").agg(F.flatten(F.collect_list("at")).alias("starts"))
 
     def cut(found):
         for b in found:
