@@ -13,6 +13,11 @@ def as_int(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, even where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unsigned(data: Column, offset, n: int) -> Column:
     """Big-endian unsigned number of n <= 7 bytes."""
     at = as_int(offset)

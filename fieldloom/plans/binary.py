@@ -89,11 +89,12 @@ def messages(spark, d):
     """Each vector as one message: four rows of 16 points that unfold to 31."""
     rows = table(spark, d, "embeddings")
     raw = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit((1 << BITS) - 1), F.floor((v.cast("double") - LOW) * (1 << STEP) + 0.5))).cast("long"))
+    rows = rows.withColumn("raw", raw)
     code = F.get(F.array(*map(F.lit, (7, 11, 52, 33, 34))), (c("vec_id") % 5).cast("int"))
     level = F.get(F.array(*map(F.lit, (100, 6, 7))), (c("vec_id") % 3).cast("int"))
     when = F.timestamp_seconds(F.lit(946684800) + c("vec_id") * 3600)
     area = (c("vec_id") % 90 * 1000, -(c("vec_id") % 90) * 1000, F.lit(-180000), F.lit(179000))
-    made = grib.encode(code, level, c("vec_id") % 1000, when, c("vec_id") % 24, area, F.lit(31), F.array_repeat(F.lit(16), 4), raw, BITS, F.lit(-STEP), F.lit(LOW_WORD), F.lit(0))
+    made = grib.encode(code, level, c("vec_id") % 1000, when, c("vec_id") % 24, area, F.lit(31), F.array_repeat(F.lit(16), 4), c("raw"), BITS, F.lit(-STEP), F.lit(LOW_WORD), F.lit(0))
     return rows.select("vec_id", made.alias("message"))
 
 

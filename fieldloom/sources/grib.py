@@ -1,32 +1,35 @@
 """GRIB edition 1 on columns: section decoding, level, parameter, time and area maps, unpacking, and an encoder.
 
-All is JVM-side: fields by offsets, values by bit fields, rows by interpolation inside arrays. Where a message cannot be
-decoded, error says why and the values are null; nothing fails a whole job. Section constants follow the public
+Sections decode as columns, by offsets; values are unpacked as arrays in Arrow batches. Where a message cannot be decoded,
+error says why and the values are null; nothing fails a whole job. Section constants follow the public
 specification of the format.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldloom.functions.binary import as_int, bit_fields, decimal_scaled, hex_float_of, sign_magnitude, unpacked, unsigned
+from fieldloom.functions.binary import as_int, bit_fields, hex_float_of, let, sign_magnitude, unsigned
 
 MISSING_COUNT = 0xFFFF
 HAS_GDS, HAS_BMS = 0x80, 0x40
 
 
-def sections(data: Column) -> dict[str, Column]:
-    """Byte offsets of the sections, each null where the one before is."""
-    pds = as_int(8)
-    pds_len = unsigned(data, pds, 3)
-    flag = unsigned(data, pds + 7, 1)
-    gds = (pds + pds_len).cast("int")
-    has_gds = flag.bitwiseAND(F.lit(HAS_GDS)) > 0
-    bms = F.when(has_gds, gds + unsigned(data, gds, 3)).otherwise(gds).cast("int")
-    has_bms = flag.bitwiseAND(F.lit(HAS_BMS)) > 0
-    bds = F.when(has_bms, bms + unsigned(data, bms, 3)).otherwise(bms).cast("int")
-    return {"pds": pds, "gds": F.when(has_gds, gds), "bms": F.when(has_bms, bms), "bds": bds, "end": (bds + unsigned(data, bds, 3)).cast("int")}
+def with_offsets(messages: DataFrame, data: str) -> DataFrame:
+    """messages with the byte offsets of the sections, each null where the one before is; one column builds on another,
+    so that no offset is computed twice."""
+    b, c = F.col(data), F.col
+    out = messages.withColumn("_pds", F.lit(8)).withColumn("_flag", unsigned(b, F.lit(15), 1)).withColumn("_next", (unsigned(b, F.lit(8), 3) + 8).cast("int"))
+    for name, bit in (("gds", HAS_GDS), ("bms", HAS_BMS)):
+        here = c("_flag").bitwiseAND(F.lit(bit)) > 0
+        out = out.withColumn(f"_{name}", F.when(here, c("_next"))).withColumn("_len", unsigned(b, c("_next"), 3))
+        out = out.withColumn("_next", F.when(here, c("_next") + c("_len")).otherwise(c("_next")).cast("int"))
+    out = out.withColumn("_bds", c("_next")).withColumn("_len", unsigned(b, c("_bds"), 3))
+    return out.withColumn("_end", (c("_bds") + c("_len")).cast("int")).drop("_flag", "_next", "_len")
 
 
 def decode_ids(data: Column) -> Column:
@@ -80,12 +83,11 @@ def decode_bds(data: Column, at: Column) -> Column:
 def decode_sections(messages: DataFrame, data: str = "message") -> DataFrame:
     """messages with ids, pds, gds, bms, bds and end_ok. Offsets are made a column first, so each is computed once."""
     b = F.col(data)
-    at = sections(b)
-    out = messages.withColumn("_at", F.struct(*[c.alias(k) for k, c in at.items()]))
-    o = lambda k: F.col(f"_at.{k}")
+    out = with_offsets(messages, data)
+    o = lambda k: F.col(f"_{k}")
     out = out.withColumn("ids", decode_ids(b)).withColumn("pds", decode_pds(b, o("pds"))).withColumn("gds", F.when(o("gds").isNotNull(), decode_gds(b, o("gds"))))
     out = out.withColumn("bms", F.when(o("bms").isNotNull(), decode_bms(b, o("bms")))).withColumn("bds", decode_bds(b, o("bds")))
-    return out.withColumn("end_ok", F.coalesce(F.substring(b, o("end") + 1, F.lit(4)) == F.lit(b"7777"), F.lit(False))).drop("_at")
+    return out.withColumn("end_ok", F.coalesce(F.substring(b, o("end") + 1, F.lit(4)) == F.lit(b"7777"), F.lit(False))).drop("_pds", "_gds", "_bms", "_bds", "_end")
 
 
 def param_of(code: Column, compat: bool = False) -> Column:
@@ -119,62 +121,120 @@ def area_of(gds: Column) -> Column:
 
 def expand_row(row: Column, n: Column) -> Column:
     """A row of m values stretched to n by linear interpolation; the last is the row's last."""
-    m = F.size(row)
 
-    def at(i: Column) -> Column:
+    def stretched(row: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: at(row, F.size(row), i))
+
+    def at(row: Column, m: Column, i: Column) -> Column:
         p = i.cast("double") / (n - 1) * (m - 1)
         k = F.floor(p).cast("int")
         w = p - k
         inside = F.get(row, k) * (1 - w) + F.get(row, F.least(k + 1, m - 1)) * w
         return F.when(i == n - 1, F.get(row, m - 1)).otherwise(inside)
 
-    return F.when((m > 0) & (n > 0), F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), at))
-
-
-def error_of(compat_no_pir: bool) -> Column:
-    """Why a decoded message has no values; null if it has."""
-    raw = [
-        (~F.col("ids.magic_ok"), "bad magic"), (F.col("pds.len") != 28, "product section is not 28 bytes"), (F.col("bds").isNull() | F.col("bds.bits").isNull() | ~F.col("end_ok"), "truncated"),
-        (F.col("gds").isNull(), "no grid section"), (~F.col("gds.type").isin(0, 10), "projection"), (F.col("bms").isNotNull(), "bitmap"), (F.col("bds.flg") != 0, "packing"),
-        (F.col("bds.bits") > 25, "more than 25 bits"), (param_of(F.col("pds.param")).isNull(), "parameter"), (level_of(F.col("pds.level_flg"), F.col("pds.level2")).isNull(), "level"),
-        (valid_of(F.col("pds")).isNull(), "time range"),
-    ]
-    if compat_no_pir:
-        raw.append((F.col("gds.pir").isNull(), "no points in row"))
-    out = F.when(F.lit(False), F.lit(""))
-    for bad, why in raw:
-        out = out.when(F.coalesce(bad, F.lit(True)), why)
+    return F.when((F.size(row) > 0) & (n > 0), let(row, stretched))
+
+
+def _signed(data: bytes) -> int:
+    v, top = int.from_bytes(data, "big"), 1 << (8 * len(data) - 1)
+    return top - v if v >= top else v
+
+
+class Refused(ValueError):
+    """A message whose values this engine does not decode."""
+
+
+def parse(data: bytes, compat: bool = False) -> tuple[dict, dict, np.ndarray]:
+    """Product fields, grid fields and row-major values of a message."""
+    if data[:4] != b"GRIB":
+        raise Refused("bad magic")
+    pds = {k: int.from_bytes(data[8 + o : 8 + o + n], "big") for k, o, n in PDS_FIELDS} | {"scale10": _signed(data[34:36])}
+    if pds["len"] != 28:
+        raise Refused("product section is not 28 bytes")
+    at = 8 + pds["len"]
+    if not pds["db_flag"] & HAS_GDS:
+        raise Refused("no grid section")
+    g = data[at:]
+    size, nv, pv, kind = int.from_bytes(g[:3], "big"), g[3], g[4], g[5]
+    if kind not in (0, 10):
+        raise Refused("projection")
+    ni, nj = int.from_bytes(g[6:8], "big"), int.from_bytes(g[8:10], "big")
+    ni, nj = nj if ni == MISSING_COUNT else ni, ni if nj == MISSING_COUNT else nj
+    gds = {"ni": ni, "nj": nj, "la1": _signed(g[10:13]), "lo1": _signed(g[13:16]), "la2": _signed(g[17:20]), "lo2": _signed(g[20:23])}
+    pir = [int.from_bytes(g[pv - 1 + 2 * k : pv + 1 + 2 * k], "big") for k in range(nj)] if pv != 255 and nv == 0 else None
+    at += size
+    if pds["db_flag"] & HAS_BMS:
+        raise Refused("bitmap")
+    b = data[at:]
+    size = int.from_bytes(b[:3], "big")
+    if len(b) < size + 4 or size < 11 or b[size : size + 4] != b"7777":
+        raise Refused("truncated")
+    if b[3] >> 4:
+        raise Refused("packing")
+    scale, word, bits = _signed(b[4:6]), int.from_bytes(b[6:10], "big"), b[10]
+    if bits > 25:
+        raise Refused("more than 25 bits")
+    if pir is None and compat:
+        raise Refused("no points in row")
+    n = sum(pir) if pir is not None else ni * nj
+    if n * bits > (size - 11) * 8:
+        raise Refused("truncated")
+    flat = np.unpackbits(np.frombuffer(b, np.uint8, size - 11, 11))[: n * bits].reshape(n, bits)
+    raw = flat @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64)) if bits else np.zeros(n, np.int64)
+    reference = (-1.0 if word >> 31 else 1.0) * (word & 0xFFFFFF) * 2.0 ** (4 * ((word >> 24 & 127) - 64) - 24)
+    values = (2.0**scale * raw + reference) * 10.0 ** -pds["scale10"]
+    if pir is not None:
+        rows = np.split(values, np.cumsum(pir)[:-1])
+        values = np.concatenate([stretch(r, ni) for r in rows]) if ni and len(rows) else values[:0]
+    return pds, gds, values
+
+
+def stretch(row: np.ndarray, n: int) -> np.ndarray:
+    """expand_row on arrays."""
+    if not len(row):
+        raise Refused("a row without points")
+    p = np.arange(n) / max(1, n - 1) * (len(row) - 1)
+    k = np.floor(p).astype(int)
+    w = p - k
+    out = row[k] * (1 - w) + row[np.minimum(k + 1, len(row) - 1)] * w
+    out[-1] = row[-1]
     return out
 
 
+_PDS = ("param", "level_flg", "level2", "year", "month", "day", "hour", "minute", "tunit", "tunit_0", "tunit_1", "tr_flg", "century", "scale10")
+_GDS = ("ni", "nj", "la1", "lo1", "la2", "lo2")
+
+
 def decode_surfaces(messages: DataFrame, data: str = "message", compat: bool = False) -> DataFrame:
-    """messages with param, level, valid, area, nx, ny, buf (row-major values) and error. compat: only messages with points
-    in row have values, and parameter 33 reads as 34."""
-    out = decode_sections(messages, data).withColumn("error", error_of(compat))
-    n = F.when(F.col("gds.pir").isNotNull(), F.aggregate("gds.pir", F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.col("gds.ni") * F.col("gds.nj"))
-    out = out.withColumn("_raw", F.when(F.col("error").isNull(), _raw(n)))
-    values = F.transform("_raw", lambda v: decimal_scaled(unpacked(v, F.col("bds.scale"), F.col("bds.fref")), F.col("pds.scale10")))
-    out = out.withColumn("_values", values)
-    starts = F.transform(F.sequence(F.lit(0), F.size("gds.pir") - 1), lambda j: F.aggregate(F.slice("gds.pir", F.lit(1), j), F.lit(0).cast("long"), lambda a, x: a + x))
-    out = out.withColumn("_starts", F.when(F.size("gds.pir") > 0, starts))
-    ni = F.col("gds.ni")
-    rows = F.flatten(F.transform("gds.pir", lambda m, j: expand_row(F.slice("_values", (F.get("_starts", j) + 1).cast("int"), m.cast("int")), ni)))
-    out = out.withColumn("buf", F.when(F.col("gds.pir").isNotNull(), rows).otherwise(F.col("_values")))
-    out = out.withColumn("param", param_of(F.col("pds.param"), compat)).withColumn("level", level_of(F.col("pds.level_flg"), F.col("pds.level2"))).withColumn("valid", valid_of(F.col("pds"))).withColumn("area", area_of(F.col("gds")))
-    return out.withColumn("nx", ni.cast("int")).withColumn("ny", F.col("gds.nj").cast("int")).drop("_raw", "_values", "_starts")
-
-
-def _raw(n: Column) -> Column:
-    """Packed numbers of bds.bits bits each; zero bits mean that all are 0."""
-    bits, data = F.col("bds.bits").cast("int"), F.col("bds.buf")
-
-    def field(i: Column) -> Column:
-        start = i.cast("long") * bits
-        window = F.conv(F.rpad(F.hex(F.substring(data, (F.floor(start / 8) + 1).cast("int"), F.lit(5))), 10, "0"), 16, 10).cast("long")
-        one = F.lit(1).cast("long")
-        return F.call_function("shiftrightunsigned", window, (40 - bits - start % 8).cast("int")).bitwiseAND(F.call_function("shiftleft", one, bits) - 1)
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.when(bits == 0, F.lit(0).cast("long")).otherwise(field(i))))
+    """messages with param, level, valid, area, nx, ny, buf (row-major values) and error. Bits are unpacked as arrays in
+    Arrow batches; what the fields mean is column expressions. compat: only messages with points in row have values, and
+    parameter 33 reads as 34."""
+
+    def run(batches):
+        for b in batches:
+            out: dict = {"pds": [], "gds": [], "buf": [], "error": []}
+            for x in b.column(b.schema.get_field_index(data)):
+                try:
+                    row = (*parse(x.as_py() or b"", compat), None)
+                except (Refused, IndexError) as e:
+                    row = (None, None, None, str(e) if isinstance(e, Refused) else "truncated")
+                out["pds"].append(row[0] and {k: row[0][k] for k in _PDS})
+                out["gds"].append(row[1] and {k: row[1][k] for k in _GDS})
+                out["buf"].append(row[2])
+                out["error"].append(row[3])
+            kinds = {"pds": pa.struct([(k, pa.int64()) for k in _PDS]), "gds": pa.struct([(k, pa.int64()) for k in _GDS]), "buf": pa.list_(pa.float64()), "error": pa.string()}
+            for k, kind in kinds.items():
+                b = b.append_column(k, pa.array(out[k], kind))
+            yield b
+
+    ints = lambda names: T.StructType([T.StructField(k, T.LongType()) for k in names])
+    shape = T.StructType([*messages.schema.fields, T.StructField("pds", ints(_PDS)), T.StructField("gds", ints(_GDS)), T.StructField("buf", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
+    out = messages.mapInArrow(run, shape)
+    pds = F.col("pds")
+    out = out.withColumn("param", param_of(pds["param"], compat)).withColumn("level", level_of(pds["level_flg"], pds["level2"])).withColumn("valid", valid_of(pds)).withColumn("area", area_of(F.col("gds")))
+    why = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("param").isNull(), "parameter").when(F.col("level").isNull(), "level").when(F.col("valid").isNull(), "time range")
+    out = out.withColumn("error", why).withColumn("buf", F.when(F.col("error").isNull(), F.col("buf")))
+    return out.withColumn("nx", F.col("gds.ni").cast("int")).withColumn("ny", F.col("gds.nj").cast("int")).drop("pds", "gds")
 
 
 def surface_cells(surfaces: DataFrame, keys: list[str]) -> DataFrame:
@@ -208,8 +268,10 @@ def encode(param: Column, level_flg: Column, level: Column, when: Column, hours:
         signed_hex(bottom, 3), signed_hex(right, 3), F.lit("FFFFFFFF"), F.lit("00"), F.lit("00000000"), listed,
     )
     stream = F.array_join(F.transform(raw, lambda v: F.lpad(F.bin(v), bits, "0")), "")
-    padded = F.rpad(stream, (F.ceil(F.length(stream) / 8) * 8).cast("int"), "0")
-    packed = F.array_join(F.transform(F.sequence(F.lit(1), (F.length(padded) / 8).cast("int")), lambda k: F.lpad(F.conv(F.substring(padded, k * 8 - 7, F.lit(8)), 2, 16), 2, "0")), "")
-    bds = F.concat(hex_of(11 + F.length(packed) / 2, 3), hex_of(F.length(padded) - F.length(stream), 1), signed_hex(scale, 2), hex_of(ref_word, 4), hex_of(F.lit(bits), 1), packed)
-    total = 8 + 28 + F.length(gds) / 2 + F.length(bds) / 2 + 4
+    unused = F.pmod(-F.size(raw) * bits, F.lit(8))
+    octet = lambda t, k: F.lpad(F.conv(F.substring(t, k * 8 - 7, F.lit(8)), 2, 16), 2, "0")
+    size = F.ceil(F.size(raw) * bits / 8).cast("int")
+    packed = let(F.rpad(stream, size * 8, "0"), lambda t: F.array_join(F.transform(F.sequence(F.lit(1), size), lambda k: octet(t, k)), ""))
+    bds = F.concat(hex_of(11 + size, 3), hex_of(unused, 1), signed_hex(scale, 2), hex_of(ref_word, 4), hex_of(F.lit(bits), 1), packed)
+    total = 8 + 28 + 32 + F.length(listed) / 2 + 11 + size + 4
     return F.unhex(F.concat(F.hex(F.lit("GRIB")), hex_of(total, 3), F.lit("01"), pds, gds, bds, F.hex(F.lit("7777"))))
