@@ -150,7 +150,8 @@ def walk(rule: Rule, text: str) -> Iterator[tuple[int, int, int]]:
     """(id, start, finish) events of the first match, for tests and small inputs on the driver."""
     import regex
 
-    m = regex.search(rule.regex.replace(r"\z", r"\Z"), text)
+    pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda x: rf"\U{int(x[1], 16):08x}", rule.regex.replace(r"\z", r"\Z"))
+    m = regex.search(pattern, text)
     if m:
         for k, id_ in enumerate(rule.captures, 1):
             if m.start(k) >= 0:

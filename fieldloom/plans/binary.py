@@ -212,7 +212,7 @@ RULES = {
     "repeat_range": (g.repeat(g.between("a", "z"), 2, 5), "[a-z]{2,5}"),
     "opt": (g.seq(g.literal("e"), g.opt(g.literal("r"))), "er?"),
     "star": (g.seq(g.literal("t"), g.star(g.literal("h"))), "th*"),
-    "until": (g.advance_until(g.char("\n")), "[^\n]+\n"),
+    "advance": (g.advance_if_not(g.char("\n")), "[^\n]+"),
     "set": (g.plus(g.one_of("aeiou")), "[aeiou]+"),
 }
 

@@ -79,7 +79,7 @@ def rank(spark, d):
     return s.interval_rank(table(spark, d, "lineitem").select(c("l_quantity").alias("start")))
 
 
-@query("A-06_tile_counts", f"WITH {RECTS} SELECT (x1 // 32)::BIGINT AS tx, (y1 // 32)::BIGINT AS ty, count(*) AS items, count(*) > 10 AS splits FROM r GROUP BY 1, 2")
+@query("A-06_tile_counts", f"WITH {RECTS} SELECT floor(x1 / 32)::BIGINT AS tx, floor(y1 / 32)::BIGINT AS ty, count(*) AS items, count(*) > 10 AS splits FROM r GROUP BY 1, 2")
 def tiles(spark, d):
     return order_rects(spark, d).groupBy(F.floor(c("x1") / 32).alias("tx"), F.floor(c("y1") / 32).alias("ty")).agg(F.count("*").alias("items"), (F.count("*") > 10).alias("splits"))
 

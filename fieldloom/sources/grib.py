@@ -136,6 +136,8 @@ def expand_row(row: Column, n: Column) -> Column:
 
 
 def _signed(data: bytes) -> int:
+    if not data:
+        raise Refused("truncated")
     v, top = int.from_bytes(data, "big"), 1 << (8 * len(data) - 1)
     return top - v if v >= top else v
 
