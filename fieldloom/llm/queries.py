@@ -17,7 +17,6 @@ QUERIES = {
     "op10_secrets": secrets.op10,
 }
 ORACLES: dict[str, str] = {
-    "op4_embedding_dedup": embedding_dedup.op4,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
