@@ -1,0 +1,140 @@
+"""Line dedup, mixing, quality rules and secret scans against brute force and DuckDB, with odd rows."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from fieldloom.llm import line_dedup as ld
+from fieldloom.llm import mixing, quality_rules, queries, secrets
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_rows():
+    rng = random.Random(9)
+    words = ["alpha", "Beta,", "γάμμα", "x", "###", "the", "of", "🙂"]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+    text = lambda n: "\n".join(line() for _ in range(n))
+    shared = text(30)
+    rows = [(k, text(rng.randint(1, 12)), "en", f"s{k % 5}", 1) for k in range(60)]
+    rows += [(100 + k, f"{text(4)}\n{shared}\n{text(3)}", "en", "hot", 1) for k in range(30)]
+    rows += [(200, None, None, None, None), (201, "", "en", "s1", 0), (202, " \n\t\n", "en", None, 4), (203, "a b c d e f g h " * 40, "en", "s2", 1), (204, "\n".join(["same line here"] * 9), "en", "hot", 1)]
+    rows += [(205, "word " * 20000, "en", "s3", 1), (206, rows[3][1], "en", "s4", 1), (207, rows[3][1], "en", "s4", 1)]
+    rows += [(300, 'token = "abc" password: hunter22 secret=token: abcdefg', "en", "s1", 1), (301, "é🙂 AKIA" + "A" * 16 + " api-key=123456 API_KEY='0123456789abcdef0123456789abcdef'", "en", "s1", 1), (302, "AKIA123 " + "f" * 23 + " " + "f" * 24, "en", "s1", 1), (303, "tokentokentoken=secret=abcdef;PassWd:x", "en", "s1", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame(odd_rows(), SHAPE).coalesce(2).write.parquet(str(d / "documents.parquet"))
+    return str(d)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_twin(spark, sf_dir, name):
+    df = queries.QUERIES[name](spark, sf_dir)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet/*.parquet'")
+    rel = con.sql(queries.ORACLES[name])
+    cols = sorted(df.columns)
+    assert sorted(rel.columns) == cols
+    got = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
+    want = sorted(repr(tuple(r[rel.columns.index(c)] for c in cols)) for r in rel.fetchall())
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_empty(spark, tmp_path, name):
+    spark.createDataFrame([], SHAPE).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_chunks_shift_with_the_text(spark):
+    text = "\n".join(f"line {k * k}" for k in range(200))
+    df = spark.createDataFrame([(text,), ("new\nlines\n" + text,)], "t string")
+    a, b = (r[0] for r in df.select(ld.chunks(F.col("t"))).collect())
+    assert "\n".join(a) == text and a[3:] == b[-len(a[3:]) :] and len(a) > 30
+
+
+def test_first_place_stays(spark):
+    rows = odd_rows()
+    out = {r.doc_id: r for r in ld.line_dedup(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert out[100].n_removed == 0 and all(out[100 + k].n_removed >= 20 for k in range(1, 30)) and out[200].text is None
+    assert all(out[r[0]].text == r[1] for r in rows if out[r[0]].n_removed == 0)
+    wide = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(rows, SHAPE), wide=True).collect()}
+    assert wide == {k: r.text for k, r in out.items()}
+
+
+def test_mix_comes_near_its_targets(spark):
+    got = mixing.mix(spark.createDataFrame(odd_rows(), SHAPE)).collect()
+    size, taken, target = Counter(), Counter(), {}
+    source = {r[0]: r[3] for r in odd_rows()}
+    for r in got:
+        s = source[r.doc_id]
+        size[s] += r.size
+        taken[s] += r.taken
+        target[s] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert sum(taken.values()) == sum(size.values()) and all(abs(taken[s] - target[s]) <= 1 and target[s] <= 3 * size[s] for s in size)
+
+
+def test_seats_match_plain_sainte_lague(spark):
+    rng = random.Random(3)
+    for seats in (1, 7, 100):
+        votes = [rng.choice([0, 1, 5, 200, 3000]) + rng.random() for _ in range(9)]
+        won = Counter()
+        for _ in range(seats):
+            won[max(range(9), key=lambda k: (votes[k] / (2 * won[k] + 1), -k))] += 1
+        df = spark.createDataFrame([(k, v) for k, v in enumerate(votes)], "at int, votes double")
+        got = {r.at: r.quota for r in mixing.apportion(df, F.lit(seats), [], ["at"]).collect()}
+        assert {k: got.get(k, 0) for k in range(9)} == {k: won[k] for k in range(9)}
+
+
+def test_mixed_texts_hold_the_taken_words(spark):
+    docs = spark.createDataFrame(odd_rows(), SHAPE)
+    taken = {(r.doc_id, r.size): r.taken for r in mixing.mix(docs).collect()}
+    words = Counter()
+    whole = {r[0]: r[1] for r in odd_rows()}
+    for r in mixing.mixed_documents(docs).collect():
+        words[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        assert whole[r.doc_id].startswith(r.text)
+    assert words == Counter({i: n for (i, _), n in taken.items() if n})
+
+
+def test_a_bad_host_takes_its_documents(spark):
+    good = " ".join(f"w{k}" for k in range(50))
+    rows = [(k, good + str(k) if k % 10 == 0 else "bad", "en", "worse", 1) for k in range(100)] + [(100 + k, good, "en", f"h{k % 4}", 1) for k in range(200)] + [(400, "bad", "en", "h1", 1)]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert not any(out[k].kept for k in range(100)) and not out[10].base_failed and out[10].host_failed
+    assert all(out[100 + k].kept for k in range(200)) and not out[400].kept and 0 < out[400].host_rate < 0.2
+
+
+def brute_spans(text):
+    kinds = [(secrets.ASSIGN, 2, 6), (secrets.ACCESS, 0, 20), (secrets.HEX, 0, 24)]
+    found = [(m.start(), k, m.end()) for k, (p, g, n) in enumerate(kinds) for m in re.finditer(p, text) if len(m[g]) >= n]
+    return [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+def test_spans_match_brute_force(spark, sf_dir):
+    got = {r.doc_id: r for r in secrets.op10(spark, sf_dir).collect()}
+    for i, text, *_ in odd_rows():
+        want = ",".join(brute_spans(text or ""))
+        assert got[i].spans == want and got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_the_ledger_scans_only_what_is_new(spark):
+    v = lambda rows: spark.createDataFrame(rows, "path string, text string")
+    ledger = secrets.BlobLedger()
+    first = ledger.scan(v([("a", "token=abcdef"), ("b", "token=abcdef"), ("c", None)]))
+    assert {r.path: len(r.findings) for r in first.collect()} == {"a": 1, "b": 1, "c": 0}
+    second = ledger.scan(v([("a", "token=abcdef"), ("a", "plain"), ("d", "token=abcdef")]))
+    assert sorted((r.path, len(r.findings)) for r in second.collect()) == [("a", 0), ("a", 1), ("d", 1)]
+    assert [p.count() for p in ledger.parts] == [2, 1]
+    ledger.scan(v([("a", "token=abcdef")]), rules="next")
+    assert ledger.parts[-1].count() == 1
