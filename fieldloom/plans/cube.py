@@ -110,7 +110,7 @@ def weighted(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum(c("l_quantity") * c("l_extendedprice")) / F.sum("l_quantity"), 2).alias("mean"))
 
 
-@query("P-34_georeferenced_cells", f"WITH {CELLS_SQL} SELECT surface_id, round(sum(x * 2.5 - 80), 3) AS lon, round(sum(60 - y * 1.25), 3) AS lat FROM cells GROUP BY 1")
+@query("P-34_georeferenced_cells", f"WITH {CELLS_SQL} SELECT surface_id, round(sum(x * 2.5::DOUBLE - 80), 3) AS lon, round(sum(60 - y * 1.25::DOUBLE), 3) AS lat FROM cells GROUP BY 1")
 def georeferenced(spark, d):
     place = then(scaling(2.5, -1.25), translation(-80.0, 60.0))
     x, y = affine(place, c("x"), c("y"))

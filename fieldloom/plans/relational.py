@@ -159,3 +159,31 @@ def interpolated(spark, d):
     out = k.ordered(e, ["event_type"], ["h", "v"]).filter("next is not null")
     span = F.unix_seconds(c("next.h").cast("timestamp")) - F.unix_seconds(c("h").cast("timestamp"))
     return out.select("event_type", (c("h").cast("timestamp") + F.expr("interval 30 minutes")).cast("timestamp_ntz").alias("at"), F.round(c("v") + (c("next.v") - c("v")) * 1800 / span + 1e-7, 5).alias("value"))
+
+
+@query("U-02_registry", "SELECT user_id, count(*) AS n FROM (SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0) GROUP BY 1")
+def registry(spark, d):
+    """Jobs added in two lots, some taken out again."""
+    e = table(spark, d, "events").select("event_id", "user_id")
+    added = e.filter("event_id % 3 = 1").unionByName(e.filter("event_id % 3 = 2"))
+    return added.join(e.filter("event_id % 5 = 0").select("event_id"), "event_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("F-08_attribute_filter", "SELECT doc_id, toxic AS v FROM labels WHERE quality = 1")
+def attribute_filter(spark, d):
+    return table(spark, d, "labels").filter("quality = 1").select("doc_id", c("toxic").alias("v"))
+
+
+@query("P-45_same_criteria", f"WITH {CAT} SELECT seq, param = 'view' AS param_same, ord = 3 AND hpa IS NOT DISTINCT FROM 5 AS level_same FROM cat")
+def same_criteria(spark, d):
+    cat = catalog(spark, d)
+    param = F.struct(F.lit("view").alias("type"), F.lit(None).cast("int").alias("code"), F.lit("other").alias("unit"))
+    level = F.struct(F.lit("isobaric").alias("type"), F.lit(3).alias("ord"), F.lit(5).alias("hpa1"), F.lit(None).cast("int").alias("hpa2"))
+    return cat.select("seq", k.same_param(c("param"), param).alias("param_same"), k.same_level(c("level"), level).alias("level_same"))
+
+
+@query("X3_wind_from_components", "SELECT event_id, round(sqrt(value * value + user_id * user_id), 6) AS speed, round(degrees(atan2(-value, -user_id)), 4) AS direction FROM events")
+def wind(spark, d):
+    """Extension: speed and direction from two components."""
+    u, v = c("value"), c("user_id")
+    return table(spark, d, "events").select("event_id", F.round(F.sqrt(u * u + v * v), 6).alias("speed"), F.round(F.degrees(F.atan2(-u, -v)), 4).alias("direction"))

@@ -204,3 +204,42 @@ def clipped(spark, d):
     pairs = s.rect_join(box(a), box(b), 16.0).select("a_id", "b_id")
     pairs = pairs.join(a.toDF("a_id", "axs", "ays"), "a_id").join(b.toDF("b_id", "bxs", "bys"), "b_id")
     return clip.clip_pairs(pairs, ["a_id", "b_id"])
+
+
+@query("F-05_interval_overlap", "SELECT l_orderkey, l_linenumber, l_quantity <= 30 AND 10 <= l_quantity + l_tax * 100 AS meets FROM lineitem")
+def overlap(spark, d):
+    hit = m.intervals_meet(c("l_quantity"), c("l_quantity") + c("l_tax") * 100, F.lit(10.0), F.lit(30.0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hit.alias("meets"))
+
+
+@query("F-02_edges_inside", "SELECT p_partkey, p_partkey % 70 + 1 < 64 AND p_size < 64 AS h, p_partkey % 70 < 64 AND p_size + 1 < 64 AS v, p_partkey % 70 + 1 < 64 AND p_size + 1 < 64 AS d FROM part")
+def edges_inside(spark, d):
+    at = (c("p_partkey") % 70, c("p_size"), F.lit(64), F.lit(64))
+    return table(spark, d, "part").select("p_partkey", *[m.inside_bounds(kind, *at).alias(kind[0]) for kind in ("horizontal", "vertical", "diagonal")])
+
+
+@query("P-33_composed_projection", f"WITH {POINTS} SELECT point_id, round((px * 2 + 3) * -0.5 + 7, 6) AS x, round((py * 4 - 1) * 0.25 - 2, 6) AS y, round(px, 6) AS bx, round(py, 6) AS by FROM p")
+def composed(spark, d):
+    both = m.affine_projection((2.0, 0.0, 0.0, 4.0, 3.0, -1.0)) | m.affine_projection((-0.5, 0.0, 0.0, 0.25, 7.0, -2.0))
+    x, y = both.forward(c("px"), c("py"))
+    out = points(spark, d).select("point_id", x.alias("x"), y.alias("y"))
+    bx, by = both.reverse(c("x"), c("y"))
+    return out.select("point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round(bx, 6).alias("bx"), F.round(by, 6).alias("by"))
+
+
+@query("P-37_edge_point", "SELECT l_orderkey, l_linenumber, round((l_quantity - l_tax * 1000) / (l_discount * 10 - l_tax * 1000), 6) + 0.0 AS w FROM lineitem WHERE l_discount * 10 <> l_tax * 1000")
+def edge_point(spark, d):
+    a, b = c("l_discount") * 10, c("l_tax") * 1000
+    return table(spark, d, "lineitem").filter(a != b).select("l_orderkey", "l_linenumber", (F.round(m.edge_weight(a, b, c("l_quantity")), 6) + 0.0).alias("w"))
+
+
+@query("P-32_clip_lines")
+def clipped_lines(spark, d):
+    """Paths cut to the polygons they may meet, as a clip projection does; points would pass unchanged."""
+    a = strokes(spark, d, "part", "p_partkey", 11, 5, 23)
+    box = a.select("id", F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
+    ring = polygons(spark, d)
+    bounds = ring.select(c("polygon_id").alias("id"), F.array_min("xs").alias("x1"), F.array_min("ys").alias("y1"), F.array_max("xs").alias("x2"), F.array_max("ys").alias("y2"))
+    pairs = s.rect_join(box, bounds, 16.0).select("a_id", "b_id")
+    lines = a.select(c("id").alias("a_id"), F.array("x1", "x2").alias("axs"), F.array("y1", "y2").alias("ays"))
+    return clip.clip_pairs(pairs.join(lines, "a_id").join(ring.toDF("b_id", "bxs", "bys"), "b_id"), ["a_id", "b_id"], polyline=True)

@@ -123,3 +123,17 @@ def test_png(spark):
     data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
     rows = files.png_images(spark.createDataFrame([("a", data), ("b", b"no")], "path string, content binary")).orderBy("path").collect()
     assert bytes(rows[0].rgba) == b"".join(bytes([*row[3 * x : 3 * x + 3], 255]) for row in pixels for x in range(w)) and rows[1].error == "not a PNG"
+
+
+def test_sections_with_a_bitmap_and_a_rotated_grid(spark):
+    plain = field(spark, None, 3, range(6))
+    gds = bytearray(plain[36:68])
+    gds[5], gds[2] = 10, 42
+    gds += (0x800000 | 30000).to_bytes(3, "big") + (15000).to_bytes(3, "big") + bytes(4)
+    bms = (9).to_bytes(3, "big") + bytes([5]) + bytes(2) + bytes([0b10110111, 0b01000000, 0b01100000])
+    data = plain[:15] + b"\xc0" + plain[16:36] + bytes(gds) + bms + plain[68:]
+    r = grib.decode_sections(spark.createDataFrame([(data,)], "message binary")).first()
+    assert (r.gds.type, r.gds.pole_lat, r.gds.pole_lon, r.gds.pir) == (10, -30000, 15000, None) and r.end_ok
+    assert r.bms.bits == [int(c) for c in f"{0b101101110100000001100000:024b}"][:19] and r.bds.bits == 12
+    r = grib.decode_sections(spark.createDataFrame([(plain[:30],)], "message binary")).first()
+    assert r.gds.ni is None and not r.end_ok
