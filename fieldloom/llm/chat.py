@@ -1,7 +1,8 @@
 """Chat formatting over a prefix tree.
 
-Conversations that begin with the same turns share the nodes of those turns. A node is named by a 128-bit digest of its
-path, so the tree is built without comparing conversations: equal names merge in one aggregation. Sorting nodes by the
+Conversations that begin with the same turns share the nodes of those turns. A node is a run of turns that the same
+conversations have, so a long conversation of its own is one node. It is named by a 128-bit digest of its path, so the
+tree is built without comparing conversations: equal names merge in one aggregation. Sorting nodes by the
 names along their paths is depth-first order, so one range sort and per-partition sums lay all trees out in a single
 token stream in which each shared turn stands once. A node has its span in the stream, the position id of its first
 token (what precedes it in its own conversation) and the spans of its ancestors, which are what its tokens may attend to
@@ -93,34 +94,63 @@ def default_vocabulary() -> str:
 
 
 def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """nodes (node, start, end, position, depth, conversations, formatted, loss_from, loss_to, ids, attends) in a token
-    stream, and leaves (uid, conv_id, node) that name each conversation's last node. attends: the ancestors' spans in
+    """nodes (node, start, end, position, depth, conversations, formatted, loss, ids, attends) in a token stream, and leaves
+    (conv_id, node) that name each conversation's last node. loss: spans of formatted; attends: the ancestors' spans in
     stream order. Both are stored."""
     spark = conversations.sparkSession
     small_batches(spark)
     path = vocabulary or default_vocabulary()
-    turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
-    def grow(batches):
+    def name(batches):
         for b in batches:
-            out = {k: [] for k in ("conv_id", "last", "depth", "node", "path", "formatted", "loss_from", "loss_to")}
-            for conv_id, turns in zip(b.column("conv_id").to_pylist(), b.column("turns"), strict=True):
-                names: list[str] = []
-                turns = turns.as_py()
-                for k, t in enumerate(turns):
-                    h = hashlib.blake2b((names[-1] if names else "").encode(), digest_size=16)
+            out: dict = {k: [] for k in ("conv_id", "at", "name", "parent", "role", "text")}
+            for conv_id, own in zip(b.column("conv_id").to_pylist(), b.column("turns"), strict=True):
+                parent = ""
+                for k, t in enumerate(own.as_py()):
+                    h = hashlib.blake2b(parent.encode(), digest_size=16)
                     h.update(f"{len(t['role'].encode())}:{t['role']}{t['text']}".encode())
-                    names.append(h.hexdigest())
-                    text, loss = format_turn(t["role"], t["text"])
-                    row = (conv_id, k == len(turns) - 1, k, names[-1], list(names), text, *(loss or (None, None)))
-                    for x, v in zip(out.values(), row, strict=True):
+                    for x, v in zip(out.values(), (conv_id, k, h.hexdigest(), parent, t["role"], t["text"]), strict=True):
                         x.append(v)
-            kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64())
+                    parent = h.hexdigest()
+            kinds = (pa.int64(), pa.int32(), *[pa.string()] * 4)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
-    shape = "conv_id long, last boolean, depth int, node string, path array<string>, formatted string, loss_from long, loss_to long"
-    each = store(turns.mapInArrow(grow, shape), "turns")
-    same = ("depth", "path", "formatted", "loss_from", "loss_to")
+    each = store(turns.mapInArrow(name, "conv_id long, at int, name string, parent string, role string, text string"), "turns")
+    # A turn continues its parent's node if every conversation that has the parent has it too.
+    counts = store(each.groupBy("name", "parent").agg(F.count("*").alias("n")), "counts")
+    above = counts.groupBy(F.col("parent").alias("name")).agg(F.count("*").alias("children")).join(counts.select("name", F.col("n").alias("before")), "name")
+    above = store(above.select(F.col("name").alias("parent"), "before", "children"), "above")
+    heads = join_hot(counts, above, ["parent"], F.col("name"), "children", "left")
+    heads = store(heads.select("name", F.col("n"), (~F.col("n").eqNullSafe(F.col("before"))).alias("head")), "heads")
+    marked = join_hot(each.drop("parent"), heads, ["name"], F.coalesce("conv_id", F.lit(0)), "n")
+    marked = marked.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "name", "head", "role", "text"))).alias("turns"))
+
+    def grow(batches):
+        for b in batches:
+            rows: list[list] = []
+            for conv_id, own in zip(b.column("conv_id").to_pylist(), b.column("turns"), strict=True):
+                names: list[str] = []
+                for t in own.as_py():
+                    if t["head"]:
+                        names.append(t["name"])
+                        rows.append([conv_id, False, len(names) - 1, t["name"], list(names), "", []])
+                    text, loss = format_turn(t["role"], t["text"])
+                    if loss:
+                        n = len(rows[-1][5])
+                        rows[-1][6].append({"from": n + loss[0], "to": n + loss[1]})
+                    rows[-1][5] += text
+                if names:
+                    rows[-1][1] = True
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            spans = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+            kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), spans)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["conv_id", "last", "depth", "node", "path", "formatted", "loss"])
+
+    shape = "depth int, path array<string>, formatted string, loss array<struct<from:long,to:long>>"
+    each = store(marked.mapInArrow(grow, f"conv_id long, last boolean, depth int, node string, {shape.split(', ', 1)[1]}"), "chains")
+    same = ("depth", "path", "formatted", "loss")
     nodes = each.groupBy("node").agg(F.count("*").alias("conversations"), *[F.first(c).alias(c) for c in same])
 
     def encode(batches):
@@ -128,7 +158,7 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
             ids = [token_ids(path, x) for x in b.column("formatted").to_pylist()]
             yield b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
 
-    nodes = store(nodes.mapInArrow(encode, "node string, conversations long, depth int, path array<string>, formatted string, loss_from long, loss_to long, ids array<int>"), "nodes")
+    nodes = store(nodes.mapInArrow(encode, f"node string, conversations long, {shape}, ids array<int>"), "nodes")
     # Depth-first order of all trees: a range sort, then sums inside and over partitions.
     order = nodes.select("node", F.size("ids").alias("n"), F.array_join("path", "").alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id())
     order = store(order, "order")
@@ -155,11 +185,11 @@ def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     spans = used.join(nodes, "node").select("node", "n", F.concat("attends", F.array(F.struct("start", "end"))).alias("spans"))
     # Equal conversations share a leaf, so each distinct one is put together once.
     wanted = spans.select("node", F.explode("spans.start").alias("start"))
-    many = store(wanted.groupBy("start").count().join(nodes.select("start", "formatted", "loss_from", "loss_to"), "start"), "wanted")
+    many = store(wanted.groupBy("start").count().join(nodes.select("start", "formatted", "loss"), "start"), "wanted")
     pieces = join_hot(wanted, many, ["start"], F.col("node"), "count")
-    whole = pieces.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "formatted", "loss_from", "loss_to"))).alias("pieces"))
+    whole = pieces.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "formatted", "loss"))).alias("pieces"))
     text = F.array_join(F.transform("pieces", lambda p: p.formatted), "")
-    loss = F.transform(F.filter("pieces", lambda p: p.loss_from.isNotNull()), lambda p: F.substring(p.formatted, (p.loss_from + 1).cast("int"), (p.loss_to - p.loss_from).cast("int")))
+    loss = F.flatten(F.transform("pieces", lambda p: F.transform(p.loss, lambda m: F.substring(p.formatted, (m["from"] + 1).cast("int"), (m.to - m["from"]).cast("int")))))
     whole = store(whole.select("node", text.alias("formatted"), loss.alias("loss")).join(used, "node"), "whole")
     return join_hot(leaves, whole, ["node"], F.col("conv_id"), "n").drop("node")
 
