@@ -65,19 +65,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def join_hot(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, weight: str, how: str = "inner") -> DataFrame:
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, weight: str, how: str = "inner", merge: bool = False) -> DataFrame:
     """Joins many, where a key may have any number of rows, with one, where it has at most one row.
 
     weight: one's column (dropped) with about the number of many's rows for the key. Keys with more than 1 / SHARES of
     the rows (at most SHARES keys, so they may be broadcast) are dealt over as many salts as they have such shares;
     one's rows for them are repeated once a salt. one should be a stored table. Null keys match nothing.
+    merge: the plan is the same merge join at every size, whatever one's size turns out to be.
     """
     rows = one.agg(F.sum(weight)).first()[0] or 1
     salts = F.ceil(F.col(weight) * SHARES / F.lit(rows)).cast("int")
     hot = F.broadcast(one.filter(F.col(weight) * SHARES > rows).select(*keys, salts.alias("_salts")))
     left = many.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0)))
     right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) * SHARES > rows, salts - 1).otherwise(0))))
-    return left.drop("_salts").join(right.drop(weight), [*keys, "_salt"], how).drop("_salt")
+    right = right.drop(weight).hint("merge") if merge else right.drop(weight)
+    return left.drop("_salts").join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:

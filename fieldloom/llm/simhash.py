@@ -24,7 +24,7 @@ from fieldloom.llm.common import components, join_hot, release, small_batches, s
 
 SHINGLE, SEED, MOST = 4, 42, 4
 #: Segments of SEGMENT bits, dealt to GROUPS groups.
-SEGMENT, GROUPS = 2, 7
+SEGMENT, GROUPS = 2, 8
 #: Points of a cell that are compared with each other in one task.
 BLOCK = 2048
 
@@ -67,7 +67,8 @@ def popcounts(bits: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
 
 
 def cells(bits: np.ndarray, most: int, groups: int, segment: int = SEGMENT) -> np.ndarray:
-    """Cell keys of each point, a column for each choice of groups - most groups."""
+    """Cell keys of each point, a column for each choice of groups - most groups. Keys of two choices do not meet but by
+    accident of their hashes, which costs a comparison and nothing else."""
     counts = popcounts(bits, segment).astype(np.uint64)
     parts = []
     for own in np.array_split(np.arange(counts.shape[1]), groups):
@@ -77,7 +78,7 @@ def cells(bits: np.ndarray, most: int, groups: int, segment: int = SEGMENT) -> n
         parts.append(key)
     out = np.empty((len(bits), comb(groups, most)), np.uint64)
     for c, chosen in enumerate(combinations(range(groups), groups - most)):
-        key = np.zeros(len(bits), np.uint64)
+        key = np.full(len(bits), c + 1, np.uint64)
         for g in chosen:
             key = (key ^ parts[g]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
@@ -173,17 +174,16 @@ def grid_links(points: DataFrame, most: int = MOST, groups: int = GROUPS, block:
         for b in batches:
             bits = np.asarray(b.column("bits")).view(np.uint64)
             keys = cells(bits, most, groups)
-            n, c = keys.shape
-            yield pa.RecordBatch.from_pydict({"choice": np.tile(np.arange(c, dtype=np.int32), n), "cell": keys.ravel().view(np.int64), "bits": np.repeat(bits, c).view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"cell": keys.ravel().view(np.int64), "bits": np.repeat(bits, keys.shape[1]).view(np.int64)})
 
-    dealt = store(points.select("bits").mapInArrow(spread, "choice int, cell long, bits long"), "dealt")
-    shared = dealt.groupBy("choice", "cell").count().filter("count > 1")
-    shared = store(shared.select("choice", "cell", "count", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "cells")
+    dealt = store(points.select("bits").mapInArrow(spread, "cell long, bits long"), "dealt")
+    shared = dealt.groupBy("cell").count().filter("count > 1")
+    shared = store(shared.select("cell", "count", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "cells")
     # A point goes to the tasks (i, j), i <= j, of its block.
-    rows = join_hot(dealt, shared, ["choice", "cell"], F.col("bits"), "count")
+    rows = join_hot(dealt, shared, ["cell"], F.col("bits"), "count", merge=True)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("bits", F.lit(7)), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["choice", "cell", "i", "j"]
-    rows = rows.select("choice", "cell", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.expr("own > x").alias("far"), "bits")
+    keys = ["cell", "i", "j"]
+    rows = rows.select("cell", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.expr("own > x").alias("far"), "bits")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches):
