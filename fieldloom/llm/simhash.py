@@ -78,7 +78,7 @@ def cells(bits: np.ndarray, most: int, groups: int, segment: int = SEGMENT) -> n
         parts.append(key)
     out = np.empty((len(bits), comb(groups, most)), np.uint64)
     for c, chosen in enumerate(combinations(range(groups), groups - most)):
-        key = np.full(len(bits), c + 1, np.uint64)
+        key = np.full(len(bits), (c + 1) * 0xD6E8FEB86659FD93 % (1 << 64), np.uint64)
         for g in chosen:
             key = (key ^ parts[g]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
