@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.classifier import fit, keep_good
 from fieldloom.llm.common import store
-from fieldloom.llm.line_dedup import line_dedup
+from fieldloom.llm.line_dedup import passage_dedup
 from fieldloom.llm.mixing import mixed_documents
 from fieldloom.llm.packing import pack
 from fieldloom.llm.simhash import near_duplicates
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; a document that they made up goes with them."""
-    out = line_dedup(docs).filter(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    """Repeated passages of lines go; a document that they made up goes with them."""
+    out = passage_dedup(docs).filter(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -7,6 +7,12 @@ were compared: if chunks with one hash differ, the whole run is repeated with a
 
 Defined results. Null text stays null; an empty text is one empty line and stays. Lines are split at \\n alone. Rows that share
 doc_id and text are one document to the count and get equal results. Other columns pass through. Empty table: no row.
+
+Chunks miss the short passages: one-line chunks never count, and what stands outside a passage's first and last boundary
+stays. passage_dedup misses none: a window is two neighbouring lines with words, with the blank lines between them, or one
+line of LONG words or more; a line that a window covers goes if the window's bytes also start at an earlier place (by
+doc_id, hash of the text, line). So of a passage of whole lines every later copy goes as a whole, and one copy of each line
+stays: the earliest place of a window's lines is covered by no window that stands earlier.
 """
 
 from __future__ import annotations
@@ -19,6 +25,10 @@ from fieldloom.llm.common import discard, join_hot, let, release, store
 EVERY = 3
 #: What the previous line's hash is multiplied by in the rolling hash over two lines.
 ROLL = 31
+#: A line of so many words is a passage by itself.
+LONG = 50
+#: A line with words, and one with LONG words.
+WORDED = r"[^\x20\x09-\x0D]"
 
 
 def chunks(text: Column, every: int = EVERY) -> Column:
@@ -78,11 +88,68 @@ def line_dedup(docs: DataFrame, every: int = EVERY, wide: bool = False) -> DataF
     return out.withColumn("text", F.when(some, F.array_join("_kept", "\n")).otherwise(F.col("text"))).drop("_kept", "marks")
 
 
-def op9(spark, sf_dir: str) -> DataFrame:
-    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def windows(text: Column, long: int = LONG) -> Column:
+    """Array of (a, b, text) of the windows: lines a to b, both included, counted from 0."""
+    many = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{long - 1}}}{WORDED}"
+
+    def found(lines: Column) -> Column:
+        part = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice(lines, a + 1, b - a + 1), "\n").alias("text"))
+        worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORDED))
+
+        def spans(at: Column) -> Column:
+            pairs = F.transform(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, k: part(a, F.get(at, k + 1)))
+            return F.concat(pairs, F.transform(F.filter(at, lambda i: F.get(lines, i).rlike(many)), lambda i: part(i, i)))
+
+        return let(worded, spans)
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), found)
+
+
+def passage_dedup(docs: DataFrame, long: int = LONG, wide: bool = False) -> DataFrame:
+    """docs with text cleaned of all repeated passages, and n_lines, n_removed (lines) added. wide: hash to 256 bits."""
+    spark = docs.sparkSession
+    digest = (lambda c: F.sha2(c.cast("binary"), 256)) if wide else F.xxhash64
+    mark = F.xxhash64("text")
+    each = docs.select("doc_id", mark.alias("th"), F.explode(F.transform(windows(F.col("text"), long), lambda w: F.struct(w.a.alias("a"), w.b.alias("b"), digest(w.text).alias("h")))).alias("x"))
+    each = store(each.select("doc_id", "th", "x.a", "x.b", "x.h"), "windows")
+    place = F.struct("doc_id", "th", "a")
+    repeated = each.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first <> last")
+    repeated = store(repeated.select("h", F.col("first.doc_id").alias("fd"), F.col("first.th").alias("ft"), F.col("first.a").alias("fa"), "n"), "repeated")
+    kept = F.col("doc_id").eqNullSafe(F.col("fd")) & F.col("th").eqNullSafe(F.col("ft")) & (F.col("a") == F.col("fa"))
+    found = join_hot(each, repeated, ["h"], F.xxhash64("doc_id", "a"), "n")
+    marks = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b", "h", (~kept).alias("gone"))).alias("marks"))
+    marks = marks.withColumnRenamed("doc_id", "_id")
+    both = docs.withColumn("_th", mark).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left").drop("_id", "_th", "th")
+    both = store(both, "marked")
+    discard(each)
+    del found, marks
+    release(spark)
+    split = lambda: F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    # The bytes of all windows with one hash are equal if the least and the greatest are.
+    texts = both.filter("marks is not null").select(F.explode(let(split(), lambda c: F.transform(F.col("marks"), lambda m: F.struct(m.h.alias("h"), F.array_join(F.slice(c, m.a + 1, m.b - m.a + 1), "\n").alias("c"))))).alias("x"))
+    unequal = texts.groupBy("x.h").agg(F.min("x.c").alias("a"), F.max("x.c").alias("b")).filter("a <> b")
+    if unequal.limit(1).count():
+        return passage_dedup(docs, long, wide=True)
+    gone = F.flatten(F.transform(F.filter("marks", lambda m: m.gone), lambda m: F.sequence(m.a, m.b)))
+    left = let(split(), lambda c: F.transform(F.array_except(F.sequence(F.lit(0), F.size(c) - 1), gone), lambda i: F.get(c, i)))
+    some = F.coalesce(F.exists("marks", lambda m: m.gone), F.lit(False))
+    out = both.withColumn("_kept", F.when(some, left)).withColumn("n_lines", F.size(split()).cast("long"))
+    out = out.withColumn("n_removed", F.when(some, F.col("n_lines") - F.size("_kept")).otherwise(0).cast("long"))
+    return out.withColumn("text", F.when(some, F.array_join("_kept", "\n")).otherwise(F.col("text"))).drop("_kept", "marks")
+
+
+def outcome(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9(spark, sf_dir: str) -> DataFrame:
+    return outcome(line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op9_passages(spark, sf_dir: str) -> DataFrame:
+    return outcome(passage_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 OP9_SQL = f"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
   l AS (SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM d),

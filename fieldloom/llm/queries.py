@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash": simhash.op7,
     "op8_mixing": mixing.op8,
     "op9_line_dedup": line_dedup.op9,
+    "op9_passage_dedup": line_dedup.op9_passages,
     "op10_secrets": secrets.op10,
 }
 ORACLES: dict[str, str] = {

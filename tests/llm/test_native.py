@@ -138,3 +138,52 @@ def test_the_ledger_scans_only_what_is_new(spark):
     assert [p.count() for p in ledger.parts] == [2, 1]
     ledger.scan(v([("a", "token=abcdef")]), rules="next")
     assert ledger.parts[-1].count() == 1
+
+
+def brute_passages(rows, place, long):
+    """What stays of each text, by looking at all windows of all documents in order of their places."""
+    first, spans = {}, {}
+    for r in sorted(set((r[0], r[1] or "") for r in rows), key=place):
+        lines = r[1].split("\n")
+        at = [i for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        spans[r] = [(a, b) for a, b in zip(at, at[1:])] + [(i, i) for i in at if len(re.findall(r"[^\x20\x09-\x0D]+", lines[i])) >= long]  # noqa: B905
+        for a, b in sorted(spans[r]):
+            first.setdefault("\n".join(lines[a : b + 1]), (r, a))
+    left = {}
+    for r, own in spans.items():
+        lines = r[1].split("\n")
+        gone = {i for a, b in own if first["\n".join(lines[a : b + 1])] != (r, a) for i in range(a, b + 1)}
+        left[r] = [x for i, x in enumerate(lines) if i not in gone]
+    return left
+
+
+def test_passages_match_brute_force(spark):
+    rows = odd_rows()
+    rng = random.Random(4)
+    own = lambda n: [" ".join(f"u{rng.random()}" for _ in range(6)) for _ in range(n)]
+    for k, n in enumerate((1, 2, 3, 4, 6, 10) * 5):
+        passage = own(n)
+        rows += [(400 + 2 * k + x, "\n".join([*own(3), *passage, *own(2)]), "en", "s1", 1) for x in (0, 1)]
+    spread = "a first line\n\n \nanother line"
+    rows += [(500 + k, f"{' '.join(own(1))} {k}\n{spread}\nend {k}", "en", "s1", 1) for k in (0, 1)]
+    long = " ".join(f"w{k}" for k in range(50))
+    rows += [(600 + k, f"before {k}\n{long}\nafter {k}", "en", "s1", 1) for k in (0, 1)] + [(604 + k, f"before {k} x\n{long[:-4]}\nafter {k} x", "en", "s1", 1) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, SHAPE)
+    th = {(r.doc_id, r.text or ""): r.th for r in docs.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()}
+    want = brute_passages(rows, lambda r: (r[0], th[r]), ld.LONG)
+    got = ld.passage_dedup(docs.withColumn("was", F.col("text"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        left = want[(r.doc_id, r.was or "")]
+        assert (r.text or "", r.n_removed) == ("\n".join(left), r.n_lines - len(left)) and (r.text is None) == (r.was is None)
+    n = {r.doc_id: r.n_removed for r in got}
+    assert all((n[400 + 2 * k], n[401 + 2 * k]) == (0, 0 if m == 1 else m) for k, m in enumerate((1, 2, 3, 4, 6, 10) * 5))
+    assert n[501] == 4 and n[601] == 1 and n[605] == 0
+    lines = lambda texts: {x for t in texts for x in (t or "").split("\n")}
+    assert lines(r.text for r in got) - {""} == lines(r[1] for r in rows) - {""}
+    wide = ld.passage_dedup(docs, wide=True).collect()
+    assert sorted((r.doc_id, r.text or "") for r in wide) == sorted((r.doc_id, r.text or "") for r in got)
+
+
+def test_passages_of_an_empty_table(spark):
+    assert ld.passage_dedup(spark.createDataFrame([], SHAPE)).count() == 0
