@@ -2,15 +2,18 @@
 
 A unit vector is rotated by a seeded orthonormal matrix; its code holds the signs, its correction factor f the inner
 product of the vector with its code. For another rotated vector q, <code, q> / f estimates the inner product without
-bias, within BOUND * sqrt((1 - f^2) / f^2 / (D - 1)) at the chosen confidence. Vectors meet in TABLES tables of seeded
-choices of code bits. In a bucket only pairs whose upper confidence bound reaches the threshold are computed exactly, in
+bias, within BOUND * sqrt((1 - f^2) / f^2 / (D - 1)) at the chosen confidence. Vectors meet in tables of
+seeded planes, drawn anew for each table: a key bit is the side of a plane, so a pair at an angle a shares a bucket of k
+bits with the chance (1 - a / pi) ** k in each table, independently, and as many tables are taken as bring a pair at the
+threshold to RECALL at the bits in use. In a bucket only pairs whose upper confidence bound reaches the threshold are computed exactly, in
 double precision, and each pair only in the first table where it meets. A bucket with more than BLOCK vectors is dealt
 over its pairs of blocks. Equal vectors are one point with a weight. What leaves a task is linear in its rows: link
 counts and a spanning set of links.
 
 Defined results. Null, zero, or null or non-finite components, or another length than the longest valid vectors: no links, its own
 component, kept. Repeated vec_id rows count as vectors of their own. Other columns are ignored. Empty table: no row.
-The search is approximate: a pair at the threshold shares a table with a chance above 0.98, closer pairs surely.
+The search is approximate: a pair at the threshold shares a table with a chance of RECALL or more at every size, a closer
+pair with a greater one.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from fieldloom.llm.simhash import Links
 THRESHOLD, TABLES, BOUND, BLOCK, SEED = 0.95, 20, 3.0, 1024, 5
 #: Vectors in a bucket, about, as a power of two; a table has between LEAST_BITS and MOST_BITS bits.
 LOAD, LEAST_BITS, MOST_BITS = 5, 6, 20
+#: The chance of a pair at the threshold to meet, and the tables that may be taken for it; bits give way beyond them.
+RECALL, MOST_TABLES = 0.999, 64
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -53,11 +58,31 @@ class Codes:
         return (self.signs[rows] @ other.turned[columns].T) / (math.sqrt(self.signs.shape[1]) * self.f[rows, None])
 
 
-def table_keys(signs: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
-    """The bucket of each vector in each table: the code's bits at seeded positions."""
-    d, rng = signs.shape[1], np.random.default_rng(seed + 1)
-    on = (signs > 0).astype(np.int64)
-    return np.stack([(on[:, rng.choice(d, min(bits, d), replace=False)] << np.arange(min(bits, d))).sum(axis=1) for _ in range(tables)], axis=1)
+def tables_for(threshold: float, bits: int, recall: float = RECALL) -> int:
+    """So many tables of so many bits bring pairs at the threshold together with at least the chance recall."""
+    met = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log1p(-met)) if met > 0 else 1 << 30
+
+
+def bits_for(count: int, threshold: float = THRESHOLD) -> int:
+    """Bits of a key for so many vectors: fewer where the threshold would ask for too many tables."""
+    bits = min(MOST_BITS, max(LEAST_BITS, round(math.log2(count)) - LOAD))
+    while bits and tables_for(threshold, bits) > MOST_TABLES:
+        bits -= 1
+    return bits
+
+
+def planes(d: int, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
+    """Normals of each table's planes, whole numbers (tables x bits x d); fewer tables have the same first ones."""
+    return np.rint(np.random.default_rng(seed + 1).standard_normal((tables, bits, d)) * (1 << 12))
+
+
+def table_keys(x: np.ndarray, normals: np.ndarray) -> np.ndarray:
+    """The bucket of each vector in each table. Sums of whole numbers are exact, so a vector has the same keys in every batch."""
+    whole = np.rint(x.astype(np.float64) / np.abs(x).max(axis=1, keepdims=True).astype(np.float64) * (1 << 20))
+    tables, bits, d = normals.shape
+    on = (whole @ normals.reshape(-1, d).T > 0).reshape(len(x), tables, bits)
+    return (on.astype(np.int64) << np.arange(bits)).sum(axis=2)
 
 
 def vectors(column) -> np.ndarray:
@@ -67,15 +92,16 @@ def vectors(column) -> np.ndarray:
 
 def bucket_links(points: DataFrame, d: int, bits: int, threshold: float = THRESHOLD, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
     """points (id, n, v: array<float>), distinct vectors with weights. Rows (a, b, links): links of a found in one task
-    (b null), or a link of a spanning set (links null)."""
+    (b null), or a link of a spanning set (links null). tables: the least number of tables."""
     small_batches(points.sparkSession, 2048)
+    tables = max(tables, tables_for(threshold, bits))
 
     def spread(batches):
-        turn = rotation(d)
+        normals = planes(d, bits, tables)
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = table_keys(Codes(vectors(b.column("v")), turn).signs, bits, tables)
+            keys = table_keys(vectors(b.column("v")), normals)
             at = np.repeat(np.arange(b.num_rows), tables)
             yield pa.RecordBatch.from_pydict({"id": b.column("id").take(pa.array(at)), "t": np.tile(np.arange(tables, dtype=np.int32), b.num_rows), "key": keys.ravel()})
 
@@ -89,14 +115,14 @@ def bucket_links(points: DataFrame, d: int, bits: int, threshold: float = THRESH
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches):
-        turn = rotation(d)
+        turn, normals = rotation(d), planes(d, bits, tables)
         held: list[pa.RecordBatch] = []
 
         def one(table: pa.Table):
             t, i, j = (table.column(k)[0].as_py() for k in ("t", "i", "j"))
             ids, weight, far = (np.asarray(table.column(k)) for k in ("id", "n", "far"))
-            codes = Codes(vectors(table.column("v")), turn)
-            met = table_keys(codes.signs, bits, t) if t else np.zeros((len(ids), 0), np.int64)
+            v = vectors(table.column("v"))
+            codes, met = Codes(v, turn), table_keys(v, normals[:t])
             a, b = (np.flatnonzero(~far), np.flatnonzero(far)) if i != j else (np.arange(len(ids)),) * 2
             links, count = Links(len(ids)), np.zeros(len(ids), np.int64)
             step = max(1, (1 << 18) // max(1, len(b)))
@@ -159,8 +185,7 @@ def near_embeddings(table: DataFrame, threshold: float = THRESHOLD, tables: int
     count = points.count()
     if not count:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    bits = min(MOST_BITS, max(LEAST_BITS, round(math.log2(count)) - LOAD))
-    found = store(bucket_links(points, d, bits, threshold, tables, block), "found")
+    found = store(bucket_links(points, d, bits_for(count, threshold), threshold, tables, block), "found")
     release(spark)
     classes = components(points.select(F.col("id").alias("node")), found.filter("b is not null").select("a", "b").distinct())
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from fieldloom.llm import embedding_dedup as ed
 from fieldloom.llm.embedding_dedup import Codes, near_embeddings, rotation
 
 
@@ -54,3 +55,43 @@ def test_estimates_are_unbiased_and_bounded():
 def test_empty_and_all_invalid(spark):
     assert near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert near_embeddings(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().kept
+
+
+def pairs_at(cosine, n, d=64, seed=6):
+    rng = np.random.default_rng(seed)
+    a, b = rng.standard_normal((2, n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a.astype(np.float32), (cosine * a + np.sqrt(1 - cosine**2) * b).astype(np.float32)
+
+
+@pytest.mark.parametrize("bits", [6, 10, 12, 15, 17, 20])
+def test_pairs_at_the_threshold_meet_at_every_size(bits):
+    normals = ed.planes(64, bits, ed.tables_for(ed.THRESHOLD, bits))
+    x, y = pairs_at(0.95, 20000)
+    met = (ed.table_keys(x, normals) == ed.table_keys(y, normals)).any(axis=1).mean()
+    assert met >= ed.RECALL - 0.001 and len(normals) <= ed.MOST_TABLES
+
+
+@pytest.mark.parametrize("bits", [12, 20])
+def test_own_parameters_match_brute_force_at_many_bits(spark, bits):
+    n = 400
+    x = np.concatenate(pairs_at(0.9505, n))
+    points = spark.createDataFrame([(k, 1, [float(a) for a in v]) for k, v in enumerate(x)], "id long, n long, v array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(u @ u.T >= ed.THRESHOLD, 1))}
+    got = {tuple(sorted((r.a, r.b))) for r in ed.bucket_links(points, 64, bits).filter("b is not null").collect()}
+    assert len(want) == n and got <= want and len(got) >= 0.995 * n
+
+
+def test_keys_do_not_depend_on_the_batch():
+    x, normals = pairs_at(0.95, 300)[0], ed.planes(64, 20, 30)
+    whole = ed.table_keys(x, normals)
+    assert all((ed.table_keys(x[k : k + 1], normals[:7]) == whole[k, :7]).all() for k in range(300))
+    assert (ed.table_keys(3 * x, normals[:0]) == whole[:, :0]).all()
+
+
+@pytest.mark.parametrize("threshold", [0.999, 0.95, 0.8, 0.5, 0.0])
+def test_low_thresholds_take_fewer_bits(threshold):
+    assert all(ed.tables_for(threshold, ed.bits_for(n, threshold)) <= ed.MOST_TABLES for n in (1, 1000, 10**6, 10**9, 10**12))
