@@ -230,6 +230,14 @@ def look_ahead(spark, d):
     return rows.select("doc_id", F.size(g.seq(g.char("t"), g.reject(g.char("h"))).all(t)).cast("long").alias("rejected"), F.size(g.seq(g.char("t"), g.require(g.char("h"))).all(t)).cast("long").alias("required"))
 
 
+@query("X-13_look_ahead_all", "SELECT doc_id, length(text) - length(replace(text, 't', '')) - (length(text) - length(replace(text, 'th', ''))) // 2 AS rejected, (length(text) - length(replace(text, 'th', ''))) // 2 AS required FROM documents WHERE text IS NOT NULL")
+def look_ahead_all(spark, d):
+    """The same two rules over every text, also where a consuming 't[^h]' would swallow the second of two t."""
+    t = c("text")
+    rows = table(spark, d, "documents").filter("text is not null")
+    return rows.select("doc_id", F.size(g.seq(g.char("t"), g.reject(g.char("h"))).all(t)).cast("long").alias("rejected"), F.size(g.seq(g.char("t"), g.require(g.char("h"))).all(t)).cast("long").alias("required"))
+
+
 @query("X-10_spans", "SELECT doc_id, count(*) AS n, sum(s)::BIGINT AS starts FROM (SELECT doc_id, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS s, k, max(k) OVER (PARTITION BY doc_id) AS last FROM (SELECT doc_id, unnest(string_split(text, ',')) AS p, generate_subscripts(string_split(text, ','), 1) AS k FROM documents)) WHERE k < last GROUP BY 1")
 def spans(spark, d):
     out = table(spark, d, "documents").select("doc_id", F.explode(g.char(",").spans(c("text"))).alias("s"))
