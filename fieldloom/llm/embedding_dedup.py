@@ -10,8 +10,8 @@ double precision, and each pair only in the first table where it meets. A bucket
 over its pairs of blocks. Equal vectors are one point with a weight. What leaves a task is linear in its rows: link
 counts and a spanning set of links.
 
-Defined results. Null, zero, or null or non-finite components, or another length than the longest valid vectors: no links, its own
-component, kept. Repeated vec_id rows count as vectors of their own. Other columns are ignored. Empty table: no row.
+Defined results. Null, zero, or null or non-finite components: no links, its own component, kept. Vectors of different lengths
+never link; each length is searched by itself, with as many bits as its vectors ask for. Repeated vec_id rows count as vectors of their own. Other columns are ignored. Empty table: no row.
 The search is approximate: a pair at the threshold shares a table with a chance of RECALL or more at every size, a closer
 pair with a greater one.
 """
@@ -19,6 +19,7 @@ pair with a greater one.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ LOAD, LEAST_BITS, MOST_BITS = 5, 6, 20
 RECALL, MOST_TABLES = 0.999, 64
 
 
+@lru_cache(4)
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
     """A random orthonormal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
@@ -72,6 +74,7 @@ def bits_for(count: int, threshold: float = THRESHOLD) -> int:
     return bits
 
 
+@lru_cache(4)
 def planes(d: int, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
     """Normals of each table's planes, whole numbers (tables x bits x d); fewer tables have the same first ones."""
     return np.rint(np.random.default_rng(seed + 1).standard_normal((tables, bits, d)) * (1 << 12))
@@ -90,36 +93,41 @@ def vectors(column) -> np.ndarray:
     return np.asarray(flat.flatten(), dtype=np.float32).reshape(len(flat), -1)
 
 
-def bucket_links(points: DataFrame, d: int, bits: int, threshold: float = THRESHOLD, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
-    """points (id, n, v: array<float>), distinct vectors with weights. Rows (a, b, links): links of a found in one task
-    (b null), or a link of a spanning set (links null). tables: the least number of tables."""
+def bucket_links(points: DataFrame, bits: int | None = None, threshold: float = THRESHOLD, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+    """points (id, n, d, size, v: array<float>), distinct vectors with weights, of length d as size of them are. Rows
+    (a, b, links): links of a found in one task (b null), or a link of a spanning set (links null). tables: the least
+    number of tables. bits: of all keys, instead of those that size asks for."""
     small_batches(points.sparkSession, 2048)
-    tables = max(tables, tables_for(threshold, bits))
+
+    def drawn(d: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        k = bits_for(size, threshold) if bits is None else bits
+        return rotation(d), planes(d, k, max(tables, tables_for(threshold, k)))
 
     def spread(batches):
-        normals = planes(d, bits, tables)
         for b in batches:
-            if not b.num_rows:
-                continue
-            keys = table_keys(vectors(b.column("v")), normals)
-            at = np.repeat(np.arange(b.num_rows), tables)
-            yield pa.RecordBatch.from_pydict({"id": b.column("id").take(pa.array(at)), "t": np.tile(np.arange(tables, dtype=np.int32), b.num_rows), "key": keys.ravel()})
-
-    dealt = store(points.select("id", "v").mapInArrow(spread, "id long, t int, key long"), "dealt")
-    shared = dealt.groupBy("t", "key").count().filter("count > 1")
-    shared = store(shared.select("t", "key", "count", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "buckets")
-    rows = join_hot(dealt, shared, ["t", "key"], F.col("id"), "count").join(points, "id")
+            lengths = np.asarray(b.column("d"))
+            for d in np.unique(lengths).tolist():
+                part = b.take(pa.array(np.flatnonzero(lengths == d)))
+                keys = table_keys(vectors(part.column("v")), drawn(d, part.column("size")[0].as_py())[1])
+                n, t = keys.shape
+                at = pa.array(np.repeat(np.arange(n), t))
+                yield pa.RecordBatch.from_pydict({"id": part.column("id").take(at), "d": part.column("d").take(at), "t": np.tile(np.arange(t, dtype=np.int32), n), "key": keys.ravel()})
+
+    dealt = store(points.select("id", "d", "size", "v").mapInArrow(spread, "id long, d int, t int, key long"), "dealt")
+    shared = dealt.groupBy("d", "t", "key").count().filter("count > 1")
+    shared = store(shared.select("d", "t", "key", "count", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "buckets")
+    rows = join_hot(dealt, shared, ["d", "t", "key"], F.col("id"), "count").join(points.select("id", "n", "size", "v"), "id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["t", "key", "i", "j"]
-    rows = rows.select("t", "key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.expr("own > x").alias("far"), "id", "n", "v")
+    keys = ["d", "t", "key", "i", "j"]
+    rows = rows.select("d", "t", "key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.expr("own > x").alias("far"), "id", "n", "size", "v")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches):
-        turn, normals = rotation(d), planes(d, bits, tables)
         held: list[pa.RecordBatch] = []
 
         def one(table: pa.Table):
-            t, i, j = (table.column(k)[0].as_py() for k in ("t", "i", "j"))
+            d, size, t, i, j = (table.column(k)[0].as_py() for k in ("d", "size", "t", "i", "j"))
+            turn, normals = drawn(d, size)
             ids, weight, far = (np.asarray(table.column(k)) for k in ("id", "n", "far"))
             v = vectors(table.column("v"))
             codes, met = Codes(v, turn), table_keys(v, normals[:t])
@@ -179,13 +187,12 @@ def near_embeddings(table: DataFrame, threshold: float = THRESHOLD, tables: int
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.coalesce(F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = table.select("vec_id", F.when(good, v).alias("v"))
-    d = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    rows = store(rows.withColumn("v", F.when(F.size("v") == d, F.col("v"))), "vectors")
-    points = store(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "points")
-    count = points.count()
-    if not count:
+    rows = store(rows, "vectors")
+    points = store(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("d", F.size("v")), "points")
+    sizes = store(points.groupBy("d").agg(F.count("*").alias("size"), F.count("*").alias("rows")), "sizes")
+    if not sizes.limit(1).count():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = store(bucket_links(points, d, bits_for(count, threshold), threshold, tables, block), "found")
+    found = store(bucket_links(join_hot(points, sizes, ["d"], F.col("id"), "rows"), None, threshold, tables, block), "found")
     release(spark)
     classes = components(points.select(F.col("id").alias("node")), found.filter("b is not null").select("a", "b").distinct())
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))

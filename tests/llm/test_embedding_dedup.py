@@ -78,10 +78,10 @@ def test_pairs_at_the_threshold_meet_at_every_size(bits):
 def test_own_parameters_match_brute_force_at_many_bits(spark, bits):
     n = 400
     x = np.concatenate(pairs_at(0.9505, n))
-    points = spark.createDataFrame([(k, 1, [float(a) for a in v]) for k, v in enumerate(x)], "id long, n long, v array<float>")
+    points = spark.createDataFrame([(k, 1, 64, len(x), [float(a) for a in v]) for k, v in enumerate(x)], "id long, n long, d int, size long, v array<float>")
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(u @ u.T >= ed.THRESHOLD, 1))}
-    got = {tuple(sorted((r.a, r.b))) for r in ed.bucket_links(points, 64, bits).filter("b is not null").collect()}
+    got = {tuple(sorted((r.a, r.b))) for r in ed.bucket_links(points, bits).filter("b is not null").collect()}
     assert len(want) == n and got <= want and len(got) >= 0.995 * n
 
 
@@ -95,3 +95,16 @@ def test_keys_do_not_depend_on_the_batch():
 @pytest.mark.parametrize("threshold", [0.999, 0.95, 0.8, 0.5, 0.0])
 def test_low_thresholds_take_fewer_bits(threshold):
     assert all(ed.tables_for(threshold, ed.bits_for(n, threshold)) <= ed.MOST_TABLES for n in (1, 1000, 10**6, 10**9, 10**12))
+
+
+def test_each_length_is_searched_by_itself(spark):
+    x = vectors()
+    short = [[float(np.float32(a)) for a in v] for v in (0.5 * np.array([1, 2, 3.0]), [1, 2, 3.0], [3, -2, 1.0])]
+    rows = [*enumerate(x), *[(1000 + k, v) for k, v in enumerate(short)], (2000, [1.0] * 40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_embeddings(table, tables=40).collect()}
+    plain = [None if v is None or None in v else v for v in x]
+    want = {i: rest for i, *rest in brute(list(range(len(x))), plain)}
+    # The odd [1, 1, 1] at the end of x has the short vectors' length: it comes near to [1, 2, 3] at 0.93 only.
+    assert {i: list(got[i]) for i in want} == want
+    assert [got[1000 + k] for k in range(3)] == [(1, 1000, True), (1, 1000, False), (0, 1002, True)] and got[2000] == (0, 2000, True)
