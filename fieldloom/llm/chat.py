@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import join_hot, small_batches, store
+from fieldloom.llm.common import join_hot, store
 
 #: The template: what stands before and after the escaped text of a turn.
 MARKS = {"user": ("[INST] ", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("[SYS] ", "[/SYS]")}
@@ -98,7 +98,6 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
     (conv_id, node) that name each conversation's last node. loss: spans of formatted; attends: the ancestors' spans in
     stream order. Both are stored."""
     spark = conversations.sparkSession
-    small_batches(spark)
     path = vocabulary or default_vocabulary()
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

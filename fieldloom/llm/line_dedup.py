@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import discard, join_hot, let, release, store
+from fieldloom.llm.common import discard, join_hot, let, store
 
 EVERY = 3
 #: What the previous line's hash is multiplied by in the rolling hash over two lines.
@@ -72,7 +72,6 @@ def line_dedup(docs: DataFrame, every: int = EVERY, wide: bool = False) -> DataF
     both = store(both, "marked")
     discard(each)
     del found, marks
-    release(spark)
     # The bytes of all chunks with one hash are equal if the least and the greatest are.
     texts = both.filter("marks is not null").select(F.explode(let(chunks(F.col("text"), every), lambda c: F.transform(F.col("marks"), lambda m: F.struct(m.h.alias("h"), F.get(c, m.no).alias("c"))))).alias("x"))
     unequal = texts.groupBy("x.h").agg(F.min("x.c").alias("a"), F.max("x.c").alias("b")).filter("a <> b")
@@ -123,7 +122,6 @@ def passage_dedup(docs: DataFrame, long: int = LONG, wide: bool = False) -> Data
     both = store(both, "marked")
     discard(each)
     del found, marks
-    release(spark)
     split = lambda: F.split(F.coalesce("text", F.lit("")), "\n", -1)
     # The bytes of all windows with one hash are equal if the least and the greatest are.
     texts = both.filter("marks is not null").select(F.explode(let(split(), lambda c: F.transform(F.col("marks"), lambda m: F.struct(m.h.alias("h"), F.array_join(F.slice(c, m.a + 1, m.b - m.a + 1), "\n").alias("c"))))).alias("x"))

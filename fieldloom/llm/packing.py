@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldloom.llm.common import small_batches
 from fieldloom.llm.tokens import default_vocabulary, encoder
 
 LENGTH, END_ID = 2048, 1
@@ -134,7 +133,6 @@ class Packer:
 def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, keep_ids: bool = True) -> DataFrame:
     """One row for each piece of docs (doc_id: long, text: string): where it starts in its document, its ids, and where
     it lies in its sequence. sequence_id holds the partition's number above bit 33."""
-    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,32 +1,44 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
-A fingerprint is mapped to the bit counts of its segments. The Manhattan distance of two such vectors is at most the
-Hamming distance of the fingerprints, so all links lie within Manhattan distance MOST. The range join runs on a grid:
-the segments are dealt to GROUPS axes groups; within that distance at most MOST groups can differ, so two vectors share
-the cell of some choice of GROUPS - MOST groups, whose counts are equal. Cells are joined by equality, a pair is taken only
-in the first cell that it shares, and Manhattan and then Hamming distance decide. Equal fingerprints are one point.
+A fingerprint is mapped to the bit counts of its 32 segments of two bits. The Manhattan distance of two such vectors is at
+most the Hamming distance of the fingerprints, so all links lie within Manhattan distance MOST. The range join runs on
+grids over some of the axes: the axes are dealt to groups, and a grid takes a choice of the groups. What two vectors
+within MOST differ by is spread over all groups, so in some grid they differ by no more than the grid's reach, 0 or 1. A
+point is stored in its own cell of each grid and, at reach 1, also asks the neighbour cells one step up an axis; the lower
+of two neighbours asks for the upper. In a cell the Manhattan bound over all axes comes first and the Hamming distance
+decides. Equal fingerprints are one point.
+
+Three groups with reach 1 need about 28 rows a point and have cells of 16 bits; from FEW points on, whose cells would grow
+too full, eight groups of which four must be equal need 70 rows and have cells of 24 bits. Both are exact, so the links
+are the same.
 
 Defined results. Null, empty or blank text: fingerprint zero, linked like any other. Fewer words than a shingle: one shingle
-of them all. Repeated rows get equal results. Other columns are ignored. An empty table gives no row.
+of them all. Each row gives one row: repeated rows get equal results, a null doc_id is named by its class like any other
+(null where the class has no doc_id), and rows that share a doc_id are linked by their own texts. Other columns are
+ignored. An empty table gives no row.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldloom.llm.common import components, join_hot, release, small_batches, store
+from fieldloom.llm.common import discard, fresh, join_hot, named_components, store
 
 SHINGLE, SEED, MOST = 4, 42, 4
-#: Segments of SEGMENT bits, dealt to GROUPS groups.
-SEGMENT, GROUPS = 2, 8
+#: Axes of the embedding and values of each: counts of two-bit segments.
+AXES, COUNTS = 32, 3
+#: Distinct fingerprints from which on a grid of smaller cells pays.
+FEW = 1 << 22
 #: Points of a cell that are compared with each other in one task.
 BLOCK = 2048
+#: Pairs that are compared at once.
+PAIRS = 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -48,42 +60,75 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, bits: long) for each row of docs."""
-    small_batches(docs.sparkSession)
+def fingerprints(docs: DataFrame, carried: list[str], bits: str = "bits", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The columns carried of docs (text: string) and bits (long), one row for each row of docs."""
+    text = fresh(carried, "text")[0]
+    rows = docs.select(*carried, docs["text"].alias(text))
 
     def run(batches):
         for b in batches:
-            bits = np.array([fingerprint(x.as_py(), shingle, seed) for x in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "bits": pa.array(bits.view(np.int64), pa.int64())})
+            found = np.array([fingerprint(x.as_py(), shingle, seed) for x in b.column(b.num_columns - 1)], np.uint64)
+            kept = [b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found.view(np.int64), pa.int64())], [*b.schema.names[:-1], bits])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(bits, T.LongType())]))
 
 
-def popcounts(bits: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+def popcounts(bits: np.ndarray) -> np.ndarray:
     """The embedding: bit counts of each fingerprint's segments, from the lowest bits on."""
     flat = np.unpackbits(bits.astype("<u8").view(np.uint8).reshape(len(bits), 8), axis=1, bitorder="little")
-    return flat.reshape(len(bits), 64 // segment, segment).sum(axis=2, dtype=np.uint8)
-
-
-def cells(bits: np.ndarray, most: int, groups: int, segment: int = SEGMENT) -> np.ndarray:
-    """Cell keys of each point, a column for each choice of groups - most groups. Keys of two choices do not meet but by
-    accident of their hashes, which costs a comparison and nothing else."""
-    counts = popcounts(bits, segment).astype(np.uint64)
-    parts = []
-    for own in np.array_split(np.arange(counts.shape[1]), groups):
-        key = np.zeros(len(bits), np.uint64)
-        for k in own:
-            key = key * np.uint64(segment + 1) + counts[:, k]
-        parts.append(key)
-    out = np.empty((len(bits), comb(groups, most)), np.uint64)
-    for c, chosen in enumerate(combinations(range(groups), groups - most)):
-        key = np.full(len(bits), (c + 1) * 0xD6E8FEB86659FD93 % (1 << 64), np.uint64)
-        for g in chosen:
-            key = (key ^ parts[g]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        out[:, c] = key
-    return out
+    return flat.reshape(len(bits), AXES, 64 // AXES).sum(axis=2, dtype=np.uint8)
+
+
+def steps(bits: np.ndarray) -> np.ndarray:
+    """The embedding with each count as a run of ones (00, 01, 11), so that bits that differ are Manhattan distance."""
+    low = np.uint64(0x5555555555555555)
+    a, b = bits & low, (bits >> np.uint64(1)) & low
+    return (a | b) | ((a & b) << np.uint64(1))
+
+
+class Grids:
+    """Grids over choices of some of the groups of axes, which find all pairs within most and reach in one of them."""
+
+    def __init__(self, groups: int, chosen: int, most: int = MOST):
+        parts = np.array_split(np.arange(AXES), groups)
+        self.axes = [np.concatenate([parts[g] for g in own]) for own in combinations(range(groups), chosen)]
+        # The least that a spread of most over the groups leaves to the chosen ones that differ least.
+        self.reach = max(sum(sorted(spread)[:chosen]) for spread in spreads(most, groups))
+        if self.reach > 1:
+            raise ValueError("cells more than one step away are not asked")
+
+    def cells(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, point, asks): where each point is stored, and which cells it asks besides; no two grids share a cell."""
+        counts = popcounts(bits).astype(np.int64)
+        cell, point, asks = [], [], []
+        every = np.arange(len(bits))
+        for k, axes in enumerate(self.axes):
+            unit = COUNTS ** np.arange(len(axes), dtype=np.int64)
+            own = counts[:, axes] @ unit + k * COUNTS ** (max(map(len, self.axes)))
+            cell.append(own)
+            point.append(every)
+            asks.append(np.zeros(len(bits), bool))
+            if self.reach:
+                at, axis = np.nonzero(counts[:, axes] < COUNTS - 1)
+                cell.append(own[at] + unit[axis])
+                point.append(at)
+                asks.append(np.ones(len(at), bool))
+        return np.concatenate(cell), np.concatenate(point), np.concatenate(asks)
+
+
+def spreads(total: int, parts: int, least: int = 0):
+    """The ways to write total as so many numbers in rising order, each at least least."""
+    if parts == 1:
+        yield [total]
+        return
+    for x in range(least, total // parts + 1):
+        for rest in spreads(total - x, parts - 1, x):
+            yield [x, *rest]
+
+
+def grids_for(count: int, most: int = MOST) -> Grids:
+    return Grids(2 * most, most, most) if most and count >= FEW else Grids(most // 2 + 1, 1, most)
 
 
 def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -118,73 +163,61 @@ class Links:
         return spanning(np.concatenate([np.zeros(0, np.int64), *[i for i, _ in self.parts]]), np.concatenate([np.zeros(0, np.int64), *[j for _, j in self.parts]]), self.n)
 
 
-def links_within(bits: np.ndarray, group: np.ndarray, far: np.ndarray, most: int, by_offset: bool = True) -> np.ndarray:
-    """For each row the smallest row that links inside its group reach. Rows are sorted by group; far: rows of the group's
-    second block. A group with rows of both blocks links across them only."""
-    counts = popcounts(bits).astype(np.int8)
-    links = Links(len(bits))
+def links_within(bits: np.ndarray, group: np.ndarray, two: np.ndarray, far: np.ndarray, asks: np.ndarray, most: int) -> np.ndarray:
+    """For each row the smallest row that links inside its group reach. Rows are sorted by group, far, asks. two: the group
+    compares its near rows with its far ones only; elsewhere all rows are near. Two rows that only ask are not compared."""
+    n = len(bits)
+    links, unary = Links(n), steps(bits)
+    if not n:
+        return links.least()
     edge = np.flatnonzero(np.diff(group, prepend=-1))
-    size = np.diff(np.append(edge, len(bits)))
-    mixed = np.add.reduceat(far.astype(np.int64), edge) > 0 if len(edge) else np.zeros(0, bool)
-
-    def close(i, j):
-        ok = np.abs(counts[i] - counts[j]).sum(axis=1, dtype=np.int64) <= most
+    size = np.diff(np.append(edge, n))
+    total = lambda x: np.repeat(np.add.reduceat(x.astype(np.int64), edge), size)
+    end, near = np.repeat(edge + size, size), np.repeat(edge + size, size) - total(far)
+    rows = np.arange(n)
+    start = np.where(two, near, rows + 1)
+    count = np.where(~asks, end - start, np.where(two, total(far & ~asks), 0))
+    count[far] = 0
+    upto = np.cumsum(count)
+    at = 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        own = count[at:stop]
+        i = np.repeat(rows[at:stop], own)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(start[at:stop], own)
+        ok = np.bitwise_count(unary[i] ^ unary[j]) <= most
         i, j = i[ok], j[ok]
         ok = np.bitwise_count(bits[i] ^ bits[j]) <= most
         links.add(i[ok], j[ok])
-
-    left = np.repeat(edge + size, size) - np.arange(len(bits))
-    left[np.repeat(mixed | (size > 64), size)] = 0
-    rows = np.arange(len(bits))
-    for d in range(1, int(size[size <= 64].max(initial=0))):
-        rows = rows[left[rows] > d]
-        close(rows, rows + d)
-    for at, n, two in zip(edge, size, mixed, strict=True):
-        if two or n > 64:
-            a = np.arange(at, at + n)
-            a, b = (a[~far[a]], a[far[a]]) if two else (a, a)
-            step = max(1, (1 << 19) // len(b))
-            for k in range(0, len(a), step):
-                # The Manhattan bound of all pairs first on eight coarse sums, then in full.
-                near = np.bitwise_count(bits[a[k : k + step], None] ^ bits[None, b]) <= most if len(b) < 8 else _bounded(counts[a[k : k + step]], counts[b], most)
-                i, j = np.nonzero(near)
-                i, j = a[i + k], b[j]
-                close(i[i != j], j[i != j])
+        at = stop
     return links.least()
 
 
-def _bounded(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Pairs whose counts, summed over eight runs of segments, lie within Manhattan distance most."""
-    coarse = lambda x: x.reshape(len(x), 8, -1).sum(axis=2, dtype=np.int16)
-    a, b = coarse(a), coarse(b)
-    total = np.zeros((len(a), len(b)), np.int16)
-    for k in range(8):
-        total += np.abs(a[:, k, None] - b[None, :, k])
-    return total <= most
-
+def grid_links(points: DataFrame, most: int = MOST, grids: Grids | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that span the same components as all pairs of points (bits: long, distinct, stored) within most bits.
 
-def grid_links(points: DataFrame, most: int = MOST, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that span the same components as all pairs of points (bits: long, distinct) within most bits.
-
-    A cell with more than block points is dealt over its pairs of blocks, each a group of its own.
+    A cell with more than block rows is dealt over its pairs of blocks, each a group of its own.
     """
-    small_batches(points.sparkSession, 4096)
+    grids = grids or grids_for(points.count(), most)
 
     def spread(batches):
         for b in batches:
             bits = np.asarray(b.column("bits")).view(np.uint64)
-            keys = cells(bits, most, groups)
-            yield pa.RecordBatch.from_pydict({"cell": keys.ravel().view(np.int64), "bits": np.repeat(bits, keys.shape[1]).view(np.int64)})
-
-    dealt = store(points.select("bits").mapInArrow(spread, "cell long, bits long"), "dealt")
-    shared = dealt.groupBy("cell").count().filter("count > 1")
+            for at in range(0, len(bits), 4096):
+                part = bits[at : at + 4096]
+                cell, point, asks = grids.cells(part)
+                yield pa.RecordBatch.from_pydict({"cell": cell, "asks": asks, "bits": part[point].view(np.int64)})
+
+    dealt = store(points.select("bits").mapInArrow(spread, "cell long, asks boolean, bits long"), "dealt")
+    # A cell that holds no point, or whose only point nobody asks for, has nothing to compare.
+    shared = dealt.groupBy("cell").agg(F.count("*").alias("count"), F.count_if(~F.col("asks")).alias("held")).filter("count > 1 and held > 0")
     shared = store(shared.select("cell", "count", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "cells")
     # A point goes to the tasks (i, j), i <= j, of its block.
     rows = join_hot(dealt, shared, ["cell"], F.col("bits"), "count", merge=True)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("bits", F.lit(7)), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["cell", "i", "j"]
-    rows = rows.select("cell", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.expr("own > x").alias("far"), "bits")
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    keys, order = ["cell", "i", "j"], ["far", "asks"]
+    rows = rows.select("cell", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.expr("own > x").alias("far"), "asks", "bits")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -195,7 +228,7 @@ def grid_links(points: DataFrame, most: int = MOST, groups: int = GROUPS, block:
             for x in arrays:
                 new[1:] |= x[1:] != x[:-1]
             bits = np.asarray(table.column("bits")).view(np.uint64)
-            least = links_within(bits, np.cumsum(new), np.asarray(table.column("far")), most)
+            least = links_within(bits, np.cumsum(new), arrays[1] != arrays[2], *[np.asarray(table.column(k)) for k in order], most)
             at = np.flatnonzero(least != np.arange(len(bits)))
             return pa.RecordBatch.from_pydict({"a": bits[at].view(np.int64), "b": bits[least[at]].view(np.int64)})
 
@@ -215,22 +248,27 @@ def grid_links(points: DataFrame, most: int = MOST, groups: int = GROUPS, block:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    found = rows.mapInArrow(compare, "a long, b long").distinct()
+    found = store(rows.mapInArrow(compare, "a long, b long").distinct(), "grid")
+    discard(dealt, shared)
     return found
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, bits, component_id): the smallest doc_id that links within most differing bits reach."""
-    own = store(fingerprints(docs, shingle, seed), "fingerprints")
-    points = store(own.groupBy("bits").agg(F.min("doc_id").alias("name"), F.count("*").alias("n")), "points")
-    # Components are named by their smallest document, so the points go by that number from here on.
-    found = store(grid_links(points.select("bits"), most), "grid")
-    release(docs.sparkSession)
-    a = found.join(points.select(F.col("bits").alias("a"), F.col("name").alias("fa")), "a")
-    pairs = a.join(points.select(F.col("bits").alias("b"), F.col("name").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    classes = components(points.select(F.col("name").alias("node")), pairs)
-    named = points.join(classes, points.name == classes.node).select("bits", "n", F.col("component").alias("component_id"))
-    return join_hot(own, store(named, "classes"), ["bits"], F.col("doc_id"), "n")
+def near_duplicates(docs: DataFrame, carried: list[str] | None = None, most: int = MOST, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The columns carried (doc_id, where none are named) with bits, component_id (the smallest doc_id that links within
+    most differing bits reach) and kept (true for one row of each component, one with the smallest doc_id), for each row
+    of docs. Where a carried column has one of these names, ours has an underscore more."""
+    carried = ["doc_id"] if carried is None else carried
+    bits, row, name = fresh([*carried, "component_id", "kept"], "bits", "row", "name")
+    own = fingerprints(docs.withColumn(name, F.col("doc_id")), [*carried, name], bits, shingle, seed)
+    own = store(own.withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    ids = F.struct(F.col(name).isNull().alias("none"), F.col(name).alias("name"), F.col(row).alias("row"))
+    points = own.groupBy(F.col(bits).alias("node")).agg(F.min(ids).alias("least"), F.count("*").alias("n"))
+    points = store(points, "points")
+    found = grid_links(points.select(F.col("node").alias("bits")), most)
+    named = store(named_components(points, found, "least").select(F.col("node").alias(bits), F.col("first").alias("least"), "n"), "named")
+    component, kept, least = fresh([*carried, bits, row, name], "component_id", "kept", "least")
+    out = join_hot(own, named.withColumnRenamed("least", least), [bits], F.col(row), "n")
+    return out.select(*carried, bits, F.col(f"{least}.name").alias(component), (F.col(row) == F.col(f"{least}.row")).alias(kept))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
