@@ -1,24 +1,26 @@
 """Secret scans over an incremental blob ledger.
 
 Every historical version of a file is content-addressed (SHA-256). Only pairs of blob and rule version that the ledger
-lacks are scanned, each blob once however many paths hold it, and findings are joined back to all paths. The ledger is
-a table of (blob, rules, findings), one appended part a scan. DataFrame and SQL functions only.
+lacks are scanned, each blob once however many paths hold it, and findings are joined back to all paths. The ledger is a
+folder of parts (blob, rules, findings), one appended part a scan; a later session opens the folder, and many parts are
+compacted into one. DataFrame and SQL functions only.
 
-Positions of all matches come from two arrays, the matches and the pieces between them: a match starts after all
-pieces up to it and all matches before it.
+A text's matches and the pieces between them alternate, so a match starts after all pieces up to it and all matches
+before it: one running sum over the text's matches, whose work is in proportion to their number.
 
-Defined results. Null text is the empty blob. Repeated rows each get the blob's findings. Other columns are ignored. An empty
-table gives no row. A blob without findings stands in the ledger too, so it is not scanned again.
+Defined results. Null text is the empty blob. Repeated rows each get the blob's findings, paths may be null. Other columns
+are ignored. An empty table gives no row. A blob without findings stands in the ledger too, so it is not scanned again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import join_hot, let, release, store
+from fieldloom.llm.common import WRITING, discard, join_hot, settings, store, work_dir
 
 #: Kind, pattern, what the text must hold for a match to be possible, least length of the counted part.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,45 +31,66 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 RULES = hashlib.sha256("\n".join([ASSIGN, ACCESS, HEX, repr(LEAST)]).encode()).hexdigest()[:16]
 
 FINDING = "array<struct<start:int,kind:int,end:int>>"
+#: Parts of a ledger beyond which they are compacted into one.
+PARTS = 16
+#: The session setting that names the folder of a ledger to go on with; unset, a scan starts a ledger of its own.
+LEDGER = "spark.fieldloom.ledger.dir"
 
 
-def matches(text: Column, kind: int, pattern: str, counted: Column | None, least: int) -> Column:
-    """Findings of one kind: all matches from the left, then those long enough. counted: the group that counts."""
-    lengths = lambda x: F.transform(x, F.length)
+def matches(text: Column) -> Column:
+    """All matches of all kinds: array of (kind, k, before, length, counted), where before is the length of the piece
+    between match k - 1 and match k, and counted the length that must reach the kind's least."""
 
-    def placed(m: Column) -> Column:
-        def with_starts(before: Column) -> Column:
-            # before[k]: characters up to match k, from the running sum over pieces and matches.
-            step = lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(m, k - 1)) + F.get(before, k)))
-            starts = F.aggregate(F.sequence(F.lit(1), F.size(m)), F.array(F.get(before, 0)), lambda acc, k: F.when(k < F.size(m), step(acc, k)).otherwise(acc))
-            return let(starts, lambda s: F.transform(m, lambda x, k: F.struct(F.get(s, k).alias("start"), F.lit(kind).alias("kind"), (F.get(s, k) + F.length(x)).alias("end"))))
+    def numbered(kind: int):
+        return lambda x, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), x.p.alias("before"), x.m.alias("length"), x.c.alias("counted"))
 
-        return let(lengths(F.split(text, pattern, -1)), with_starts)
-
-    long_enough = lambda m: F.filter(F.arrays_zip(placed(m).alias("f"), counted.alias("c")), lambda x: F.length(x.c) >= least) if counted is not None else F.transform(placed(m), lambda f: F.struct(f.alias("f")))
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, F.transform(long_enough(m), lambda x: x.f)))
-    if counted is None:
-        found = F.filter(found, lambda f: f.end - f.start >= least)
-    return F.coalesce(found, F.expr(f"cast(array() as {FINDING})"))
-
-
-def findings(text: Column) -> Column:
-    """All findings of a text by start, then kind."""
-    nothing = F.expr(f"cast(array() as {FINDING})")
-    # Matches of a kind need these; others are not even looked at one by one.
-    assign = F.when(text.rlike(ASSIGN), matches(text, 0, ASSIGN, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), LEAST["assign"])).otherwise(nothing)
-    access = F.when(F.contains(text, F.lit("AKIA")), matches(text, 1, ACCESS, None, LEAST["access"])).otherwise(nothing)
     # A run of hex digits is taken whole from the left, so shorter runs cannot hide part of a longer one.
     runs = HEX[:-1] + "{%d,}" % LEAST["hex"]
-    hexes = F.when(text.rlike(runs), matches(text, 2, runs, None, LEAST["hex"])).otherwise(nothing)
-    return F.array_sort(F.concat(assign, access, hexes))
+    parts = []
+    for kind, (pattern, group) in enumerate(((ASSIGN, 2), (ACCESS, 0), (runs, 0))):
+        found, counted = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+        zipped = F.arrays_zip(F.transform(found, F.length).alias("m"), F.transform(counted, F.length).alias("c"), F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length).alias("p"))
+        some = F.contains(text, F.lit("AKIA")) if pattern == ACCESS else text.rlike(pattern)
+        parts.append(F.when(some, F.transform(zipped, numbered(kind))))
+    none = F.expr("cast(array() as array<struct<kind:int,k:int,before:int,length:int,counted:int>>)")
+    return F.concat(*[F.coalesce(x, none) for x in parts])
+
+
+def findings(blobs: DataFrame) -> DataFrame:
+    """(blob, findings) of blobs (blob, text), for the blobs that have any; findings by start, then kind."""
+    each = blobs.select("blob", F.explode(matches(F.col("text"))).alias("x")).select("blob", "x.*")
+    upto = Window.partitionBy("blob", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum(F.col("before") + F.col("length")).over(upto).cast("int"))
+    least = F.get(F.array(*[F.lit(LEAST[k]) for k in KINDS]), F.col("kind"))
+    found = placed.filter(F.col("counted") >= least)
+    span = F.struct((F.col("end") - F.col("length")).alias("start"), "kind", "end")
+    return found.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("findings"))
 
 
 class BlobLedger:
-    """Parts of (blob, rules, findings). history: stored parts of earlier scans."""
-
-    def __init__(self, history: list[DataFrame] | None = None):
-        self.parts = list(history or [])
+    """Parts of (blob, rules, findings) in a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        """folder: of a ledger to go on with (it may be empty or missing); else a new one in the shared folder."""
+        self.spark, self.folder = spark, folder or f"{work_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        self.parts = [self._read(path) for path in self._paths()]
+
+    def _paths(self) -> list[str]:
+        """The parts whose writing has ended."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/part-*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+        return sorted(x.getPath().getParent().toString() for x in found or [])
+
+    def _read(self, path: str) -> DataFrame:
+        part = self.spark.read.schema(f"blob string, rules string, findings {FINDING}").parquet(path)
+        part.stored_at = path
+        return part
+
+    def _append(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.folder}/part-{uuid.uuid4().hex}"
+        with settings(self.spark, WRITING):
+            rows.write.option("compression", "zstd").parquet(path)
+        return self._read(path)
 
     def _known(self, rules: str) -> DataFrame | None:
         known = None
@@ -76,29 +99,39 @@ class BlobLedger:
             known = part if known is None else known.unionByName(part)
         return known
 
+    def compact(self) -> None:
+        """All parts as one, without rows that stand twice (as after a scan that was broken off between two compactions)."""
+        rows = self.parts[0]
+        for part in self.parts[1:]:
+            rows = rows.unionByName(part)
+        whole = self._append(rows.dropDuplicates(["blob", "rules"]))
+        discard(*self.parts)
+        self.parts = [whole]
+
     def scan(self, versions: DataFrame, rules: str = RULES) -> DataFrame:
         """versions (path, text) with findings; blobs new to the ledger are scanned and appended."""
-        spark = versions.sparkSession
-        rows = versions.select("path", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("blob"))
-        rows = store(rows, "paths")
-        blobs = store(rows.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("n")), "blobs")
+        text = F.coalesce(F.col("text"), F.lit(""))
+        blob = F.sha2(text.cast("binary"), 256).alias("blob")
+        rows = store(versions.select("path", blob), "paths")
+        texts = versions.select(blob, text.alias("text"))
         known = self._known(rules)
-        unseen = blobs if known is None else blobs.join(known.select("blob"), "blob", "left_anti")
-        unseen = unseen.withColumnRenamed("blob", "own")
-        # One path of each unseen blob brings its text; a path with several versions brings the one with this digest.
-        text = versions.select("path", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        texts = text.join(unseen.select("path", "own"), text.path.eqNullSafe(unseen.path)).filter(F.sha2(F.col("text").cast("binary"), 256) == F.col("own"))
-        new = texts.select(F.col("own").alias("blob"), F.lit(rules).alias("rules"), findings(F.col("text")).alias("findings")).dropDuplicates(["blob"])
-        self.parts.append(store(new, "ledger"))
-        release(spark)
+        # Copies of a blob give way to one of them before and after the shuffle.
+        unseen = (texts if known is None else texts.join(known.select("blob"), "blob", "left_anti")).groupBy("blob").agg(F.first("text").alias("text"))
+        names = store(rows.groupBy("blob").agg(F.count("*").alias("n")), "blobs")
+        new = store(findings(unseen), "new")
+        asked = names.select("blob") if known is None else names.select("blob").join(known.select("blob"), "blob", "left_anti")
+        self.parts.append(self._append(asked.join(new, "blob", "left").select("blob", F.lit(rules).alias("rules"), F.coalesce("findings", F.expr(f"cast(array() as {FINDING})")).alias("findings"))))
+        if len(self.parts) > PARTS:
+            self.compact()
         found = self._known(rules).filter(F.size("findings") > 0).select("blob", "findings")
-        found = store(found.join(blobs.select("blob", "n"), "blob"), "found")
-        return join_hot(rows, found, ["blob"], F.xxhash64("path"), "n", "left").withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as {FINDING})")))
+        found = store(found.join(names, "blob"), "found")
+        discard(new, names)
+        return join_hot(rows, found, ["blob"], F.monotonically_increasing_id(), "n", "left").withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as {FINDING})")))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = BlobLedger().scan(docs.select(F.col("doc_id").alias("path"), "text"))
+    found = BlobLedger(spark, spark.conf.get(LEDGER, None)).scan(docs.select(F.col("doc_id").alias("path"), "text"))
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", F.get(names, f.kind), f.start.cast("string"), f.end.cast("string"))), ",")
     count = lambda k: F.size(F.filter("findings", lambda f: f.kind == k)).cast("long")

@@ -128,16 +128,42 @@ def test_spans_match_brute_force(spark, sf_dir):
         assert got[i].spans == want and got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
 
 
-def test_the_ledger_scans_only_what_is_new(spark):
+def test_the_ledger_scans_only_what_is_new(spark, tmp_path):
     v = lambda rows: spark.createDataFrame(rows, "path string, text string")
-    ledger = secrets.BlobLedger()
-    first = ledger.scan(v([("a", "token=abcdef"), ("b", "token=abcdef"), ("c", None)]))
-    assert {r.path: len(r.findings) for r in first.collect()} == {"a": 1, "b": 1, "c": 0}
+    folder = str(tmp_path / "ledger")
+    first = secrets.BlobLedger(spark, folder).scan(v([("a", "token=abcdef"), ("b", "token=abcdef"), (None, None), (None, None)]))
+    assert sorted((r.path or "", len(r.findings)) for r in first.collect()) == [("", 0), ("", 0), ("a", 1), ("b", 1)]
+    # Another session finds the ledger in its folder.
+    ledger = secrets.BlobLedger(spark, folder)
     second = ledger.scan(v([("a", "token=abcdef"), ("a", "plain"), ("d", "token=abcdef")]))
     assert sorted((r.path, len(r.findings)) for r in second.collect()) == [("a", 0), ("a", 1), ("d", 1)]
-    assert [p.count() for p in ledger.parts] == [2, 1]
+    assert sorted(p.count() for p in ledger.parts) == [1, 2]
     ledger.scan(v([("a", "token=abcdef")]), rules="next")
     assert ledger.parts[-1].count() == 1
+    ledger.compact()
+    assert [p.count() for p in secrets.BlobLedger(spark, folder).parts] == [4]
+
+
+def test_a_second_run_over_a_ledger_scans_nothing(spark, sf_dir, tmp_path):
+    spark.conf.set(secrets.LEDGER, str(tmp_path / "kept"))
+    try:
+        a, b = (sorted(tuple(r) for r in secrets.op10(spark, sf_dir).collect()) for _ in range(2))
+        parts = secrets.BlobLedger(spark, str(tmp_path / "kept")).parts
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+    assert a == b and sorted(p.count() > 0 for p in parts) == [False, True]
+
+
+def test_work_follows_the_number_of_matches(spark):
+    import time
+
+    text = "token=abcdef0 password: hunter22x\n" * 50_000
+    began = time.monotonic()
+    got = secrets.BlobLedger(spark).scan(spark.createDataFrame([("a", text), ("b", "token=abcdef0")], "path string, text string")).collect()
+    assert time.monotonic() - began < 60
+    assert {r.path: len(r.findings) for r in got} == {"a": 100_000, "b": 1}
+    long = next(r.findings for r in got if r.path == "a")
+    assert [(f.start, f.end) for f in long] == [m.span() for m in re.finditer(secrets.ASSIGN, text)]
 
 
 def brute_passages(rows, place, long):
