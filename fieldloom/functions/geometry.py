@@ -126,6 +126,11 @@ def warp_weight(dist2: Column) -> Column:
     return F.when(i <= GAUSS_LAST, F.sqrt(F.pow(F.lit(GAUSS_BASE), -(i / GAUSS_STEPS) * (i / GAUSS_STEPS)))).otherwise(0.0)
 
 
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """An aggregate: the mean of value by weight; null where all weights are 0."""
+    return F.sum(weight * value) / F.nullif(F.sum(weight), F.lit(0.0))
+
+
 def spline(t: Column) -> Column:
     """Cubic B-spline kernel."""
     cube = lambda x: F.pow(F.greatest(x, F.lit(0.0)), F.lit(3.0))

@@ -68,3 +68,29 @@ def valid_text(valid: Column) -> Column:
 
 def param_text(param: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(param["type"], F.lit("generic")), F.concat(F.lit("code "), param["code"].cast("string"))), F.coalesce(F.concat(F.lit(" ("), param["unit"], F.lit(")")), F.lit("")))
+
+
+def first_match(rows: DataFrame, by: list[str], condition: Column, order: str) -> DataFrame:
+    """by and first: the least order among each group's rows that meet the condition."""
+    return rows.filter(condition).groupBy(*by).agg(F.min(order).alias("first"))
+
+
+def active(z: Column, front: int = 100) -> Column:
+    """Whether a job is drawn in the layer that stands for every frame anew."""
+    return z >= front
+
+
+def attribute_of(attributes: DataFrame, name: str, value: str = "value") -> DataFrame:
+    """(id, name's value) of long-form attributes (id, name, value); an id without it has no row."""
+    return attributes.filter(c("name") == name).select("id", c(value).alias(name))
+
+
+def with_attribute(shapes: DataFrame, attributes: DataFrame, name: str, value: str = "value") -> DataFrame:
+    """shapes (id, ...) with one attribute, null where a shape lacks it."""
+    return shapes.join(attribute_of(attributes, name, value), "id", "left")
+
+
+def registered(current: DataFrame, added: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:
+    """current and added jobs without the removed ones, with unique: false where a key is there more than once."""
+    jobs = current.unionByName(added).join(removed.select(key).distinct(), key, "left_anti")
+    return jobs.withColumn("unique", F.count("*").over(Window.partitionBy(key)) == 1)

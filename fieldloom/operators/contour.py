@@ -82,7 +82,7 @@ class Tracer:
             else:
                 return False
             if len(points) > 4 * self.nx * self.ny:
-                raise RuntimeError("a contour does not end")
+                raise ValueError("a contour does not end")
 
     def lines(self) -> Iterator[tuple[list[tuple[float, float]], bool]]:
         """(points, closed) from all horizontal edges, row by row. An open line is walked both ways from its seed, whose
@@ -101,24 +101,29 @@ class Tracer:
 
 
 def contour_lines(packed: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, level_no, level, line_no, closed, xs, ys: one row a line. packed has levels."""
-    rows = packed.select(*keys, "nx", "ny", "buf", F.posexplode("levels").alias("level_no", "level"))
-    # Levels of one surface are traced apart from each other.
-    out_keys = [*keys, "level_no", "level"]
-    shape = ", ".join(f"{n} {t}" for n, t in rows.select(*out_keys).dtypes) + ", line_no int, closed boolean, xs array<double>, ys array<double>"
+    """keys, level_no, level, line_no, closed, xs, ys, error: one row a line. packed has levels; all of a surface's are traced
+    from one copy of its values. Null cells, or a level whose line does not end, give a row with an error."""
+    rows = packed.select(*keys, "nx", "ny", "buf", "levels")
+    shape = ", ".join(f"{n} {t}" for n, t in rows.select(*keys).dtypes) + ", level_no int, level double, line_no int, closed boolean, xs array<double>, ys array<double>, error string"
+    kinds = {"level_no": pa.int32(), "level": pa.float64(), "line_no": pa.int32(), "closed": pa.bool_(), "xs": pa.list_(pa.float64()), "ys": pa.list_(pa.float64()), "error": pa.string()}
+
+    def traced(nx, ny, buf, levels) -> Iterator[tuple]:
+        if buf is None or None in buf or len(buf) != nx * ny:
+            yield None, None, None, None, None, None, "cells are missing"
+            return
+        for k, level in enumerate(levels or ()):
+            try:
+                for n, (points, shut) in enumerate(Tracer(nx, ny, buf, level).lines()):
+                    yield k, level, n, shut, [p[0] for p in points], [p[1] for p in points], None
+            except ValueError as e:
+                yield k, level, None, None, None, None, str(e)
 
     def run(batches):
         for b in batches:
-            at, no, closed, xs, ys = [], [], [], [], []
-            for k, (nx, ny, buf, level) in enumerate(zip(b.column("nx").to_pylist(), b.column("ny").to_pylist(), b.column("buf"), b.column("level").to_pylist(), strict=True)):
-                for n, (points, shut) in enumerate(Tracer(nx, ny, buf.as_py(), level).lines()):
-                    at.append(k)
-                    no.append(n)
-                    closed.append(shut)
-                    xs.append([p[0] for p in points])
-                    ys.append([p[1] for p in points])
-            taken = b.select(out_keys).take(pa.array(at, pa.int32()))
-            data = {c: taken.column(i) for i, c in enumerate(out_keys)}
-            yield pa.RecordBatch.from_pydict(data | {"line_no": pa.array(no, pa.int32()), "closed": pa.array(closed, pa.bool_()), "xs": pa.array(xs, pa.list_(pa.float64())), "ys": pa.array(ys, pa.list_(pa.float64()))})
+            for k in range(b.num_rows):
+                found = list(traced(*[b.column(b.schema.get_field_index(c))[k].as_py() for c in ("nx", "ny", "buf", "levels")]))
+                own = b.select(keys).take(pa.array([k] * len(found), pa.int32()))
+                data = {c: own.column(i) for i, c in enumerate(keys)}
+                yield pa.RecordBatch.from_pydict(data | {c: pa.array([x[i] for x in found], t) for i, (c, t) in enumerate(kinds.items())})
 
     return rows.mapInArrow(run, shape)

@@ -35,12 +35,60 @@ def interval_join(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
     return both.filter((F.floor(F.greatest("a_start", "b_start") / tile) == c("t")) & (c("a_start") <= c("b_stop")) & (c("b_start") <= c("a_stop"))).drop("t")
 
 
-def interval_rank(a: DataFrame) -> DataFrame:
+def running(rows: DataFrame, key: str, value: str, tile: float) -> DataFrame:
+    """rows, one a key, with before: the sum of value over all smaller keys. Keys are summed tile by tile; only the tiles'
+    sums, one row each, are put in order in one task."""
+    rows = rows.withColumn("tile", F.floor(c(key) / tile).cast("long"))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tiles = rows.groupBy("tile").agg(F.sum(value).alias("total"))
+    tiles = tiles.select("tile", F.coalesce(F.sum("total").over(ahead(Window.orderBy("tile"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum(value).over(ahead(Window.partitionBy("tile").orderBy(key))), F.lit(0))
+    return rows.withColumn("inside", inside).join(tiles, "tile").withColumn("before", c("base") + c("inside")).drop("tile", "inside", "base")
+
+
+def interval_rank(a: DataFrame, tile: float = 64.0) -> DataFrame:
     """Sorted intervals with the first and last place of each equal start, as a tree's bounds would give them."""
-    counts = a.groupBy("start").agg(F.count("*").alias("n"))
-    # One row a distinct start; the running sum is over those.
-    before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("lower", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("upper", c("lower") + c("n"))
+    out = running(a.groupBy("start").agg(F.count("*").alias("n")), "start", "n", tile)
+    return out.select("start", "n", c("before").alias("lower"), (c("before") + c("n")).alias("upper"))
+
+
+def interval_lookup(a: DataFrame, probes: DataFrame, tile: float = 64.0) -> DataFrame:
+    """probe_id, lower, upper, equal, inside for probes (probe_id, key) among closed intervals (start, stop): how many starts
+    lie below the key, and at or below it; how many are equal to it; how many intervals hold it."""
+    changes = [(c("start"), 0, 1, 0), (c("stop"), 0, 0, 1), (c("key"), 1, 0, 0)]
+    at = lambda df, k, *n: df.select(k.cast("double").alias("at"), *[F.lit(x).alias(y) for x, y in zip(n, ("asks", "starts", "stops"), strict=True)])
+    all_ = at(a, *changes[0]).unionByName(at(a, *changes[1])).unionByName(at(probes, *changes[2]))
+    keys = all_.groupBy("at").agg(*[F.sum(k).alias(k) for k in ("asks", "starts", "stops")])
+    keys = running(keys, "at", "starts", tile).withColumnRenamed("before", "lower")
+    keys = running(keys, "at", "stops", tile).withColumnRenamed("before", "ended").filter("asks > 0")
+    out = probes.select("probe_id", c("key").cast("double").alias("at")).join(keys, "at")
+    upper = c("lower") + c("starts")
+    return out.select("probe_id", "lower", upper.alias("upper"), c("starts").alias("equal"), (upper - c("ended")).alias("inside"))
+
+
+def sweep_sizes(rects: DataFrame, tile: float = 64.0) -> DataFrame:
+    """y, active: how many rectangles (y1, y2, both included) a sweep line holds where one or more begin."""
+    ends = rects.select(c("y1").alias("y"), F.lit(1).alias("begins"), F.lit(0).alias("ends")).unionByName(rects.select(c("y2").alias("y"), F.lit(0).alias("begins"), F.lit(1).alias("ends")))
+    at = ends.groupBy("y").agg(F.sum("begins").alias("begins"), F.sum("ends").alias("ends")).withColumn("net", c("begins") - c("ends"))
+    # Those that end here are still held here.
+    return running(at, "y", "net", tile).filter("begins > 0").select("y", (c("before") + c("begins")).alias("active"))
+
+
+def index_statistics(items: DataFrame, queries: DataFrame, tile: float) -> DataFrame:
+    """query_id, candidates, hits: the items (id, x1, y1, x2, y2) that share a tile with each query rectangle, and those that
+    meet it."""
+    side = lambda df, p: df.select(*[c(k).alias(f"{p}{k}") for k in ("id", "x1", "y1", "x2", "y2")]).withColumn("tx", F.explode(_tiles(c(f"{p}x1"), c(f"{p}x2"), tile))).withColumn("ty", F.explode(_tiles(c(f"{p}y1"), c(f"{p}y2"), tile)))
+    pairs = side(queries, "a_").join(side(items, "b_"), ["tx", "ty"])
+    # A pair counts in the first tile that both have.
+    low = lambda k: F.greatest(F.floor(c(f"a_{k}1") / tile), F.floor(c(f"b_{k}1") / tile))
+    pairs = pairs.filter((low("x") == c("tx")) & (low("y") == c("ty")))
+    return pairs.groupBy(c("a_id").alias("query_id")).agg(F.count("*").alias("candidates"), F.count_if(rects_meet("a_", "b_")).alias("hits"))
+
+
+def blended(under: DataFrame, over: DataFrame, alpha: float) -> DataFrame:
+    """Cells (raster_id, x, y, value) of under, with over's mixed in at a share of alpha where it has any."""
+    top = over.select("raster_id", "x", "y", c("value").alias("top"))
+    return under.join(top, ["raster_id", "x", "y"], "left").select("raster_id", "x", "y", F.coalesce(c("value") * (1 - alpha) + c("top") * alpha, c("value")).alias("value"))
 
 
 def point_polygon_join(points: DataFrame, polygons: DataFrame, tile: float, compat: bool = False) -> DataFrame:

@@ -76,7 +76,7 @@ def bits(spark, d):
 
 @query("A-07_points_in_rows", "SELECT l_orderkey, sum(l_linenumber)::BIGINT AS total FROM lineitem GROUP BY 1")
 def points(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(c("l_linenumber").cast("long")).alias("p")).select("l_orderkey", b.array_sum(c("p")).alias("total"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(c("l_linenumber").cast("long")).alias("total"))
 
 
 # --- packed fields ---------------------------------------------------------------------------------------------------
@@ -152,6 +152,12 @@ def split_frames(spark, d):
     return runs.groupBy("path", "kind", "type").agg(F.count("*").alias("runs"), F.sum(c("finish") - c("start")).alias("bytes"))
 
 
+@query("S-03_strict_frames", f"{_FRAMES} SELECT dump::VARCHAR AS path, 'frame' AS kind, type, count(*) AS runs, sum(n)::BIGINT AS bytes FROM f GROUP BY ALL UNION ALL SELECT dump::VARCHAR, 'bad', NULL, count(*), (24 * count(*))::BIGINT FROM f WHERE doc_id % 4 = 0 GROUP BY ALL")
+def strict_frames(spark, d):
+    runs = gts.strict_frames(dumps(spark, d))
+    return runs.groupBy("path", "kind", "type").agg(F.count("*").alias("runs"), F.sum(c("finish") - c("start")).alias("bytes"))
+
+
 @query("T-02_chunked_counters", f"{_FRAMES} SELECT count(*) AS frames, count(*) FILTER (WHERE doc_id % 4 = 0) AS junk, (sum(n) + 24 * count(*) FILTER (WHERE doc_id % 4 = 0))::BIGINT AS bytes, (24 * count(*) FILTER (WHERE doc_id % 4 = 0))::BIGINT AS junk_bytes FROM f")
 def chunked(spark, d):
     """Fed a thousand bytes at a time, as a stream is."""
@@ -177,6 +183,43 @@ def find_messages(spark, d):
     return gts.gribs(files, "content").groupBy("path").agg(F.count("*").alias("messages"), F.sum(F.octet_length("message").cast("long")).alias("bytes"))
 
 
+@query("S-18_find_or_scan", "SELECT (vec_id // 10)::VARCHAR AS path, count(*) FILTER (WHERE vec_id % 3 > 0) AS by_length, count(*) AS found FROM embeddings GROUP BY ALL")
+def find_or_scan(spark, d):
+    """Every third message claims a wrong length: its own end is found by scanning only. Between messages stand a false opening
+    and an end without one."""
+    rows = messages(spark, d)
+    wrong = F.concat(F.expr("substring(message, 1, 4)"), F.unhex(F.lit("000030")), F.expr("substring(message, 8)"))
+    rows = rows.withColumn("x", F.concat(F.lit("7777 GRI ").cast("binary"), F.when(c("vec_id") % 3 == 0, wrong).otherwise(c("message"))))
+    files = rows.groupBy(F.floor(c("vec_id") / 10).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("f"))
+    files = files.select("path", F.unhex(F.array_join(F.transform("f", lambda r: F.hex(r.x)), "")).alias("content"))
+    count = lambda n, **how: gts.gribs(files, "content", **how).groupBy("path").agg(F.count("*").alias(n))
+    return files.select("path").join(count("by_length"), "path", "left").join(count("found", or_scan=True), "path", "left").select("path", F.coalesce("by_length", F.lit(0)).alias("by_length"), "found")
+
+
+@query(
+    "S-09_attributes",
+    """SELECT c_nationkey::VARCHAR AS path, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS id, c_custkey::INT AS key, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS segment,
+  CASE WHEN c_custkey % 5 > 0 THEN (c_custkey % 100000 / 100)::DOUBLE END AS balance FROM customer""",
+)
+def shape_attributes(spark, d):
+    """A dBASE file a nation, a record a customer; some segments are blank and some balances are stars."""
+    from fieldloom.sources import files
+
+    rows = table(spark, d, "customer")
+    k = c("c_custkey")
+    money = F.lpad(F.format_string("%d.%02d", F.floor(k % 100000 / 100).cast("long"), (k % 100).cast("long")), 9, " ")
+    record = F.concat(F.lit(" "), F.lpad(k.cast("string"), 8, " "), F.rpad(F.when(k % 4 > 0, c("c_mktsegment")).otherwise(""), 12, " "), F.when(k % 5 > 0, money).otherwise("*" * 9))
+    data = rows.groupBy(c("c_nationkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", record.alias("r")))).alias("r"))
+    field = lambda name, kind, size, places: name.encode().ljust(11, b"\0") + kind + bytes(4) + bytes([size, places]) + bytes(14)
+    fields = field("KEY", b"N", 8, 0) + field("SEGMENT", b"C", 12, 0) + field("BALANCE", b"N", 9, 2)
+    little = lambda n: F.concat(F.substring(n, 7, 2), F.substring(n, 5, 2), F.substring(n, 3, 2), F.substring(n, 1, 2))
+    count = little(F.lpad(F.hex(F.size("r").cast("long")), 8, "0"))
+    head = F.concat(F.lit("03010101"), count, F.lit((32 + len(fields) + 1).to_bytes(2, "little").hex() + (30).to_bytes(2, "little").hex() + "00" * 20 + fields.hex() + "0d"))
+    made = data.select("path", F.unhex(F.concat(head, F.hex(F.array_join(F.transform("r", lambda x: x.r), "")))).alias("content"))
+    wide = files.attributes_wide(files.shape_attributes(made), ["KEY", "SEGMENT", "BALANCE"])
+    return wide.select("path", "id", c("KEY.i").alias("key"), c("SEGMENT.s").alias("segment"), c("BALANCE.d").alias("balance"))
+
+
 @query(
     "S-07_split_reports",
     """SELECT conv_id, kind, count(*) AS reports, sum(length(report) + 1)::BIGINT AS chars FROM (SELECT conv_id, ['TAF AMD', 'TAF', 'METAR', 'SYNOP', 'SHIP', 'TEMP', 'SIGMET'][conv_id % 7 + 1] AS kind,
@@ -223,19 +266,24 @@ def rule_counts(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", *[F.size(r.all(t)).alias(k) for k, (r, _) in RULES.items()])
 
 
-@query("X-13_look_ahead", "SELECT doc_id, len(regexp_extract_all(text, 't[^h]')) + CASE WHEN text LIKE '%t' THEN 1 ELSE 0 END - len(regexp_extract_all(text, 'tt[^h]')) * 0 AS rejected, len(regexp_extract_all(text, 'th')) AS required FROM documents WHERE text IS NOT NULL AND NOT contains(text, 'tt')")
+LOOK_AHEAD = "SELECT {0}, length({1}) - length(replace({1}, 't', '')) - (length({1}) - length(replace({1}, 'th', ''))) // 2 AS rejected, (length({1}) - length(replace({1}, 'th', ''))) // 2 AS required FROM {2} WHERE {1} IS NOT NULL"
+
+
+def looked_ahead(rows, id_, text):
+    """How often t stands without h after it, and with it: the twin counts by lengths, as it has no look-ahead."""
+    t = c(text)
+    return rows.filter(t.isNotNull()).select(id_, F.size(g.seq(g.char("t"), g.reject(g.char("h"))).all(t)).cast("long").alias("rejected"), F.size(g.seq(g.char("t"), g.require(g.char("h"))).all(t)).cast("long").alias("required"))
+
+
+@query("X-13_look_ahead", LOOK_AHEAD.format("doc_id", "text", "documents"))
 def look_ahead(spark, d):
-    t = c("text")
-    rows = table(spark, d, "documents").filter("text is not null and not contains(text, 'tt')")
-    return rows.select("doc_id", F.size(g.seq(g.char("t"), g.reject(g.char("h"))).all(t)).cast("long").alias("rejected"), F.size(g.seq(g.char("t"), g.require(g.char("h"))).all(t)).cast("long").alias("required"))
+    return looked_ahead(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("X-13_look_ahead_all", "SELECT doc_id, length(text) - length(replace(text, 't', '')) - (length(text) - length(replace(text, 'th', ''))) // 2 AS rejected, (length(text) - length(replace(text, 'th', ''))) // 2 AS required FROM documents WHERE text IS NOT NULL")
+@query("X-13_look_ahead_all", LOOK_AHEAD.format("page_id", "html", "pages"))
 def look_ahead_all(spark, d):
-    """The same two rules over every text, also where a consuming 't[^h]' would swallow the second of two t."""
-    t = c("text")
-    rows = table(spark, d, "documents").filter("text is not null")
-    return rows.select("doc_id", F.size(g.seq(g.char("t"), g.reject(g.char("h"))).all(t)).cast("long").alias("rejected"), F.size(g.seq(g.char("t"), g.require(g.char("h"))).all(t)).cast("long").alias("required"))
+    """The same rules over raw pages."""
+    return looked_ahead(table(spark, d, "pages"), "page_id", "html")
 
 
 @query("X-10_spans", "SELECT doc_id, count(*) AS n, sum(s)::BIGINT AS starts FROM (SELECT doc_id, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS s, k, max(k) OVER (PARTITION BY doc_id) AS last FROM (SELECT doc_id, unnest(string_split(text, ',')) AS p, generate_subscripts(string_split(text, ','), 1) AS k FROM documents)) WHERE k < last GROUP BY 1")

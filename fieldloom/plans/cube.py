@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.functions.geometry import affine, affine_projection, scaling, spline, then, translation, warp_weight
+from fieldloom.functions.geometry import affine, affine_projection, scaling, spline, then, translation, warp_weight, weighted_mean
 from fieldloom.operators import contour, grid
-from fieldloom.operators.spatial import resample
+from fieldloom.operators.spatial import blended, resample
 from fieldloom.plans.base import CELLS_SQL, LEVELS_SQL, packed, query, table
 from fieldloom.sources.grib import expand_row
 
@@ -107,7 +107,7 @@ def kernel(spark, d):
 
 @query("A-05_weighted_mean", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 2) AS mean FROM lineitem GROUP BY ALL")
 def weighted(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum(c("l_quantity") * c("l_extendedprice")) / F.sum("l_quantity"), 2).alias("mean"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(weighted_mean(c("l_extendedprice"), c("l_quantity")), 2).alias("mean"))
 
 
 @query("P-34_georeferenced_cells", f"WITH {CELLS_SQL} SELECT surface_id, round(sum(x * 2.5::DOUBLE - 80), 3) AS lon, round(sum(60 - y * 1.25::DOUBLE), 3) AS lat FROM cells GROUP BY 1")
@@ -128,6 +128,34 @@ def resampled(spark, d):
     return resample(packed(spark, d).withColumnRenamed("surface_id", "raster_id"), place, 140, 140)
 
 
+@query(
+    "P-44_blend",
+    f"""WITH {CELLS_SQL} SELECT a.surface_id AS raster_id, a.x::INT AS x, a.y::INT AS y, round(CASE WHEN b.value IS NULL THEN a.value ELSE a.value * 0.75 + b.value * 0.25 END, 6) + 0.0 AS value FROM cells a
+  LEFT JOIN cells b ON a.surface_id = b.surface_id AND a.x >= 3 AND a.y >= 2 AND b.x = trunc((a.x - 3) / 2.0::DOUBLE) AND b.y = trunc((a.y - 2) / 2.0::DOUBLE)""",
+)
+def blend(spark, d):
+    """Each surface with itself, enlarged, laid over it."""
+    rasters = packed(spark, d).withColumnRenamed("surface_id", "raster_id")
+    over = resample(rasters, affine_projection(then(scaling(2.0, 2.0), translation(3.0, 2.0))), 64, 64)
+    return blended(grid.to_cells(rasters, ["raster_id"]), over, 0.25).withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query(
+    "G-02_line_points",
+    f"""WITH RECURSIVE {LEVELS_SQL},
+  e AS (SELECT a.surface_id, a.x, a.y, a.value AS a, b.value AS b FROM cells a JOIN cells b ON a.surface_id = b.surface_id AND a.y = b.y AND b.x = a.x + 1)
+SELECT e.surface_id, level_no, count(*) AS points FROM e JOIN levels USING (surface_id) WHERE least(a, b) <= level AND level < greatest(a, b) AND abs((level - b) / (a - b) - 0.5) < 0.4999999 AND y < (SELECT max(y) FROM cells c WHERE c.surface_id = e.surface_id) GROUP BY ALL""",
+)
+def line_points(spark, d):
+    """The distinct points that the lines of a level have on horizontal edges above the last row: every seed is on a line."""
+    lines_ = contour.contour_lines(contour.with_levels(packed(spark, d)), ["surface_id"]).filter("error is null")
+    points = lines_.select("surface_id", "level_no", F.explode(F.arrays_zip("xs", "ys")).alias("p")).filter((c("p.ys") == F.floor("p.ys")))
+    ny = packed(spark, d).select("surface_id", "ny")
+    # A crossing at a grid point lies on edges of both kinds and is left out on both sides.
+    points = points.join(ny, "surface_id").filter(c("p.ys") < c("ny") - 1).filter(F.abs(c("p.xs") - F.floor("p.xs") - 0.5) < 0.4999999)
+    return points.select("surface_id", "level_no", "p").distinct().groupBy("surface_id", "level_no").agg(F.count("*").alias("points"))
+
+
 @query("X1_level_difference", f"WITH {CELLS_SQL} SELECT a.surface_id, round(sum(abs(b.value - a.value)), 5) AS change FROM cells a JOIN cells b ON a.x = b.x AND a.y = b.y WHERE b.surface_id = a.surface_id + 1 GROUP BY a.surface_id")
 def difference(spark, d):
     """Extension: the change between neighbouring surfaces, cell by cell, from arrays joined by surface."""

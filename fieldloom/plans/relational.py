@@ -88,22 +88,42 @@ def draw_order(spark, d):
 
 @query("W-09_first_match", "SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
 def first_match(spark, d):
-    return table(spark, d, "orders").filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.min_by("o_orderkey", "o_orderkey").alias("first"))
+    return k.first_match(table(spark, d, "orders"), ["o_custkey"], c("o_orderstatus") == "O", "o_orderkey")
 
 
 @query("F-07_layers", "SELECT l_linestatus, (l_linenumber * 20 >= 100) AS active, count(*) AS n FROM lineitem GROUP BY ALL")
 def layers(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_linestatus", (c("l_linenumber") * 20 >= 100).alias("active")).agg(F.count("*").alias("n"))
+    return table(spark, d, "lineitem").groupBy("l_linestatus", k.active(c("l_linenumber") * 20).alias("active")).agg(F.count("*").alias("n"))
 
 
 @query("J-02_attributes", "SELECT doc_id, CASE WHEN name = 'quality' THEN v END AS quality, lang FROM (SELECT doc_id, 'quality' AS name, quality AS v FROM labels) RIGHT JOIN documents USING (doc_id)")
 def attributes(spark, d):
     labels = table(spark, d, "labels")
-    long = labels.select("doc_id", F.explode(F.array(F.struct(F.lit("quality").alias("name"), c("quality").alias("v")), F.struct(F.lit("toxic").alias("name"), c("toxic").alias("v")))).alias("a")).select("doc_id", "a.*")
-    quality = long.filter(c("name") == "quality").select("doc_id", c("v").alias("quality"))
-    return table(spark, d, "documents").join(quality, "doc_id", "left").select("doc_id", "quality", "lang")
+    long = labels.select(c("doc_id").alias("id"), F.explode(F.array(F.struct(F.lit("quality").alias("name"), c("quality").alias("v")), F.struct(F.lit("toxic").alias("name"), c("toxic").alias("v")))).alias("a")).select("id", "a.name", c("a.v").alias("value"))
+    shapes = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    return k.with_attribute(shapes, long, "quality").select(c("id").alias("doc_id"), "quality", "lang")
 
 
+@query("F-08_attribute_filter", "SELECT doc_id AS id, toxic FROM labels WHERE toxic IS NOT NULL")
+def attribute_filter(spark, d):
+    long = table(spark, d, "labels").select(c("doc_id").alias("id"), F.explode(F.map_from_arrays(F.array(F.lit("quality"), F.lit("toxic")), F.array("quality", "toxic"))).alias("name", "value"))
+    return k.attribute_of(long, "toxic").filter("toxic is not null")
+
+
+@query("P-45_same_criteria", f"WITH {CAT} SELECT a.seq, count(*) AS same FROM cat a JOIN cat b ON a.param = b.param AND a.ord = b.ord AND a.hpa IS NOT DISTINCT FROM b.hpa AND a.valid = b.valid GROUP BY 1")
+def same_criteria(spark, d):
+    """How many catalog rows equal each in all four dimensions, whatever the units."""
+    cat = catalog(spark, d)
+    a, b = cat.select("seq", *k.KEY).alias("a"), cat.select(*k.KEY).alias("b")
+    same = k.same_param(c("a.param"), c("b.param")) & k.same_level(c("a.level"), c("b.level")) & k.same_valid(c("a.valid"), c("b.valid")) & c("a.area").eqNullSafe(c("b.area"))
+    return a.join(b, same).groupBy("a.seq").agg(F.count("*").alias("same"))
+
+
+@query("U-02_registry", "WITH j AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0), l AS (SELECT * FROM j WHERE id % 5 <> 0) SELECT id, count(*) OVER (PARTITION BY id) = 1 AS unique FROM l")
+def registry(spark, d):
+    o = table(spark, d, "orders").select(c("o_orderkey").alias("id"))
+    return k.registered(o.filter("id % 3 <> 0"), o.filter("id % 4 = 0"), o.filter("id % 5 = 0"))
+
 def order_rects(spark, d):
     o = table(spark, d, "orders")
     x, y = (c("o_orderkey") * 7 % 1000).cast("double"), (c("o_custkey") * 13 % 500).cast("double")
@@ -136,6 +156,12 @@ def sweep(spark, d):
     return order_rects(spark, d).groupBy("y1").agg(F.count("*").alias("n"), F.round(F.avg(c("x2") - c("x1")), 6).alias("mean"), F.max(c("x2") - c("x1")).alias("most"))
 
 
+@query("A-11_active_sizes", f"WITH {RECTS}, y AS (SELECT DISTINCT y1 AS y FROM r) SELECT y, count(*) AS active FROM y JOIN r ON r.y1 <= y AND y <= r.y2 GROUP BY 1")
+def active_sizes(spark, d):
+    """The size of a sweep line's active set at each y where a rectangle begins."""
+    return s.sweep_sizes(order_rects(spark, d))
+
+
 @query("G-05_place_labels")
 def labels(spark, d):
     return s.place_labels(order_rects(spark, d))
@@ -152,13 +178,13 @@ def replayed(spark, d):
     return replay(e.select(c("user_id").alias("uid"), c("event_id").alias("seq"), F.when(c("event_type") == "purchase", "remove").otherwise(c("event_type")).alias("type"), "value"))
 
 
-@query("X2_time_interpolation", "WITH v AS (SELECT event_type, date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY ALL), n AS (SELECT *, lead(h) OVER w AS h2, lead(v) OVER w AS v2 FROM v WINDOW w AS (PARTITION BY event_type ORDER BY h)) SELECT event_type, h + INTERVAL 30 MINUTE AS at, round(v + (v2 - v) * 1800 / (epoch(h2) - epoch(h)) + 0.0000001::DOUBLE, 5) AS value FROM n WHERE h2 IS NOT NULL")
+@query("X2_time_interpolation", "WITH v AS (SELECT event_type, date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY ALL), n AS (SELECT *, lead(h) OVER w AS h2, lead(v) OVER w AS v2 FROM v WINDOW w AS (PARTITION BY event_type ORDER BY h)) SELECT event_type, h + INTERVAL 30 MINUTE AS at, round(v + (v2 - v) * 1800 / (epoch(h2) - epoch(h)), 3) AS value FROM n WHERE h2 IS NOT NULL")
 def interpolated(spark, d):
     """Extension: the value half an hour after each hour, on the line to the next hour that has one."""
     e = table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("v"))
     out = k.ordered(e, ["event_type"], ["h", "v"]).filter("next is not null")
     span = F.unix_seconds(c("next.h").cast("timestamp")) - F.unix_seconds(c("h").cast("timestamp"))
-    return out.select("event_type", (c("h").cast("timestamp") + F.expr("interval 30 minutes")).cast("timestamp_ntz").alias("at"), F.round(c("v") + (c("next.v") - c("v")) * 1800 / span + 1e-7, 5).alias("value"))
+    return out.select("event_type", (c("h").cast("timestamp") + F.expr("interval 30 minutes")).cast("timestamp_ntz").alias("at"), F.round(c("v") + (c("next.v") - c("v")) * 1800 / span, 3).alias("value"))
 
 
 @query("U-02_registry", "SELECT user_id, count(*) AS n FROM (SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0) GROUP BY 1")

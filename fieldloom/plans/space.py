@@ -79,6 +79,33 @@ def rank(spark, d):
     return s.interval_rank(table(spark, d, "lineitem").select(c("l_quantity").alias("start")))
 
 
+@query("W-08_probe_rank", "SELECT p_partkey AS probe_id, (SELECT count(*) FROM orders WHERE (o_orderkey * 31 % 20000)::DOUBLE < (p_partkey * 101 % 20000)::DOUBLE) AS rank FROM part")
+def probe_rank(spark, d):
+    """The place of a value among sorted ones, as a binary search finds it."""
+    return lookup(spark, d).select("probe_id", c("lower").alias("rank"))
+
+
+def lookup(spark, d):
+    a, b = (c("o_orderkey") * 31 % 20000).cast("double"), (c("p_partkey") * 101 % 20000).cast("double")
+    held = table(spark, d, "orders").select(a.alias("start"), (a + c("o_custkey") % 7).alias("stop"))
+    return s.interval_lookup(held, table(spark, d, "part").select(c("p_partkey").alias("probe_id"), b.alias("key")))
+
+
+@query(
+    "J-06_interval_lookup",
+    """WITH a AS (SELECT (o_orderkey * 31 % 20000)::DOUBLE AS s, (o_orderkey * 31 % 20000 + o_custkey % 7)::DOUBLE AS e FROM orders), p AS (SELECT p_partkey AS probe_id, (p_partkey * 101 % 20000)::DOUBLE AS k FROM part),
+  n AS (SELECT probe_id, count(*) FILTER (WHERE s < k) AS lower, count(*) FILTER (WHERE s <= k) AS upper, count(*) FILTER (WHERE s = k) AS equal, count(*) FILTER (WHERE s <= k AND k <= e) AS inside FROM p, a GROUP BY 1)
+SELECT * FROM n""",
+)
+def interval_lookup(spark, d):
+    return lookup(spark, d)
+
+
+@query("A-06_index_statistics", f"WITH {RECTS}, {WINDOWS}, b AS (SELECT w.id, w.x1 <= r.x2 AND r.x1 <= w.x2 AND w.y1 <= r.y2 AND r.y1 <= w.y2 AS hit FROM w JOIN r ON floor(w.x1 / 32) <= floor(r.x2 / 32) AND floor(r.x1 / 32) <= floor(w.x2 / 32) AND floor(w.y1 / 32) <= floor(r.y2 / 32) AND floor(r.y1 / 32) <= floor(w.y2 / 32)) SELECT id AS query_id, count(*) AS candidates, count(*) FILTER (WHERE hit) AS hits FROM b GROUP BY 1")
+def index_statistics(spark, d):
+    return s.index_statistics(order_rects(spark, d), windows(spark, d), 32.0)
+
+
 @query("A-06_tile_counts", f"WITH {RECTS} SELECT floor(x1 / 32)::BIGINT AS tx, floor(y1 / 32)::BIGINT AS ty, count(*) AS items, count(*) > 10 AS splits FROM r GROUP BY 1, 2")
 def tiles(spark, d):
     return order_rects(spark, d).groupBy(F.floor(c("x1") / 32).alias("tx"), F.floor(c("y1") / 32).alias("ty")).agg(F.count("*").alias("items"), (F.count("*") > 10).alias("splits"))
@@ -195,6 +222,33 @@ def limb(spark, d):
     return s.limb(spark, m.orthographic(), m.EARTH)
 
 
+@query(
+    "S-14_limb_bins",
+    f"""WITH t AS (SELECT i * (2 * {math.pi}::DOUBLE / 2000) - {math.pi}::DOUBLE AS t FROM range(0, 2000) r(i)), u AS (SELECT cos(t) AS u, sin(t) AS v FROM t),
+  g AS (SELECT degrees({_L}::DOUBLE + atan2(u, -v * {math.sin(_P)}::DOUBLE)) AS lon FROM u), w AS (SELECT lon - 360 * floor((lon + 180) / 360) AS lon FROM g)
+SELECT floor((lon + 3.7) / 10)::BIGINT AS bin, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT floor((200 + 3.7) / 10)::BIGINT, 1 UNION ALL SELECT floor((-200 + 3.7) / 10)::BIGINT, 1 UNION ALL SELECT NULL, 1""",
+)
+def limb_bins(spark, d):
+    """How many vertices of the disc's edge lie in each ten degrees of longitude, with the two corners and the close."""
+    return s.limb(spark, m.orthographic(), m.EARTH).groupBy(F.floor((c("lon") + 3.7) / 10).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "G-01_shared_edges",
+    "SELECT a.i AS a_id, b.j AS b_id, round(greatest(0, least(a.i + 4, b.j + 3) - greatest(a.i, b.j)) * 5.0::DOUBLE, 5) AS area FROM (SELECT n_nationkey AS i FROM nation) a, (SELECT n_nationkey AS j FROM nation) b WHERE a.i <= b.j + 3 AND b.j <= a.i + 4",
+)
+def shared_edges(spark, d):
+    """Boxes of one height side by side: every pair that meets shares edges or stretches of them, or only touches."""
+    n = table(spark, d, "nation").select(c("n_nationkey").cast("double").alias("k"), "n_nationkey")
+    box = lambda p, w: n.select(c("n_nationkey").alias(f"{p}_id"), F.array(c("k"), c("k") + w, c("k") + w, c("k")).alias(f"{p}xs"), F.array(*map(F.lit, (0.0, 0.0, 5.0, 5.0))).alias(f"{p}ys"))
+    a, b = box("a", 4), box("b", 3)
+    rect = lambda p, w: n.select(c("n_nationkey").alias("id"), c("k").alias("x1"), F.lit(0.0).alias("y1"), (c("k") + w).alias("x2"), F.lit(5.0).alias("y2"))
+    pairs = s.rect_join(rect("a", 4), rect("b", 3), 8.0).select("a_id", "b_id")
+    found = clip.clip_pairs(pairs.join(a, "a_id").join(b, "b_id"), ["a_id", "b_id"])
+    parts = found.filter(c("error").isNull()).groupBy("a_id", "b_id").agg(F.sum(F.abs(m.ring_area(c("xs"), c("ys")))).alias("area"))
+    return pairs.join(parts, ["a_id", "b_id"], "left").select("a_id", "b_id", F.round(F.coalesce("area", F.lit(0.0)), 5).alias("area"))
+
+
 @query("G-01_clip_polygons")
 def clipped(spark, d):
     """Pairs of polygons whose bounds meet."""
@@ -243,3 +297,18 @@ def clipped_lines(spark, d):
     pairs = s.rect_join(box, bounds, 16.0).select("a_id", "b_id")
     lines = a.select(c("id").alias("a_id"), F.array("x1", "x2").alias("axs"), F.array("y1", "y2").alias("ays"))
     return clip.clip_pairs(pairs.join(lines, "a_id").join(ring.toDF("b_id", "bxs", "bys"), "b_id"), ["a_id", "b_id"], polyline=True)
+
+
+@query(
+    "P-32_clipped_lengths",
+    f"""WITH a AS ({_STROKE.format('p_partkey', 11, 5, 23, 'part')}), {EDGES},
+  u AS (SELECT a.id, e.polygon_id, a.x2 - a.x1 AS dx, a.y2 - a.y1 AS dy, (e.x2 - e.x1) * (a.y1 - e.y1) - (e.y2 - e.y1) * (a.x1 - e.x1) AS h, (e.x2 - e.x1) * (a.y2 - a.y1) - (e.y2 - e.y1) * (a.x2 - a.x1) AS g FROM a, e),
+  t AS (SELECT id, polygon_id, any_value(dx) AS dx, any_value(dy) AS dy, greatest(0, max(-h / g) FILTER (WHERE g > 0)) AS t0, least(1, min(-h / g) FILTER (WHERE g < 0)) AS t1, bool_or(g = 0 AND h < 0) AS off FROM u GROUP BY ALL)
+SELECT id AS a_id, polygon_id AS b_id, round((t1 - t0) * sqrt(dx * dx + dy * dy), 5) AS length FROM t WHERE NOT off AND t1 - t0 > 1e-7""",
+)
+def clipped_lengths(spark, d):
+    """The length of each path inside each convex polygon; the twin cuts the path's parameter by each edge's half plane."""
+    cut = clipped_lines(spark, d).filter("error is null")
+    legs = F.transform(F.sequence(F.lit(1), F.size("xs") - 1), lambda i: F.sqrt(F.pow(F.get("xs", i) - F.get("xs", i - 1), 2) + F.pow(F.get("ys", i) - F.get("ys", i - 1), 2)))
+    length = F.aggregate(legs, F.lit(0.0), lambda x, y: x + y)
+    return cut.filter(F.size("xs") > 1).groupBy("a_id", "b_id").agg(F.round(F.sum(length), 5).alias("length")).filter("length > 0")

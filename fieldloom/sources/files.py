@@ -1,4 +1,7 @@
-"""Whole files, shapefiles with attributes, and PNG images, from binary columns that Spark's own readers fill."""
+"""Whole files, shapefiles with attributes, and PNG images, from binary columns that Spark's own readers fill.
+
+A file that cannot be read becomes a row with an error text and no values; what was read of it before is told too.
+"""
 
 from __future__ import annotations
 
@@ -16,11 +19,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _shapes(data: bytes) -> list[tuple[int, int, list]]:
+#: What the decoders raise on bytes that are cut off or make no sense.
+BAD = (ValueError, struct.error, IndexError, zlib.error)
+
+
+def _shapes(data: bytes):
     """(record id, shape type, rings) of the public .shp layout: points, polylines and polygons."""
-    out, at, number = [], 100, 0
-    while at + 8 <= len(data):
+    at, number = 100, 0
+    if len(data) < 100:
+        raise ValueError("no file header")
+    while at < len(data):
         size = struct.unpack(">i", data[at + 4 : at + 8])[0] * 2
+        if size < 4 or at + 8 + size > len(data):
+            raise ValueError(f"record {number} is cut off")
         body = data[at + 8 : at + 8 + size]
         kind = struct.unpack("<i", body[:4])[0]
         rings = []
@@ -31,34 +42,36 @@ def _shapes(data: bytes) -> list[tuple[int, int, list]]:
             starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
             xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2)
             rings = [list(map(tuple, xy[a:b].tolist())) for a, b in zip(starts, starts[1:], strict=False)]
-        out.append((number, kind, rings))
+        yield number, kind, rings
         number, at = number + 1, at + 8 + size
-    return out
 
 
 def shape_vertices(files: DataFrame) -> DataFrame:
-    """(path, id, ring, seq, cmd, x, y): a ring's first vertex moves, its last closes polygons; other vertices draw."""
+    """(path, id, ring, seq, cmd, x, y, error): a ring's first vertex moves, its last closes polygons; other vertices draw."""
 
     def run(batches):
         for b in batches:
             rows: list[tuple] = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for id_, kind, rings in _shapes(content or b""):
-                    for r, ring in enumerate(rings):
-                        for k, (x, y) in enumerate(ring):
-                            last = kind == 5 and k == len(ring) - 1 and k > 0
-                            rows.append((path, id_, r, k, "move_to" if k == 0 else "close" if last else "line_to", x, y))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["path", "id", "ring", "seq", "cmd", "x", "y"])
+                try:
+                    for id_, kind, rings in _shapes(content or b""):
+                        for r, ring in enumerate(rings):
+                            for k, (x, y) in enumerate(ring):
+                                last = kind == 5 and k == len(ring) - 1 and k > 0
+                                rows.append((path, id_, r, k, "move_to" if k == 0 else "close" if last else "line_to", x, y, None))
+                except BAD as e:
+                    rows.append((path, None, None, None, None, None, None, str(e)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["path", "id", "ring", "seq", "cmd", "x", "y", "error"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, id int, ring int, seq int, cmd string, x double, y double")
+    return files.select("path", "content").mapInArrow(run, "path string, id int, ring int, seq int, cmd string, x double, y double, error string")
 
 
-def _attributes(data: bytes) -> list[tuple[int, str, str, str]]:
+def _attributes(data: bytes):
     """(record, field, kind, text) of the public dBASE layout; blank values are left out."""
     if len(data) < 32:
-        return []
+        raise ValueError("no file header")
     records, head, width = struct.unpack("<IHH", data[4:12])
     fields, at = [], 32
     while data[at] != 0x0D:
@@ -66,30 +79,42 @@ def _attributes(data: bytes) -> list[tuple[int, str, str, str]]:
         kind, size, decimals = chr(data[at + 11]), data[at + 16], data[at + 17]
         fields.append((name, {"C": "s"}.get(kind, "i" if kind == "N" and not decimals else "d" if kind in "NF" else "s"), size))
         at += 32
-    out = []
     for r in range(records):
         p = head + r * width + 1
+        if p - 1 + width > len(data):
+            raise ValueError(f"record {r} is cut off")
         for name, kind, size in fields:
             text = data[p : p + size].decode("latin-1").strip()
             p += size
             if text and not (kind != "s" and set(text) == {"*"}):
-                out.append((r, name, kind, text))
-    return out
+                yield r, name, kind, text
 
 
 def shape_attributes(files: DataFrame) -> DataFrame:
-    """(path, id, name, attr: struct<i, d, s>) in long form; a null attribute has no row."""
+    """(path, id, name, attr: struct<i, d, s>, error) in long form; a null attribute has no row."""
 
     def run(batches):
         for b in batches:
-            rows = [(p, *x) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in _attributes(c or b"")]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["path", "id", "name", "kind", "text"])
-
-    out = files.select("path", "content").mapInArrow(run, "path string, id int, name string, kind string, text string")
+            rows: list[tuple] = []
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    for x in _attributes(c or b""):
+                        rows.append((p, *x, None))
+                except BAD as e:
+                    rows.append((p, None, None, None, None, str(e)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["path", "id", "name", "kind", "text", "error"])
+
+    out = files.select("path", "content").mapInArrow(run, "path string, id int, name string, kind string, text string, error string")
     value = lambda k, t: F.when(F.col("kind") == k, F.col("text").cast(t)).alias(k)
-    return out.select("path", "id", "name", F.struct(value("i", "int"), value("d", "double"), value("s", "string")).alias("attr"))
+    return out.select("path", "id", "name", F.when(F.col("error").isNull(), F.struct(value("i", "int"), value("d", "double"), value("s", "string"))).alias("attr"), "error")
+
+
+def attributes_wide(attributes: DataFrame, names: list[str]) -> DataFrame:
+    """path, id and a column (struct<i, d, s>) for each name: one row a record that has any of them."""
+    own = attributes.filter(F.col("error").isNull()).groupBy("path", "id")
+    return own.agg(*[F.first(F.when(F.col("name") == n, F.col("attr")), ignorenulls=True).alias(n) for n in names])
 
 
 def decode_png(data: bytes) -> tuple[int, int, bytes]:
@@ -103,6 +128,8 @@ def decode_png(data: bytes) -> tuple[int, int, bytes]:
         head = struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head
         packed += body if kind == b"IDAT" else b""
         at += 12 + n
+    if head is None:
+        raise ValueError("no image header")
     w, h, depth, color, _, _, interlaced = head
     if depth != 8 or color not in (0, 2) or interlaced:
         raise ValueError("only 8-bit gray or RGB without interlacing")
@@ -139,7 +166,7 @@ def png_images(files: DataFrame) -> DataFrame:
             for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     rows.append((p, *decode_png(c or b""), None))
-                except (ValueError, struct.error, zlib.error) as e:
+                except BAD as e:
                     rows.append((p, None, None, None, str(e)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())

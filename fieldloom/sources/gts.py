@@ -26,42 +26,52 @@ SPAN = "struct<kind:string,type:string,start:long,finish:long>"
 
 
 class Splitter:
-    """Splits a byte stream into runs of junk and frames, as bytes arrive; finish() takes the rest as it is."""
+    """Splits a byte stream into runs of junk and frames, as bytes arrive; finish() takes the rest as it is.
 
-    def __init__(self, offset: int = 0, held: bytes = b""):
-        self.offset, self.held, self.junk = offset, held, 0
+    offset: where the run that is not yet told begins. skipped: its bytes that are junk for sure and are not held. Bytes
+    that arrive are only looked at once a frame that has begun is complete, so no byte is copied again and again.
+    """
+
+    def __init__(self, offset: int = 0, held: bytes = b"", skipped: int = 0):
+        self.offset, self.parts, self.skipped = offset, [held], skipped
+        self.size, self.need = len(held), 0
+
+    @property
+    def held(self) -> bytes:
+        return b"".join(self.parts)
 
     def feed(self, data: bytes, last: bool = False) -> Iterator[tuple[str, str | None, int, int]]:
         """(kind, type, start, finish) in order of place; kind is frame or junk."""
-        buf, at = self.held + data, self.junk
-        done = 0
+        self.parts.append(data)
+        self.size += len(data)
+        if self.size < self.need and not last:
+            return
+        buf, base, start, at, need = self.held, self.offset + self.skipped, self.offset, 0, 0
         while True:
             m = HEAD.search(buf, at)
-            # A head may begin in the last bytes that are not yet all there.
-            safe = m.start() if m else len(buf) if last else max(at, len(buf) - LOOK_AHEAD + 1)
-            if m and not last and m.start() + 10 + int(m[1]) + len(PAD) > len(buf):
-                if m.start() > done:
-                    yield "junk", None, self.offset + done, self.offset + m.start()
-                done = m.start()
-                at = m.start()
-                break
             if not m:
-                at = safe
+                # A head may begin in the last bytes that are not yet all there.
+                at = len(buf) if last else max(at, len(buf) - LOOK_AHEAD + 1)
                 break
             end = m.start() + 10 + int(m[1])
-            if end > len(buf):  # only at the end: the frame's length is wrong
+            waits = not last and end + len(PAD) > len(buf)
+            if end > len(buf) and not waits:  # only at the end: the frame's length is wrong
                 at = m.start() + 1
                 continue
-            if m.start() > done:
-                yield "junk", None, self.offset + done, self.offset + m.start()
+            if base + m.start() > start:
+                yield "junk", None, start, base + m.start()
+                start = base + m.start()
+            if waits:
+                at, need = m.start(), end + len(PAD) - m.start()
+                break
             if buf[end : end + len(PAD)] == PAD:
                 end += len(PAD)
-            yield "frame", m[2].decode(), self.offset + m.start(), self.offset + end
-            done = at = end
-        if last and done < len(buf):
-            yield "junk", None, self.offset + done, self.offset + len(buf)
-            done = at = len(buf)
-        self.offset, self.held, self.junk = self.offset + done, buf[done:], at - done
+            yield "frame", m[2].decode(), start, base + end
+            start, at = base + end, end
+        if last and start < base + len(buf):
+            yield "junk", None, start, base + len(buf)
+            start = base + len(buf)
+        self.offset, self.skipped, self.parts, self.size, self.need = start, base + at - start, [buf[at:]], len(buf) - at, need
 
 
 def split(data: bytes, chunk: int | None = None) -> list[tuple[str, str | None, int, int]]:
@@ -90,6 +100,42 @@ def frames(dumps: DataFrame, path: str = "path", content: str = "content", chunk
     return dumps.select(F.col(path).cast("string").alias("path"), content).mapInArrow(run, "path string, no int, kind string, type string, start long, finish long, bytes binary")
 
 
+#: A frame of the strict grammar, wherever it may begin.
+STRICT = re.compile(rb"(?=(\d{8})([0-9A-Za-z]{2}))")
+
+
+def strict_runs(data: bytes) -> list[tuple[str, str | None, int, int, int]]:
+    """(kind, type, start, body finish, finish) by the strict grammar: eight digits, two letters or digits of any type, a body
+    of just the indicated length, eight zeros or not. Where no such frame begins a bad run goes on until one does."""
+    out, at, bad = [], 0, 0
+    for m in STRICT.finditer(data):
+        body = m.start() + 10 + int(m[1])
+        if m.start() < at or body > len(data):
+            continue
+        if m.start() > bad:
+            out.append(("bad", None, bad, m.start(), m.start()))
+        at = bad = body + len(PAD) if data[body : body + len(PAD)] == PAD else body
+        out.append(("frame", m[2].decode(), m.start(), body, at))
+    return [*out, ("bad", None, bad, len(data), len(data))] if bad < len(data) else out
+
+
+def strict_frames(dumps: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, no, kind, type, start, finish, body) by the strict grammar; a bad run's bytes are its body."""
+
+    def run(batches):
+        for b in batches:
+            out: dict = {k: [] for k in ("path", "no", "kind", "type", "start", "finish", "body")}
+            for p, c in zip(b.column(0), b.column(1), strict=True):
+                data = c.as_py() or b""
+                for no, (kind, type_, start, body, finish) in enumerate(strict_runs(data)):
+                    for k, v in zip(out, (p.as_py(), no, kind, type_, start, finish, data[start + 10 * (kind == "frame") : body]), strict=True):
+                        out[k].append(v)
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+
+    return dumps.select(F.col(path).cast("string").alias("path"), content).mapInArrow(run, "path string, no int, kind string, type string, start long, finish long, body binary")
+
+
 _EOL = g.plus(g.one_of("\r\n"))
 _BLANK = g.plus(g.char(" "))
 #: Capture ids of the bulletin head.
@@ -113,9 +159,9 @@ def bulletins(found: DataFrame) -> DataFrame:
     return out.withColumn("body", F.when(F.col("ttaaii").isNotNull(), content))
 
 
-def gribs(rows: DataFrame, data: str = "body", by_length: bool = True) -> DataFrame:
+def gribs(rows: DataFrame, data: str = "body", by_length: bool = True, or_scan: bool = False) -> DataFrame:
     """Explodes the GRIB messages in a binary column: grib_no and message. by_length: a message ends where its length field
-    says, and only if 7777 stands there; else at the first 7777."""
+    says, and only if 7777 stands there; or_scan: else at the first 7777, which without by_length holds always."""
 
     def find(x: bytes | None) -> list[bytes]:
         out, at = [], 0
@@ -123,7 +169,7 @@ def gribs(rows: DataFrame, data: str = "body", by_length: bool = True) -> DataFr
             if by_length:
                 end = at + int.from_bytes(x[at + 4 : at + 7], "big")
                 ok = end >= at + 12 and x[end - 4 : end] == b"7777"
-            else:
+            if not by_length or or_scan and not ok:
                 end = x.find(b"7777", at) + 4
                 ok = end > 3
             if ok:
@@ -163,9 +209,27 @@ class _File(InputPartition):
         self.path = path
 
 
+def _files(path: str) -> list[str]:
+    """A file, the files of a folder, or those of its folder that a pattern names."""
+    from fnmatch import fnmatch
+
+    from pyarrow import fs
+
+    scheme = path.split("://")[0] + "://" if "://" in path else ""
+    where, plain = fs.FileSystem.from_uri(path) if scheme else (fs.LocalFileSystem(), path)
+    folder, _, name = plain.rpartition("/")
+    if any(x in name for x in "*?["):
+        found = [x.path for x in where.get_file_info(fs.FileSelector(folder or ".")) if x.is_file and fnmatch(x.base_name, name)]
+    elif where.get_file_info(plain).type == fs.FileType.Directory:
+        found = [x.path for x in where.get_file_info(fs.FileSelector(plain)) if x.is_file and x.base_name[0] not in "._"]
+    else:
+        return [path]
+    return sorted(path[: len(path) - len(plain)] + x if scheme else x for x in found)
+
+
 class GtsReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
+        self.paths = [f for p in options.get("paths", options.get("path", "")).split(",") if p for f in _files(p)]
         self.chunk = int(options.get("chunk", 1 << 20))
 
     def partitions(self):
@@ -175,22 +239,24 @@ class GtsReader(DataSourceReader):
         from pyarrow import fs
 
         where, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
-        s, no = Splitter(), 0
+        s, no, held, base = Splitter(), 0, [], 0
         with where.open_input_stream(path) as f:
-            buf, base = b"", 0
             while True:
-                data = f.read(self.chunk)
-                buf += data
+                data, buf = f.read(self.chunk), None
+                held.append(data)
                 for kind, type_, start, finish in s.feed(data, last=not data):
+                    buf = b"".join(held) if buf is None else buf
                     yield partition.path, no, kind, type_, start, finish, buf[start - base : finish - base]
                     no += 1
-                buf, base = buf[s.offset - base :], s.offset
+                if buf is not None:
+                    held, base = [buf[s.offset - base :]], s.offset
                 if not data:
                     return
 
 
 class GtsDataSource(DataSource):
-    """spark.read.format("gts").option("paths", "a,b").load(): runs of framed dumps, a task a file, in bounded memory."""
+    """spark.read.format("gts").option("paths", "a,b/*.bin,folder").load(): runs of framed dumps, a task a file, in memory
+    bounded by the longest run."""
 
     @classmethod
     def name(cls):

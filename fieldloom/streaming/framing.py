@@ -13,29 +13,49 @@ from fieldloom.sources.gts import Splitter
 
 
 class FrameProcessor(StatefulProcessor):
-    """Per feed: the bytes not yet split and where they lie in the stream."""
+    """Per feed: the bytes not yet split and where they lie in the stream, the next number, and chunks that came too early."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "offset long, held binary, junk int")
+        self.state = handle.getValueState("held", "offset long, held binary, skipped long, next long")
+        self.early = handle.getMapState("early", "seq long", "data binary")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        offset, held, junk = self.state.get() if self.state.exists() else (0, b"", 0)
-        splitter = Splitter(offset, bytes(held))
-        splitter.junk = junk
+        offset, held, skipped, next_ = self.state.get() if self.state.exists() else (0, b"", 0, 0)
+        splitter = Splitter(offset, bytes(held), skipped)
+        # A trigger's rows come in several batches, in any order.
+        waiting = {int(r.seq): None if r.data is None else bytes(r.data) for pdf in rows for r in pdf.itertuples()}
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values("seq").itertuples():
-                out += splitter.feed(bytes(r.data))
-        self.state.update((splitter.offset, splitter.held, splitter.junk))
-        yield pd.DataFrame({"feed": [key[0]] * len(out), **{k: [x[i] for x in out] for i, k in enumerate(("kind", "type", "start", "finish"))}})
+
+        def follow(seq: int):
+            if seq in waiting:
+                return True, waiting.pop(seq)
+            if self.early.exists() and self.early.containsKey((seq,)):
+                data = self.early.getValue((seq,))[0]
+                self.early.removeKey((seq,))
+                return True, None if data is None else bytes(data)
+            return False, None
+
+        while True:
+            here, data = follow(next_)
+            if not here:
+                break
+            next_ += 1
+            out += splitter.feed(b"" if data is None else data, last=data is None)
+        for seq, data in waiting.items():
+            if seq > next_:
+                self.early.updateValue((seq,), (data,))
+        self.state.update((splitter.offset, splitter.held, splitter.skipped, next_))
+        kinds = {"kind": object, "type": object, "start": "int64", "finish": "int64"}
+        yield pd.DataFrame({"feed": pd.Series([key[0]] * len(out), dtype=object), **{k: pd.Series([x[i] for x in out], dtype=t) for i, (k, t) in enumerate(kinds.items())}})
 
     def close(self) -> None:
         pass
 
 
 def stream_frames(chunks: DataFrame) -> DataFrame:
-    """(feed, kind, type, start, finish) of a stream of (feed, seq, data). What a feed still holds when its stream stops has
-    not been emitted. Needs the RocksDB state store."""
+    """(feed, kind, type, start, finish) of a stream of (feed, seq, data). Chunks are taken in order of seq, from 0 without
+    gaps, in whatever order they arrive; data null ends a feed, and what it still holds is told. Needs the RocksDB state
+    store."""
     return chunks.groupBy("feed").transformWithStateInPandas(FrameProcessor(), "feed string, kind string, type string, start long, finish long", "append", "none")
 
 

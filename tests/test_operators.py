@@ -72,10 +72,10 @@ def test_clip():
     assert clip.clip_line([(-1.0, 2.0), (2.0, 2.0), (2.0, 9.0)], square) == [[(0.0, 2.0), (2.0, 2.0), (2.0, 4.0)]]
 
 
-def test_touching_is_an_error(spark):
+def test_too_few_points_are_an_error(spark):
     sq = [0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0]
     df = spark.createDataFrame([(1, *sq, *sq), (2, *sq, None, None)], "id int, axs array<double>, ays array<double>, bxs array<double>, bys array<double>")
-    assert [r.error for r in clip.clip_pairs(df, ["id"]).orderBy("id").collect()] == ["touching", "too few points"]
+    assert [r.error for r in clip.clip_pairs(df, ["id"]).orderBy("id").collect()] == [None, "too few points"]
 
 
 def test_labels_match_a_plain_loop(spark):
@@ -96,3 +96,21 @@ def test_limb(spark):
     rows = s.limb(spark, m.orthographic(), m.EARTH).orderBy("seq").collect()
     assert len(rows) == 2003 and rows[0].cmd == "move_to" and rows[-1].cmd == "close" and all(a.lon <= b.lon for a, b in zip(rows[:1999], rows[1:2000], strict=True))
     assert all(r.lon != 0 or r.lat != 0 for r in rows[:2000])
+
+
+def test_missing_cells_become_error_rows(spark):
+    p = spark.createDataFrame([("a", 2, 2, [1.0, None, 2.0, 3.0], [1.5]), ("b", 2, 2, [0.0, 1.0, 0.0, 1.0], [0.5]), ("c", 2, 2, None, [0.5])], "surface_id string, nx int, ny int, buf array<double>, levels array<double>")
+    got = {r.surface_id: r for r in contour.contour_lines(p, ["surface_id"]).collect()}
+    assert got["a"].error == got["c"].error == "cells are missing" and got["b"].error is None and got["b"].xs == [0.5, 0.5, 0.5]
+
+
+def test_touching_rings():
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    total = lambda a, b: round(sum(area(r) for r in clip.clip_rings(a, b)), 6)
+    assert total(square, square) == 16
+    for dx, dy, want in ((4, 0, 0), (2, 0, 8), (0, 4, 0), (4, 4, 0), (1, 1, 9)):
+        assert total(square, [(x + dx, y + dy) for x, y in square]) == want
+    inner = [(0.0, 1.0), (2.0, 1.0), (2.0, 3.0), (0.0, 3.0)]
+    assert total(square, inner) == total(inner, square) == 4 and sorted(clip.clip_rings(square, inner)[0]) == sorted(inner)
+    corner = [(0.0, 0.0), (2.0, 2.0), (0.0, 4.0)]
+    assert total(square, corner) == 4

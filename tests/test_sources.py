@@ -137,3 +137,40 @@ def test_sections_with_a_bitmap_and_a_rotated_grid(spark):
     assert r.bms.bits == [int(c) for c in f"{0b101101110100000001100000:024b}"][:19] and r.bds.bits == 12
     r = grib.decode_sections(spark.createDataFrame([(plain[:30],)], "message binary")).first()
     assert r.gds.ni is None and not r.end_ok
+
+
+def test_strict_frames():
+    body = b"\x01abc"
+    frame = b"%08dZ9" % len(body) + body
+    data = b"junk!" + frame + gts.PAD + frame + b"!!" + frame[:-1]
+    got = gts.strict_runs(data)
+    assert [(k, t, data[a:b]) for k, t, a, _, b in got] == [("bad", None, b"junk!"), ("frame", "Z9", frame + gts.PAD), ("frame", "Z9", frame), ("bad", None, b"!!" + frame[:-1])]
+    assert gts.strict_runs(b"") == [] and b"".join(data[a:b] for *_, a, _, b in got) == data
+
+
+def test_a_frame_that_claims_much_is_not_copied_again_and_again():
+    import time
+
+    data = b"00000000AN" + b"09000000AN\x01" + b"x" * 8_999_999
+    began = time.monotonic()
+    got = gts.split(data, 1000)
+    assert time.monotonic() - began < 3 and got[-1][0] == "frame" and got[-1][3] == len(data)
+
+
+def test_folders_and_patterns(spark, tmp_path):
+    for n in ("a.gts", "b.gts", "c.txt"):
+        (tmp_path / n).write_bytes(b"%08dAN\x01" % 1 + n.encode() * 5)
+    read = lambda p: {r.path.rsplit("/", 1)[1] for r in spark.read.format("gts").option("paths", p).load().collect()}
+    spark.dataSource.register(gts.GtsDataSource)
+    assert read(f"{tmp_path}/*.gts") == {"a.gts", "b.gts"} and read(str(tmp_path)) == {"a.gts", "b.gts", "c.txt"}
+
+
+def test_cut_off_files_become_error_rows(spark):
+    shp = bytes(100) + struct.pack(">2i", 1, 10) + struct.pack("<i2d", 1, 3.0, 4.0) + struct.pack(">2i", 2, 10) + struct.pack("<i", 1)
+    rows = files.shape_vertices(spark.createDataFrame([("a", shp), ("b", b"short"), ("c", None)], "path string, content binary")).orderBy("path", "error").collect()
+    assert [(r.path, r.x, r.error) for r in rows] == [("a", 3.0, None), ("a", None, "record 1 is cut off"), ("b", None, "no file header"), ("c", None, "no file header")]
+    dbf = struct.pack("<4BIHH20x", 3, 1, 1, 1, 2, 65, 5) + b"NAME".ljust(11, b"\0") + b"C" + bytes(4) + bytes([4, 0]) + bytes(14) + b"\r" + b" Peru" + b" Ch"
+    rows = files.shape_attributes(spark.createDataFrame([("a", dbf), ("b", dbf[:40]), ("c", b"")], "path string, content binary")).orderBy("path", "id").collect()
+    assert [(r.path, r.attr and r.attr.s, r.error is None) for r in sorted(rows, key=lambda r: (r.path, r.error is not None))] == [("a", "Peru", True), ("a", None, False), ("b", None, False), ("c", None, False)]
+    png = b"\x89PNG\r\n\x1a\n"
+    assert [r.error for r in files.png_images(spark.createDataFrame([("a", png), ("b", png + b"\0\0")], "path string, content binary")).orderBy("path").collect()][0] == "no image header"
