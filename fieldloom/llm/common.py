@@ -78,6 +78,13 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def in_parts(batches: Iterable, rows: int = 256) -> Iterator:
+    """Arrow batches in parts of a few rows each, so that what a Python worker holds does not follow the session's batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, even where body uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import discard, fresh, join_hot, named_components, store
+from fieldloom.llm.common import discard, fresh, in_parts, join_hot, named_components, store
 
 SHINGLE, SEED, MOST = 4, 42, 4
 #: Axes of the embedding and values of each: counts of two-bit segments.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, carried: list[str], bits: str = "bits", shingl
     rows = docs.select(*carried, docs["text"].alias(text))
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             found = np.array([fingerprint(x.as_py(), shingle, seed) for x in b.column(b.num_columns - 1)], np.uint64)
             kept = [b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found.view(np.int64), pa.int64())], [*b.schema.names[:-1], bits])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WRITING, discard, join_hot, settings, store, work_dir
+from fieldloom.llm.common import WRITING, discard, in_parts, join_hot, settings, store, work_dir
 
 WINDOW, GRAM = 35, 16
 #: Runs of a level that are compacted into one of the next.
@@ -82,26 +82,16 @@ def sliding(x: np.ndarray, n: int, least) -> np.ndarray:
     return x
 
 
-#: Hashes of words, remembered by a Python worker until there are so many.
-REMEMBERED = 1_000_000
-
-
-class Remembered(dict):
-    """The 64-bit BLAKE2b hash of each word asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return found
-
-
-_words = Remembered()
+def word_hashes(words: list[bytes], powers: Powers) -> np.ndarray:
+    """Hashes of words; words that collide only bring more candidates, for digests decide."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size)
+    return spans(np.frombuffer(b"".join(words), np.uint8).astype(U) + U(1), end - size, end, powers) + size.astype(U)
 
 
 def kept_hashes(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each gram its hash; for each window the smallest of its grams' hashes."""
-    grams = runs_of(np.fromiter(map(_words.__getitem__, words), U, len(words)), gram, GRAMS)
+    grams = runs_of(word_hashes(words, BYTES), gram, GRAMS)
     return grams, sliding(grams, window - gram + 1, np.minimum)
 
 
@@ -198,7 +188,7 @@ class FingerprintIndex:
         window, gram = self.window, self.gram
 
         def scan(batches):
-            for b in batches:
+            for b in in_parts(batches):
                 found = [postings(w, window, gram) for w in texts_of(b)]
                 yield batch_of(key=b.column("key"), h=listed([x for x, _ in found], pa.int64()), n=listed([x for _, x in found], pa.int32()))
 
@@ -274,7 +264,7 @@ def repeated_windows(index: FingerprintIndex, docs: DataFrame, hits: DataFrame,
     window, gram = index.window, index.gram
 
     def candidates(found):
-        for b in found:
+        for b in in_parts(found):
             out: tuple[list, list] = ([], [])
             for words, m in zip(texts_of(b), b.column("marks"), strict=True):
                 at = np.flatnonzero(np.isin(kept_hashes(words, window, gram)[1], np.asarray(m.values).view(U)))
@@ -319,9 +309,9 @@ def cleaned(docs: DataFrame, starts: DataFrame, window: int = WINDOW, keep_text:
     rows; stored)."""
 
     def cut(found):
-        for b in found:
+        for b in in_parts(found):
             out = [outcome(w, s.as_py() or [], window) for w, s in zip(texts_of(b), b.column("starts"), strict=True)]
-            n, gone, sha, kept = zip(*out, strict=True) if out else ([], [], [], [])
+            n, gone, sha, kept = zip(*out, strict=True)
             text = {"kept": pa.array([x.decode() for x in kept], pa.string())} if keep_text else {}
             yield batch_of(doc_id=b.column("doc_id"), n_words=pa.array(n, pa.int64()), n_removed=pa.array(gone, pa.int64()), kept_sha256=pa.array(sha, pa.string()), **text)
 
