@@ -4,14 +4,15 @@ Conversations that begin with the same turns share the nodes of those turns. A n
 conversations have, so a long conversation of its own is one node. It is named by a 128-bit digest of its path, so the
 tree is built without comparing conversations: equal names merge in one aggregation. Sorting nodes by the
 names along their paths is depth-first order, so one range sort and per-partition sums lay all trees out in a single
-token stream in which each shared turn stands once. A node has its span in the stream, the position id of its first
-token (what precedes it in its own conversation) and the spans of its ancestors, which are what its tokens may attend to
-besides themselves.
+token stream in which each shared turn stands once. A node has its ids and span in the stream, the position id of its
+first token (what precedes it in its own conversation), the spans of its ancestors, which are what its tokens may attend to
+besides themselves, and the spans of its tokens that are learned. What is learned is tokenized apart from what stands
+around it, so the loss mask covers whole tokens. Conversations are read back from ids alone.
 
 The template marks turns with control strings; in texts and roles a backslash goes before each backslash and each
 character that a control string can begin with, so no text can be read as a control string and all is reversible.
 
-Defined results. Null role or text: empty. Turns are ordered by turn, then role and text; repeated rows stay. Null conv_id is a
+Defined results. Null role or text: empty; an assistant turn without text has no learned token. Turns are ordered by turn, then role and text; repeated rows stay. Null conv_id is a
 conversation of its own. Other columns are ignored. Empty table: no row.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import join_hot, store
+from fieldloom.llm.common import in_parts, join_hot, store
 
 #: The template: what stands before and after the escaped text of a turn.
 MARKS = {"user": ("[INST] ", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("[SYS] ", "[/SYS]")}
@@ -40,6 +41,12 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def pieces_of(role: str, text: str) -> list[tuple[str, bool]]:
+    """The formatted turn in pieces that are tokenized apart, and whether each is learned."""
+    whole, loss = format_turn(role, text)
+    return [(whole[: loss[0]], False), (whole[slice(*loss)], True), (whole[loss[1] :], False)] if loss else [(whole, False)]
+
+
 def format_turn(role: str, text: str) -> tuple[str, tuple[int, int] | None]:
     """The formatted turn, and the span in it that the loss covers."""
     if role in MARKS:
@@ -74,7 +81,8 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 _encodings: dict = {}
 
 
-def token_ids(path: str, text: str) -> list[int]:
+def encoding(path: str):
+    """The tokenizer of a vocabulary, one for each Python worker."""
     if path not in _encodings:
         import base64
 
@@ -84,7 +92,7 @@ def token_ids(path: str, text: str) -> list[int]:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encodings[path] = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path].encode_ordinary(text)
+    return _encodings[path]
 
 
 def default_vocabulary() -> str:
@@ -94,16 +102,16 @@ def default_vocabulary() -> str:
 
 
 def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """nodes (node, start, end, position, depth, conversations, formatted, loss, ids, attends) in a token stream, and leaves
-    (conv_id, node) that name each conversation's last node. loss: spans of formatted; attends: the ancestors' spans in
-    stream order. Both are stored."""
+    """nodes (node, start, end, position, depth, conversations, ids, loss, attends) in a token stream, and leaves (conv_id,
+    node) that name each conversation's last node. loss: spans of ids; attends: the ancestors' spans in stream order. Both
+    are stored."""
     spark = conversations.sparkSession
     path = vocabulary or default_vocabulary()
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     def name(batches):
-        for b in batches:
+        for b in in_parts(batches):
             out: dict = {k: [] for k in ("conv_id", "at", "name", "parent", "role", "text")}
             for conv_id, own in zip(b.column("conv_id").to_pylist(), b.column("turns"), strict=True):
                 parent = ""
@@ -127,37 +135,47 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
     marked = marked.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "name", "head", "role", "text"))).alias("turns"))
 
     def grow(batches):
-        for b in batches:
+        for b in in_parts(batches):
             rows: list[list] = []
             for conv_id, own in zip(b.column("conv_id").to_pylist(), b.column("turns"), strict=True):
                 names: list[str] = []
                 for t in own.as_py():
                     if t["head"]:
                         names.append(t["name"])
-                        rows.append([conv_id, False, len(names) - 1, t["name"], list(names), "", []])
-                    text, loss = format_turn(t["role"], t["text"])
-                    if loss:
-                        n = len(rows[-1][5])
-                        rows[-1][6].append({"from": n + loss[0], "to": n + loss[1]})
-                    rows[-1][5] += text
+                        rows.append([conv_id, False, len(names) - 1, t["name"], list(names), []])
+                    for text, learned in pieces_of(t["role"], t["text"]):
+                        last = rows[-1][5]
+                        if last and not learned and not last[-1]["learned"]:
+                            last[-1]["text"] += text
+                        elif text:
+                            last.append({"text": text, "learned": learned})
                 if names:
                     rows[-1][1] = True
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            spans = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), spans)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["conv_id", "last", "depth", "node", "path", "formatted", "loss"])
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            parts = pa.list_(pa.struct([("text", pa.string()), ("learned", pa.bool_())]))
+            kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string()), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["conv_id", "last", "depth", "node", "path", "parts"])
 
-    shape = "depth int, path array<string>, formatted string, loss array<struct<from:long,to:long>>"
-    each = store(marked.mapInArrow(grow, f"conv_id long, last boolean, depth int, node string, {shape.split(', ', 1)[1]}"), "chains")
-    same = ("depth", "path", "formatted", "loss")
-    nodes = each.groupBy("node").agg(F.count("*").alias("conversations"), *[F.first(c).alias(c) for c in same])
+    shape = "depth int, path array<string>"
+    each = store(marked.mapInArrow(grow, "conv_id long, last boolean, depth int, node string, path array<string>, parts array<struct<text:string,learned:boolean>>"), "chains")
+    nodes = each.groupBy("node").agg(F.count("*").alias("conversations"), *[F.first(c).alias(c) for c in ("depth", "path", "parts")])
 
     def encode(batches):
-        for b in batches:
-            ids = [token_ids(path, x) for x in b.column("formatted").to_pylist()]
-            yield b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
-
-    nodes = store(nodes.mapInArrow(encode, f"node string, conversations long, {shape}, ids array<int>"), "nodes")
+        for b in in_parts(batches):
+            ids, loss = [], []
+            for own in b.column("parts").to_pylist():
+                line, spans = [], []
+                for part in own:
+                    found = encoding(path).encode_ordinary(part["text"])
+                    if part["learned"]:
+                        spans.append({"from": len(line), "to": len(line) + len(found)})
+                    line += found
+                ids.append(line)
+                loss.append(spans)
+            kept = {k: b.column(k) for k in ("node", "conversations", "depth", "path")}
+            yield pa.RecordBatch.from_pydict(kept | {"ids": pa.array(ids, pa.list_(pa.int32())), "loss": pa.array(loss, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))})
+
+    nodes = store(nodes.mapInArrow(encode, f"node string, conversations long, {shape}, ids array<int>, loss array<struct<from:int,to:int>>"), "nodes")
     # Depth-first order of all trees: a range sort, then sums inside and over partitions.
     order = nodes.select("node", F.size("ids").alias("n"), F.array_join("path", "").alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id())
     order = store(order, "order")
@@ -178,19 +196,28 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
     return store(out, "tree"), each.filter("last").select("conv_id", "node")
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss: array of texts): each conversation rebuilt from its leaf's own and attended spans."""
+def read_back(nodes: DataFrame, leaves: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(conv_id, formatted, loss: array of texts): each conversation decoded from the ids of its leaf's own and attended
+    spans, and from its learned ids."""
+    path = vocabulary or default_vocabulary()
     used = store(leaves.groupBy("node").agg(F.count("*").alias("n")), "leaves")
     spans = used.join(nodes, "node").select("node", "n", F.concat("attends", F.array(F.struct("start", "end"))).alias("spans"))
     # Equal conversations share a leaf, so each distinct one is put together once.
     wanted = spans.select("node", F.explode("spans.start").alias("start"))
-    many = store(wanted.groupBy("start").count().join(nodes.select("start", "formatted", "loss"), "start"), "wanted")
+    many = store(wanted.groupBy("start").count().join(nodes.select("start", "ids", "loss"), "start"), "wanted")
     pieces = join_hot(wanted, many, ["start"], F.col("node"), "count")
-    whole = pieces.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "formatted", "loss"))).alias("pieces"))
-    text = F.array_join(F.transform("pieces", lambda p: p.formatted), "")
-    loss = F.flatten(F.transform("pieces", lambda p: F.transform(p.loss, lambda m: F.substring(p.formatted, (m["from"] + 1).cast("int"), (m.to - m["from"]).cast("int")))))
-    whole = store(whole.select("node", text.alias("formatted"), loss.alias("loss")).join(used, "node"), "whole")
-    return join_hot(leaves, whole, ["node"], F.col("conv_id"), "n").drop("node")
+    whole = pieces.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "ids", "loss"))).alias("pieces"))
+
+    def decode(batches):
+        for b in in_parts(batches):
+            text, learned = [], []
+            for own in b.column("pieces").to_pylist():
+                text.append(encoding(path).decode_bytes([i for p in own for i in p["ids"]]).decode())
+                learned.append([encoding(path).decode_bytes(p["ids"][m["from"] : m["to"]]).decode() for p in own for m in p["loss"]])
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "formatted": pa.array(text, pa.string()), "loss": pa.array(learned, pa.list_(pa.string()))})
+
+    whole = store(whole.mapInArrow(decode, "node string, formatted string, loss array<string>").join(used, "node"), "whole")
+    return join_hot(leaves, whole, ["node"], F.monotonically_increasing_id(), "n").drop("node")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -199,7 +226,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
 
     def digest(batches):
-        for b in batches:
+        for b in in_parts(batches):
             out = []
             for formatted, loss in zip(b.column("formatted").to_pylist(), b.column("loss").to_pylist(), strict=True):
                 turns = read_turns(formatted)
