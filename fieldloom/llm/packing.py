@@ -2,7 +2,9 @@
 
 Each task packs the documents of its partition as they come: full windows are cut off a long document, and what remains
 goes to the fill level whose choice leaves the smallest sum over levels of squared counts of partially filled windows.
-The counts live in an array by level. When a partition ends (or too many windows are open), the open ones are cut and
+The counts live in an array by level. Memory is bounded by OPEN: where more windows would stay open, the fullest one is
+filled up from the least filled ones and closed, and the rule goes on with the rest; by its nature the rule keeps few
+windows open (on the driver's tables never more than some hundreds). When a partition ends, the open ones are cut and
 poured together, and the last one is cut into power-of-two lengths, which need no padding. Nothing is shuffled.
 
 Defined results. Null or empty text: the end id alone. Repeated rows are packed as often as they stand. An empty table
@@ -21,8 +23,10 @@ from pyspark.sql import DataFrame
 from fieldloom.llm.tokens import default_vocabulary, encoder
 
 LENGTH, END_ID = 2048, 1
-#: Open windows of a task before they are poured together.
+#: Open windows of a task at most.
 OPEN = 4096
+#: Pieces that a task holds before it hands them on.
+PIECES = 1024
 SHAPE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -76,35 +80,48 @@ class Packer:
             self.open[level].append(window)
             self.count[level] += 1
             if self.windows > OPEN:
-                self.pour(last=False)
-
-    def pour(self, last: bool = True) -> None:
-        """Empties the least filled windows into the fullest; last: also cuts what stays open into powers of two."""
-        held = [(level, w) for level in range(1, self.length) for w in self.open[level]]
-        self.count[:] = 0
-        self.open = [[] for _ in range(self.length + 1)]
-        low = 0
-        while low < len(held):
-            level, window = held.pop()
-            room = self.length - level
-            while room and low < len(held):
-                level, source = held[low]
+                self.top_up()
+
+    def take(self, level: int) -> list[tuple]:
+        """Takes a window off a level."""
+        self.count[level] -= 1
+        self.windows -= 1
+        return self.open[level].pop()
+
+    def fill(self, level: int, window: list[tuple]) -> int:
+        """Moves the least filled windows' last tokens into a window until it is full or none is left; its new level."""
+        while level < self.length and self.windows:
+            low = int(np.argmax(self.count > 0))
+            source = self.take(low)
+            while source and level < self.length:
                 doc_id, start, ids, total = source.pop()
-                n = min(room, len(ids) // 4)
+                n = min(self.length - level, len(ids) // 4)
                 window.append((doc_id, start, ids[: 4 * n], total))
                 if 4 * n < len(ids):
                     source.append((doc_id, start + n, ids[4 * n :], total))
-                held[low] = (level - n, source)
-                room -= n
-                low += not source
-            if not room:
-                self.close(window)
-            elif last:
-                self.close_in_powers(window)
-            else:
-                self.open[self.length - room].append(window)
-                self.count[self.length - room] += 1
-        self.windows = int(self.count.sum())
+                level, low = level + n, low - n
+            if source:
+                self.open[low].append(source)
+                self.count[low] += 1
+                self.windows += 1
+        return level
+
+    def fullest(self) -> int:
+        return self.length - int(np.argmax(self.count[::-1] > 0))
+
+    def top_up(self) -> None:
+        """Closes the fullest window, filled up from the least filled ones."""
+        level = self.fullest()
+        window = self.take(level)
+        if self.fill(level, window) == self.length:
+            self.close(window)
+        else:
+            self.close_in_powers(window)
+
+    def pour(self) -> None:
+        """Closes all windows."""
+        while self.windows:
+            self.top_up()
 
     def close_in_powers(self, window: list[tuple]) -> None:
         left = sum(len(p[2]) for p in window) // 4
@@ -143,8 +160,8 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 packer.add(doc_id, encode(text.as_py()) + end)
-            if packer.out:
-                yield packer.rows(keep_ids)
+                if len(packer.out) >= PIECES:
+                    yield packer.rows(keep_ids)
         packer.pour()
         yield packer.rows(keep_ids)
 
