@@ -1,8 +1,10 @@
 """Quality rules by host: rule failures are added up by host, rates are shrunk by a beta prior fitted to all hosts, and the
 host verdicts are joined back to the documents. DataFrame and SQL functions only.
 
-Base rules look at one text. A host (source) whose shrunk failure rate is above LIMIT takes its documents with it.
-The prior is fitted by the moments of the hosts' rates, in one row.
+Base rules look at one text. A host (source) whose shrunk failure rate is above LIMIT takes its documents with it. A host
+that is worse than the prior's mean with a chance of three in four or more is watched: its documents must also pass a
+stricter rule, at most MOST_SYMBOLS symbols in a hundred characters of words. The prior is fitted by the moments of the
+hosts' rates, in one row.
 
 Defined results. Null or empty text: no words, which fails the base rule. Null host: a host of its own. Repeated rows count as
 often as they stand. Other columns are ignored. Empty table: no row. A repeated 8-word window is one whose words are
@@ -14,12 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import join_hot, let, store, words_of
+from fieldloom.llm.common import SPACE, join_hot, let, store, words_of
 
 SPAN, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: The shrunk failure rate above which a host fails: most of its documents are bad.
 LIMIT = 0.5
-SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
+#: So many standard deviations of a host's rate above the prior's mean it is watched: a chance of three in four.
+WATCH = 0.6745
+#: Symbols in a hundred characters of words that a document of a watched host may have.
+MOST_SYMBOLS = 5
+SYMBOLS, WORDED = "[#*$%&|<>]+", r"[^\x20\x09-\x0D]"
 
 
 def repeated_words(words: Column, span: int = SPAN) -> Column:
@@ -35,10 +41,12 @@ def repeated_words(words: Column, span: int = SPAN) -> Column:
 
     def within(w: Column) -> Column:
         n = F.size(w) - span + 1
-        window = lambda i: F.slice(w, i, span)
-        short = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(window(i)))
-        long = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(window(i)).alias("a"), F.xxhash64(F.lit(7), window(i)).alias("b")))
-        some = let(short, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+        # Each word is hashed once; windows are hashed from their words' hashes, and once more where two seem equal.
+        once = F.transform(w, lambda x: F.xxhash64(x))
+        window = lambda h, i: F.slice(h, i, span)
+        short = lambda h: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(window(h, i)))
+        long = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(window(w, i)).alias("a"), F.xxhash64(F.lit(7), window(w, i)).alias("b")))
+        some = let(let(once, short), lambda h: F.size(F.array_distinct(h)) < F.size(h))
         return F.when((n > 1) & some, covered(long)).otherwise(0)
 
     return within(words)
@@ -47,13 +55,12 @@ def repeated_words(words: Column, span: int = SPAN) -> Column:
 def features(docs: DataFrame, host: Column) -> DataFrame:
     """The base counts of each document, one row for each row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    word = lambda line: F.translate(line, BLANKS, "") != ""
-    lines = F.filter(F.split(text, "\n", -1), word)
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORDED))
     counts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
     out = docs.select(
         "doc_id", host.alias("host"), counts.alias("c"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     out = out.select("doc_id", "host", "c.*", "word_chars", "n_symbols", "n_dup_lines")
@@ -61,8 +68,9 @@ def features(docs: DataFrame, host: Column) -> DataFrame:
 
 
 def host_verdicts(base: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """(h, n, failed, rate, host_failed): rate = (failed + a) / (n + a + b), where a and b fit the hosts' rates by moments:
-    mean m and variance v give strength m (1 - m) / v - 1, kept between 1 and 1000 (no spread: 1000)."""
+    """(h, n, failed, rate, watched, host_failed): rate = (failed + a) / (n + a + b), where a and b fit the hosts' rates by
+    moments: mean m and variance v give strength m (1 - m) / v - 1, kept between 1 and 1000 (no spread: 1000). A host's
+    rate is spread as the beta distribution that the prior and its own documents give."""
     hosts = store(base.groupBy("h").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed")), "hosts")
     share = F.col("failed") / F.col("n")
     prior = hosts.agg(F.avg(share).alias("m"), F.avg(share * share).alias("m2"))
@@ -71,22 +79,26 @@ def host_verdicts(base: DataFrame, limit: float = LIMIT) -> DataFrame:
     prior = prior.select("m", F.greatest(F.lit(1.0), F.least(F.lit(1000.0), strength)).alias("strength"))
     out = hosts.withColumn("_one", F.lit(1)).join(F.broadcast(prior.withColumn("_one", F.lit(1))), "_one").drop("_one")
     rate = (F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return out.select("h", "n", "failed", rate.alias("rate"), (rate > limit).alias("host_failed"))
+    out = out.withColumn("rate", rate)
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("strength") + 1))
+    watched = F.col("rate") - WATCH * spread > F.col("m")
+    return out.select("h", "n", "failed", "rate", watched.alias("watched"), (F.col("rate") > limit).alias("host_failed"))
 
 
 def quality_rules(docs: DataFrame, host: Column | None = None, limit: float = LIMIT) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, host_rate, kept)."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, watched, host_rate, kept)."""
     base = features(docs, F.col("source") if host is None else host)
     base = store(base.withColumn("h", F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit(""))), "features")
-    hosts = store(host_verdicts(base, limit).select("h", "n", "rate", "host_failed"), "verdicts")
-    out = join_hot(base, hosts, ["h"], F.xxhash64("doc_id", "word_chars"), "n")
-    kept = ~F.col("base_failed") & ~F.col("host_failed")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", F.col("rate").alias("host_rate"), kept.alias("kept"))
+    hosts = store(host_verdicts(base, limit).select("h", "n", "rate", "watched", "host_failed"), "verdicts")
+    out = join_hot(base, hosts, ["h"], F.monotonically_increasing_id(), "n")
+    strict = 100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("word_chars")
+    kept = ~F.col("base_failed") & ~F.col("host_failed") & ~(F.col("watched") & strict)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "watched", F.col("rate").alias("host_rate"), kept.alias("kept"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.drop("host_failed", "host_rate")
+    return out.drop("host_failed", "watched", "host_rate")
 
 
 OP5_SQL = f"""
@@ -105,7 +117,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '')
   h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM f GROUP BY ALL),
   m AS (SELECT avg(failed / n) AS m, avg(failed / n * (failed / n)) AS m2 FROM h),
   a AS (SELECT m, greatest(1.0, least(1000.0, CASE WHEN m2 - m * m > 1e-9 THEN m * (1 - m) / (m2 - m * m) - 1 ELSE 1000.0 END)) AS strength FROM m),
-  v AS (SELECT source, (failed + m * strength) / (n + strength) > {LIMIT} AS host_failed FROM h, a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
+  u AS (SELECT source, n, m, strength, (failed + m * strength) / (n + strength) AS rate FROM h, a),
+  v AS (SELECT source, rate > {LIMIT} AS host_failed, rate - {WATCH}::DOUBLE * sqrt(rate * (1 - rate) / (n + strength + 1)) > m AS watched FROM u)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT host_failed AND NOT (watched AND 100 * n_symbols > {MOST_SYMBOLS} * word_chars) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
