@@ -7,7 +7,8 @@ compared with all labelled vectors in blocks of exact cosine products, and its N
 similarity as weight.
 
 Defined results. Null, empty or blank text has no direction: score 0. A document that lies opposite to or across from all
-labelled ones gets the sample's mean label. Repeated rows get equal scores. Labels that are null or other than 0 and 1 are
+labelled ones gets the sample's mean label. Repeated rows get equal scores; of texts that share a labelled doc_id the one
+with the smallest hash is learned from. A null doc_id is never labelled; its text is scored like any other. Labels that are null or other than 0 and 1 are
 ignored, as are labels of held-out documents. No labels: score 0.5. Other columns are ignored. Empty table: no row.
 """
 
@@ -25,6 +26,8 @@ SAMPLE, RANK, NEIGHBOURS, THRESHOLD, FOLDS = 4000, 48, 25, 0.3, 5
 WORDS, ENDS, HABITS = 1024, 512, 12
 WIDTH = WORDS + ENDS + HABITS
 SHARPNESS = 8
+#: Texts that are described and compared at once.
+BLOCK = 256
 
 
 def describe(words: list[bytes]) -> np.ndarray:
@@ -97,6 +100,12 @@ class Model:
         return np.where(x.any(axis=1), np.clip(voted, 0, 1), 0.0)
 
 
+def scores(model: Model, b: pa.RecordBatch) -> np.ndarray:
+    """The score of each row's text, a few hundred rows at a time: texts may be very long and neighbours very many."""
+    parts = [model.score(np.stack([describe(w) for w in texts_of(b.slice(at, BLOCK))])) for at in range(0, b.num_rows, BLOCK)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
 def fold(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % FOLDS
 
@@ -109,6 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     halves = [known.filter(F.col("quality") == q).orderBy(*order).limit(sample // 2) for q in (0, 1)]
     chosen = store(halves[0].unionByName(halves[1]), "sample")
     held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Of texts that share a doc_id the same one is taken in every run.
+    held = held.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for b in batches:
@@ -116,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
             at = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "quality": b.column("quality").cast(pa.int32()), "i": pa.array(at, pa.list_(pa.int32())), "x": pa.array([r[a] for r, a in zip(x, at, strict=True)], pa.list_(pa.float32()))})
 
-    rows = held.mapInArrow(run, "doc_id long, quality int, i array<int>, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = held.mapInArrow(run, "doc_id long, quality int, i array<int>, x array<float>").orderBy("doc_id").toArrow()
     x = np.zeros((rows.num_rows, WIDTH), np.float32)
     for k, (i, v) in enumerate(zip(rows.column("i").to_pylist(), rows.column("x").to_pylist(), strict=True)):
         x[k, i] = v
@@ -133,8 +144,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = np.stack([describe(w) for w in texts_of(b)]) if b.num_rows else np.zeros((0, WIDTH), np.float32)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(shared.value.score(x), pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(scores(shared.value, b), pa.float64())})
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -146,9 +156,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                x = np.stack([describe(w) for w in texts_of(b)])
-                yield b.filter(pa.array(shared.value.score(x) >= threshold))
+            yield b.filter(pa.array(scores(shared.value, b) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
