@@ -9,7 +9,8 @@ The apportionment never lists all quotients: with V votes, Q seats and S parties
 with V / d within S / 2 of Q, so all but about 3 S seats are certain and only the rest is contested.
 
 Defined results. Null or empty text: size 0, taken 0. Null source: a source of its own, last in order. Repeated rows count as
-often as they stand (equal ones are ordered by size, so results agree). Other columns are ignored. Empty table: no row.
+often as they stand; rows that share a doc_id are ordered by size and by their text's hash, so reruns agree, and each
+takes its own share. Other columns are ignored by mix and pass through mixed_documents. Empty table: no row.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import join_hot, store, words_of
+from fieldloom.llm.common import fresh, join_hot, store, words_of
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 17
 #: Blocks of the whole mix, and documents of a shard, about.
@@ -58,9 +59,11 @@ def apportion(parties: DataFrame, seats: Column, within: list[str], order: list[
     return won
 
 
-def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source)."""
-    sizes = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), order_key(F.col("doc_id"), seed).alias("key"))
+def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shard: int = SHARD, row: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source). row: a column that tells rows
+    apart (long); it is then in doc_id's place."""
+    size, th = F.size(words_of(F.col("text"))).cast("long"), F.xxhash64("text")
+    sizes = docs.select("doc_id", "source", size.alias("size"), order_key(F.col("doc_id"), seed).alias("key"), th.alias("th"), *([F.col(row).alias("row")] if row else []))
     sizes = store(sizes.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), "sizes")
     sources = store(targets(sizes.groupBy("s", "source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))), "sources")
     total = sources.agg(F.sum("n")).first()[0] or 0
@@ -69,28 +72,29 @@ def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shard: int = SH
     sources = sources.join(quotas, "at", "left").select("s", F.col("n").alias("source_size"), "target", "docs", F.coalesce("quota", F.lit(0)).alias("seats"), F.greatest(F.lit(1), F.floor(F.col("docs") / shard)).cast("long").alias("shards"))
     sources = store(sources, "quotas")
     at = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("shards")
-    placed = join_hot(sizes.drop("source"), sources, ["s"], F.col("doc_id"), "docs").withColumn("shard", at)
+    placed = join_hot(sizes.drop("source"), sources, ["s"], F.monotonically_increasing_id(), "docs").withColumn("shard", at)
     cells = store(placed.groupBy("s", "shard").agg(F.sum("size").alias("words"), F.max("seats").alias("seats")), "cells")
     shares = apportion(cells.select("s", "shard", "seats", F.col("words").cast("double").alias("votes")), F.col("seats"), ["s"], ["s", "shard"])
     take = F.least(F.col("quota") * block, REPEATS * F.col("words"))
     cells = cells.join(shares, ["s", "shard"], "left").select("s", "shard", "words", F.coalesce(take, F.lit(0)).alias("take"))
-    ring = Window.partitionBy("s", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ring = Window.partitionBy("s", "shard").orderBy("key", "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(store(cells, "takes"), ["s", "shard"]).withColumn("start", F.coalesce(F.sum("size").over(ring), F.lit(0)))
     words = F.greatest(F.col("words"), F.lit(1))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("take") % words - F.col("start")))
-    return out.select("doc_id", "size", "source_size", "target", (F.floor(F.col("take") / words) * F.col("size") + part).cast("long").alias("taken"))
+    return out.select("row" if row else "doc_id", "size", "source_size", "target", (F.floor(F.col("take") / words) * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs as the mix has them: as many whole copies as taken holds, and the first words of one more. Text that is not
-    whole is cut after its last taken word. Rows that share doc_id and text are repeated alike."""
-    small = mix(docs, seed).groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    full, rest = F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int"), F.col("taken") % F.greatest(F.col("size"), F.lit(1))
-    out = docs.withColumn("size", F.size(words_of(F.col("text"))).cast("long"))
-    out = out.join(small.withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_n"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_n")))
+    whole is cut after its last taken word."""
+    row, taken, size, own, copies = fresh(docs.columns, "row", "taken", "size", "own", "copies")
+    docs_ = store(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    shares = mix(docs_, seed, row=row).filter("taken > 0").select(F.col("row").alias(own), F.col("taken").alias(taken), F.col("size").alias(size))
+    out = docs_.join(shares, docs_[row] == shares[own])
+    full, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), F.col(taken) % F.col(size)
     cut = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1), F.lit(1), rest.cast("int")), "")
-    copies = F.concat(F.array_repeat("text", full), F.when(rest > 0, F.array(cut)).otherwise(F.expr("array()").cast("array<string>")))
-    return out.withColumn("_copies", copies).withColumn("text", F.explode("_copies")).select(*docs.columns)
+    all_ = F.concat(F.array_repeat("text", full), F.when(rest > 0, F.array(cut)).otherwise(F.expr("array()").cast("array<string>")))
+    return out.withColumn(copies, all_).withColumn("text", F.explode(copies)).select(*docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
