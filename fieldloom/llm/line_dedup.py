@@ -6,7 +6,8 @@ once in the corpus is removed everywhere but at its first place (smallest doc_id
 were compared: if chunks with one hash differ, the whole run is repeated with a 256-bit hash. DataFrame functions only.
 
 Defined results. Null text stays null; an empty text is one empty line and stays. Lines are split at \\n alone. Rows that share
-doc_id and text are one document to the count and get equal results. Other columns pass through. Empty table: no row.
+doc_id and text are one document to the count and get equal results; a null doc_id comes before all others. Other columns
+pass through; where one is named as a count of ours, ours has an underscore more. Empty table: no row.
 
 Chunks miss the short passages: one-line chunks never count, and what stands outside a passage's first and last boundary
 stays. passage_dedup misses none: a window is two neighbouring lines with words, with the blank lines between them, or one
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import discard, join_hot, let, store
+from fieldloom.llm.common import discard, fresh, join_hot, let, store
 
 EVERY = 3
 #: What the previous line's hash is multiplied by in the rolling hash over two lines.
@@ -56,7 +57,6 @@ def several(chunk: Column) -> Column:
 
 def line_dedup(docs: DataFrame, every: int = EVERY, wide: bool = False) -> DataFrame:
     """docs with text cleaned, and n_lines, n_removed (lines) added. wide: hash chunks to 256 bits from the start."""
-    spark = docs.sparkSession
     digest = (lambda c: F.sha2(c.cast("binary"), 256)) if wide else F.xxhash64
     mark = F.xxhash64("text")
     each = docs.select("doc_id", mark.alias("th"), F.posexplode(F.transform(chunks(F.col("text"), every), lambda c: F.when(several(c), digest(c)))).alias("no", "h"))
@@ -66,25 +66,30 @@ def line_dedup(docs: DataFrame, every: int = EVERY, wide: bool = False) -> DataF
     repeated = store(repeated.select("h", F.col("first.doc_id").alias("fd"), F.col("first.th").alias("ft"), F.col("first.no").alias("fn"), "n"), "repeated")
     kept = F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft")) & (F.col("no") == F.col("fn"))
     found = join_hot(each, repeated, ["h"], F.xxhash64("doc_id", "no"), "n")
-    marks = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("no", "h", (~kept).alias("gone"))).alias("marks"))
-    marks = marks.withColumnRenamed("doc_id", "_id")
-    both = docs.withColumn("_th", mark).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left").drop("_id", "_th", "th")
-    both = store(both, "marked")
+    both, marks = marked(docs, found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("no", "h", (~kept).alias("gone"))).alias("marks")))
     discard(each)
-    del found, marks
     # The bytes of all chunks with one hash are equal if the least and the greatest are.
-    texts = both.filter("marks is not null").select(F.explode(let(chunks(F.col("text"), every), lambda c: F.transform(F.col("marks"), lambda m: F.struct(m.h.alias("h"), F.get(c, m.no).alias("c"))))).alias("x"))
+    texts = both.filter(F.col(marks).isNotNull()).select(F.explode(let(chunks(F.col("text"), every), lambda c: F.transform(marks, lambda m: F.struct(m.h.alias("h"), F.get(c, m.no).alias("c"))))).alias("x"))
     unequal = texts.groupBy("x.h").agg(F.min("x.c").alias("a"), F.max("x.c").alias("b")).filter("a <> b")
     if unequal.limit(1).count():
         return line_dedup(docs, every, wide=True)
-    gone = F.transform(F.filter("marks", lambda m: m.gone), lambda m: m.no)
+    gone = F.transform(F.filter(marks, lambda m: m.gone), lambda m: m.no)
     lines = lambda c: F.size(F.split(c, "\n", -1))
     cut = let(gone, lambda g: F.filter(chunks(F.col("text"), every), lambda c, k: ~F.array_contains(g, k)))
-    some = F.coalesce(F.exists("marks", lambda m: m.gone), F.lit(False))
-    out = both.withColumn("_kept", F.when(some, cut))
-    left = F.when(F.size("_kept") > 0, lines(F.array_join("_kept", "\n"))).otherwise(0)
-    out = out.withColumn("n_lines", lines(F.coalesce("text", F.lit(""))).cast("long")).withColumn("n_removed", F.when(some, F.col("n_lines") - left).otherwise(0).cast("long"))
-    return out.withColumn("text", F.when(some, F.array_join("_kept", "\n")).otherwise(F.col("text"))).drop("_kept", "marks")
+    some = F.coalesce(F.exists(marks, lambda m: m.gone), F.lit(False))
+    n_lines, n_removed, left = fresh([*docs.columns, marks], "n_lines", "n_removed", "left")
+    out = both.withColumn(left, F.when(some, cut)).withColumn(n_lines, lines(F.coalesce("text", F.lit(""))).cast("long"))
+    rest = F.when(F.size(left) > 0, lines(F.array_join(left, "\n"))).otherwise(0)
+    out = out.withColumn(n_removed, F.when(some, F.col(n_lines) - rest).otherwise(0).cast("long"))
+    return out.withColumn("text", F.when(some, F.array_join(left, "\n")).otherwise(F.col("text"))).select(*docs.columns, n_lines, n_removed)
+
+
+def marked(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the column marks of marks (doc_id, th, marks), null where there are none, and that column's name. Stored."""
+    name, th, own_id, own_th = fresh(docs.columns, "marks", "th", "own_id", "own_th")
+    marks = marks.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), F.col("marks").alias(name))
+    both = docs.withColumn(th, F.xxhash64("text")).join(marks, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(th) == F.col(own_th)), "left")
+    return store(both.select(*docs.columns, name), "marked"), name
 
 
 def windows(text: Column, long: int = LONG) -> Column:
@@ -106,7 +111,6 @@ def windows(text: Column, long: int = LONG) -> Column:
 
 def passage_dedup(docs: DataFrame, long: int = LONG, wide: bool = False) -> DataFrame:
     """docs with text cleaned of all repeated passages, and n_lines, n_removed (lines) added. wide: hash to 256 bits."""
-    spark = docs.sparkSession
     digest = (lambda c: F.sha2(c.cast("binary"), 256)) if wide else F.xxhash64
     mark = F.xxhash64("text")
     each = docs.select("doc_id", mark.alias("th"), F.explode(F.transform(windows(F.col("text"), long), lambda w: F.struct(w.a.alias("a"), w.b.alias("b"), digest(w.text).alias("h")))).alias("x"))
@@ -116,24 +120,21 @@ def passage_dedup(docs: DataFrame, long: int = LONG, wide: bool = False) -> Data
     repeated = store(repeated.select("h", F.col("first.doc_id").alias("fd"), F.col("first.th").alias("ft"), F.col("first.a").alias("fa"), "n"), "repeated")
     kept = F.col("doc_id").eqNullSafe(F.col("fd")) & F.col("th").eqNullSafe(F.col("ft")) & (F.col("a") == F.col("fa"))
     found = join_hot(each, repeated, ["h"], F.xxhash64("doc_id", "a"), "n")
-    marks = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b", "h", (~kept).alias("gone"))).alias("marks"))
-    marks = marks.withColumnRenamed("doc_id", "_id")
-    both = docs.withColumn("_th", mark).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th")), "left").drop("_id", "_th", "th")
-    both = store(both, "marked")
+    both, marks = marked(docs, found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b", "h", (~kept).alias("gone"))).alias("marks")))
     discard(each)
-    del found, marks
     split = lambda: F.split(F.coalesce("text", F.lit("")), "\n", -1)
     # The bytes of all windows with one hash are equal if the least and the greatest are.
-    texts = both.filter("marks is not null").select(F.explode(let(split(), lambda c: F.transform(F.col("marks"), lambda m: F.struct(m.h.alias("h"), F.array_join(F.slice(c, m.a + 1, m.b - m.a + 1), "\n").alias("c"))))).alias("x"))
+    texts = both.filter(F.col(marks).isNotNull()).select(F.explode(let(split(), lambda c: F.transform(marks, lambda m: F.struct(m.h.alias("h"), F.array_join(F.slice(c, m.a + 1, m.b - m.a + 1), "\n").alias("c"))))).alias("x"))
     unequal = texts.groupBy("x.h").agg(F.min("x.c").alias("a"), F.max("x.c").alias("b")).filter("a <> b")
     if unequal.limit(1).count():
         return passage_dedup(docs, long, wide=True)
-    gone = F.flatten(F.transform(F.filter("marks", lambda m: m.gone), lambda m: F.sequence(m.a, m.b)))
+    gone = F.flatten(F.transform(F.filter(marks, lambda m: m.gone), lambda m: F.sequence(m.a, m.b)))
     left = let(split(), lambda c: F.transform(F.array_except(F.sequence(F.lit(0), F.size(c) - 1), gone), lambda i: F.get(c, i)))
-    some = F.coalesce(F.exists("marks", lambda m: m.gone), F.lit(False))
-    out = both.withColumn("_kept", F.when(some, left)).withColumn("n_lines", F.size(split()).cast("long"))
-    out = out.withColumn("n_removed", F.when(some, F.col("n_lines") - F.size("_kept")).otherwise(0).cast("long"))
-    return out.withColumn("text", F.when(some, F.array_join("_kept", "\n")).otherwise(F.col("text"))).drop("_kept", "marks")
+    some = F.coalesce(F.exists(marks, lambda m: m.gone), F.lit(False))
+    n_lines, n_removed, rest = fresh([*docs.columns, marks], "n_lines", "n_removed", "left")
+    out = both.withColumn(rest, F.when(some, left)).withColumn(n_lines, F.size(split()).cast("long"))
+    out = out.withColumn(n_removed, F.when(some, F.col(n_lines) - F.size(rest)).otherwise(0).cast("long"))
+    return out.withColumn("text", F.when(some, F.array_join(rest, "\n")).otherwise(F.col("text"))).select(*docs.columns, n_lines, n_removed)
 
 
 def outcome(out: DataFrame) -> DataFrame:
