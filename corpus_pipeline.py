@@ -1,6 +1,10 @@
 """The corpus pipeline: its stages, each written as Parquet and read again as the next one's documents.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+
+Defined results. Null or empty text: scored 0 by the classifier, so it goes there. A null or repeated doc_id names a row like any
+other: no stage joins rows by it. Other columns, whatever their names, pass through every stage but the last. Empty table:
+every stage gives no row.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.classifier import fit, keep_good
 from fieldloom.llm.common import store
-from fieldloom.llm.line_dedup import passage_dedup
+from fieldloom.llm.line_dedup import WORDED, passage_dedup
 from fieldloom.llm.mixing import mixed_documents
 from fieldloom.llm.packing import pack
 from fieldloom.llm.simhash import near_duplicates
@@ -23,14 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of lines go; a document that they made up goes with them."""
-    out = passage_dedup(docs).filter(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = passage_dedup(docs)
+    n_removed = F.col(out.columns[-1])
+    out = out.filter((n_removed == 0) | F.col("text").rlike(WORDED))
+    return out.withColumn("n_chars", F.when(n_removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near-duplicates stays, one with the smallest doc_id (null comes last)."""
+    out = near_duplicates(docs, docs.columns)
+    return out.filter(F.col(out.columns[-1])).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
