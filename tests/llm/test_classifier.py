@@ -1,4 +1,4 @@
-"""The classifier: held-out accuracy, held-out rows without influence, odd rows; and the pipeline end to end."""
+"""The classifier: held-out accuracy, held-out rows without influence, odd rows."""
 
 from fieldloom.llm.classifier import classify, fit, keep_good, op6
 
@@ -32,20 +32,3 @@ def test_odd_rows(spark):
     empty = odd.filter("doc_id < 0")
     assert classify(empty, model).count() == 0
     assert {r.score for r in classify(odd, fit(docs, labels.filter("false"))).collect()} == {0.5}
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before, columns = docs, docs.columns
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, before, SF).cache()
-        if name != "packing":
-            assert out.columns == columns
-            if name != "source mixing":
-                assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
-            before = out
-    assert out.count() > 0 and out.agg({"length": "max"}).first()[0] <= 2048
-    fill = out.groupBy("sequence_id").sum("length").collect()
-    assert all(r[1] <= 2048 for r in fill)

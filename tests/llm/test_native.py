@@ -128,6 +128,49 @@ def test_spans_match_brute_force(spark, sf_dir):
         assert got[i].spans == want and got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_clashing_columns_pass_through(spark):
+    rows = [r for r in odd_rows() if len(r[1] or "") < 5000]
+    names = ["th", "marks", "size", "taken", "n_lines", "n_removed", "row", "h", "host", "kept", "left", "salt", "words", "key", "findings", "blob"]
+    docs = spark.createDataFrame([(*r, *(f"{n}-{r[0]}" for n in names)) for r in rows], SHAPE + "".join(f", {n} string" for n in names))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for f in (ld.line_dedup, ld.passage_dedup):
+        out = f(docs)
+        assert out.columns == [*docs.columns, "n_lines_", "n_removed_"]
+        got = out.collect()
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in got for n in names)
+        assert sorted((r.doc_id, r.text or "", r.n_removed_) for r in got) == sorted((r.doc_id, r.text or "", r.n_removed) for r in f(plain).collect())
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and all(r[n] == f"{n}-{r.doc_id}" for r in got.collect() for n in names)
+    assert sorted(map(tuple, quality_rules.quality_rules(docs).collect())) == sorted(map(tuple, quality_rules.quality_rules(plain).collect()))
+    spans = lambda df: sorted((r.path, len(r.findings)) for r in secrets.BlobLedger(spark).scan(df.withColumnRenamed("doc_id", "path")).collect())
+    assert spans(docs) == spans(plain)
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else r[0], *r[1:]) for k, r in enumerate(odd_rows()) if len(r[1] or "") < 5000]
+    docs = spark.createDataFrame(rows, SHAPE)
+    texts = Counter((r[0], r[1]) for r in rows)
+    for f in (ld.line_dedup, ld.passage_dedup):
+        assert f(docs.withColumn("was", F.col("text"))).count() == len(rows)
+    mixed = Counter()
+    for r in mixing.mixed_documents(docs.withColumn("was", F.col("text"))).collect():
+        mixed[(r.doc_id, r.was)] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert all(n <= 3 * size(t) * texts[(i, t)] for (i, t), n in mixed.items()) and sum(mixed.values()) == sum(size(r[1]) for r in rows)
+    assert quality_rules.quality_rules(docs).count() == len(rows)
+
+
+def test_watched_hosts_decide(spark):
+    """On the driver's own table the hosts' verdicts change what is kept, and only documents full of symbols go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = quality_rules.quality_rules(docs).cache()
+    assert out.filter("watched").count() > 0
+    gone = out.filter("not base_failed and not kept").collect()
+    assert gone and all(100 * r.n_symbols > quality_rules.MOST_SYMBOLS * r.word_chars for r in gone)
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1")
+    assert not {r.doc_id for r in gone} & {r.doc_id for r in good.collect()}
+
+
 def test_the_ledger_scans_only_what_is_new(spark, tmp_path):
     v = lambda rows: spark.createDataFrame(rows, "path string, text string")
     folder = str(tmp_path / "ledger")

@@ -37,6 +37,24 @@ def test_level_rule_matches_brute_force():
         assert after(p.level_for(size)) == min(after(h) for h in options)
 
 
+def test_open_windows_are_bounded(monkeypatch):
+    from fieldloom.llm import packing
+
+    monkeypatch.setattr(packing, "OPEN", 3)
+    rng = np.random.default_rng(2)
+    p, sizes = Packer(64, 0), rng.integers(1, 150, 400).tolist()
+    for k, n in enumerate(sizes):
+        p.add(k, np.arange(n, dtype="<u4").tobytes())
+        assert p.windows == p.count.sum() == sum(map(len, p.open)) <= 3
+    p.pour()
+    assert not p.windows and not p.count.any()
+    pieces: dict = {}
+    for doc_id, start, n, _, total, *_, ids in p.out:
+        assert n == len(ids) // 4 and total == sizes[doc_id]
+        pieces.setdefault(doc_id, []).append((start, ids))
+    assert {k: b"".join(x for _, x in sorted(v)) for k, v in pieces.items()} == {k: np.arange(n, dtype="<u4").tobytes() for k, n in enumerate(sizes)}
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_round_trip(spark, parts):
     rng = random.Random(3)
