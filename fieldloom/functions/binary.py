@@ -25,6 +25,12 @@ def unsigned(data: Column, offset, n: int) -> Column:
     return F.when((at >= 0) & (F.octet_length(data) >= at + n), value)
 
 
+def underflow(data: Column, offset, n: int) -> Column:
+    """Why a field of n bytes cannot be read, or null."""
+    at = as_int(offset)
+    return F.when(data.isNull(), "no bytes").when(at < 0, "before the start").when(F.octet_length(data) < at + n, "past the end")
+
+
 def sign_magnitude(data: Column, offset, n: int) -> Column:
     """Big-endian number whose top bit is the sign and whose other bits are the magnitude."""
     v, top = unsigned(data, offset, n), 1 << (8 * n - 1)

@@ -69,6 +69,18 @@ def set_bits(spark, d):
     return bytes_of(spark, d).select("doc_id", b.set_bits(c("data")).alias("bits"))
 
 
+@query("P-05_bounded_reads", "SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) < 100 + 4 THEN 'past the end' END AS error, CASE WHEN strlen(coalesce(text, '')) >= 104 THEN CAST('0x' || substr(hex(encode(coalesce(text, ''))), 201, 8) AS BIGINT) END AS value FROM documents")
+def bounded_reads(spark, d):
+    return bytes_of(spark, d).select("doc_id", b.underflow(c("data"), 100, 4).alias("error"), b.unsigned(c("data"), 100, 4).alias("value"))
+
+
+@query("S-01_read_files", "SELECT 'PAR1' AS opening, count(*) AS files FROM (SELECT 1)")
+def whole_files(spark, d):
+    from fieldloom.sources.files import read_files
+
+    return read_files(spark, f"{d}/region.parquet").groupBy(F.decode(F.expr("substring(content, 1, 4)"), "ISO-8859-1").alias("opening")).agg(F.count("*").alias("files"))
+
+
 @query("S-15_format_bits", "SELECT o_orderkey, lpad(bin(o_custkey), 24, '0') AS bits FROM orders")
 def bits(spark, d):
     return table(spark, d, "orders").select("o_orderkey", b.format_bits(c("o_custkey"), 24).alias("bits"))
@@ -85,11 +97,14 @@ def points(spark, d):
 STEP, LOW, LOW_WORD, BITS = 7, -16.0, 0xC2100000, 12
 
 
+def raw_of(vector):
+    """The packed numbers of a vector."""
+    return F.transform(vector, lambda v: F.greatest(F.lit(0), F.least(F.lit((1 << BITS) - 1), F.floor((v.cast("double") - LOW) * (1 << STEP) + 0.5))).cast("long"))
+
+
 def messages(spark, d):
     """Each vector as one message: four rows of 16 points that unfold to 31."""
-    rows = table(spark, d, "embeddings")
-    raw = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit((1 << BITS) - 1), F.floor((v.cast("double") - LOW) * (1 << STEP) + 0.5))).cast("long"))
-    rows = rows.withColumn("raw", raw)
+    rows = table(spark, d, "embeddings").withColumn("raw", raw_of(c("embedding")))
     code = F.get(F.array(*map(F.lit, (7, 11, 52, 33, 34))), (c("vec_id") % 5).cast("int"))
     level = F.get(F.array(*map(F.lit, (100, 6, 7))), (c("vec_id") % 3).cast("int"))
     when = F.timestamp_seconds(F.lit(946684800) + c("vec_id") * 3600)
@@ -127,6 +142,50 @@ def decoded_sections(spark, d):
     return out.select("vec_id", c("pds.len").alias("pds_len"), c("gds.len").alias("gds_len"), c("bds.len").alias("bds_len"), c("gds.ni").alias("ni"), c("gds.nj").alias("nj"), b.array_sum(c("gds.pir")).alias("packed"), c("bds.scale").alias("scale"), c("bds.fref").alias("reference"), "end_ok")
 
 
+@query(
+    "P-24_decode_without_rows",
+    f"SELECT vec_id, (i % 16)::INT AS x, (i // 16)::INT AS y, round((greatest(0, least({(1 << BITS) - 1}, floor((embedding[i + 1]::DOUBLE + 16) * 128 + 0.5))) / 128 - 16), 6) + 0.0 AS value FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings)",
+)
+def decoded_without_rows(spark, d):
+    """Each vector as a message of four rows of 16 points, without a list of points in row."""
+    made = grib.encode(F.lit(11), F.lit(100), F.lit(500), F.timestamp_seconds(F.lit(946684800)), F.lit(0), (F.lit(1), F.lit(0), F.lit(0), F.lit(1)), F.lit(16), F.lit(None).cast("array<int>"), raw_of(c("embedding")), BITS, F.lit(-STEP), F.lit(LOW_WORD), F.lit(0))
+    out = grib.decode_surfaces(table(spark, d, "embeddings").select("vec_id", made.alias("message")))
+    return grib.surface_cells(out.filter("error is null"), ["vec_id"]).withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query("P-26_decode_grid", f"SELECT vec_id, 31::INT AS nx, 4::INT AS ny, 124::INT AS n, round(max(greatest(0, least({(1 << BITS) - 1}, floor((v::DOUBLE + 16) * 128 + 0.5))) / 128 - 16), 6) AS hi FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY 1")
+def decoded_grid(spark, d):
+    out = grib.decode_surfaces(messages(spark, d))
+    return out.select("vec_id", "nx", "ny", F.size("buf").alias("n"), F.round(F.array_max("buf"), 6).alias("hi"))
+
+
+@query("P-09_rotated_grid", "SELECT vec_id, 10::BIGINT AS type, -(vec_id % 90000)::BIGINT AS pole_lat, (vec_id % 1000)::BIGINT AS pole_lon, (vec_id % 90 * 1000)::BIGINT AS la1 FROM embeddings")
+def rotated(spark, d):
+    """The grid section of each message, made a rotated one."""
+    rows = messages(spark, d).withColumn("gds", F.expr("substring(message, 37, 40)"))
+    head = F.concat(F.unhex(F.lit("00002A0021" + "0A")), F.expr("substring(gds, 7, 26)"))
+    poles = F.unhex(F.concat(grib.signed_hex(-(c("vec_id") % 90000), 3), grib.signed_hex(c("vec_id") % 1000, 3), F.lit("00000000")))
+    got = rows.select("vec_id", grib.decode_gds(F.concat(head, poles), F.lit(0)).alias("g"))
+    return got.select("vec_id", "g.type", "g.pole_lat", "g.pole_lon", "g.la1")
+
+
+@query("P-11_bitmap", "SELECT doc_id, (least(strlen(coalesce(text, '')), 60) * 8 - 3)::INT AS n, 3::BIGINT AS unused, (bit_count(encode(coalesce(text, ''))[1:least(strlen(coalesce(text, '')), 60)]::BIT))::BIGINT AS bits FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '@', 'g')[:59] || CASE WHEN length(text) > 0 THEN '@' END AS text FROM documents WHERE length(text) > 0)")
+def bitmap(spark, d):
+    """The first bytes of each text as a bitmap whose last three bits are not used (the last byte, 64, has none there)."""
+    text = F.concat(F.substring(F.regexp_replace("text", "[^ -~]", "@"), 1, 59), F.lit("@"))
+    rows = table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", text.cast("binary").alias("data"))
+    section = F.concat(F.unhex(F.concat(grib.hex_of(F.octet_length("data") + 6, 3), F.lit("03"), F.lit("0000"))), c("data"))
+    got = rows.select("doc_id", grib.decode_bms(section, F.lit(0)).alias("m"))
+    return got.select("doc_id", F.size("m.bits").alias("n"), c("m.unused_bits").alias("unused"), b.array_sum(c("m.bits")).alias("bits"))
+
+
+@query("S-15_section_text", "SELECT vec_id, 'pds param ' || [7, 11, 52, 33, 34][vec_id % 5 + 1] || chr(10) || 'pds level_flg ' || [100, 6, 7][vec_id % 3 + 1] AS shown, 52::INT AS lines FROM embeddings")
+def section_text(spark, d):
+    rows = grib.decode_sections(messages(spark, d))
+    text = rows.select("vec_id", grib.section_text(rows).alias("t"))
+    return text.select("vec_id", F.regexp_extract("t", r"pds param \d+\npds level_flg \d+", 0).alias("shown"), F.size(F.split("t", "\n")).alias("lines"))
+
+
 # --- framed bulletins ------------------------------------------------------------------------------------------------
 
 
@@ -212,14 +271,57 @@ def shape_attributes(spark, d):
     data = rows.groupBy(c("c_nationkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", record.alias("r")))).alias("r"))
     field = lambda name, kind, size, places: name.encode().ljust(11, b"\0") + kind + bytes(4) + bytes([size, places]) + bytes(14)
     fields = field("KEY", b"N", 8, 0) + field("SEGMENT", b"C", 12, 0) + field("BALANCE", b"N", 9, 2)
-    little = lambda n: F.concat(F.substring(n, 7, 2), F.substring(n, 5, 2), F.substring(n, 3, 2), F.substring(n, 1, 2))
-    count = little(F.lpad(F.hex(F.size("r").cast("long")), 8, "0"))
-    head = F.concat(F.lit("03010101"), count, F.lit((32 + len(fields) + 1).to_bytes(2, "little").hex() + (30).to_bytes(2, "little").hex() + "00" * 20 + fields.hex() + "0d"))
+    head = F.concat(F.lit("03010101"), little(F.size("r")), F.lit((32 + len(fields) + 1).to_bytes(2, "little").hex() + (30).to_bytes(2, "little").hex() + "00" * 20 + fields.hex() + "0d"))
     made = data.select("path", F.unhex(F.concat(head, F.hex(F.array_join(F.transform("r", lambda x: x.r), "")))).alias("content"))
     wide = files.attributes_wide(files.shape_attributes(made), ["KEY", "SEGMENT", "BALANCE"])
     return wide.select("path", "id", c("KEY.i").alias("key"), c("SEGMENT.s").alias("segment"), c("BALANCE.d").alias("balance"))
 
 
+def double_hex(n):
+    """The bytes of a whole number from 0 to 2^20 as a double, least first."""
+    e = F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) + 1e-9).cast("int")
+    high = (F.lit(1023) + e).cast("long") * (1 << 20) + (n * F.pow(F.lit(2.0), 20 - e)).cast("long") - (1 << 20)
+    h = F.lpad(F.hex(high), 8, "0")
+    return F.when(n == 0, F.lit("0" * 16)).otherwise(F.concat(F.lit("0" * 8), F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)))
+
+
+def little(n):
+    h = F.lpad(F.hex(n.cast("long")), 8, "0")
+    return F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
+
+
+@query("S-08_shape_vertices", "SELECT c_nationkey::VARCHAR AS path, (row_number() OVER w - 1)::INT AS id, k::INT AS seq, CASE k WHEN 0 THEN 'move_to' WHEN 3 THEN 'close' ELSE 'line_to' END AS cmd, (c_custkey + CASE WHEN k IN (1, 2) THEN 5 ELSE 0 END)::DOUBLE AS x, (c_custkey % 90 + CASE WHEN k = 2 THEN 7 ELSE 0 END)::DOUBLE AS y FROM customer, range(0, 4) r(k) WINDOW w AS (PARTITION BY c_nationkey, k ORDER BY c_custkey)")
+def shape_vertices(spark, d):
+    """A shapefile a nation, a triangle a customer."""
+    from fieldloom.sources import files
+
+    k = c("c_custkey")
+    corners = [(k, k % 90), (k + 5, k % 90), (k + 5, k % 90 + 7), (k, k % 90)]
+    body = F.concat(F.lit("05000000" + "0" * 64), little(F.lit(1)), little(F.lit(4)), little(F.lit(0)), *[double_hex(v) for xy in corners for v in xy])
+    record = F.concat(F.lpad(F.hex(k), 8, "0"), F.lpad(F.hex((F.length(body) / 4).cast("long")), 8, "0"), body)
+    rows = table(spark, d, "customer").groupBy(c("c_nationkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", record.alias("r")))).alias("r"))
+    made = rows.select("path", F.unhex(F.concat(F.lit("0" * 200), F.array_join(F.transform("r", lambda x: x.r), ""))).alias("content"))
+    return files.shape_vertices(made).filter("error is null").select("path", "id", "seq", "cmd", "x", "y")
+
+
+@query("S-10_png_pixels", "SELECT vec_id::VARCHAR AS path, 8::INT AS width, 8::INT AS height, sum(3 * (floor(abs(v::DOUBLE) * 50)::INT % 256) + 255)::BIGINT AS total FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id")
+def png_pixels(spark, d):
+    """Each vector as a gray image of 8 x 8, stored without compression."""
+    from fieldloom.sources import files
+
+    pixel = F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 50) % 256).cast("long"))
+    raw = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.concat(F.array(F.lit(0).cast("long")), F.slice("p", r * 8 + 1, F.lit(8)))))
+    sums = F.aggregate("raw", F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), lambda s, x: F.struct(((s.a + x) % 65521).alias("a"), ((s.b + s.a + x) % 65521).alias("b")))
+    octets = F.array_join(F.transform("raw", lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    packed = F.concat(F.lit("7801" + "01" + "4800" + "B7FF"), octets, F.lpad(F.hex("sums.b"), 4, "0"), F.lpad(F.hex("sums.a"), 4, "0"))
+    chunk = lambda kind, body: F.concat(F.lpad(F.hex((F.length(body) / 2).cast("long")), 8, "0"), F.hex(F.lit(kind)), body, F.lit("0" * 8))
+    image = F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", F.lit("00000008" + "00000008" + "0800000000")), chunk("IDAT", packed), chunk("IEND", F.lit("")))
+    rows = table(spark, d, "embeddings").select("vec_id", pixel.alias("p")).select("vec_id", raw.alias("raw")).withColumn("sums", sums)
+    got = files.png_images(rows.select(c("vec_id").cast("string").alias("path"), F.unhex(image).alias("content"))).filter("error is null")
+    octet = lambda i: F.conv(F.substring(F.hex("rgba"), i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    return got.select("path", "width", "height", b.array_sum(F.transform(F.sequence(F.lit(0), F.lit(255)), octet)).alias("total"))
+
+
 @query(
     "S-07_split_reports",
     """SELECT conv_id, kind, count(*) AS reports, sum(length(report) + 1)::BIGINT AS chars FROM (SELECT conv_id, ['TAF AMD', 'TAF', 'METAR', 'SYNOP', 'SHIP', 'TEMP', 'SIGMET'][conv_id % 7 + 1] AS kind,
@@ -257,6 +359,9 @@ RULES = {
     "star": (g.seq(g.literal("t"), g.star(g.literal("h"))), "th*"),
     "advance": (g.advance_if_not(g.char("\n")), "[^\n]+"),
     "set": (g.plus(g.one_of("aeiou")), "[aeiou]+"),
+    "until": (g.advance_until(g.char(",")), "[^,]+,"),
+    "nothing": (g.seq(g.nothing, g.literal("in"), g.nothing), "in"),
+    "ending": (g.seq(g.any_char, g.end), "(?s:.)$"),
 }
 
 

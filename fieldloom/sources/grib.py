@@ -277,3 +277,9 @@ def encode(param: Column, level_flg: Column, level: Column, when: Column, hours:
     bds = F.concat(hex_of(11 + size, 3), hex_of(unused, 1), signed_hex(scale, 2), hex_of(ref_word, 4), hex_of(F.lit(bits), 1), packed)
     total = 8 + 28 + 32 + F.length(listed) / 2 + 11 + size + 4
     return F.unhex(F.concat(F.hex(F.lit("GRIB")), hex_of(total, 3), F.lit("01"), pds, gds, bds, F.hex(F.lit("7777"))))
+
+
+def section_text(decoded: DataFrame) -> Column:
+    """A message's sections as lines of name and value, for display: decode_sections() rows."""
+    shown = lambda part, skip=(): [F.concat(F.lit(f"{part} {f.name} "), F.coalesce(F.col(part)[f.name].cast("string"), F.lit("-"))) for f in decoded.schema[part].dataType.fields if f.name not in skip]
+    return F.array_join(F.array(*shown("ids"), *shown("pds"), *shown("gds", ("pir",)), *shown("bms", ("bits",)), *shown("bds", ("buf",))), "\n")
