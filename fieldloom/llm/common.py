@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words; everything else belongs to a word.
@@ -149,3 +149,19 @@ def named_components(points: DataFrame, links: DataFrame, name: str) -> DataFram
     whole = store(found.groupBy("component").agg(F.min(F.struct(F.col(name).isNull().alias("none"), F.col(name).alias("name"))).alias("first"), F.count("*").alias("rows")), "wholes")
     out = join_hot(found, whole.select("component", F.col("first.name").alias("first"), "rows"), ["component"], F.col("node"), "rows")
     return out.drop("component")
+
+
+def sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with each of sums added up over all rows before it in the order (0 for the first; the order tells rows apart).
+    Rows are dealt out by ranges of the order; only the ranges' own sums, one row each, meet in one task. Stored."""
+    own = fresh(df.columns, *[f"own_{k}" for k in sums])
+    part = fresh([*df.columns, *own], "part")[0]
+    rows = df.select("*", *[v.alias(k) for k, v in zip(own, sums.values(), strict=True)])
+    dealt = store(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "dealt")
+    upto = Window.unboundedPreceding, -1
+    over = lambda w: [F.coalesce(F.sum(k).over(w.rowsBetween(*upto)), F.lit(0)) for k in own]
+    bases = [f"{k}_" for k in own]
+    starts = dealt.groupBy(part).agg(*[F.sum(k).alias(k) for k in own]).select(part, *[x.alias(k) for k, x in zip(bases, over(Window.orderBy(part)), strict=True)])
+    inside = dealt.select("*", *[x.alias(k) for k, x in zip(sums, over(Window.partitionBy(part).orderBy(*order)), strict=True)])
+    out = inside.join(F.broadcast(starts), part)
+    return store(out.select(*df.columns, *[(F.col(k) + F.col(b)).alias(k) for k, b in zip(sums, bases, strict=True)]), "sums")

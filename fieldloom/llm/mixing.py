@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import fresh, join_hot, store, words_of
+from fieldloom.llm.common import fresh, join_hot, store, sums_before, words_of
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 17
 #: Blocks of the whole mix, and documents of a shard, about.
@@ -31,32 +31,39 @@ def order_key(doc_id: Column, seed: int) -> Column:
 
 
 def targets(sources: DataFrame) -> DataFrame:
-    """sources (source, n words, docs, one row each) with target: the level L with min(REPEATS * n, L * weight) adding up
-    to all words. L is the largest of what is left over the weights left, as sources stop in order of n / weight."""
-    whole = Window.partitionBy()
-    before = whole.orderBy((F.col("n") / F.col("w")), "at").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.row_number().over(whole.orderBy(F.col("source").asc_nulls_last()))
+    """sources (source, n words, docs, one row each) with at and target: the level L with min(REPEATS * n, L * weight) adding
+    up to all words. L is the largest of what is left over the weights left, as sources stop in order of n / weight."""
     kinds = F.array(*[F.lit(w) for w in WEIGHTS])
-    out = sources.withColumn("at", place).withColumn("w", F.get(kinds, (F.col("at") - 1) % len(WEIGHTS)))
-    used = F.coalesce(F.sum(REPEATS * F.col("n")).over(before), F.lit(0))
-    left = (F.sum("n").over(whole) - used) / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    out = out.withColumn("left", left).withColumn("level", F.max("left").over(whole))
-    return out.withColumn("target", F.least((REPEATS * F.col("n")).cast("double"), F.col("level") * F.col("w"))).drop("left", "level", "w")
+    out = sums_before(sources, [F.col("source").asc_nulls_last()], {"at": F.lit(1).cast("long")}).withColumn("at", F.col("at") + 1)
+    out = out.withColumn("w", F.get(kinds, (F.col("at") - 1) % len(WEIGHTS)).cast("long"))
+    all_ = out.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    out = sums_before(out, [F.col("n") / F.col("w"), F.col("at")], {"used": REPEATS * F.col("n"), "gone": F.col("w")})
+    level = out.agg(F.max((F.lit(all_.n or 0) - F.col("used")) / (F.lit(all_.w or 0) - F.col("gone")))).first()[0] or 0.0
+    return out.withColumn("target", F.least((REPEATS * F.col("n")).cast("double"), F.lit(level) * F.col("w"))).drop("used", "gone", "w")
 
 
 def apportion(parties: DataFrame, seats: Column, within: list[str], order: list[str]) -> DataFrame:
-    """parties (votes: double, ...) with quota: Sainte-Lague seats in each group within, equal quotients by order."""
-    group = Window.partitionBy(*within)
-    total, n = F.sum("votes").over(group), F.count("*").over(group)
+    """parties (votes: double, ...) with quota: Sainte-Lague seats in each group within, equal quotients by order. A group's
+    figures are added up and joined to its parties; ranks come from one order of all contested quotients."""
+    group, one = within or ["all"], F.lit(1).cast("long")
+    rows = parties.filter("votes > 0").withColumn("seats", seats)
+    rows = store(rows if within else rows.withColumn("all", F.lit(0)), "parties")
+    spread = F.xxhash64(*order)
+
+    def joined(left: DataFrame, figures: DataFrame) -> DataFrame:
+        return join_hot(left, store(figures, "figures"), group, spread, "rows")
+
+    out = joined(rows, rows.groupBy(*group).agg(F.sum("votes").alias("total"), F.count("*").alias("parties"), F.count("*").alias("rows")))
     share = F.col("votes") / F.col("total")
-    out = parties.filter("votes > 0").withColumn("seats", seats).withColumn("total", total).withColumn("parties", n)
     out = out.withColumn("sure", F.greatest(F.lit(0), F.floor(share * (F.col("seats") - F.col("parties") / 2) - 0.5)).cast("long"))
-    out = out.withColumn("most", (F.floor(share * (F.col("seats") + F.col("parties") / 2) + 0.5) + 1).cast("long")).withColumn("open", F.col("seats") - F.sum("sure").over(group))
+    out = store(out.withColumn("most", (F.floor(share * (F.col("seats") + F.col("parties") / 2) + 0.5) + 1).cast("long")), "shares")
     ranked = out.withColumn("k", F.explode(F.sequence(F.col("sure") + 1, F.greatest("most", F.col("sure") + 1))))
-    best = F.row_number().over(group.orderBy((F.col("votes") / (2 * F.col("k") - 1)).desc(), *order, "k"))
     keys = list(dict.fromkeys([*within, *order]))
-    won = ranked.withColumn("rank", best).groupBy(*keys).agg((F.first("sure") + F.count_if(F.col("rank") <= F.col("open"))).alias("quota"))
-    return won
+    ranked = sums_before(ranked.select(*group, *[k for k in order if k not in group], "sure", "k", "votes"), [*map(F.col, group), (F.col("votes") / (2 * F.col("k") - 1)).desc(), *map(F.col, order), F.col("k")], {"place": one})
+    open_ = out.groupBy(*group).agg((F.first("seats") - F.sum("sure")).alias("open"))
+    firsts = ranked.groupBy(*group).agg(F.min("place").alias("first"), F.count("*").alias("rows"))
+    won = joined(ranked, firsts.join(open_, group))
+    return won.groupBy(*keys).agg((F.first("sure") + F.count_if(F.col("place") - F.col("first") < F.col("open"))).alias("quota"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shard: int = SHARD, row: str | None = None) -> DataFrame:
