@@ -94,8 +94,11 @@ def blended(under: DataFrame, over: DataFrame, alpha: float) -> DataFrame:
 def point_polygon_join(points: DataFrame, polygons: DataFrame, tile: float, compat: bool = False) -> DataFrame:
     """(point_id, polygon_id) of points (point_id, px, py) in polygons (polygon_id, xs, ys)."""
     p = points.withColumn("tx", F.floor(c("px") / tile).cast("long")).withColumn("ty", F.floor(c("py") / tile).cast("long"))
-    q = polygons.withColumn("tx", F.explode(_tiles(F.array_min("xs"), F.array_max("xs"), tile))).withColumn("ty", F.explode(_tiles(F.array_min("ys"), F.array_max("ys"), tile)))
-    return p.join(q, ["tx", "ty"]).filter(polygon_contains(c("px"), c("py"), c("xs"), c("ys"), compat)).select("point_id", "polygon_id")
+    box = polygons.select("polygon_id", *[f(k).alias(n) for f, k, n in ((F.array_min, "xs", "x1"), (F.array_min, "ys", "y1"), (F.array_max, "xs", "x2"), (F.array_max, "ys", "y2"))])
+    q = box.withColumn("tx", F.explode(_tiles(c("x1"), c("x2"), tile))).withColumn("ty", F.explode(_tiles(c("y1"), c("y2"), tile)))
+    # Bounds go to the tiles; a ring's vertices are fetched for the points in its bounds.
+    near = p.join(q, ["tx", "ty"]).filter(c("px").between(c("x1"), c("x2")) & c("py").between(c("y1"), c("y2"))).select("point_id", "px", "py", "polygon_id")
+    return near.join(polygons.select("polygon_id", "xs", "ys"), "polygon_id").filter(polygon_contains(c("px"), c("py"), c("xs"), c("ys"), compat)).select("point_id", "polygon_id")
 
 
 def nearest_hit(queries: DataFrame, targets: DataFrame, reach: float = 5.0) -> DataFrame:
@@ -164,10 +167,10 @@ def place_labels(jobs: DataFrame, front: int = 100) -> DataFrame:
 
 
 def text_layout(lines: DataFrame, glyphs: DataFrame) -> DataFrame:
-    """line_id, seq, code, x: pen position of each character of lines (line_id, text). glyphs (code, advance): a face has
-    one row a code, so at most a font's worth, and is broadcast; codes it lacks advance by 0."""
+    """line_id, seq, code, x: pen position of each character of lines (line_id, text). glyphs (code, advance): one
+    row a code; codes it lacks advance by 0."""
     each = lines.select("line_id", F.posexplode(F.split("text", "")).alias("seq", "ch")).filter("ch <> ''").withColumn("code", F.ascii("ch"))
-    each = each.join(F.broadcast(glyphs), "code", "left")
+    each = each.join(glyphs, "code", "left")
     w = Window.partitionBy("line_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return each.select("line_id", "seq", "code", F.coalesce(F.sum(F.coalesce("advance", F.lit(0.0))).over(w), F.lit(0.0)).alias("x"))
 
