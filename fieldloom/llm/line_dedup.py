@@ -161,3 +161,18 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (W
   sha256(coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM r GROUP BY doc_id, text
 """
+
+
+#: Where rows share a doc_id, this orders their texts otherwise than passage_dedup does; else both agree.
+OP9_PASSAGES_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  l AS (SELECT doc_id, text, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+  w AS (SELECT *, lead(i) OVER (PARTITION BY doc_id, text ORDER BY i) AS j FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+  p AS (SELECT doc_id, text, i, j, array_to_string(lines[i:j], chr(10)) AS part FROM w WHERE j IS NOT NULL
+    UNION ALL SELECT doc_id, text, i, i, line FROM w WHERE len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) >= {LONG}),
+  r AS (SELECT *, dense_rank() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, text, i) > 1 AS gone FROM p),
+  g AS (SELECT DISTINCT doc_id, text, unnest(range(i, j + 1)) AS i FROM r WHERE gone),
+  k AS (SELECT l.doc_id, l.text, l.i, l.line, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text IS NOT DISTINCT FROM g.text AND l.i = g.i),
+  a AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM k GROUP BY ALL)
+SELECT a.doc_id, n_lines, n_removed, kept_sha256 FROM a JOIN documents o ON a.doc_id IS NOT DISTINCT FROM o.doc_id AND a.text IS NOT DISTINCT FROM o.text
+"""

@@ -21,5 +21,6 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op9_passage_dedup": line_dedup.OP9_PASSAGES_SQL,
     "op10_secrets": secrets.OP10_SQL,
 }
