@@ -359,7 +359,7 @@ RULES = {
     "star": (g.seq(g.literal("t"), g.star(g.literal("h"))), "th*"),
     "advance": (g.advance_if_not(g.char("\n")), "[^\n]+"),
     "set": (g.plus(g.one_of("aeiou")), "[aeiou]+"),
-    "until": (g.advance_until(g.char(",")), "[^,]+,"),
+    "until": (g.advance_until(g.char(" ")), "[^ ]+ "),
     "nothing": (g.seq(g.nothing, g.literal("in"), g.nothing), "in"),
     "ending": (g.seq(g.any_char, g.end), "(?s:.)$"),
 }

@@ -178,13 +178,13 @@ def replayed(spark, d):
     return replay(e.select(c("user_id").alias("uid"), c("event_id").alias("seq"), F.when(c("event_type") == "purchase", "remove").otherwise(c("event_type")).alias("type"), "value"))
 
 
-@query("X2_time_interpolation", "WITH v AS (SELECT event_type, date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY ALL), n AS (SELECT *, lead(h) OVER w AS h2, lead(v) OVER w AS v2 FROM v WINDOW w AS (PARTITION BY event_type ORDER BY h)) SELECT event_type, h + INTERVAL 30 MINUTE AS at, round(v + (v2 - v) * 1800 / (epoch(h2) - epoch(h)), 3) AS value FROM n WHERE h2 IS NOT NULL")
+@query("X2_time_interpolation", "WITH v AS (SELECT event_type, date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY ALL), n AS (SELECT *, lead(h) OVER w AS h2, lead(v) OVER w AS v2 FROM v WINDOW w AS (PARTITION BY event_type ORDER BY h)) SELECT event_type, h + INTERVAL 30 MINUTE AS at, round(v + (v2 - v) * 1800 / (epoch(h2) - epoch(h)), 8) AS value FROM n WHERE h2 IS NOT NULL")
 def interpolated(spark, d):
     """Extension: the value half an hour after each hour, on the line to the next hour that has one."""
     e = table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("v"))
     out = k.ordered(e, ["event_type"], ["h", "v"]).filter("next is not null")
     span = F.unix_seconds(c("next.h").cast("timestamp")) - F.unix_seconds(c("h").cast("timestamp"))
-    return out.select("event_type", (c("h").cast("timestamp") + F.expr("interval 30 minutes")).cast("timestamp_ntz").alias("at"), F.round(c("v") + (c("next.v") - c("v")) * 1800 / span, 3).alias("value"))
+    return out.select("event_type", (c("h").cast("timestamp") + F.expr("interval 30 minutes")).cast("timestamp_ntz").alias("at"), F.round(c("v") + (c("next.v") - c("v")) * 1800 / span, 8).alias("value"))
 
 
 @query("U-02_registry", "SELECT user_id, count(*) AS n FROM (SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0) GROUP BY 1")
