@@ -240,3 +240,17 @@ def op2(spark, sf_dir: str) -> DataFrame:
             })
 
     return read_back(*prefix_tree(table)).mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+_ESCAPED = r"length(regexp_replace({0}, '([\\\[<\]])', '#\1', 'g'))"
+
+#: What the turns say and what is learned of them, from the table itself; the lengths of the template's marks are its own.
+OP2_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  m AS (SELECT *, CASE role {' '.join(f"WHEN '{k}' THEN {len(a) + len(b)}" for k, (a, b) in MARKS.items())} ELSE {sum(map(len, OTHER))} + {_ESCAPED.format('role')} END + {_ESCAPED.format('text')} AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{LEARNED}'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = '{LEARNED}'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""

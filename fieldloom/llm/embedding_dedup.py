@@ -278,3 +278,14 @@ def near_embeddings(table: DataFrame, threshold: float = THRESHOLD, tables: int
 
 def op4(spark, sf_dir: str) -> DataFrame:
     return near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs, which the search finds but for a chance of one in a thousand at the threshold and less above it.
+OP4_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  ok AS (SELECT r, list_transform(e, lambda x: coalesce(x, 0)) AS e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= {THRESHOLD} ELSE false END),
+  reached AS (SELECT r, vec_id AS name FROM v UNION SELECT links.a, reached.name FROM reached JOIN links ON links.b = reached.r),
+  c AS (SELECT r, min(name) AS component_id FROM reached GROUP BY 1), n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""

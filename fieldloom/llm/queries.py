@@ -18,6 +18,9 @@ QUERIES = {
     "op10_secrets": secrets.op10,
 }
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op2_chat": chat.OP2_SQL,
+    "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,

@@ -340,3 +340,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
 
 def op1(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+  s AS (SELECT r, unnest(range(1, len(words) - {WINDOW - 2})) AS i, words FROM d WHERE len(words) >= {WINDOW}),
+  g AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(words[i:i + {WINDOW - 1}], ' ')) > 1 AS gone FROM s),
+  x AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS i FROM g WHERE gone),
+  w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+  k AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.i) FILTER (WHERE x.i IS NULL) AS kept, count(x.i) AS n_removed FROM w LEFT JOIN x ON w.r = x.r AND w.i = x.i GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
