@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import chat, classifier, embedding_dedup, line_dedup, mixing, packing, pieces, quality_rules, secrets, simhash, substring_dedup
+from fieldloom.llm import chat, classifier, embedding_dedup, line_dedup, mixing, packing, pieces, quality_rules, secrets, simhash, substring_dedup, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_passage_dedup": line_dedup.op9_passages,
     "op10_secrets": secrets.op10,
     "op11_pieces": pieces.op11,
+    "op12_whitening": whitening.op12,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
