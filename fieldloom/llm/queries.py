@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import chat, classifier, embedding_dedup, line_dedup, mixing, packing, pieces, quality_rules, secrets, simhash, substring_dedup, whitening
+from fieldloom.llm import alignment, chat, classifier, embedding_dedup, line_dedup, mixing, packing, pieces, quality_rules, secrets, simhash, substring_dedup, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_secrets": secrets.op10,
     "op11_pieces": pieces.op11,
     "op12_whitening": whitening.op12,
+    "op13_alignment": alignment.op13,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
