@@ -1,30 +1,27 @@
 """Contours of packed grids: crossings of levels and edges as columns, and lines traced from them.
 
-Every crossing comes from native expressions over a surface's own array. Tracing is sequential inside one surface and
-level, so a row holds both and is traced on its own (Arrow batches, no shuffle).
+Every crossing comes from native expressions over a surface's own array. Lines are traced on tiles: a tile links its own
+crossings and hands on pieces, whose order along their line comes from pointer doubling over pieces. Neither a surface nor
+a line need fit into one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import edge_contains, edge_weight
 from fieldloom.operators.grid import contour_levels, horizontal_edges, vertical_edges
+from fieldloom.stored import discard, store
 
-#: Where a line that entered an edge in a direction may go on: (dx, dy, edge, direction), in order of trial.
-STEPS = {
-    "up": ((0, -1, "v", "left"), (0, -1, "d", "ne")),
-    "down": ((1, 0, "v", "right"), (0, 0, "d", "sw")),
-    "right": ((0, 1, "h", "down"), (0, 0, "d", "ne")),
-    "left": ((-1, 0, "h", "up"), (-1, 0, "d", "sw")),
-    "ne": ((0, 0, "h", "up"), (1, 0, "v", "right")),
-    "sw": ((0, 0, "v", "left"), (0, 1, "h", "down")),
-}
-ENDS = {"h": (1, 0), "v": (0, 1), "d": (1, 1)}
+#: What an edge's kind (horizontal, vertical, diagonal) adds to its first corner.
+ENDS = ((1, 0), (0, 1), (1, 1))
+#: Cells on the side of a tile.
+SIDE = 128
 
 
 def with_levels(packed: DataFrame) -> DataFrame:
@@ -47,83 +44,196 @@ def crossings(packed: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-class Tracer:
-    """Lines of one level on one grid (nx, ny, row-major values)."""
-
-    def __init__(self, nx: int, ny: int, buf: list[float], level: float):
-        self.nx, self.ny, self.buf, self.level = nx, ny, buf, level
-        self.seen: set[tuple] = set()
-
-    def ends(self, x: int, y: int, kind: str) -> tuple[float, float] | None:
-        """Values at the ends of an edge, if it lies in the grid and the level crosses it."""
-        dx, dy = ENDS[kind]
-        if x < 0 or y < 0 or x + dx >= self.nx or y + dy >= self.ny:
-            return None
-        a, b = self.buf[y * self.nx + x], self.buf[(y + dy) * self.nx + x + dx]
-        return (a, b) if min(a, b) <= self.level < max(a, b) else None
-
-    def walk(self, seed: tuple, direction: str, points: list[tuple[float, float]]) -> bool:
-        """Follows the line from an edge, adding points; whether it came back to the edge."""
-        edge, first = seed, True
-        while True:
-            x, y, kind = edge
-            if not first and edge == seed:
-                return True
-            if kind != "d":
-                self.seen.add(edge)
-                a, b = self.ends(x, y, kind)
-                w = (self.level - b) / (a - b)
-                points.append((x + (1 - w) * ENDS[kind][0], y + (1 - w) * ENDS[kind][1]))
-            first = False
-            for dx, dy, kind, turned in STEPS[direction]:
-                if self.ends(x + dx, y + dy, kind):
-                    edge, direction = (x + dx, y + dy, kind), turned
-                    break
-            else:
-                return False
-            if len(points) > 4 * self.nx * self.ny:
-                raise ValueError("a contour does not end")
-
-    def lines(self) -> Iterator[tuple[list[tuple[float, float]], bool]]:
-        """(points, closed) from all horizontal edges, row by row. An open line is walked both ways from its seed, whose
-        point it holds twice."""
-        for y in range(self.ny - 1):
-            for x in range(self.nx - 1):
-                seed = (x, y, "h")
-                if seed in self.seen or not self.ends(*seed):
-                    continue
-                points: list = []
-                closed = self.walk(seed, "down", points)
-                if not closed:
-                    points.reverse()
-                    self.walk(seed, "up", points)
-                yield points, closed
-
-
-def contour_lines(packed: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, level_no, level, line_no, closed, xs, ys, error: one row a line. packed has levels; all of a surface's are traced
-    from one copy of its values. Null cells, or a level whose line does not end, give a row with an error."""
-    rows = packed.select(*keys, "nx", "ny", "buf", "levels")
-    shape = ", ".join(f"{n} {t}" for n, t in rows.select(*keys).dtypes) + ", level_no int, level double, line_no int, closed boolean, xs array<double>, ys array<double>, error string"
-    kinds = {"level_no": pa.int32(), "level": pa.float64(), "line_no": pa.int32(), "closed": pa.bool_(), "xs": pa.list_(pa.float64()), "ys": pa.list_(pa.float64()), "error": pa.string()}
-
-    def traced(nx, ny, buf, levels) -> Iterator[tuple]:
-        if buf is None or None in buf or len(buf) != nx * ny:
-            yield None, None, None, None, None, None, "cells are missing"
-            return
-        for k, level in enumerate(levels or ()):
-            try:
-                for n, (points, shut) in enumerate(Tracer(nx, ny, buf, level).lines()):
-                    yield k, level, n, shut, [p[0] for p in points], [p[1] for p in points], None
-            except ValueError as e:
-                yield k, level, None, None, None, None, str(e)
+def cut_tiles(packed: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
+    """Tiles of side x side cells: keys, levels, width and height (of the surface), x0, y0, nx, ny, buf. Neighbouring tiles share
+    their border's grid points."""
+    out = packed.select(*keys, "levels", F.col("nx").cast("int").alias("width"), F.col("ny").cast("int").alias("height"), "buf")
+    at = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n) - 2, F.lit(0)), F.lit(side)))
+    out = out.select("*", at("height").alias("y0")).select("*", at("width").alias("x0"))
+    out = out.withColumn("nx", F.least(F.lit(side + 1), F.col("width") - F.col("x0"))).withColumn("ny", F.least(F.lit(side + 1), F.col("height") - F.col("y0")))
+    rows = F.transform(F.sequence(F.col("y0"), F.col("y0") + F.col("ny") - 1), lambda y: F.slice("buf", y * F.col("width") + F.col("x0") + 1, F.col("nx")))
+    return out.withColumn("buf", F.flatten(rows))
+
+
+def tile_levels(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """tiles (without levels) with the contour levels of their whole surfaces."""
+    ends = tiles.groupBy(*keys).agg(F.min(F.array_min("buf")).alias("lo"), F.max(F.array_max("buf")).alias("hi"))
+    return tiles.join(ends.select(*keys, contour_levels(F.col("lo"), F.col("hi")).alias("levels")), keys)
+
+
+def chains(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links u -> v, of which no two begin or end alike: the first link of each one's chain, and its place there. A ring's
+    chain begins at its least u. Pointers are doubled, so rounds follow the logarithm of the longest chain."""
+    n = len(u)
+    order = np.argsort(u)
+    after = order[np.minimum(np.searchsorted(u, v, sorter=order), n - 1)]
+    linked = np.flatnonzero(u[after] == v)
+    before = np.full(n, -1)
+    before[after[linked]] = linked
+    jump, least = before.copy(), u.copy()
+    while (live := np.flatnonzero(jump >= 0)).size:
+        met, far = np.minimum(least[live], least[jump[live]]), jump[jump[live]]
+        same = (met == least[live]).all() and (far >= 0).all()
+        least[live], jump[live] = met, far
+        if same:
+            before[live[u[live] == least[live]]] = -1
+            break
+    head, place = np.where(before < 0, np.arange(n), before), (before >= 0).astype(int)
+    while (place[head] > 0).any():
+        place, head = place + place[head], head[head]
+    return head, place
+
+
+def tile_pieces(buf: np.ndarray, levels: list[float], x0: int, y0: int, width: int, height: int) -> Iterator[tuple]:
+    """(level_no, level, piece, next, n, seed, seed_at, down, xs, ys) of the stretches of lines that run through one tile.
+
+    Each cell has two triangles, left of its diagonal and right of it; a level that crosses one edge of a triangle crosses one
+    more. A line goes from the one to the other with the higher ground on one side, so every edge that it crosses has
+    one way on and one way back. A piece is named by the first edge it crosses; the piece of the next tile begins with
+    the edge that this one ends at, and next names it. next is null at the surface's border and the piece itself if a
+    ring lies in the tile. Points are crossings of horizontal and vertical edges. seed is the least horizontal edge above
+    the surface's last row; down: the line crosses it downwards."""
+    ny, nx = buf.shape
+    y, x = np.mgrid[y0 : y0 + ny - 1, x0 : x0 + nx - 1]
+    name = lambda kind, i, j: ((y + j) * width + x + i) * 4 + kind
+    top, right, left, bottom, across = name(0, 0, 0), name(1, 1, 0), name(1, 0, 0), name(0, 0, 1), name(2, 0, 0)
+    for k, level in enumerate(levels):
+        high = buf > level
+        a, b, c, d = high[:-1, :-1], high[:-1, 1:], high[1:, 1:], high[1:, :-1]
+        u, v = [], []
+        for p, q, r, pq, qr, rp in ((a, b, c, top, right, across), (a, c, d, across, bottom, left)):
+            crossed = ~((p == q) & (q == r))
+            # Around a triangle the ground falls at one crossed edge, where the line comes in, and rises at the other.
+            u.append(np.where(p & ~q, pq, np.where(q & ~r, qr, rp))[crossed])
+            v.append(np.where(~p & q, pq, np.where(~q & r, qr, rp))[crossed])
+        u, v = np.concatenate(u), np.concatenate(v)
+        if not len(u):
+            continue
+        head, place = chains(u, v)
+        order = np.lexsort((place, head))
+        u, v, head = u[order], v[order], u[head[order]]
+        starts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+        for s, e in zip(starts, np.r_[starts[1:], len(u)], strict=True):
+            nodes, last = u[s:e], v[e - 1]
+            kind, i, j = last & 3, (last >> 2) % width, (last >> 2) // width
+            ends = kind == 0 and (j == 0 or j == height - 1) or kind == 1 and (i == 0 or i == width - 1)
+            nodes = np.r_[nodes, last] if ends and last != nodes[0] else nodes
+            piece, nodes = int(nodes[0]), nodes[nodes & 3 != 2]
+            kind, i, j = nodes & 3, (nodes >> 2) % width, (nodes >> 2) // width
+            dx, dy = 1 - kind, kind
+            p, q = buf[j - y0, i - x0], buf[j - y0 + dy, i - x0 + dx]
+            w = 1 - (level - q) / (p - q)
+            seeds = np.flatnonzero((kind == 0) & (j < height - 1))
+            at = int(seeds[nodes[seeds].argmin()]) if len(seeds) else None
+            seed = None if at is None else int(nodes[at])
+            yield k, level, piece, None if ends else int(last), len(nodes), seed, at, None if at is None else bool(p[at] > q[at]), i + w * dx, j + w * dy
+
+
+def line_pieces(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, level_no, level, piece, next, n, seed, seed_at, down, xs, ys, error: what lines there are in each tile by itself. A
+    tile without all its values gives a row with an error. Stored: one scan of the tiles."""
+    rows = tiles.select(*keys, "width", "height", "x0", "y0", "nx", "ny", "buf", "levels")
+    shape = ", ".join(f"{n} {t}" for n, t in rows.select(*keys).dtypes) + ", level_no int, level double, piece long, next long, n int, seed long, seed_at int, down boolean, xs array<double>, ys array<double>, error string"
+    floats = pa.list_(pa.float64())
+    kinds = {"level_no": pa.int32(), "level": pa.float64(), "piece": pa.int64(), "next": pa.int64(), "n": pa.int32(), "seed": pa.int64(), "seed_at": pa.int32(), "down": pa.bool_(), "xs": floats, "ys": floats, "error": pa.string()}
+
+    def found(width, height, x0, y0, nx, ny, buf, levels) -> Iterator[tuple]:
+        if not buf.is_valid or buf.values.null_count or len(buf) != nx * ny:
+            yield (*[None] * 10, "cells are missing")
+        elif nx > 1 and ny > 1:
+            for p in tile_pieces(buf.values.to_numpy().reshape(ny, nx), levels or [], x0, y0, width, height):
+                yield (*p, None)
 
     def run(batches):
+        names = ("width", "height", "x0", "y0", "nx", "ny", "levels")
         for b in batches:
             for k in range(b.num_rows):
-                found = list(traced(*[b.column(b.schema.get_field_index(c))[k].as_py() for c in ("nx", "ny", "buf", "levels")]))
-                own = b.select(keys).take(pa.array([k] * len(found), pa.int32()))
-                data = {c: own.column(i) for i, c in enumerate(keys)}
-                yield pa.RecordBatch.from_pydict(data | {c: pa.array([x[i] for x in found], t) for i, (c, t) in enumerate(kinds.items())})
-
-    return rows.mapInArrow(run, shape)
+                own = {c: b.column(b.schema.get_field_index(c))[k].as_py() for c in names}
+                rows = list(found(buf=b.column(b.schema.get_field_index("buf"))[k], **own))
+                repeated = b.select(keys).take(pa.array([k] * len(rows), pa.int32()))
+                data = {c: repeated.column(i) for i, c in enumerate(keys)}
+                yield pa.RecordBatch.from_pydict(data | {c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
+
+    return store(rows.mapInArrow(run, shape), "pieces")
+
+
+def doubled(links: DataFrame, by: list[str], gather: dict[str, Column], rings: bool) -> DataFrame:
+    """links (by, id, jump, and what gather names) after pointer doubling along jump: each round a row takes in what its jump's
+    row has gathered (theirs_<name>) and jumps as far again, until all jumps are null or, with rings, only rings are left
+    and nothing changes. Each round is one stored equality join."""
+    names = list(gather)
+    left = None
+    while True:
+        theirs = links.select(*[F.col(k).alias(f"their_{k}") for k in [*by, "id", "jump", *names]])
+        both = links.join(theirs, [*[F.col(k) == F.col(f"their_{k}") for k in by], F.col("jump") == F.col("their_id")], "left")
+        moved = both.select(*by, "id", F.col("their_jump").alias("jump"), *[v.alias(n) for n, v in gather.items()], *[F.col(n).alias(f"old_{n}") for n in names])
+        now = store(moved, "doubled")
+        differs = F.lit(False)
+        for n in names:
+            differs = differs | ~F.col(n).eqNullSafe(F.col(f"old_{n}"))
+        open_, changed = now.agg(F.count("jump"), F.count_if(differs)).first()
+        if hasattr(links, "stored_at"):
+            discard(links)
+        path = now.stored_at
+        links = now.drop(*[f"old_{n}" for n in names])
+        links.stored_at = path
+        if not open_ or rings and open_ == left and not changed:
+            return links
+        left = open_
+
+
+def joined_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """pieces with the line each belongs to: seed (which names the line within its level), closed, start (its first point's
+    place along the line), total (points of the line), at (the seed's place) and down. Lines without a seed are left out,
+    as they are by a search from horizontal edges."""
+    by = [*keys, "level_no"]
+    whole = pieces.filter(F.col("error").isNull())
+    links = whole.select(*by, F.col("piece").alias("id"), F.col("next").alias("jump"), "seed", F.when(F.col("next").isNull(), F.col("piece")).alias("tail"))
+    gather = {"seed": F.least("seed", "their_seed"), "tail": F.coalesce("tail", "their_tail")}
+    found = doubled(links, by, gather, rings=True)
+    tails = found.filter("tail is not null").groupBy(*by, "tail").agg(F.min("seed").alias("first"))
+    found = found.withColumn("closed", F.col("tail").isNull()).join(tails, [*by, "tail"], "left").select(*by, "id", "closed", F.coalesce("first", "seed").alias("line"))
+    parts = whole.withColumnRenamed("piece", "id").join(found, [*by, "id"]).filter("line is not null")
+    parts = store(parts, "parts")
+    # A ring is opened before the piece that holds its seed.
+    firsts = parts.filter("seed = line").select(*by, "line", F.col("id").alias("opens"), F.col("seed_at").alias("offset"), F.col("down").alias("downward"))
+    cut = parts.select(*by, "line", "closed", "id", "next", "n").join(firsts, [*by, "line"])
+    links = cut.select(*by, "id", F.when(~F.col("closed") | (F.col("next") != F.col("opens")), F.col("next")).alias("jump"), F.col("n").cast("long").alias("rest"))
+    ranked = doubled(links, by, {"rest": F.col("rest") + F.coalesce("their_rest", F.lit(0))}, rings=False)
+    ranked = store(ranked.select(*by, "id", "rest").join(cut, [*by, "id"]), "ranked")
+    totals = ranked.groupBy(*by, "line").agg(F.sum("n").alias("total"), F.max(F.when(F.col("id") == F.col("opens"), F.col("rest"))).alias("ahead"))
+    ranked = ranked.join(totals, [*by, "line"]).select(*by, "id", "total", (F.col("total") - F.col("rest")).alias("start"), (F.col("total") - F.col("ahead") + F.col("offset")).alias("at"), "downward")
+    out = parts.join(ranked, [*by, "id"])
+    return out.select(*by, "level", F.col("line").alias("seed"), "closed", "total", "start", "at", F.col("downward").alias("down"), "xs", "ys")
+
+
+def line_vertices(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, level_no, level, seed, closed, seq, x, y: a row a vertex, in the order of a trace that goes down from the seed. A
+    closed line begins at its seed. An open one is that trace reversed and then the one upwards, so it has its seed
+    twice. A line's rows need not meet in one task."""
+    out = parts.select(*keys, "level_no", "level", "seed", "closed", "total", "start", "at", "down", F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "p"))
+    ahead = F.when(F.col("down"), F.col("start") + F.col("i") - F.col("at")).otherwise(F.col("at") - F.col("start") - F.col("i"))
+    ring = F.array(F.pmod(ahead, F.col("total")))
+    # Ahead of the seed (downwards) come the points from the far end on, then the seed twice, then those behind it.
+    reach = F.when(F.col("down"), F.col("total") - 1 - F.col("at")).otherwise(F.col("at"))
+    line = F.when(ahead > 0, F.array(reach - ahead)).when(ahead < 0, F.array(reach + 1 - ahead)).otherwise(F.array(reach, reach + 1))
+    return out.withColumn("seq", F.explode(F.when(F.col("closed"), ring).otherwise(line))).select(*keys, "level_no", "level", "seed", "closed", "seq", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
+
+
+def traced(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """The vertices of all contour lines of surfaces cut into tiles (see cut_tiles), and a row with an error, and else nulls, for
+    each tile without all its values."""
+    pieces = line_pieces(tiles, keys)
+    out = line_vertices(joined_pieces(pieces, keys), keys).withColumn("error", F.lit(None).cast("string"))
+    return out.unionByName(pieces.filter("error is not null").select(*keys, "error"), allowMissingColumns=True)
+
+
+def contour_lines(packed: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
+    """keys, level_no, level, line_no, closed, xs, ys, error: one row a line, numbered within its level by seed. packed has
+    levels. Surfaces with null cells give a row with an error. Lines longer than a row can hold: use traced."""
+    odd = F.col("buf").isNull() | F.exists("buf", lambda v: v.isNull()) | (F.size("buf") != F.col("nx") * F.col("ny"))
+    out = traced(cut_tiles(packed.filter(~odd), keys, side), keys)
+    whole = out.groupBy(*keys, "level_no", "level", "seed", "closed").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    number = F.row_number().over(Window.partitionBy(*keys, "level_no").orderBy("seed")) - 1
+    lines = whole.select(*keys, "level_no", "level", number.alias("line_no"), "closed", F.transform("p", lambda v: v.x).alias("xs"), F.transform("p", lambda v: v.y).alias("ys"), F.lit(None).cast("string").alias("error"))
+    return lines.unionByName(packed.filter(odd).select(*keys, F.lit("cells are missing").alias("error")), allowMissingColumns=True)

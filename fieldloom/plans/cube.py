@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.geometry import affine, affine_projection, scaling, spline, then, translation, warp_weight, weighted_mean
 from fieldloom.operators import contour, grid
 from fieldloom.operators.spatial import blended, resample
-from fieldloom.plans.base import CELLS_SQL, LEVELS_SQL, packed, query, table
+from fieldloom.plans.base import SIDE, CELLS_SQL, LEVELS_SQL, packed, query, table
 from fieldloom.sources.grib import expand_row
 
 c = F.col
@@ -42,6 +42,50 @@ def lines(spark, d):
     return contour.contour_lines(contour.with_levels(packed(spark, d)), ["surface_id"])
 
 
+def _doublings(rounds: int) -> str:
+    """Pointer doubling, unrolled: each step joins the one before with itself."""
+    step = "j{1} AS MATERIALIZED (SELECT a.surface_id, a.level_no, a.id, b.jump, least(a.seed, b.seed) AS seed FROM j{0} a JOIN j{0} b ON a.surface_id = b.surface_id AND a.level_no = b.level_no AND a.jump = b.id)"
+    return ", ".join(step.format(k, k + 1) for k in range(rounds))
+
+
+def _part(p: str, q: str, r: str, pq: str, qr: str, rp: str) -> str:
+    """The link through one of a cell's triangles: in where the ground falls around it, out where it rises."""
+    return f"SELECT surface_id, level_no, CASE WHEN {p} AND NOT {q} THEN {pq} WHEN {q} AND NOT {r} THEN {qr} ELSE {rp} END AS id, CASE WHEN {q} AND NOT {p} THEN {pq} WHEN {r} AND NOT {q} THEN {qr} ELSE {rp} END AS next FROM s WHERE {p} <> {q} OR {q} <> {r}"
+
+
+_ROUNDS = 14  # 2^14 is more than the edges of a surface of 64 x 64
+_AT = lambda kind, i, j: f"((y + {j}) * {SIDE} + x + {i}) * 4 + {kind}"
+
+
+@query(
+    "G-02_traced_lines",
+    f"""WITH RECURSIVE {LEVELS_SQL},
+  f AS MATERIALIZED (SELECT * FROM cells), n AS (SELECT surface_id, max(y) + 1 AS ny FROM f GROUP BY 1),
+  q AS (SELECT a.surface_id, a.x, a.y, a.value AS a, b.value AS b, c.value AS c, d.value AS d FROM f a JOIN f b ON b.surface_id = a.surface_id AND b.x = a.x + 1 AND b.y = a.y
+    JOIN f c ON c.surface_id = a.surface_id AND c.x = a.x + 1 AND c.y = a.y + 1 JOIN f d ON d.surface_id = a.surface_id AND d.x = a.x AND d.y = a.y + 1),
+  s AS MATERIALIZED (SELECT q.surface_id, level_no, x, y, a > level AS a, b > level AS b, c > level AS c, d > level AS d FROM q JOIN levels USING (surface_id)),
+  k AS MATERIALIZED ({_part("a", "b", "c", _AT(0, 0, 0), _AT(1, 1, 0), _AT(2, 0, 0))} UNION ALL {_part("a", "c", "d", _AT(2, 0, 0), _AT(0, 0, 1), _AT(1, 0, 0))}),
+  e AS (SELECT surface_id, level_no, id, next FROM k UNION ALL SELECT surface_id, level_no, next, next FROM k ANTI JOIN (SELECT surface_id, level_no, id AS next FROM k) o USING (surface_id, level_no, next)),
+  j0 AS MATERIALIZED (SELECT surface_id, level_no, id, next AS jump, CASE WHEN id % 4 = 0 AND id // 4 // {SIDE} < ny - 1 THEN id END AS seed FROM e JOIN n USING (surface_id)),
+  {_doublings(_ROUNDS)},
+  tails AS (SELECT surface_id, level_no, id AS jump FROM j0 WHERE id = jump),
+  firsts AS (SELECT surface_id, level_no, jump, min(seed) AS first FROM j{_ROUNDS} SEMI JOIN tails USING (surface_id, level_no, jump) GROUP BY ALL),
+  m AS (SELECT l.surface_id, l.level_no, l.id, coalesce(first, l.seed) AS line, f.jump IS NULL AS closed FROM j{_ROUNDS} l LEFT JOIN firsts f USING (surface_id, level_no, jump)),
+  p AS MATERIALIZED (SELECT m.*, id // 4 % {SIDE} + CASE id % 4 WHEN 0 THEN 1 - (level - b.value) / (a.value - b.value) ELSE 0 END AS px, id // 4 // {SIDE} + CASE id % 4 WHEN 1 THEN 1 - (level - b.value) / (a.value - b.value) ELSE 0 END AS py
+    FROM m JOIN levels USING (surface_id, level_no) JOIN f a ON a.surface_id = m.surface_id AND a.x = id // 4 % {SIDE} AND a.y = id // 4 // {SIDE} JOIN f b ON b.surface_id = m.surface_id AND b.x = a.x + (id % 4 <> 1)::INT AND b.y = a.y + (id % 4 <> 0)::INT WHERE id % 4 <> 2 AND line IS NOT NULL),
+  h AS (SELECT j.surface_id, j.level_no, j.id, CASE WHEN j.jump % 4 = 2 THEN i.jump ELSE j.jump END AS next FROM j0 j JOIN j0 i ON i.surface_id = j.surface_id AND i.level_no = j.level_no AND i.id = j.jump WHERE j.id % 4 <> 2),
+  g AS (SELECT p.surface_id, p.level_no, p.line, p.closed, count(*) AS n, sum(sqrt((o.px - p.px) ** 2 + (o.py - p.py) ** 2)) AS length FROM p JOIN h USING (surface_id, level_no, id) JOIN p o ON o.surface_id = p.surface_id AND o.level_no = p.level_no AND o.id = h.next GROUP BY ALL)
+SELECT surface_id, level_no, (row_number() OVER (PARTITION BY surface_id, level_no ORDER BY line) - 1)::INT AS line_no, closed, n + (NOT closed)::INT AS points, round(length, 4) AS length FROM g""",
+)
+def traced_lines(spark, d):
+    """Lines traced on tiles of 16 x 16 cells: closed or open, vertices (an open line has its seed twice) and length."""
+    out = contour.contour_lines(contour.with_levels(packed(spark, d)), ["surface_id"], 16).filter("error is null")
+    steps = F.transform(F.sequence(F.lit(1), F.size("xs") - 1), lambda i: F.sqrt(F.pow(F.get("xs", i) - F.get("xs", i - 1), 2) + F.pow(F.get("ys", i) - F.get("ys", i - 1), 2)))
+    back = F.when(c("closed"), F.sqrt(F.pow(F.element_at("xs", -1) - F.get("xs", F.lit(0)), 2) + F.pow(F.element_at("ys", -1) - F.get("ys", F.lit(0)), 2))).otherwise(0.0)
+    length = F.aggregate(F.when(F.size("xs") > 1, steps).otherwise(F.array().cast("array<double>")), back, lambda a, x: a + x)
+    return out.select("surface_id", "level_no", "line_no", "closed", F.size("xs").cast("long").alias("points"), F.round(length, 4).alias("length"))
+
+
 @query(
     "P-17_expand_row",
     """SELECT vec_id, i::INT AS i, round(CASE WHEN i = 100 THEN embedding[64]::DOUBLE ELSE embedding[k + 1]::DOUBLE * (1 - w) + embedding[least(k + 2, 64)]::DOUBLE * w END, 6) AS value FROM
