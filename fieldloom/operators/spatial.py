@@ -142,30 +142,6 @@ def segment_crossings(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
     return out.select("a_id", "b_id", "ua", "ub", (c("a_s.x1") + c("ua") * (c("a_s.x2") - c("a_s.x1"))).alias("x"), (c("a_s.y1") + c("ua") * (c("a_s.y2") - c("a_s.y1"))).alias("y"))
 
 
-def place_labels(jobs: DataFrame, front: int = 100) -> DataFrame:
-    """jobs (view, id, z, x1, y1, x2, y2) with free: in z order (then id) a label is placed if it meets no label placed
-    before. Labels at z >= front are placed after the others and do not stay for the next call. The order makes this
-    sequential inside a view; views are independent."""
-    import pandas as pd
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["z", "id"], kind="stable").reset_index(drop=True)
-        tiles: dict = {}
-        free = []
-        for r in pdf.itertuples():
-            cells = [(i, j) for i in range(int(r.x1 // 64), int(r.x2 // 64) + 1) for j in range(int(r.y1 // 64), int(r.y2 // 64) + 1)]
-            hit = any(r.x1 <= o.x2 and o.x1 <= r.x2 and r.y1 <= o.y2 and o.y1 <= r.y2 for k in cells for o in tiles.get(k, ()))
-            free.append(not hit)
-            if not hit:
-                for k in cells:
-                    tiles.setdefault(k, []).append(r)
-        return pdf.assign(free=free)
-
-    cols = ["view", "id", "z", "x1", "y1", "x2", "y2"]
-    shape = ", ".join(f"{n} {t}" for n, t in jobs.select(*cols).dtypes) + ", free boolean"
-    return jobs.select(*cols).groupBy("view").applyInPandas(place, shape)
-
-
 def text_layout(lines: DataFrame, glyphs: DataFrame) -> DataFrame:
     """line_id, seq, code, x: pen position of each character of lines (line_id, text). glyphs (code, advance): one
     row a code; codes it lacks advance by 0."""

@@ -14,6 +14,9 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Registers a function (spark, sf_dir) under a name, with its DuckDB twin if SQL has one."""
 
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered already")
+
     def register(f):
         QUERIES[name] = f
         if sql:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import catalog as k
 from fieldloom.operators import spatial as s
+from fieldloom.operators.labels import place_labels
 from fieldloom.plans.base import query, table
 from fieldloom.streaming.framing import dash_offset, replay
 
@@ -124,6 +125,7 @@ def registry(spark, d):
     o = table(spark, d, "orders").select(c("o_orderkey").alias("id"))
     return k.registered(o.filter("id % 3 <> 0"), o.filter("id % 4 = 0"), o.filter("id % 5 = 0"))
 
+
 def order_rects(spark, d):
     o = table(spark, d, "orders")
     x, y = (c("o_orderkey") * 7 % 1000).cast("double"), (c("o_custkey") * 13 % 500).cast("double")
@@ -162,9 +164,25 @@ def active_sizes(spark, d):
     return s.sweep_sizes(order_rects(spark, d))
 
 
-@query("G-05_place_labels")
+def _greedy(rows: str) -> str:
+    """The sequential rule: one label of each view a step, against the list of those placed so far."""
+    return f"""WITH RECURSIVE {RECTS}, o AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY z, id) AS k FROM ({rows})),
+  g AS (SELECT view, 0::BIGINT AS k, NULL::BIGINT AS id, false AS free, []::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS held FROM o WHERE k = 1
+    UNION ALL SELECT view, k, id, free, CASE WHEN free THEN list_append(held, here) ELSE held END FROM (SELECT o.view, o.k, o.id, struct_pack(x1 := o.x1, y1 := o.y1, x2 := o.x2, y2 := o.y2) AS here, held,
+      len(list_filter(held, lambda p: p.x1 <= o.x2 AND o.x1 <= p.x2 AND p.y1 <= o.y2 AND o.y1 <= p.y2)) = 0 AS free FROM g JOIN o ON o.view = g.view AND o.k = g.k + 1))
+SELECT o.view, o.id, z, x1, y1, x2, y2, free FROM o JOIN g ON g.view = o.view AND g.k = o.k"""
+
+
+@query("G-05_place_labels", _greedy("SELECT * FROM r"))
 def labels(spark, d):
-    return s.place_labels(order_rects(spark, d))
+    return place_labels(order_rects(spark, d))
+
+
+@query("G-05_crowded_views", _greedy("SELECT r.* REPLACE (o_orderstatus || o_orderpriority AS view) FROM r JOIN orders ON o_orderkey = id"))
+def crowded(spark, d):
+    """Few views with many labels each."""
+    views = table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.concat("o_orderstatus", "o_orderpriority").alias("view"))
+    return place_labels(order_rects(spark, d).drop("view").join(views, "id"), tile=8.0)
 
 
 @query("G-09_dash_offset", "SELECT event_id, round((user_id * 37 + event_id) * 0.020 - 20 * floor((user_id * 37 + event_id) * 0.020 / 20), 6) AS dash FROM events")
@@ -187,27 +205,6 @@ def interpolated(spark, d):
     return out.select("event_type", (c("h").cast("timestamp") + F.expr("interval 30 minutes")).cast("timestamp_ntz").alias("at"), F.round(c("v") + (c("next.v") - c("v")) * 1800 / span, 8).alias("value"))
 
 
-@query("U-02_registry", "SELECT user_id, count(*) AS n FROM (SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0) GROUP BY 1")
-def registry(spark, d):
-    """Jobs added in two lots, some taken out again."""
-    e = table(spark, d, "events").select("event_id", "user_id")
-    added = e.filter("event_id % 3 = 1").unionByName(e.filter("event_id % 3 = 2"))
-    return added.join(e.filter("event_id % 5 = 0").select("event_id"), "event_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
-
-
-@query("F-08_attribute_filter", "SELECT doc_id, toxic AS v FROM labels WHERE quality = 1")
-def attribute_filter(spark, d):
-    return table(spark, d, "labels").filter("quality = 1").select("doc_id", c("toxic").alias("v"))
-
-
-@query("P-45_same_criteria", f"WITH {CAT} SELECT seq, param = 'view' AS param_same, ord = 3 AND hpa IS NOT DISTINCT FROM 5 AS level_same FROM cat")
-def same_criteria(spark, d):
-    cat = catalog(spark, d)
-    param = F.struct(F.lit("view").alias("type"), F.lit(None).cast("int").alias("code"), F.lit("other").alias("unit"))
-    level = F.struct(F.lit("isobaric").alias("type"), F.lit(3).alias("ord"), F.lit(5).alias("hpa1"), F.lit(None).cast("int").alias("hpa2"))
-    return cat.select("seq", k.same_param(c("param"), param).alias("param_same"), k.same_level(c("level"), level).alias("level_same"))
-
-
 @query("X3_wind_from_components", "SELECT event_id, round(sqrt(value * value + user_id * user_id), 6) AS speed, round(degrees(atan2(-value, -user_id)), 4) AS direction FROM events")
 def wind(spark, d):
     """Extension: speed and direction from two components."""

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fieldloom.operators import clip, contour, grid
+from fieldloom.operators import clip, contour, grid, labels
 from fieldloom.operators import spatial as s
 
 
@@ -81,7 +81,7 @@ def test_too_few_points_are_an_error(spark):
 def test_labels_match_a_plain_loop(spark):
     rng = random.Random(6)
     rows = [(v, k, rng.randrange(120), x := rng.uniform(-100, 300), y := rng.uniform(-100, 300), x + rng.uniform(0, 90), y + rng.uniform(0, 40)) for v in range(3) for k in range(80)]
-    got = {(r.view, r.id): r.free for r in s.place_labels(spark.createDataFrame(rows, "view int, id int, z int, x1 double, y1 double, x2 double, y2 double")).collect()}
+    got = {(r.view, r.id): r.free for r in labels.place_labels(spark.createDataFrame(rows, "view int, id int, z int, x1 double, y1 double, x2 double, y2 double")).collect()}
     placed: dict = {}
     for v, k, _z, x1, y1, x2, y2 in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
         free = not any(x1 <= b[2] and b[0] <= x2 and y1 <= b[3] and b[1] <= y2 for b in placed.get(v, ()))
