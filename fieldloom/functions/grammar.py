@@ -40,13 +40,14 @@ class Rule:
 
     def spans(self, text: Column) -> Column:
         """array<struct<start, finish>> of all matches, half open, from the pieces between them."""
-        from_pieces = F.transform(F.split(text, self.regex, -1), F.length)
-        return F.get(F.transform(F.array(F.struct(self.all(text).alias("m"), from_pieces.alias("p"))), _placed), F.lit(0))
+        rows = F.arrays_zip(F.transform(F.split(text, self.regex, -1), F.length).alias("gap"), F.transform(self.all(text), F.length).alias("size"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,finish:int>>").alias("out"))
 
+        def placed(a: Column, x: Column) -> Column:
+            here = a.at + x.gap
+            return F.struct((here + x["size"]).alias("at"), F.concat(a.out, F.array(F.struct(here.alias("start"), (here + x["size"]).alias("finish")))).alias("out"))
 
-def _placed(x: Column) -> Column:
-    start = lambda k: F.aggregate(F.slice(x.p, F.lit(1), k + 1), F.lit(0), lambda a, n: a + n) + F.aggregate(F.slice(x.m, F.lit(1), k), F.lit(0), lambda a, s: a + F.length(s))
-    return F.transform(x.m, lambda s, k: F.struct(start(k).alias("start"), (start(k) + F.length(s)).alias("finish")))
+        return F.when(text.isNotNull(), F.aggregate(F.filter(rows, lambda x: x["size"].isNotNull()), start, placed, lambda a: a.out))
 
 
 def latin1(data: Column) -> Column:
@@ -137,13 +138,13 @@ def advance_until(rule: Rule) -> Rule:
 
 
 def event_text(text: Column, most: int = 60) -> Column:
-    """A capture for display: the middle left out beyond most characters, white space shown as blanks, others as dots."""
-    half = (most - 5) // 2
+    """A capture for display: beyond most characters its two halves with dots between, white space as blanks, others as stars."""
+    half = most // 2
     short = F.when(F.length(text) > most, F.concat(F.substring(text, 1, half), F.lit(" ... "), F.right(text, F.lit(half)))).otherwise(text)
-    return F.regexp_replace(F.regexp_replace(short, r"\s", " "), r"[^\x20-\x7e]", ".")
+    return F.regexp_replace(F.regexp_replace(short, r"\s", " "), r"[^\x20-\x7e]", "*")
 
 
-digit, upper, alnum = between("0", "9"), between("A", "Z"), Rule("[0-9A-Za-z]")
+digit, upper, alpha, alnum = between("0", "9"), between("A", "Z"), Rule("[A-Za-z]"), Rule("[0-9A-Za-z]")
 
 
 def walk(rule: Rule, text: str) -> Iterator[tuple[int, int, int]]:

@@ -324,16 +324,18 @@ def png_pixels(spark, d):
 
 @query(
     "S-07_split_reports",
-    """SELECT conv_id, kind, count(*) AS reports, sum(length(report) + 1)::BIGINT AS chars FROM (SELECT conv_id, ['TAF AMD', 'TAF', 'METAR', 'SYNOP', 'SHIP', 'TEMP', 'SIGMET'][conv_id % 7 + 1] AS kind,
-  unnest(list_transform(string_split(['TAF AMD', 'TAF', 'METAR', 'AAXX', 'BBXX', 'TTAA', 'EDZW SIGMET'][conv_id % 7 + 1] || ' ' || t, '=')[:-2], lambda r: trim(regexp_replace(r, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '))) AS report
-  FROM (SELECT conv_id, string_agg(regexp_replace(coalesce(text, ''), '=', '', 'g') || '=', '' ORDER BY turn, text) AS t FROM conversations GROUP BY 1)) GROUP BY ALL""",
+    """WITH t AS (SELECT conv_id, conv_id % 8 AS k, ['TAF AMD', 'TAF', 'METAR', 'AAXX 12/04', 'BBXX', 'UUBB', 'EDZW SIGMET', 'STAFF'][conv_id % 8 + 1] AS opening, string_agg(replace(coalesce(text, ''), '=', '') || '=', chr(10) ORDER BY turn, text) AS t FROM conversations GROUP BY ALL),
+  s AS (SELECT conv_id, k, opening, list_transform(string_split(t, '=')[:-2], lambda r: trim(regexp_replace(r, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) AS r FROM t),
+  e AS (SELECT conv_id, k, opening, unnest(CASE WHEN k IN (5, 6) THEN r[:1] ELSE r END) AS r FROM s WHERE k < 7)
+SELECT conv_id, ['TAF AMD', 'TAF', 'METAR', 'SYNOP', 'SHIP', 'TEMP', 'SIGMET'][k + 1] AS kind, CASE WHEN k IN (0, 1, 3, 4) THEN opening END AS header, count(*) AS reports, sum(length(r) + 1 + CASE WHEN k = 2 THEN 0 ELSE length(opening) + 1 END)::BIGINT AS chars FROM e GROUP BY ALL""",
 )
 def split_reports(spark, d):
+    """Bulletins of seven kinds, and some that only seem to begin like one."""
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    opening = F.get(F.array(*map(F.lit, ("TAF AMD", "TAF", "METAR", "AAXX", "BBXX", "TTAA", "EDZW SIGMET"))), (c("conv_id") % 7).cast("int"))
-    text = F.concat(opening, F.lit(" "), F.array_join(F.transform("t", lambda r: F.concat(F.replace(F.coalesce(r.text, F.lit("")), F.lit("="), F.lit("")), F.lit("="))), ""))
+    opening = F.get(F.array(*map(F.lit, ("TAF AMD", "TAF", "METAR", "AAXX 12/04", "BBXX", "UUBB", "EDZW SIGMET", "STAFF"))), (c("conv_id") % 8).cast("int"))
+    text = F.concat(opening, F.lit(" "), F.array_join(F.transform("t", lambda r: F.concat(F.replace(F.coalesce(r.text, F.lit("")), F.lit("="), F.lit("")), F.lit("="))), "\n"))
     out = gts.reports(turns.select("conv_id", text.alias("text")))
-    return out.groupBy("conv_id", "kind").agg(F.count("*").alias("reports"), F.sum(F.length("report").cast("long")).alias("chars"))
+    return out.groupBy("conv_id", "kind", "header").agg(F.count("*").alias("reports"), F.sum(F.length("report").cast("long")).alias("chars"))
 
 
 # --- rules -----------------------------------------------------------------------------------------------------------
@@ -397,6 +399,6 @@ def spans(spark, d):
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(c("s.start").cast("long")).alias("starts"))
 
 
-@query("X-21_event_text", "SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN length(text) > 60 THEN left(text, 27) || ' ... ' || right(text, 27) ELSE text END, '[ \\t\\n\\x0B\\f\\r]', ' ', 'g'), '[^\\x20-\\x7e]', '.', 'g') AS shown FROM documents")
+@query("X-21_event_text", "SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN length(text) > 60 THEN left(text, 30) || ' ... ' || right(text, 30) ELSE text END, '[ \\t\\n\\x0B\\f\\r]', ' ', 'g'), '[^\\x20-\\x7e]', '*', 'g') AS shown FROM documents")
 def shown(spark, d):
     return table(spark, d, "documents").select("doc_id", g.event_text(c("text")).alias("shown"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.operators import catalog as k
+from fieldloom.operators import series
 from fieldloom.operators import spatial as s
 from fieldloom.operators.labels import place_labels
 from fieldloom.plans.base import query, table
@@ -196,6 +197,38 @@ def replayed(spark, d):
     return replay(e.select(c("user_id").alias("uid"), c("event_id").alias("seq"), F.when(c("event_type") == "purchase", "remove").otherwise(c("event_type")).alias("type"), "value"))
 
 
+@query(
+    "X4_asof_interpolation",
+    """WITH s AS (SELECT event_type AS key, ts AS at, avg(value) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY ALL),
+  p AS (SELECT event_id AS probe_id, event_type AS key, ts + to_seconds(event_id * 7919 % 7200 - 3600) AS at FROM events),
+  b AS (SELECT p.*, s.at AS before, s.value AS v0 FROM p ASOF LEFT JOIN s ON p.key = s.key AND p.at >= s.at),
+  a AS (SELECT b.*, s.at AS after, s.value AS v1 FROM b ASOF LEFT JOIN s ON b.key = s.key AND b.at <= s.at)
+SELECT probe_id, key, at, before, after, round(CASE WHEN before = after THEN v0 ELSE v0 + (v1 - v0) * (epoch_us(at) - epoch_us(before))::DOUBLE / (epoch_us(after) - epoch_us(before))::DOUBLE END, 6) AS value FROM a""",
+)
+def asof(spark, d):
+    """Values of each type of events at arbitrary times, on the line between the samples before and after."""
+    e = table(spark, d, "events")
+    samples = e.filter("event_id % 3 <> 0").select(c("event_type").alias("key"), c("ts").alias("at"), "value")
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (c("event_id") * 7919 % 7200 - 3600).cast("decimal(18,6)"))
+    probes = e.select(c("event_id").alias("probe_id"), c("event_type").alias("key"), (c("ts") + shift).alias("at"))
+    return series.asof_interpolated(samples, probes).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "T-05_state_as_of",
+    """WITH e AS (SELECT user_id AS uid, event_id + 1 AS version, CASE WHEN event_type = 'purchase' THEN 'remove' ELSE event_type END AS type, value FROM events),
+  v AS (SELECT DISTINCT (m * k // 7)::BIGINT AS as_of FROM (SELECT max(version) AS m FROM e), range(1, 8) r(k)),
+  l AS (SELECT as_of, uid, version, type, value, row_number() OVER (PARTITION BY as_of, uid ORDER BY version DESC) AS n FROM v JOIN e ON version <= as_of)
+SELECT as_of, uid, version, value FROM l WHERE n = 1 AND type <> 'remove'""",
+)
+def state_as_of(spark, d):
+    """The state as of seven versions, each folded from the nearest of some snapshots."""
+    e = table(spark, d, "events").select(c("user_id").alias("uid"), (c("event_id") + 1).alias("version"), F.when(c("event_type") == "purchase", "remove").otherwise(c("event_type")).alias("type"), "value")
+    last = e.agg(F.max("version")).first()[0] or 0
+    kept = series.EventStore(e, max(1, -(-last // 10)))
+    return kept.states(sorted({last * k // 7 for k in range(1, 8)}))
+
+
 @query("X2_time_interpolation", "WITH v AS (SELECT event_type, date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY ALL), n AS (SELECT *, lead(h) OVER w AS h2, lead(v) OVER w AS v2 FROM v WINDOW w AS (PARTITION BY event_type ORDER BY h)) SELECT event_type, h + INTERVAL 30 MINUTE AS at, round(v + (v2 - v) * 1800 / (epoch(h2) - epoch(h)), 8) AS value FROM n WHERE h2 IS NOT NULL")
 def interpolated(spark, d):
     """Extension: the value half an hour after each hour, on the line to the next hour that has one."""

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as m
-from fieldloom.operators import clip
+from fieldloom.operators import clip, quadtree
 from fieldloom.operators import spatial as s
 from fieldloom.plans.base import query, table
 from fieldloom.plans.relational import RECTS, order_rects
@@ -111,6 +111,55 @@ def tiles(spark, d):
     return order_rects(spark, d).groupBy(F.floor(c("x1") / 32).alias("tx"), F.floor(c("y1") / 32).alias("ty")).agg(F.count("*").alias("items"), (F.count("*") > 10).alias("splits"))
 
 
+ROOT = (-5000.0, -5000.0, 5000.0, 5000.0)
+#: Insertion, level by level: of n items of a node the last n modulo 11 stay, and those before go to a quarter or stay for good.
+_TREE = f"""WITH RECURSIVE {RECTS}, {WINDOWS},
+  g AS (SELECT '' AS node, 0 AS depth, -5000.0::DOUBLE AS a, -5000.0::DOUBLE AS b, 10000.0::DOUBLE AS side, id, x1, y1, x2, y2, count(*) OVER () AS n, row_number() OVER (ORDER BY id) AS pos FROM r
+    UNION ALL SELECT node, depth, a, b, side, id, x1, y1, x2, y2, count(*) OVER (PARTITION BY node), row_number() OVER (PARTITION BY node ORDER BY id) FROM
+      (SELECT node || q AS node, depth + 1 AS depth, a + q % 2 * (side / 2) AS a, b + q // 2 * (side / 2) AS b, side / 2 AS side, id, x1, y1, x2, y2 FROM g, range(0, 4) k(q)
+        WHERE pos <= n // 11 * 11 AND x1 > a + q % 2 * (side / 2) AND x2 < a + (q % 2 + 1) * (side / 2) AND y1 > b + q // 2 * (side / 2) AND y2 < b + (q // 2 + 1) * (side / 2))),
+  h AS MATERIALIZED (SELECT g.*, k.id IS NULL AS here FROM g LEFT JOIN (SELECT id, depth - 1 AS depth FROM g) k ON k.id = g.id AND k.depth = g.depth),
+  t AS (SELECT node, depth, a, b, side, any_value(n) AS n, any_value(n) > 10 AS split, count(*) FILTER (WHERE here) AS held FROM h GROUP BY ALL)"""
+
+
+def tree(spark, d):
+    return quadtree.build(order_rects(spark, d).select("id", "x1", "y1", "x2", "y2"), ROOT, ["id"])
+
+
+@query("G-06_quadtree_nodes", f"{_TREE} SELECT node, depth, a AS x, b AS y, n, split, held FROM t")
+def tree_nodes(spark, d):
+    nodes, _ = tree(spark, d)
+    return nodes.select("node", "depth", c("nx1").alias("x"), c("ny1").alias("y"), "n", "split", "held")
+
+
+@query("A-06_quadtree_size", f"{_TREE} SELECT count(*) FILTER (WHERE split) * 4 AS node_count, sum(held)::BIGINT AS size FROM t")
+def tree_size(spark, d):
+    return quadtree.statistics(tree(spark, d)[0])
+
+
+@query(
+    "A-06_quadtree_candidates",
+    f"""{_TREE}, v AS (SELECT w.id, sum(held)::BIGINT AS candidates FROM w JOIN t ON node = '' OR (a <= w.x2 AND w.x1 <= a + side AND b <= w.y2 AND w.y1 <= b + side) GROUP BY 1),
+  m AS (SELECT w.id, count(*) AS hits FROM w JOIN r ON w.x1 <= r.x2 AND r.x1 <= w.x2 AND w.y1 <= r.y2 AND r.y1 <= w.y2 GROUP BY 1)
+SELECT v.id AS query_id, candidates, coalesce(hits, 0) AS hits FROM v LEFT JOIN m ON m.id = v.id""",
+)
+def tree_candidates(spark, d):
+    return quadtree.candidates(*tree(spark, d), windows(spark, d), ROOT)
+
+
+_DENSE = "i AS (SELECT o_orderkey AS id, (o_orderkey * 7 % 1000)::DOUBLE ** 2 / 1000 AS x1, (o_custkey * 13 % 500)::DOUBLE ** 2 / 500 AS y1, o_orderkey % 9 AS w, o_custkey % 5 AS h FROM orders), z AS (SELECT p_partkey AS id, (p_partkey * 11 % 1000)::DOUBLE AS x1, (p_partkey * 5 % 500)::DOUBLE AS y1, CASE WHEN p_partkey % 50 = 0 THEN 1000.0 ELSE p_size / 8.0::DOUBLE END AS w FROM part)"
+
+
+@query("J-05_adaptive_join", f"WITH {_DENSE} SELECT z.id, count(*) AS n, sum(i.id)::BIGINT AS ids FROM z JOIN i ON z.x1 <= i.x1 + i.w AND i.x1 <= z.x1 + z.w AND z.y1 <= i.y1 + i.h AND i.y1 <= z.y1 + z.w GROUP BY 1")
+def adaptive_join(spark, d):
+    """Items that crowd towards one corner, and windows of which some cover nearly everything."""
+    x, y = F.pow((c("o_orderkey") * 7 % 1000).cast("double"), 2) / 1000, F.pow((c("o_custkey") * 13 % 500).cast("double"), 2) / 500
+    items = table(spark, d, "orders").select(c("o_orderkey").alias("id"), x.alias("x1"), y.alias("y1"), (x + c("o_orderkey") % 9).alias("x2"), (y + c("o_custkey") % 5).alias("y2"))
+    x, y, w = (c("p_partkey") * 11 % 1000).cast("double"), (c("p_partkey") * 5 % 500).cast("double"), F.when(c("p_partkey") % 50 == 0, 1000.0).otherwise(c("p_size") / 8.0)
+    asked = table(spark, d, "part").select(c("p_partkey").alias("id"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + w).alias("y2"))
+    return quadtree.adaptive_rect_join(asked, items).groupBy(c("a_id").alias("id")).agg(F.count("*").alias("n"), F.sum("b_id").alias("ids"))
+
+
 def strokes(spark, d, name, key, a, b, size):
     x, y = (c(key) * a % 1000).cast("double"), (c(key) * b % 499).cast("double")
     return table(spark, d, name).select(c(key).alias("id"), x.alias("x1"), y.alias("y1"), (x + c(key) % size - 5.5).alias("x2"), (y + c(key) % (size + 2) - 6.5).alias("y2"))

@@ -141,9 +141,9 @@ _BLANK = g.plus(g.char(" "))
 #: Capture ids of the bulletin head.
 CSN, TTAAII, CCCC, YYGGGG, BBB = 1, 2, 3, 4, 5
 HEADER = g.seq(
-    g.char("\x01"), _EOL, g.opt(g.seq(g.capture(CSN, g.repeat(g.digit, 3, 5)), g.star(g.char(" ")), _EOL)),
-    g.capture(TTAAII, g.repeat(g.alnum, 4, 6)), _BLANK, g.capture(CCCC, g.repeat(g.alnum, 4)), _BLANK, g.capture(YYGGGG, g.repeat(g.digit, 6)),
-    g.opt(g.seq(_BLANK, g.capture(BBB, g.repeat(g.alnum, 1, 3)))), g.star(g.char(" ")), _EOL,
+    g.char("\x01"), _EOL, g.opt(g.seq(g.capture(CSN, g.repeat(g.digit, 2, 6)), g.star(g.char(" ")), _EOL)),
+    g.capture(TTAAII, g.seq(g.repeat(g.alpha, 4), g.repeat(g.digit, 2))), _BLANK, g.capture(CCCC, g.repeat(g.alpha, 4)), _BLANK, g.capture(YYGGGG, g.repeat(g.digit, 6)),
+    g.opt(g.seq(_BLANK, g.capture(BBB, g.repeat(g.alpha, 3)))), g.star(g.char(" ")), _EOL,
 )
 
 
@@ -188,20 +188,36 @@ def gribs(rows: DataFrame, data: str = "body", by_length: bool = True, or_scan:
     return out.select(*[c for c in rows.columns], F.posexplode("messages").alias("grib_no", "message"))
 
 
-#: Report kinds in the order tried, by how a report begins.
-REPORTS = g.choice(
-    g.capture(11, g.literal("TAF AMD")), g.capture(12, g.literal("TAF")), g.capture(13, g.choice(g.literal("METAR"), g.literal("SPECI"))),
-    g.capture(14, g.seq(g.literal("AAXX"))), g.capture(15, g.literal("BBXX")), g.capture(16, g.seq(g.choice(*[g.literal(x) for x in ("TTAA", "TTBB", "TTCC", "TTDD", "PPAA", "PPBB", "PPCC", "PPDD")]))),
-    g.capture(17, g.seq(g.repeat(g.upper, 4), g.char(" "), g.literal("SIGMET"))),
-)
-KIND = {11: "TAF AMD", 12: "TAF", 13: "METAR", 14: "SYNOP", 15: "SHIP", 16: "TEMP", 17: "SIGMET"}
+#: Report kinds in the order tried: how a bulletin's text begins, whether that is a header of each report, and how a report goes
+#: on from there or from the report before it.
+REPORTS = {
+    "SYNOP": (r"AAXX\s+[0-9/]{5}", True, r"\s+[^=]*+="),
+    "SHIP": ("BBXX", True, r"\s+[^=]*+="),
+    "TAF AMD": (r"TAF\s+AMD", True, r"\s+[^=]*+="),
+    "TAF": ("TAF", True, r"\s+[^=]*+="),
+    "METAR": ("METAR|SPECI", False, r"\s*[^=]*+="),
+    "TEMP": ("", False, r"\s*(?:TT|UU)(?:AA|BB)\s+[^=]*+=|\s*TT(?:CC|DD)\s+[^=]*+="),
+    "SIGMET": ("", False, r"\A\s*[A-Z]{4}\s+SIGMET[^=]*+="),
+}
 
 
 def reports(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Splits report bulletins at '=': one row a report with no, kind (as the bulletin's opening says) and report."""
-    kinds = F.coalesce(*[F.when(F.nullif(REPORTS.search(F.col(text), i), F.lit("")).isNotNull(), F.lit(k)) for i, k in KIND.items()])
-    body = g.Rule(r"[^=]++=").all(F.col(text))
-    return rows.withColumn("kind", kinds).select("*", F.posexplode(body).alias("no", "report")).withColumn("report", F.trim(F.regexp_replace("report", r"\s+", " ")))
+    """Splits report bulletins at '=': one row a report with no, kind, header and report. A kind holds if the text begins (after
+    white space) as it says and one report at least follows. Headers (AAXX and time, BBXX, TAF, TAF AMD) are in
+    each report of the bulletin; METAR and SPECI are not. Reports end with '='; what follows the last is no report."""
+    plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    joined = lambda before: lambda r: F.concat(before, plain(r))
+    found = []
+    for kind, (opening, shared, report) in REPORTS.items():
+        begins = rf"\A\s*({opening})"
+        rest = F.substring(F.col(text), F.length(F.regexp_extract(text, begins, 0)) + 1, F.length(text)) if opening else F.col(text)
+        each = F.regexp_extract_all(rest, F.lit(rf"\G(?:{report})"), F.lit(0))
+        header = plain(F.regexp_extract(text, begins, 1)) if shared else F.lit(None).cast("string")
+        before = F.concat(header, F.lit(" ")) if shared else F.lit("")
+        full = F.transform(each, joined(before))
+        found.append(F.when(F.col(text).rlike(begins) & (F.size(each) > 0), F.struct(F.lit(kind).alias("kind"), header.alias("header"), full.alias("reports"))))
+    out = rows.withColumn("_found", F.coalesce(*found)).filter("_found is not null")
+    return out.select(*rows.columns, "_found.kind", "_found.header", F.posexplode("_found.reports").alias("no", "report"))
 
 
 class _File(InputPartition):

@@ -174,3 +174,25 @@ def test_cut_off_files_become_error_rows(spark):
     assert [(r.path, r.attr and r.attr.s, r.error is None) for r in sorted(rows, key=lambda r: (r.path, r.error is not None))] == [("a", "Peru", True), ("a", None, False), ("b", None, False), ("c", None, False)]
     png = b"\x89PNG\r\n\x1a\n"
     assert [r.error for r in files.png_images(spark.createDataFrame([("a", png), ("b", png + b"\0\0")], "path string, content binary")).orderBy("path").collect()][0] == "no image header"
+
+
+def test_head_fields_of_any_lawful_length(spark):
+    from pyspark.sql import functions as F
+
+    from fieldloom.sources import gts
+
+    heads = [b"01\r\r\nSADL01 EDZW 010203\r\r\n", b"000123\r\r\nSADL01 EDZW 010203 RRA\r\r\n", b"SADL01 EDZW 010203\r\r\n", b"1\r\r\nSADL01 EDZW 010203\r\r\n", b"123\r\r\nSADL0X EDZW 010203\r\r\n", b"123\r\r\nSADL01 ED1W 010203\r\r\n"]
+    rows = [(str(k), bytearray(b"%08d" % (len(h) + 6) + b"BI" + b"\x01\r\r\n" + h + b"xx")) for k, h in enumerate(heads)]
+    got = gts.bulletins(gts.frames(spark.createDataFrame(rows, "path string, content binary"))).orderBy("path").select("csn", "ttaaii", "bbb", F.decode("body", "ISO-8859-1")).collect()
+    assert [tuple(r) for r in got] == [("01", "SADL01", None, "xx"), ("000123", "SADL01", "RRA", "xx"), (None, "SADL01", None, "xx"), *[(None, None, None, None)] * 3]
+
+
+def test_report_kinds_hold_at_the_beginning_only(spark):
+    from fieldloom.sources import gts
+
+    texts = ["STAFF meets METAR=", "UUAA 61001 1=\r\nUUBB 2=\r\nXX 3=", "LFFF  SIGMET 2 VALID=\nmore=", " AAXX 01004 03772 1=\n03773 2=\nrest", "TAF\nAMD EGLL 1=\nEGKK 2=", "TAF EGLL 1=EGKK 2=", "METAR EGLL 1=\nEGKK 2=", "AAXX 03772 x", None]
+    got = gts.reports(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).orderBy("id", "no").select("id", "kind", "header", "report").collect()
+    assert [tuple(r) for r in got] == [
+        (1, "TEMP", None, "UUAA 61001 1="), (1, "TEMP", None, "UUBB 2="), (2, "SIGMET", None, "LFFF SIGMET 2 VALID="), (3, "SYNOP", "AAXX 01004", "AAXX 01004 03772 1="), (3, "SYNOP", "AAXX 01004", "AAXX 01004 03773 2="),
+        (4, "TAF AMD", "TAF AMD", "TAF AMD EGLL 1="), (4, "TAF AMD", "TAF AMD", "TAF AMD EGKK 2="), (5, "TAF", "TAF", "TAF EGLL 1="), (6, "METAR", None, "EGLL 1="), (6, "METAR", None, "EGKK 2="),
+    ]
