@@ -70,6 +70,7 @@ class Aligner:
         self.b_bytes = {i: p.encode() for i, p in enumerate(self.b.pieces)} | {i: bytes([k]) for k, i in enumerate(self.b.bytes)}
         self.a_size = np.array([spelled.get(i, 0) for i in range(self.a.get_vocab_size())])
         self.b_size = np.array([len(self.b_bytes[i]) for i in range(len(self.b_bytes))])
+        self.text = [f"{i}{mark}" for size, marks in ((self.a_size, ",|"), (self.b_size, ",;")) for mark in marks for i in range(len(size))]
         self.parts: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
@@ -79,7 +80,7 @@ class Aligner:
         whole = "".join(parts)
         raw = whole.encode()
         # B puts the space that parts begin with before a text by itself.
-        a, b = self.a.encode(whole, add_special_tokens=False).ids, self.b.library.encode(whole[1:])
+        a, b = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.b.library.encode(whole[1:])
         if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             if len(parts) == 1:
                 yield None
@@ -89,25 +90,27 @@ class Aligner:
             return
         labels = np.zeros(len(raw), "u1")
         a_ids, b_ids = np.array(a), np.array(b)
-        labels[np.cumsum(self.a_size[a_ids]) - 1] |= 1
-        labels[np.cumsum(self.b_size[b_ids]) - 1] |= 2
+        a_end, b_end = np.cumsum(self.a_size[a_ids]) - 1, np.cumsum(self.b_size[b_ids]) - 1
+        labels[a_end] |= 1
+        labels[b_end] |= 2
         marks = np.flatnonzero(labels)
-        ends = labels[marks]
-        i, j = np.cumsum(ends & 1) - (ends & 1), np.cumsum(ends >> 1) - (ends >> 1)
-        keys = a_ids[i] * KEY + b_ids[j]
-        groups, i, j = [], 0, 0
-        for m in SPAN.finditer(labels.tobytes()):
-            span = m.group()
-            k, n = i + span.count(1) + 1, j + span.count(2) + 1
-            groups.append(f"{a[i]}|{b[j]}" if k - i + n - j == 2 else ",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:n])))
-            i, j = k, n
-        # Where each part ends, in bytes, labels, tokens and groups.
-        stop = np.searchsorted(marks, np.cumsum([len(p.encode()) for p in parts]) - 1) + 1
-        counts = [np.concatenate([[0], np.cumsum(c)])[stop].tolist() for c in (ends & 1, ends >> 1, ends == 3)]
-        before = (0, 0, 0, 0)
-        for at in zip(stop.tolist(), *counts, strict=True):
+        ends = labels[marks].astype("i8")
+        # Between two labels one token of each side is open: how many have ended before tells which.
+        keys = a_ids[np.cumsum(ends & 1) - (ends & 1)] * KEY + b_ids[np.cumsum(ends >> 1) - (ends >> 1)]
+        stops = np.array([m.end() - 1 for m in SPAN.finditer(labels.tobytes())])
+        # A span's label counts say how many tokens of each side follow in its group; the last of a side is written otherwise.
+        upto = np.searchsorted(marks, stops, "right")
+        counts = [np.diff(np.concatenate([[0], np.cumsum(e)[upto - 1]])) for e in (ends & 1, ends >> 1)]
+        own = [np.repeat(np.arange(len(stops)), n) for n in counts]
+        last = [np.concatenate([g[1:] != g[:-1], [True]]) for g in own]
+        shown = np.concatenate([a_ids + last[0] * len(self.a_size), b_ids + last[1] * len(self.b_size) + 2 * len(self.a_size)])
+        shown = shown[np.argsort(np.concatenate([own[0] * 2, own[1] * 2 + 1]), kind="stable")].tolist()
+        # What lies before each part's end: labels, tokens of each side, groups.
+        stop = np.cumsum([len(p.encode()) for p in parts]) - 1
+        before, text = (0, 0, 0, 0), self.text
+        for at in zip(*[np.searchsorted(x, stop, "right").tolist() for x in (marks, a_end, b_end, stops)], strict=True):
             size = [x - y for x, y in zip(at, before, strict=True)]
-            yield *size[1:], ";".join(groups[before[3] : at[3]]), keys[before[0] : at[0]].tobytes()
+            yield *size[1:], "".join([text[k] for k in shown[before[1] + before[2] : at[1] + at[2]]])[:-1], keys[before[0] : at[0]].tobytes()
             before = at
 
     def __call__(self, text: str | None) -> tuple:
