@@ -199,11 +199,11 @@ def replayed(spark, d):
 
 @query(
     "X4_asof_interpolation",
-    """WITH s AS (SELECT event_type AS key, ts AS at, avg(value) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY ALL),
-  p AS (SELECT event_id AS probe_id, event_type AS key, ts + to_seconds(event_id * 7919 % 7200 - 3600) AS at FROM events),
-  b AS (SELECT p.*, s.at AS before, s.value AS v0 FROM p ASOF LEFT JOIN s ON p.key = s.key AND p.at >= s.at),
-  a AS (SELECT b.*, s.at AS after, s.value AS v1 FROM b ASOF LEFT JOIN s ON b.key = s.key AND b.at <= s.at)
-SELECT probe_id, key, at, before, after, round(CASE WHEN before = after THEN v0 ELSE v0 + (v1 - v0) * (epoch_us(at) - epoch_us(before))::DOUBLE / (epoch_us(after) - epoch_us(before))::DOUBLE END, 6) AS value FROM a""",
+    """WITH s AS (SELECT event_type AS key, ts AS t, avg(value) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY ALL),
+  p AS (SELECT event_id AS probe_id, event_type AS key, ts + to_seconds(event_id * 7919 % 7200 - 3600) AS t FROM events),
+  b AS (SELECT p.*, s.t AS before, s.value AS v0 FROM p ASOF LEFT JOIN s ON p.key = s.key AND p.t >= s.t),
+  a AS (SELECT b.*, s.t AS after, s.value AS v1 FROM b ASOF LEFT JOIN s ON b.key = s.key AND b.t <= s.t)
+SELECT probe_id, key, t AS "at", before, after, round(CASE WHEN before = after THEN v0 ELSE v0 + (v1 - v0) * (epoch_us(t) - epoch_us(before))::DOUBLE / (epoch_us(after) - epoch_us(before))::DOUBLE END, 6) AS value FROM a""",
 )
 def asof(spark, d):
     """Values of each type of events at arbitrary times, on the line between the samples before and after."""
