@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import fresh, join_hot, store, sums_before, words_of
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 17
-#: Blocks of the whole mix, and documents of a shard, about.
-BLOCKS, SHARD = 1 << 20, 4096
+#: Blocks of the whole mix at least, documents of a shard at most (about), and blocks of a source and of a shard at least (about):
+#: rounding to whole blocks then moves no source by more than a hundredth, however large the corpus or small the source.
+BLOCKS, SHARD, FINE = 1 << 20, 4096, 64
 
 
 def order_key(doc_id: Column, seed: int) -> Column:
@@ -30,6 +31,11 @@ def order_key(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
 
 
+def deal_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """The same for the shard, with the text in it, so that rows without an id of their own are dealt out too."""
+    return F.md5(F.concat(order_key(doc_id, seed), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """sources (source, n words, docs, one row each) with at and target: the level L with min(REPEATS * n, L * weight) adding
     up to all words. L is the largest of what is left over the weights left, as sources stop in order of n / weight."""
@@ -70,15 +76,16 @@ def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shard: int = SH
     """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source). row: a column that tells rows
     apart (long); it is then in doc_id's place."""
     size, th = F.size(words_of(F.col("text"))).cast("long"), F.xxhash64("text")
-    sizes = docs.select("doc_id", "source", size.alias("size"), order_key(F.col("doc_id"), seed).alias("key"), th.alias("th"), *([F.col(row).alias("row")] if row else []))
+    sizes = docs.select("doc_id", "source", size.alias("size"), order_key(F.col("doc_id"), seed).alias("key"), deal_key(F.col("doc_id"), F.col("text"), seed).alias("deal"), th.alias("th"), *([F.col(row).alias("row")] if row else []))
     sizes = store(sizes.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), "sizes")
     sources = store(targets(sizes.groupBy("s", "source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))), "sources")
     total = sources.agg(F.sum("n")).first()[0] or 0
-    block = max(1, total // blocks)
+    least = sources.filter("target > 0").agg(F.min("target")).first()[0] or 0
+    block = max(1, min(total // blocks, int(least // FINE)))
     quotas = apportion(sources.select("at", "s", F.col("target").alias("votes")), F.lit(total // block), [], ["at"])
-    sources = sources.join(quotas, "at", "left").select("s", F.col("n").alias("source_size"), "target", "docs", F.coalesce("quota", F.lit(0)).alias("seats"), F.greatest(F.lit(1), F.floor(F.col("docs") / shard)).cast("long").alias("shards"))
+    sources = sources.join(quotas, "at", "left").select("s", F.col("n").alias("source_size"), "target", "docs", F.coalesce("quota", F.lit(0)).alias("seats"), F.greatest(F.lit(1), F.least(F.floor(F.col("docs") / shard), F.floor(F.col("n") / (FINE * block)))).cast("long").alias("shards"))
     sources = store(sources, "quotas")
-    at = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("shards")
+    at = F.conv(F.substring("deal", 1, 8), 16, 10).cast("long") % F.col("shards")
     placed = join_hot(sizes.drop("source"), sources, ["s"], F.monotonically_increasing_id(), "docs").withColumn("shard", at)
     cells = store(placed.groupBy("s", "shard").agg(F.sum("size").alias("words"), F.max("seats").alias("seats")), "cells")
     shares = apportion(cells.select("s", "shard", "seats", F.col("words").cast("double").alias("votes")), F.col("seats"), ["s"], ["s", "shard"])
@@ -118,18 +125,18 @@ _SEATS = """
   {name} AS (SELECT {keys}, CAST(any_value(sure) + count(*) FILTER (WHERE rank <= open) AS BIGINT) AS quota FROM {name}_e GROUP BY ALL)"""
 
 OP8_SQL = f"""
-WITH sizes AS (SELECT doc_id, source, coalesce('s' || source, '') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{SEED}') AS key,
+WITH sizes AS (SELECT doc_id, source, coalesce('s' || source, '') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{SEED}') AS key, md5(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{SEED}') || md5(coalesce(text, ''))) AS deal,
       CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
   n AS (SELECT s, source, CAST(sum(size) AS BIGINT) AS n, count(*) AS docs FROM sizes GROUP BY ALL),
   w AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS pos, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM n),
   l AS (SELECT *, (sum(n) OVER () - coalesce(sum({REPEATS} * n) OVER (ORDER BY n / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
       / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY n / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS lef FROM w),
   t AS (SELECT *, least(CAST({REPEATS} * n AS DOUBLE), max(lef) OVER () * w) AS target FROM l),
-  b AS (SELECT CAST(sum(n) AS BIGINT) AS total, greatest(1, CAST(sum(n) AS BIGINT) // {BLOCKS}) AS block FROM n),
+  b AS (SELECT CAST(sum(n) AS BIGINT) AS total, greatest(1, least(CAST(sum(n) AS BIGINT) // {BLOCKS}, CAST(floor((SELECT min(target) FROM t WHERE target > 0) / {FINE}) AS BIGINT))) AS block FROM n),
   p AS (SELECT pos, s, target AS votes, (SELECT total // block FROM b) AS seats FROM t),
   {_SEATS.format(name="q", source="p", part="", order="pos", keys="pos")},
-  src AS (SELECT t.s, t.n AS source_size, t.target, coalesce(q.quota, 0) AS seats, greatest(1, t.docs // {SHARD}) AS shards FROM t LEFT JOIN q USING (pos)),
-  placed AS (SELECT sizes.*, src.source_size, src.target, src.seats, CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard FROM sizes JOIN src USING (s)),
+  src AS (SELECT t.s, t.n AS source_size, t.target, coalesce(q.quota, 0) AS seats, greatest(1, least(t.docs // {SHARD}, t.n // ({FINE} * (SELECT block FROM b)))) AS shards FROM t LEFT JOIN q USING (pos)),
+  placed AS (SELECT sizes.*, src.source_size, src.target, src.seats, CAST('0x' || substr(deal, 1, 8) AS BIGINT) % shards AS shard FROM sizes JOIN src USING (s)),
   cells AS (SELECT s, shard, CAST(sum(size) AS BIGINT) AS words, max(seats) AS seats FROM placed GROUP BY ALL),
   c AS (SELECT s, shard, seats, CAST(words AS DOUBLE) AS votes FROM cells),
   {_SEATS.format(name="r", source="c", part="PARTITION BY s", order="s, shard", keys="s, shard")},

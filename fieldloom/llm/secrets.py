@@ -68,16 +68,24 @@ def findings(blobs: DataFrame) -> DataFrame:
 
 
 class BlobLedger:
-    """Parts of (blob, rules, findings) in a folder."""
+    """Parts of (blob, rules, findings) in a folder, named by generation. A part called whole-<g> holds all of generations before
+    g, so what a broken-off compaction leaves of those is not read again; a whole part counts once its writing has ended."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         """folder: of a ledger to go on with (it may be empty or missing); else a new one in the shared folder."""
         self.spark, self.folder = spark, folder or f"{work_dir(spark)}/ledger-{uuid.uuid4().hex}"
-        self.parts = [self._read(path) for path in self._paths()]
+        paths = self._paths()
+        self.generation = max((self._generation(p) for p in paths), default=0)
+        whole = max((self._generation(p) for p in paths if "/whole-" in p), default=0)
+        self.parts = [self._read(p) for p in paths if self._generation(p) >= whole]
+
+    @staticmethod
+    def _generation(path: str) -> int:
+        return int(path.rsplit("/", 1)[-1].split("-")[1])
 
     def _paths(self) -> list[str]:
         """The parts whose writing has ended."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/part-*/_SUCCESS")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{{part,whole}}-*/_SUCCESS")
         found = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
         return sorted(x.getPath().getParent().toString() for x in found or [])
 
@@ -86,8 +94,9 @@ class BlobLedger:
         part.stored_at = path
         return part
 
-    def _append(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.folder}/part-{uuid.uuid4().hex}"
+    def _append(self, rows: DataFrame, kind: str = "part") -> DataFrame:
+        self.generation += 1
+        path = f"{self.folder}/{kind}-{self.generation:09d}-{uuid.uuid4().hex}"
         with settings(self.spark, WRITING):
             rows.write.option("compression", "zstd").parquet(path)
         return self._read(path)
@@ -104,10 +113,9 @@ class BlobLedger:
         rows = self.parts[0]
         for part in self.parts[1:]:
             rows = rows.unionByName(part)
-        whole = self._append(rows.dropDuplicates(["blob", "rules"]))
+        whole = self._append(rows.dropDuplicates(["blob", "rules"]), "whole")
         discard(*self.parts)
         self.parts = [whole]
-
     def scan(self, versions: DataFrame, rules: str = RULES) -> DataFrame:
         """versions (path, text) with findings; blobs new to the ledger are scanned and appended."""
         text = F.coalesce(F.col("text"), F.lit(""))
@@ -116,14 +124,16 @@ class BlobLedger:
         texts = versions.select(blob, text.alias("text"))
         known = self._known(rules)
         # Copies of a blob give way to one of them before and after the shuffle.
-        unseen = (texts if known is None else texts.join(known.select("blob"), "blob", "left_anti")).groupBy("blob").agg(F.first("text").alias("text"))
+        unseen = texts.groupBy("blob").agg(F.first("text").alias("text"))
+        unseen = unseen if known is None else unseen.join(known.select("blob"), "blob", "left_anti")
         names = store(rows.groupBy("blob").agg(F.count("*").alias("n")), "blobs")
         new = store(findings(unseen), "new")
         asked = names.select("blob") if known is None else names.select("blob").join(known.select("blob"), "blob", "left_anti")
         self.parts.append(self._append(asked.join(new, "blob", "left").select("blob", F.lit(rules).alias("rules"), F.coalesce("findings", F.expr(f"cast(array() as {FINDING})")).alias("findings"))))
         if len(self.parts) > PARTS:
             self.compact()
-        found = self._known(rules).filter(F.size("findings") > 0).select("blob", "findings")
+        # Sessions side by side may both have scanned a blob.
+        found = self._known(rules).filter(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
         found = store(found.join(names, "blob"), "found")
         discard(new, names)
         return join_hot(rows, found, ["blob"], F.monotonically_increasing_id(), "n", "left").withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as {FINDING})")))
