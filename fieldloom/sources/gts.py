@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from fieldloom.functions import grammar as g
 
@@ -270,6 +270,109 @@ class GtsReader(DataSourceReader):
                     return
 
 
+def _opened(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, stop: int, ends: bool):
+        self.path, self.start, self.stop, self.ends = path, start, stop, ends
+
+
+class ChunkReader(DataSourceStreamReader):
+    """Bytes of growing files. The offset is the byte position reached in each file, and whether its end has been told: a query
+    that starts again goes on at the byte where it stopped, and any task may read any range anew."""
+
+    #: Bytes of one task's range, a whole number of chunks.
+    RANGE = 64 << 20
+
+    def __init__(self, options):
+        self.paths = options.get("paths", options.get("path", ""))
+        self.chunk = int(options.get("chunk", 1 << 20))
+        self.closed = options.get("closed", "false").lower() == "true"
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        out = {}
+        for f in [f for p in self.paths.split(",") if p for f in _files(p)]:
+            where, plain = _opened(f)
+            size = where.get_file_info(plain).size
+            if size is not None:
+                out[f] = [size, self.closed]
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        step = max(1, self.RANGE // self.chunk) * self.chunk
+        out: list[InputPartition] = []
+        for path, (size, closed) in end.items():
+            at, told = start.get(path, (0, False))
+            cuts = [*range(at, size, step), size] if size > at else [at, at]
+            ranges = list(zip(cuts, cuts[1:], strict=False))
+            for k, (a, b) in enumerate(ranges):
+                ends = closed and not told and k + 1 == len(ranges)
+                if b > a or ends:
+                    out.append(_Range(path, a, b, ends))
+        return out
+
+    def read(self, partition: _Range):
+        where, plain = _opened(partition.path)
+        at = partition.start
+        if partition.stop > at:
+            with where.open_input_file(plain) as f:
+                f.seek(at)
+                while at < partition.stop:
+                    data = f.read(min(self.chunk, partition.stop - at))
+                    if not data:
+                        raise OSError(f"{partition.path} has become shorter")
+                    yield partition.path, at, data
+                    at += len(data)
+        if partition.ends:
+            yield partition.path, at, None
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept for the past: files stay as they are."""
+
+
+class ChunkDataSource(DataSource):
+    """spark.readStream.format("gts_chunks").option("paths", "a,b/*.bin,folder").load(): feed (the file), seq (the byte position)
+    and data of files that may grow between triggers. With option closed they do not: data null then tells a file's end."""
+
+    @classmethod
+    def name(cls):
+        return "gts_chunks"
+
+    def schema(self):
+        return "feed string, seq long, data binary"
+
+    def streamReader(self, schema):
+        return ChunkReader(self.options)
+
+
+def write_dumps(dumps: DataFrame, folder: str, path: str = "path", content: str = "content") -> int:
+    """Writes each row's content as a file of folder, named by path, and returns how many. Files appear whole: a task that is
+    repeated writes them anew under another name first."""
+
+    def run(batches):
+        import uuid
+
+        where, plain = _opened(folder)
+        where.create_dir(plain, recursive=True)
+        for b in batches:
+            for name, data in zip(b.column(0), b.column(1), strict=True):
+                hidden = f"{plain}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(hidden) as f:
+                    f.write(data.as_py() or b"")
+                where.move(hidden, f"{plain}/{name.as_py()}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    return dumps.select(F.col(path).cast("string"), content).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 class GtsDataSource(DataSource):
     """spark.read.format("gts").option("paths", "a,b/*.bin,folder").load(): runs of framed dumps, a task a file, in memory
     bounded by the longest run."""

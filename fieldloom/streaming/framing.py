@@ -13,7 +13,11 @@ from fieldloom.sources.gts import Splitter
 
 
 class FrameProcessor(StatefulProcessor):
-    """Per feed: the bytes not yet split and where they lie in the stream, the next number, and chunks that came too early."""
+    """Per feed: the bytes not yet split and where they lie in the stream, the next number, and chunks that came too early.
+    by_bytes: chunks are numbered by the byte position they begin at, and not one after the other."""
+
+    def __init__(self, by_bytes: bool = False):
+        self.by_bytes = by_bytes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("held", "offset long, held binary, skipped long, next long")
@@ -39,7 +43,7 @@ class FrameProcessor(StatefulProcessor):
             here, data = follow(next_)
             if not here:
                 break
-            next_ += 1
+            next_ += (len(data) if data else data is None) if self.by_bytes else 1
             out += splitter.feed(b"" if data is None else data, last=data is None)
         for seq, data in waiting.items():
             if seq > next_:
@@ -52,11 +56,11 @@ class FrameProcessor(StatefulProcessor):
         pass
 
 
-def stream_frames(chunks: DataFrame) -> DataFrame:
+def stream_frames(chunks: DataFrame, by_bytes: bool = False) -> DataFrame:
     """(feed, kind, type, start, finish) of a stream of (feed, seq, data). Chunks are taken in order of seq, from 0 without
-    gaps, in whatever order they arrive; data null ends a feed, and what it still holds is told. Needs the RocksDB state
-    store."""
-    return chunks.groupBy("feed").transformWithStateInPandas(FrameProcessor(), "feed string, kind string, type string, start long, finish long", "append", "none")
+    gaps, in whatever order they arrive; data null ends a feed, and what it still holds is told. by_bytes: seq is the byte
+    position of a chunk, as the source gts_chunks has it. Needs the RocksDB state store."""
+    return chunks.groupBy("feed").transformWithStateInPandas(FrameProcessor(by_bytes), "feed string, kind string, type string, start long, finish long", "append", "none")
 
 
 def counters(runs: DataFrame) -> DataFrame:

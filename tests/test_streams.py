@@ -51,3 +51,39 @@ def test_changes_are_told_once_a_trigger(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert told == [10]
+
+
+def test_a_restart_goes_on_at_the_byte(spark, tmp_path):
+    """Files grow between runs, one appears late, one is cut inside a frame's head; the frames are those of a batch."""
+    from fieldloom.sources import gts
+
+    rng = random.Random(12)
+    feeds = {f"f{k}.bin": dump(rng) for k in range(3)}
+    folder = tmp_path / "dumps"
+    folder.mkdir()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.dataSource.register(gts.ChunkDataSource)
+    for sizes, closed in (({"f0.bin": 5, "f1.bin": 333}, "false"), ({"f0.bin": 700, "f1.bin": 333, "f2.bin": 64}, "false"), ({f: None for f in feeds}, "true")):
+        for f, n in sizes.items():
+            (folder / f).write_bytes(feeds[f][:n])
+        chunks = spark.readStream.format("gts_chunks").option("paths", str(folder)).option("chunk", 50).option("closed", closed).load()
+        q = stream_frames(chunks, by_bytes=True).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).withColumn("feed", F.element_at(F.split("feed", "/"), -1))
+    want = frames(spark.createDataFrame(list(feeds.items()), "path string, content binary"))
+    key = lambda df, f: sorted(((r[0], r.kind, r.type, r.start, r.finish) for r in df.select(f, "kind", "type", "start", "finish").collect()), key=repr)
+    assert key(got, "feed") == key(want, "path")
+
+
+def test_ranges_of_a_file():
+    """Offsets are byte positions; what was told is not told again."""
+    from fieldloom.sources.gts import ChunkReader
+
+    r = ChunkReader({"paths": "", "chunk": "10"})
+    r.RANGE = 25
+    parts = lambda a, b: [(p.start, p.stop, p.ends) for p in r.partitions(a, b)]
+    assert parts({}, {"x": [45, False]}) == [(0, 20, False), (20, 40, False), (40, 45, False)]
+    assert parts({"x": [45, False]}, {"x": [45, False]}) == []
+    assert parts({"x": [45, False]}, {"x": [45, True]}) == [(45, 45, True)]
+    assert parts({"x": [45, True]}, {"x": [45, True]}) == []
+    assert parts({"x": [40, False]}, {"x": [45, True], "y": [0, True]}) == [(40, 45, True), (0, 0, True)]
