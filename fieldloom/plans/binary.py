@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import binary as b
 from fieldloom.functions import grammar as g
+from fieldloom.functions.events import parse_events
 from fieldloom.plans.base import query, table
 from fieldloom.sources import grib, gts
 from fieldloom.streaming.framing import counters
@@ -338,6 +339,54 @@ def split_reports(spark, d):
     return out.groupBy("conv_id", "kind", "header").agg(F.count("*").alias("reports"), F.sum(F.length("report").cast("long")).alias("chars"))
 
 
+#: Lines with words in them; the first branch always takes a word and then fails.
+LINES = ["capture", 1, ["seq", ["opt", ["re", " +"]], ["plus", ["seq", ["or", ["seq", ["capture", 3, ["re", r"[^ \n]+"]], ["re", r"[^ \n]"]], ["capture", 2, ["re", r"[^ \n]+"]]], ["opt", ["re", " +"]]]]]]
+
+
+def _line_events(name: str, key: str, text: str) -> str:
+    return f"""WITH d AS (SELECT {key} AS id, {text} AS t FROM {name}),
+  w AS (SELECT id, unnest(regexp_extract_all(t, '[^ \\n]+')) AS m, unnest(regexp_split_to_array(t, '[^ \\n]+')[:-2]) AS p, unnest(range(len(regexp_extract_all(t, '[^ \\n]+')))) AS k FROM d),
+  ws AS (SELECT id, count(*) AS words, sum(pos)::BIGINT AS word_starts FROM (SELECT id, sum(length(p)) OVER o + coalesce(sum(length(m)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM w WINDOW o AS (PARTITION BY id ORDER BY k)) GROUP BY 1),
+  l AS (SELECT id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS k FROM d),
+  lp AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY k) - 1 AS finish FROM l),
+  lw AS (SELECT *, sum(len(regexp_extract_all(line, '[^ \\n]+'))) OVER (PARTITION BY id ORDER BY k) AS upto, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS n FROM lp WHERE regexp_matches(line, '[^ ]')),
+  ls AS (SELECT id, count(*) AS lines, sum(finish)::BIGINT AS line_finishes, sum(upto + n)::BIGINT AS line_places FROM lw GROUP BY 1)
+SELECT id, lines, words, word_starts, line_finishes, line_places FROM ls JOIN ws USING (id)"""
+
+
+def _line_sums(rows):
+    is_, at = (lambda i: c("e") == i), (lambda i, k: F.sum(F.when(c("e") == i, c(k)).otherwise(0).cast("long")))
+    found = parse_events(rows, "t", LINES).withColumnRenamed("id", "e").withColumnRenamed("key", "id")
+    return found.groupBy("id").agg(F.count_if(is_(1)).alias("lines"), F.count_if(is_(2)).alias("words"), at(2, "start").alias("word_starts"), at(1, "finish").alias("line_finishes"), at(1, "seq").alias("line_places")).filter("lines > 0")
+
+
+@query("X-16_nested_events", _line_events("documents", "doc_id", "coalesce(text, '')"))
+def nested_events(spark, d):
+    """Words within lines: spans, and the order in which captures are completed; events of failed branches are taken back."""
+    return _line_sums(table(spark, d, "documents").select(c("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("t")))
+
+
+@query("X-16_page_events", _line_events("pages", "page_id", "coalesce(html, '')"))
+def page_events(spark, d):
+    return _line_sums(table(spark, d, "pages").select(c("page_id").alias("key"), F.coalesce("html", F.lit("")).alias("t")))
+
+
+#: A frame whose body, as long as its head says, is a bulletin with any text.
+BULLETIN = ["seq", ["re", "\x01\r\r\n"], ["capture", 2, ["re", "[0-9]{2,6}"]], ["re", "\r\r\n"], ["capture", 3, ["re", "[A-Za-z]{4}[0-9]{2}"]], ["re", " [A-Za-z]{4} [0-9]{6}(?: [A-Za-z]{3})?\r\r\n"], ["capture", 4, ["rest"]]]
+FRAME = lambda body: ["capture", 1, ["bounded", ["re", "[0-9]{8}"], ["re", "AN|BI|FX|00|01"], body]]
+
+
+@query(
+    "S-03_bounded_bodies",
+    """SELECT (doc_id // 20)::VARCHAR AS path, count(*) AS frames, sum(3)::BIGINT AS csn, sum(6)::BIGINT AS heads, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bodies, sum(10 + strlen(coalesce(text, '')) + 1 + 31 + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END)::BIGINT AS bytes FROM documents GROUP BY 1""",
+)
+def bounded_bodies(spark, d):
+    """Frames whose bodies are parsed by a grammar given as an argument, within the length that each head says."""
+    found = parse_events(dumps(spark, d).select("path", g.latin1(c("content")).alias("t")), "t", FRAME(BULLETIN))
+    size = lambda i: F.sum(F.when(c("id") == i, c("finish") - c("start")).otherwise(0).cast("long"))
+    return found.groupBy("path").agg(F.count_if(c("id") == 1).alias("frames"), size(2).alias("csn"), size(3).alias("heads"), size(4).alias("bodies"), size(1).alias("bytes"))
+
+
 # --- rules -----------------------------------------------------------------------------------------------------------
 
 _LETTERS, _DIGITS = g.plus(g.between("a", "z")), g.plus(g.digit)
