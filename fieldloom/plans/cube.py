@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import affine, affine_projection, scaling, spline, then, translation, warp_weight, weighted_mean
-from fieldloom.operators import contour, grid
+from fieldloom.operators import contour, cube, grid
 from fieldloom.operators.spatial import blended, resample
 from fieldloom.plans.base import SIDE, CELLS_SQL, LEVELS_SQL, packed, query, table
 from fieldloom.sources.grib import expand_row
@@ -208,3 +208,73 @@ def difference(spark, d):
     n = F.least(F.size("buf"), F.size("next"))
     change = F.aggregate(F.zip_with(F.slice("buf", F.lit(1), n), F.slice("next", F.lit(1), n), lambda a, b: F.abs(b - a)), F.lit(0.0), lambda a, x: a + x)
     return p.join(above, "surface_id").select("surface_id", F.round(change, 5).alias("change"))
+
+
+_PLANES = "p AS (SELECT event_type AS param, user_id AS hpa, date_trunc('day', ts) AS valid, avg(value) AS value FROM events GROUP BY ALL)"
+
+
+def planes(spark, d):
+    """Mean values of events as planes: type is the parameter, user the level, day the valid time."""
+    e = table(spark, d, "events")
+    return e.groupBy(c("event_type").alias("param"), c("user_id").alias("hpa"), F.date_trunc("day", "ts").alias("valid")).agg(F.avg("value").alias("value"))
+
+
+@query(
+    "E-01_formula_speed",
+    f"WITH {_PLANES} SELECT u.hpa, u.valid::TIMESTAMP AS valid, round(sqrt(u.value * u.value + v.value * v.value), 6) AS value FROM p u JOIN p v ON u.hpa = v.hpa AND u.valid = v.valid WHERE u.param = 'click' AND v.param = 'purchase'",
+)
+def formula_speed(spark, d):
+    wind = cube.Cube(planes(spark, d), ("hpa", "valid")).define("speed", "sqrt(click * click + purchase ** 2)")
+    return wind.plane("speed").select("hpa", c("valid").cast("timestamp_ntz").alias("valid"), F.round("value", 6).alias("value"))
+
+
+@query(
+    "E-01_formula_ratio",
+    f"WITH {_PLANES} SELECT u.hpa, u.valid::TIMESTAMP AS valid, round(abs(u.value - v.value) / nullif(u.value + v.value, 0), 6) AS value FROM p u JOIN p v ON u.hpa = v.hpa AND u.valid = v.valid WHERE u.param = 'click' AND v.param = 'purchase' AND u.hpa >= 3",
+)
+def formula_ratio(spark, d):
+    """A formula of a formula, with a criterion that reaches the scan."""
+    shares = cube.Cube(planes(spark, d), ("hpa", "valid")).define("whole", "click + purchase").define("share", "abs(click - purchase) / whole").where(c("hpa") >= 3)
+    return shares.plane("share").select("hpa", c("valid").cast("timestamp_ntz").alias("valid"), F.round("value", 6).alias("value"))
+
+
+@query(
+    "E-01_formula_surfaces",
+    f"WITH {CELLS_SQL}, b AS (SELECT surface_id % 2 AS side, surface_id // 2 AS pair, x, y, value FROM cells) SELECT u.pair, count(*) AS cells, round(sum(greatest(u.value, -v.value) - 0.5::DOUBLE * v.value), 5) + 0.0 AS total FROM b u JOIN b v ON u.pair = v.pair AND u.x = v.x AND u.y = v.y WHERE u.side = 0 AND v.side = 1 GROUP BY 1",
+)
+def formula_surfaces(spark, d):
+    """Cell by cell over pairs of surfaces."""
+    cells = grid.to_cells(packed(spark, d), ["surface_id"])
+    rows = cells.select(F.when(c("surface_id") % 2 == 0, "even").otherwise("odd").alias("param"), F.floor(c("surface_id") / 2).alias("pair"), "x", "y", "value")
+    out = cube.Cube(rows, ("pair", "x", "y")).define("mixed", "max(even, -odd) - 0.5 * odd").plane("mixed")
+    return out.groupBy("pair").agg(F.count("*").alias("cells"), (F.round(F.sum("value"), 5) + 0.0).alias("total"))
+
+
+_WANTED = [1, 2, 3, 5, 7, 10, 15, 20, 30, 50, 70, 100]
+
+
+@query(
+    "X5_level_completion",
+    f"""WITH {_PLANES}, n AS (SELECT param, valid, hpa AS p, value AS v, lead(hpa) OVER o AS q, lead(value) OVER o AS u FROM p WHERE hpa > 0 WINDOW o AS (PARTITION BY param, valid ORDER BY hpa))
+SELECT param, valid::TIMESTAMP AS valid, w::INT AS hpa, round(CASE WHEN w = p THEN v ELSE v + (u - v) * (ln(w) - ln(p)) / (ln(q) - ln(p)) END, 6) AS value FROM n, (SELECT unnest({_WANTED}) AS w) WHERE w = p OR w > p AND w < q""",
+)
+def level_completion(spark, d):
+    """Standard levels from the levels that are there, linear in the logarithm of pressure."""
+    out = cube.completed(planes(spark, d), _WANTED, ["param", "valid"])
+    return out.select("param", c("valid").cast("timestamp_ntz").alias("valid"), "hpa", F.round("value", 6).alias("value"))
+
+
+_KERNEL = ", ".join(f"({k - 3}, {w!r}::DOUBLE)" for k, w in enumerate(cube.kernel(3, 1.5)))
+
+
+@query(
+    "X6_gaussian_blur",
+    f"""WITH {CELLS_SQL}, k(o, w) AS (VALUES {_KERNEL}), f AS MATERIALIZED (SELECT * FROM cells),
+  r AS MATERIALIZED (SELECT f.surface_id, f.x - o AS x, f.y, sum(w * value) / sum(w) AS value FROM f, k WHERE f.x - o BETWEEN 0 AND {SIDE - 1} GROUP BY ALL),
+  g AS (SELECT r.surface_id, r.x, r.y - o AS y, sum(w * value) / sum(w) AS value FROM r, k GROUP BY ALL)
+SELECT g.surface_id, g.x::INT AS x, g.y::INT AS y, round(g.value, 7) + 0.0 AS value FROM g SEMI JOIN f ON f.surface_id = g.surface_id AND f.x = g.x AND f.y = g.y""",
+)
+def gaussian_blur(spark, d):
+    """A separable blur; stretches of 16 cells take a halo along."""
+    out = cube.blurred(grid.to_cells(packed(spark, d), ["surface_id"]), ["surface_id"], 3, 1.5, 16)
+    return out.withColumn("value", F.round("value", 7) + 0.0)

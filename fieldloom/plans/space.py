@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as m
 from fieldloom.operators import clip, quadtree
 from fieldloom.operators import spatial as s
+from fieldloom.operators.interval_index import IntervalIndex
 from fieldloom.plans.base import query, table
 from fieldloom.plans.relational import RECTS, order_rects
 
@@ -74,6 +75,41 @@ def intervals(spark, d):
     return s.interval_join(left, right, 64.0).groupBy(c("b_id").alias("id")).agg(F.count("*").alias("n"), F.min("a_id").alias("first"))
 
 
+#: Three batches of operations: each order is inserted, some are moved later, and some are erased again.
+_LIVE = """o AS (SELECT o_orderkey AS id, o_orderkey % 3 AS batch, o_orderkey AS seq, 'insert' AS op, (o_orderkey * 31 % 20000)::DOUBLE AS s, (o_orderkey * 31 % 20000 + o_custkey % 7)::DOUBLE AS e FROM orders
+    UNION ALL SELECT o_orderkey, 1, o_orderkey + 1000000000, 'insert', (o_orderkey * 17 % 20000)::DOUBLE, (o_orderkey * 17 % 20000 + 9)::DOUBLE FROM orders WHERE o_custkey % 4 = 0
+    UNION ALL SELECT o_orderkey, 2, o_orderkey - 1000000000, 'erase', NULL, NULL FROM orders WHERE o_custkey % 5 = 0),
+  l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC, seq DESC) AS n FROM o), a AS (SELECT id, s, e FROM l WHERE n = 1 AND op = 'insert')"""
+
+
+def operated(spark, d):
+    o = table(spark, d, "orders")
+    a, b = (c("o_orderkey") * 31 % 20000).cast("double"), (c("o_orderkey") * 17 % 20000).cast("double")
+    nothing, key = F.lit(None).cast("double"), c("o_orderkey")
+    first = o.select(key.alias("seq"), F.lit("insert").alias("op"), key.alias("id"), a.alias("start"), (a + c("o_custkey") % 7).alias("stop"))
+    moved = o.filter("o_custkey % 4 = 0").select((key + 1000000000).alias("seq"), F.lit("insert").alias("op"), key.alias("id"), b.alias("start"), (b + 9).alias("stop"))
+    erased = o.filter("o_custkey % 5 = 0").select((key - 1000000000).alias("seq"), F.lit("erase").alias("op"), key.alias("id"), nothing.alias("start"), nothing.alias("stop"))
+    index = IntervalIndex(spark, share=0.9)
+    for batch, more in ((0, None), (1, moved), (2, erased)):
+        rows = first.filter(c("id") % 3 == batch)
+        index.apply(rows if more is None else rows.unionByName(more))
+    return index
+
+
+@query("J-06_index_operations", f"WITH {_LIVE}, b AS (SELECT p_partkey AS id, (p_partkey * 101 % 20000)::DOUBLE AS s, (p_partkey * 101 % 20000 + p_size)::DOUBLE AS e FROM part) SELECT b.id, count(*) AS n, sum(a.id)::BIGINT AS ids FROM a JOIN b ON a.s <= b.e AND b.s <= a.e GROUP BY 1")
+def index_operations(spark, d):
+    """What overlaps each window after insertions, moves and erasures in three batches."""
+    b = (c("p_partkey") * 101 % 20000).cast("double")
+    asked = table(spark, d, "part").select(c("p_partkey").alias("id"), b.alias("start"), (b + c("p_size")).alias("stop"))
+    return operated(spark, d).in_range(asked).groupBy(c("a_id").alias("id")).agg(F.count("*").alias("n"), F.sum("b_id").alias("ids"))
+
+
+@query("J-06_index_find", f"WITH {_LIVE} SELECT id, s AS start, e AS stop FROM a WHERE id % 7 = 0")
+def index_find(spark, d):
+    index = operated(spark, d)
+    return index.find(table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(c("o_orderkey").alias("id")))
+
+
 @query("W-08_interval_rank", "SELECT l_quantity AS start, count(*) AS n, (sum(count(*)) OVER (ORDER BY l_quantity) - count(*))::BIGINT AS lower, (sum(count(*)) OVER (ORDER BY l_quantity))::BIGINT AS upper FROM lineitem GROUP BY 1")
 def rank(spark, d):
     return s.interval_rank(table(spark, d, "lineitem").select(c("l_quantity").alias("start")))
