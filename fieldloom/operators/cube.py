@@ -102,14 +102,14 @@ def completed(planes: DataFrame, wanted: list[int], keys: list[str], level: str
     level above and below it, linear in the logarithm of pressure. Nothing is told beyond the outermost levels. planes has
     one row for each keys and level; null values are not there. Levels are a list of a few numbers: they travel with each
     row's neighbour and are exploded, so there is no join."""
-    w = Window.partitionBy(*keys).orderBy(level)
-    there = planes.filter(c(value).isNotNull() & (c(level) > 0)).select(*keys, c(level).cast("double").alias("p"), c(value).cast("double").alias("v"))
-    there = there.withColumn("q", F.lead("p").over(w.orderBy("p"))).withColumn("u", F.lead("v").over(w.orderBy("p")))
+    w = Window.partitionBy(*keys).orderBy("_p")
+    there = planes.filter(c(value).isNotNull() & (c(level) > 0)).select(*keys, c(level).cast("double").alias("_p"), c(value).cast("double").alias("_v"))
+    there = there.withColumn("_q", F.lead("_p").over(w)).withColumn("_u", F.lead("_v").over(w))
     levels = F.array(*[F.lit(float(x)) for x in sorted(set(wanted))])
-    inside = F.filter(levels, lambda x: (x == c("p")) | ((x > c("p")) & (x < c("q"))))
-    out = there.withColumn("x", F.explode(inside))
-    share = (F.log("x") - F.log("p")) / (F.log("q") - F.log("p"))
-    return out.select(*keys, c("x").cast("int").alias(level), F.when(c("x") == c("p"), c("v")).otherwise(c("v") + (c("u") - c("v")) * share).alias(value))
+    inside = F.filter(levels, lambda x: (x == c("_p")) | ((x > c("_p")) & (x < c("_q"))))
+    out = there.withColumn("_x", F.explode(inside))
+    share = (F.log("_x") - F.log("_p")) / (F.log("_q") - F.log("_p"))
+    return out.select(*keys, c("_x").cast("int").alias(level), F.when(c("_x") == c("_p"), c("_v")).otherwise(c("_v") + (c("_u") - c("_v")) * share).alias(value))
 
 
 def kernel(radius: int, sigma: float) -> list[float]:
@@ -128,12 +128,12 @@ def blurred(cells: DataFrame, keys: list[str], radius: int, sigma: float, tile:
 
     def along(df: DataFrame, at: str, other: str) -> DataFrame:
         first, last = F.floor((c(at) - radius) / tile), F.floor((c(at) + radius) / tile)
-        sent = df.filter("value is not null").withColumn("part", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-        stretch = sent.groupBy(*keys, other, "part").agg(F.map_from_entries(F.collect_list(F.struct(at, "value"))).alias("m"), F.array_sort(F.collect_list(at)).alias("ats"))
-        own = F.filter("ats", lambda a: F.floor(a / tile) == c("part"))
-        near = lambda a: F.filter(F.transform(weights, lambda w, k: F.struct(w.alias("w"), F.try_element_at("m", (a + k - radius).cast("int")).alias("v"))), lambda s: s.v.isNotNull())
+        sent = df.filter("value is not null").withColumn("_part", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+        stretch = sent.groupBy(*keys, other, "_part").agg(F.map_from_entries(F.collect_list(F.struct(at, "value"))).alias("_m"), F.array_sort(F.collect_list(at)).alias("_ats"))
+        own = F.filter("_ats", lambda a: F.floor(a / tile) == c("_part"))
+        near = lambda a: F.filter(F.transform(weights, lambda w, k: F.struct(w.alias("w"), F.try_element_at("_m", (a + k - radius).cast("int")).alias("v"))), lambda s: s.v.isNotNull())
         mean = lambda s: F.aggregate(s, F.lit(0.0), lambda a, r: a + r.w * r.v) / F.aggregate(s, F.lit(0.0), lambda a, r: a + r.w)
-        return stretch.withColumn("a", F.explode(own)).withColumn("s", near(c("a"))).select(*keys, c("a").alias(at), other, mean(c("s")).alias("value"))
+        return stretch.withColumn("_a", F.explode(own)).withColumn("_s", near(c("_a"))).select(*keys, c("_a").alias(at), other, mean(c("_s")).alias("value"))
 
     plain = cells.select(*keys, c("x").cast("int").alias("x"), c("y").cast("int").alias("y"), c("value").cast("double").alias("value"))
     return along(along(plain, "x", "y"), "y", "x").select(*keys, "x", "y", "value")
