@@ -79,4 +79,4 @@ class IntervalIndex:
 
     def bounds(self, probes: DataFrame) -> DataFrame:
         """probe_id, lower, upper, equal, inside for probes (probe_id, key): places among the sorted starts, and holders."""
-        return interval_lookup(self.live(), probes, self.tile)
+        return interval_lookup(self.live(), probes)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import polygon_contains, rects_meet
+from fieldloom.stored import store
 
 c = F.col
 
@@ -35,43 +36,43 @@ def interval_join(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
     return both.filter((F.floor(F.greatest("a_start", "b_start") / tile) == c("t")) & (c("a_start") <= c("b_stop")) & (c("b_start") <= c("a_stop"))).drop("t")
 
 
-def running(rows: DataFrame, key: str, value: str, tile: float) -> DataFrame:
-    """rows, one a key, with before: the sum of value over all smaller keys. Keys are summed tile by tile; only the tiles'
-    sums, one row each, are put in order in one task."""
-    rows = rows.withColumn("tile", F.floor(c(key) / tile).cast("long"))
+def running(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """rows, one a key, with before: the sum of value over all smaller keys. Rows are dealt out by ranges of the key; only the
+    ranges' sums, one row a task, are put in order in one task."""
     ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    tiles = rows.groupBy("tile").agg(F.sum(value).alias("total"))
-    tiles = tiles.select("tile", F.coalesce(F.sum("total").over(ahead(Window.orderBy("tile"))), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum(value).over(ahead(Window.partitionBy("tile").orderBy(key))), F.lit(0))
-    return rows.withColumn("inside", inside).join(tiles, "tile").withColumn("before", c("base") + c("inside")).drop("tile", "inside", "base")
+    dealt = store(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "dealt")
+    parts = dealt.groupBy("_part").agg(F.sum(value).alias("_total"))
+    parts = parts.select("_part", F.coalesce(F.sum("_total").over(ahead(Window.orderBy("_part"))), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(value).over(ahead(Window.partitionBy("_part").orderBy(key))), F.lit(0))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(parts), "_part").withColumn("before", c("_base") + c("_inside")).drop("_part", "_inside", "_base")
 
 
-def interval_rank(a: DataFrame, tile: float = 64.0) -> DataFrame:
+def interval_rank(a: DataFrame) -> DataFrame:
     """Sorted intervals with the first and last place of each equal start, as a tree's bounds would give them."""
-    out = running(a.groupBy("start").agg(F.count("*").alias("n")), "start", "n", tile)
+    out = running(a.groupBy("start").agg(F.count("*").alias("n")), "start", "n")
     return out.select("start", "n", c("before").alias("lower"), (c("before") + c("n")).alias("upper"))
 
 
-def interval_lookup(a: DataFrame, probes: DataFrame, tile: float = 64.0) -> DataFrame:
+def interval_lookup(a: DataFrame, probes: DataFrame) -> DataFrame:
     """probe_id, lower, upper, equal, inside for probes (probe_id, key) among closed intervals (start, stop): how many starts
     lie below the key, and at or below it; how many are equal to it; how many intervals hold it."""
     changes = [(c("start"), 0, 1, 0), (c("stop"), 0, 0, 1), (c("key"), 1, 0, 0)]
     at = lambda df, k, *n: df.select(k.cast("double").alias("at"), *[F.lit(x).alias(y) for x, y in zip(n, ("asks", "starts", "stops"), strict=True)])
     all_ = at(a, *changes[0]).unionByName(at(a, *changes[1])).unionByName(at(probes, *changes[2]))
     keys = all_.groupBy("at").agg(*[F.sum(k).alias(k) for k in ("asks", "starts", "stops")])
-    keys = running(keys, "at", "starts", tile).withColumnRenamed("before", "lower")
-    keys = running(keys, "at", "stops", tile).withColumnRenamed("before", "ended").filter("asks > 0")
+    keys = running(keys, "at", "starts").withColumnRenamed("before", "lower")
+    keys = running(keys, "at", "stops").withColumnRenamed("before", "ended").filter("asks > 0")
     out = probes.select("probe_id", c("key").cast("double").alias("at")).join(keys, "at")
     upper = c("lower") + c("starts")
     return out.select("probe_id", "lower", upper.alias("upper"), c("starts").alias("equal"), (upper - c("ended")).alias("inside"))
 
 
-def sweep_sizes(rects: DataFrame, tile: float = 64.0) -> DataFrame:
+def sweep_sizes(rects: DataFrame) -> DataFrame:
     """y, active: how many rectangles (y1, y2, both included) a sweep line holds where one or more begin."""
     ends = rects.select(c("y1").alias("y"), F.lit(1).alias("begins"), F.lit(0).alias("ends")).unionByName(rects.select(c("y2").alias("y"), F.lit(0).alias("begins"), F.lit(1).alias("ends")))
     at = ends.groupBy("y").agg(F.sum("begins").alias("begins"), F.sum("ends").alias("ends")).withColumn("net", c("begins") - c("ends"))
     # Those that end here are still held here.
-    return running(at, "y", "net", tile).filter("begins > 0").select("y", (c("before") + c("begins")).alias("active"))
+    return running(at, "y", "net").filter("begins > 0").select("y", (c("before") + c("begins")).alias("active"))
 
 
 def index_statistics(items: DataFrame, queries: DataFrame, tile: float) -> DataFrame:
@@ -144,9 +145,11 @@ def segment_crossings(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
 
 def text_layout(lines: DataFrame, glyphs: DataFrame) -> DataFrame:
     """line_id, seq, code, x: pen position of each character of lines (line_id, text). glyphs (code, advance): one
-    row a code; codes it lacks advance by 0."""
-    each = lines.select("line_id", F.posexplode(F.split("text", "")).alias("seq", "ch")).filter("ch <> ''").withColumn("code", F.ascii("ch"))
-    each = each.join(glyphs, "code", "left")
+    row a code; codes it lacks advance by 0. With faces, lines and glyphs have face and size too, and a line takes the
+    glyphs of its own; a face that is not there has no glyphs."""
+    face = [k for k in ("face", "size") if k in lines.columns and k in glyphs.columns]
+    each = lines.select("line_id", *face, F.posexplode(F.split("text", "")).alias("seq", "ch")).filter("ch <> ''").withColumn("code", F.ascii("ch"))
+    each = each.join(glyphs, [*face, "code"], "left")
     w = Window.partitionBy("line_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return each.select("line_id", "seq", "code", F.coalesce(F.sum(F.coalesce("advance", F.lit(0.0))).over(w), F.lit(0.0)).alias("x"))
 

@@ -170,11 +170,10 @@ def rotated(spark, d):
     return got.select("vec_id", "g.type", "g.pole_lat", "g.pole_lon", "g.la1")
 
 
-@query("P-11_bitmap", "SELECT doc_id, (least(strlen(coalesce(text, '')), 60) * 8 - 3)::INT AS n, 3::BIGINT AS unused, (bit_count(encode(coalesce(text, ''))[1:least(strlen(coalesce(text, '')), 60)]::BIT))::BIGINT AS bits FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '@', 'g')[:59] || CASE WHEN length(text) > 0 THEN '@' END AS text FROM documents WHERE length(text) > 0)")
+@query("P-11_bitmap", "SELECT doc_id, (strlen(text) * 8 - 3)::INT AS n, 3::BIGINT AS unused, bit_count(encode(text)::BIT)::BIGINT AS bits FROM (SELECT doc_id, coalesce(text, '') || '@' AS text FROM documents)")
 def bitmap(spark, d):
-    """The first bytes of each text as a bitmap whose last three bits are not used (the last byte, 64, has none there)."""
-    text = F.concat(F.substring(F.regexp_replace("text", "[^ -~]", "@"), 1, 59), F.lit("@"))
-    rows = table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", text.cast("binary").alias("data"))
+    """The bytes of each text, and one more (64) whose last three bits are not used, as a bitmap."""
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("@")).cast("binary").alias("data"))
     section = F.concat(F.unhex(F.concat(grib.hex_of(F.octet_length("data") + 6, 3), F.lit("03"), F.lit("0000"))), c("data"))
     got = rows.select("doc_id", grib.decode_bms(section, F.lit(0)).alias("m"))
     return got.select("doc_id", F.size("m.bits").alias("n"), c("m.unused_bits").alias("unused"), b.array_sum(c("m.bits")).alias("bits"))

@@ -297,6 +297,21 @@ def layout(spark, d):
     return s.text_layout(table(spark, d, "pages").select(c("page_id").alias("line_id"), c("url").alias("text")), glyphs)
 
 
+@query(
+    "J-03_faces",
+    """WITH k AS (SELECT page_id, ['sans', 'serif', 'none'][page_id % 3 + 1] AS face, 10 + 2 * (page_id % 2) AS size, unnest(range(1, length(url) + 1)) AS i, url FROM pages),
+  a AS (SELECT page_id, i, ascii(url[i]) AS code, CASE face WHEN 'sans' THEN (ascii(url[i]) % 5 + 4) * size / 10.0::DOUBLE WHEN 'serif' THEN (ascii(url[i]) % 7 + 3) * size / 10.0::DOUBLE ELSE 0 END AS advance FROM k)
+SELECT page_id AS line_id, (i - 1)::INT AS seq, code::INT AS code, round(coalesce(sum(advance::DOUBLE) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE), 6) AS x FROM a""",
+)
+def faces(spark, d):
+    """Lines in two faces of two sizes each, and in one that is not there."""
+    codes = spark.range(32, 127).select(c("id").cast("int").alias("code"), F.explode(F.array(*[F.struct(F.lit(f).alias("face"), F.lit(s_).cast("long").alias("size")) for f in ("sans", "serif") for s_ in (10, 12)])).alias("f"))
+    wide = F.when(c("f.face") == "sans", c("code") % 5 + 4).otherwise(c("code") % 7 + 3) * c("f.size") / 10
+    glyphs = codes.select("code", "f.face", "f.size", wide.cast("double").alias("advance"))
+    lines = table(spark, d, "pages").select(c("page_id").alias("line_id"), c("url").alias("text"), F.get(F.array(*map(F.lit, ("sans", "serif", "none"))), (c("page_id") % 3).cast("int")).alias("face"), (10 + 2 * (c("page_id") % 2)).alias("size"))
+    return s.text_layout(lines, glyphs).withColumn("x", F.round("x", 6))
+
+
 @query("S-13_graticule", "SELECT (up * 17 + (lat + 80) / 10)::INT * 36 + ((lon + 180) / 10)::INT AS path_id, (dd + 2)::INT AS seq, CASE WHEN dd = -2 THEN 'move_to' ELSE 'line_to' END AS cmd, (lon + dd * (1 - up))::DOUBLE AS lon, (lat + dd * up)::DOUBLE AS lat FROM range(-80, 81, 10) a(lat), range(-180, 171, 10) b(lon), range(0, 2) u(up), range(-2, 3) k(dd)")
 def graticule(spark, d):
     return s.graticule(spark)
