@@ -100,7 +100,7 @@ def walked(rule: Matcher, text: str) -> Iterator[tuple[int, int, int]]:
         at = stop if stop > at else at + 1
 
 
-@udtf(returnType="seq int, id int, start int, finish int")
+@udtf(returnType="seq int, id int, start int, finish int", useArrow=True)
 class ParseEvents:
     def __init__(self):
         self.rules: dict[str, Matcher] = {}
