@@ -67,8 +67,23 @@ def test_empty(spark, tmp_path, name):
 def test_chunks_shift_with_the_text(spark):
     text = "\n".join(f"line {k * k}" for k in range(200))
     df = spark.createDataFrame([(text,), ("new\nlines\n" + text,)], "t string")
-    a, b = (r[0] for r in df.select(ld.chunks(F.col("t"))).collect())
-    assert "\n".join(a) == text and a[3:] == b[-len(a[3:]) :] and len(a) > 30
+    lines = ld.split_lines(F.col("t"))
+    a, b = (sorted(tuple(p) for p in r[0]) for r in df.select(ld.pieces(lines)).collect())
+    moved = {(x + 2, y + 2) for x, y in a if x > ld.MOST}
+    assert moved <= set(b) and len(moved) > 150 and all(0 < y - x < ld.MOST for x, y in a)
+
+
+def brute_pieces(lines):
+    """Chunks of lines with words, their heads and tails, and what lies across a boundary."""
+    at = [i for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+    h = [int(hashlib.md5(lines[i].encode()).hexdigest()[:8], 16) for i in at]
+    chunk, out = [], []
+    for k, i in enumerate(at):
+        chunk.append(i)
+        if k + 1 == len(at) or (h[k] * ld.ROLL + h[k + 1]) % ld.EVERY == 0 or len(chunk) == ld.MOST:
+            out += [(x, i) for x in chunk[:-1]] + [(chunk[0], x) for x in chunk[1:-1]] + [(i, x) for x in at[k + 1 : k + 2]]
+            chunk = []
+    return out
 
 
 def test_first_place_stays(spark):
@@ -218,13 +233,13 @@ def test_work_follows_the_number_of_matches(spark):
     assert [(f.start, f.end) for f in long] == [m.span() for m in re.finditer(secrets.ASSIGN, text)]
 
 
-def brute_passages(rows, place, long):
-    """What stays of each text, by looking at all windows of all documents in order of their places."""
+def brute_passages(rows, place, long, spans_of=None):
+    """What stays of each text, by looking at all windows (or spans_of lines) of all documents in order of their places."""
     first, spans = {}, {}
     for r in sorted(set((r[0], r[1] or "") for r in rows), key=place):
         lines = r[1].split("\n")
         at = [i for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
-        spans[r] = [(a, b) for a, b in zip(at, at[1:])] + [(i, i) for i in at if len(re.findall(r"[^\x20\x09-\x0D]+", lines[i])) >= long]  # noqa: B905
+        spans[r] = (spans_of(lines) if spans_of else list(zip(at, at[1:]))) + [(i, i) for i in at if len(re.findall(r"[^\x20\x09-\x0D]+", lines[i])) >= long]  # noqa: B905
         for a, b in sorted(spans[r]):
             first.setdefault("\n".join(lines[a : b + 1]), (r, a))
     left = {}
@@ -263,6 +278,37 @@ def test_passages_match_brute_force(spark):
     assert sorted((r.doc_id, r.text or "") for r in wide) == sorted((r.doc_id, r.text or "") for r in got)
 
 
+def test_pieces_match_brute_force(spark):
+    """Every piece that a boundary fixes; null, repeated and long rows, blank lines, runs of one line."""
+    rng = random.Random(5)
+    line = lambda: " ".join(f"u{rng.random()}" for _ in range(4))
+    rows = [r for r in odd_rows() if len(r[1] or "") < 5000]
+    for k in range(60):
+        passage = [line() if rng.random() < 0.9 else "" for _ in range(rng.randint(1, 12))]
+        rows += [(700 + 2 * k + x, "\n".join([line(), line(), *passage, line()]), "en", "s1", 1) for x in (0, 1)]
+    rows += [(900 + k, "\n".join(["same line"] * n), "en", "s1", 1) for k, n in enumerate((1, 2, 3, 40, 41))]
+    rows += [(None, rows[-3][1], "en", "s1", 1), (None, rows[-1][1], "en", "s1", 1)] + [(None, rows[40][1], "en", None, None)] * 200
+    docs = spark.createDataFrame(rows, SHAPE)
+    th = {(r.doc_id, r.text or ""): r.th for r in docs.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()}
+    want = brute_passages(rows, lambda r: (r[0] is not None, r[0] or 0, th[r]), ld.LONG, brute_pieces)
+    got = ld.line_dedup(docs.withColumn("was", F.col("text"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        left = want[(r.doc_id, r.was or "")]
+        assert (r.text or "", r.n_removed) == ("\n".join(left), r.n_lines - len(left)) and (r.text is None) == (r.was is None)
+    lines = lambda texts: {x for t in texts for x in (t or "").split("\n")}
+    assert lines(r.text for r in got) - {""} == lines(r[1] for r in rows) - {""}
+
+
+def test_recall_of_chunks(spark):
+    """Of the lines that a search of all windows removes, the chunks' pieces remove 0.97 or more, and no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = ld.line_dedup(docs).select("doc_id", F.col("n_removed").alias("mine"), F.col("text").alias("a"))
+    both = found.join(ld.passage_dedup(docs).select("doc_id", "n_removed", F.col("text").alias("b")), "doc_id")
+    mine, all_, more = both.agg(F.sum("mine"), F.sum("n_removed"), F.count_if(F.col("mine") > F.col("n_removed"))).first()
+    assert mine >= 0.97 * all_ and all_ > 10_000 and more == 0
+
+
 def test_passages_of_an_empty_table(spark):
     assert ld.passage_dedup(spark.createDataFrame([], SHAPE)).count() == 0
 

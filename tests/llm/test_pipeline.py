@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from fieldloom.llm import classifier, line_dedup, mixing
 from fieldloom.llm.tokens import default_vocabulary
-from tests.llm.test_native import brute_passages
+from tests.llm.test_native import brute_passages, brute_pieces
 from tests.llm.test_simhash import brute_print, reach
 
 #: The columns of documents, and others named as the operators name their own.
@@ -63,7 +63,7 @@ def lines(spark, rows, sf_dir):
     texts = sorted({r["text"] or "" for r in rows})
     th = {t: h for t, h in zip(texts, (r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text")).collect()), strict=True)}
     place = lambda r: (r[0] is not None, r[0] or 0, th[r[1]])
-    left = brute_passages([(r["doc_id"], r["text"] or "") for r in rows], place, line_dedup.LONG)
+    left = brute_passages([(r["doc_id"], r["text"] or "") for r in rows], place, line_dedup.LONG, brute_pieces)
     out = []
     for r in rows:
         text = "\n".join(left[(r["doc_id"], r["text"] or "")])
