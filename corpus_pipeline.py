@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.classifier import fit, keep_good
 from fieldloom.llm.common import store
-from fieldloom.llm.line_dedup import WORDED, passage_dedup
+from fieldloom.llm.line_dedup import WORDED, line_dedup
 from fieldloom.llm.mixing import mixed_documents
 from fieldloom.llm.packing import pack
 from fieldloom.llm.simhash import near_duplicates
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of lines go; a document that they made up goes with them."""
-    out = passage_dedup(docs)
+    """Repeated chunks of lines, or parts of them, go; a document that they made up goes with them."""
+    out = line_dedup(docs)
     n_removed = F.col(out.columns[-1])
     out = out.filter((n_removed == 0) | F.col("text").rlike(WORDED))
     return out.withColumn("n_chars", F.when(n_removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
