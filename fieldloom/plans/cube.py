@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import affine, affine_projection, scaling, spline, then, translation, warp_weight, weighted_mean
-from fieldloom.operators import contour, cube, grid
+from fieldloom.operators import contour, cube, grid, motion
 from fieldloom.operators.spatial import blended, resample
 from fieldloom.plans.base import SIDE, CELLS_SQL, LEVELS_SQL, packed, query, table
 from fieldloom.sources.grib import expand_row
@@ -278,3 +278,17 @@ def gaussian_blur(spark, d):
     """A separable blur; stretches of 16 cells take a halo along."""
     out = cube.blurred(grid.to_cells(packed(spark, d), ["surface_id"]), ["surface_id"], 3, 1.5, 16)
     return out.withColumn("value", F.round("value", 7) + 0.0)
+
+
+@query(
+    "X7_motion_vectors",
+    f"""WITH {CELLS_SQL}, q AS MATERIALIZED (SELECT surface_id, x, y, x // 8 AS tx, y // 8 AS ty, floor(value / 0.001::DOUBLE + 0.5)::BIGINT AS q FROM cells),
+  n AS (SELECT surface_id, tx, ty, count(*) AS cells FROM q GROUP BY ALL), d AS (SELECT unnest(range(-3, 4)) AS d),
+  s AS (SELECT a.surface_id, a.tx, a.ty, dx.d AS dx, dy.d AS dy, sum((a.q - b.q) * (a.q - b.q))::BIGINT AS squares, count(*) AS cells
+    FROM q a, d dx, d dy, q b WHERE b.surface_id = a.surface_id + 1 AND b.x = a.x + dx.d AND b.y = a.y + dy.d GROUP BY ALL),
+  r AS (SELECT s.*, row_number() OVER (PARTITION BY surface_id, tx, ty ORDER BY squares, dx * dx + dy * dy, dy, dx) AS no FROM s JOIN n USING (surface_id, tx, ty, cells))
+SELECT surface_id::BIGINT AS surface_id, tx::BIGINT AS tx, ty::BIGINT AS ty, dx::INT AS dx, dy::INT AS dy, squares, cells::BIGINT AS cells FROM r WHERE no = 1""",
+)
+def motion_vectors(spark, d):
+    """Block matching between each surface and the next."""
+    return motion.motion_vectors(grid.to_cells(packed(spark, d), ["surface_id"]), [], "surface_id", 8, 3, 0.001)
