@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.operators.dominance import interval_sums
 from fieldloom.operators.spatial import interval_join, interval_lookup
 from fieldloom.stored import discard, store
 
@@ -77,6 +78,11 @@ class IntervalIndex:
         """Pairs (a_id, b_id) of asked intervals (id, start, stop) and live ones that overlap them."""
         return interval_join(asked, self.live(), self.tile)
 
+    def sums_in_range(self, asked: DataFrame) -> DataFrame:
+        """id, n, ids: how many live intervals overlap each asked one (id, start, stop), and the sum of their ids; no pairs are
+        listed."""
+        return interval_sums(asked, self.live().withColumn("ids", c("id")), ("ids",))
+
     def bounds(self, probes: DataFrame) -> DataFrame:
         """probe_id, lower, upper, equal, inside for probes (probe_id, key): places among the sorted starts, and holders."""
         return interval_lookup(self.live(), probes)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import rects_meet
+from fieldloom.operators.dominance import rect_sums
 from fieldloom.stored import discard, store
 
 c = F.col
@@ -92,16 +93,15 @@ def descend(queries: DataFrame, splits: DataFrame, bounds: tuple[float, float, f
 
 
 def candidates(nodes: DataFrame, placed: DataFrame, queries: DataFrame, bounds: tuple[float, float, float, float]) -> DataFrame:
-    """query_id, candidates, hits: items in the nodes that each query (id, x1, y1, x2, y2) visits, and those that meet it. The
-    items of a node are compared with its visitors only; the candidates are added up from the nodes' counts."""
-    deepest = nodes.filter("split").agg(F.max("depth")).first()[0]
-    splits = nodes.filter("split").select("node")
-    visits = store(descend(queries.select("id", *BOX), splits, bounds, -1 if deepest is None else deepest), "visits")
-    counted = visits.join(nodes.select("node", "held"), "node").groupBy(c("id").alias("query_id")).agg(F.sum("held").alias("candidates"))
-    own = placed.select("node", *[c(k).alias(f"b_{k}") for k in BOX])
-    asked = visits.select("node", "id", *[c(k).alias(f"a_{k}") for k in BOX])
-    hits = asked.join(own, "node").filter(rects_meet("a_", "b_")).groupBy(c("id").alias("query_id")).agg(F.count("*").alias("hits"))
-    return counted.join(hits, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    """query_id, candidates, hits: items in the nodes that each query (id, x1, y1, x2, y2) visits, and those that meet it. A
+    query visits the root and every node that it meets, as it meets those above it too; so both are counted as sums over
+    rectangles, and neither visits nor pairs are listed. bounds: the root's, which every query visits wherever it lies."""
+    inner = nodes.filter("node <> '' and held > 0").select("held", *[c(f"n{k}").alias(k) for k in BOX])
+    below, met = rect_sums(queries, inner, ("held",)), rect_sums(queries, placed)
+    out = queries.groupBy("id").agg(F.count("*").alias("times")).join(F.broadcast(nodes.filter("node = ''").select(c("held").alias("top"))))
+    out = out.join(below.select("id", "held"), "id", "left").join(met.select("id", c("n").alias("hits")), "id", "left")
+    seen = c("times") * c("top") + F.coalesce("held", F.lit(0))
+    return out.select(c("id").alias("query_id"), seen.alias("candidates"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def thick(places: DataFrame, bounds: tuple[float, float, float, float], most: int, deepest: int = 16) -> tuple[DataFrame, int]:
