@@ -29,15 +29,15 @@ def asof_interpolated(samples: DataFrame, probes: DataFrame) -> DataFrame:
     rows = store(both.repartitionByRange("key", "at").withColumn("part", F.spark_partition_id()), "dealt")
     sample = F.when(~c("asks"), F.struct("at", "value"))
     # Rows of one time are peers: a sample at a probe's own time is on both sides of it.
-    order = Window.partitionBy("part", "key").orderBy("at")
-    inside = rows.withColumn("low", F.last(sample, True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    inside = inside.withColumn("high", F.first(sample, True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))).filter("asks")
+    # Both ways the frame only grows from row to row; one that shrinks would be gone through anew for each row.
+    upto = lambda order: F.last(sample, True).over(Window.partitionBy("part", "key").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = rows.withColumn("low", upto(c("at").asc())).withColumn("high", upto(c("at").desc())).filter("asks")
     ends = rows.filter(~c("asks")).groupBy("key", "part").agg(F.min(F.struct("at", "value")).alias("first"), F.max(F.struct("at", "value")).alias("last"))
     asked = rows.filter("asks").select("key", "part").distinct()
     # One row for each key and range that holds it.
     halo = asked.join(ends, ["key", "part"], "full")
-    along = Window.partitionBy("key").orderBy("part")
-    halo = halo.select(c("key").alias("k"), c("part").alias("p"), F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("coming"))
+    along = lambda k, order: F.last(k, True).over(Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    halo = halo.select(c("key").alias("k"), c("part").alias("p"), along("last", c("part").asc()).alias("carried"), along("first", c("part").desc()).alias("coming"))
     out = inside.join(halo, (c("key") == c("k")) & (c("part") == c("p")), "left").withColumn("low", F.coalesce("low", "carried")).withColumn("high", F.coalesce("high", "coming"))
     span, gone = (F.timestamp_diff("MICROSECOND", c("low.at"), x).cast("double") for x in (c("high.at"), c("at")))
     value = F.when(span == 0, c("low.value")).otherwise(c("low.value") + (c("high.value") - c("low.value")) * gone / span)

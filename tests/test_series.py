@@ -41,6 +41,13 @@ def test_asof(spark):
             assert r.value == pytest.approx(want)
 
 
+def test_asof_frames_only_grow(spark):
+    """A frame that reaches to the end of its partition is gone through anew for each row: a key of n rows would take n squared."""
+    rows = spark.range(4).select(F.lit("a").alias("key"), F.lit(START).cast("timestamp_ntz").alias("at"), F.lit(1.0).alias("value"))
+    plan = asof_interpolated(rows, rows.select(F.lit(1).alias("probe_id"), "key", "at"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_event_store(spark):
     rng = random.Random(9)
     events = [(rng.randrange(12), v, rng.choice(["set", "set", "remove"]), rng.random()) for v in range(1, 60)]
