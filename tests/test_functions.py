@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def test_bytes(spark):
         assert s == (None if len(x) < 2 else (lambda v: 32768 - v if v >= 32768 else v)(int.from_bytes(x[:2], "big")))
 
 
+def test_fields_take_time_by_length(spark):
+    """Half a megabyte in one text: a copy of it for each field would be 30 GB and more."""
+    data = random.Random(2).randbytes(500_001)
+    digits = data.hex()
+    df = spark.createDataFrame([(data,), (b"",), (None,)], "d binary").repartition(1)
+    begun = time.monotonic()
+    sums = df.select(*[b.array_sum(x).alias(k) for k, x in (("a", b.fields(F.col("d"), 2)), ("b", b.bit_fields(F.col("d"), 12)))], b.ones(b.all_bits(F.col("d"))).alias("c")).collect()
+    assert time.monotonic() - begun < 30
+    want = sum(int.from_bytes(data[k : k + 2], "big") for k in range(0, 500_000, 2)), sum(int(digits[k : k + 3], 16) for k in range(0, 1_000_000, 3)), int.from_bytes(data, "big").bit_count()
+    assert {want, (0, 0, 0)} <= set(map(tuple, sums))
+
+
 @pytest.mark.parametrize(("word", "value"), [(0x42640000, 100.0), (0xC276A000, -118.625), (0x41100000, 1.0), (0, 0.0)])
 def test_hex_float(spark, word, value):
     assert spark.createDataFrame([(struct.pack(">I", word),)], "d binary").select(b.hex_float(F.col("d"), 0)).first()[0] == value
