@@ -240,6 +240,8 @@ def interpolated(spark, d):
 
 @query("X3_wind_from_components", "SELECT event_id, round(sqrt(value * value + user_id * user_id), 6) AS speed, round(degrees(atan2(-value, -user_id)), 4) AS direction FROM events")
 def wind(spark, d):
-    """Extension: speed and direction from two components."""
+    """Extension: speed and direction from two components. Spark's atan2 and round take -0.0 for 0.0; here a zero's sign counts."""
     u, v = c("value"), c("user_id")
-    return table(spark, d, "events").select("event_id", F.round(F.sqrt(u * u + v * v), 6).alias("speed"), F.round(F.degrees(F.atan2(-u, -v)), 4).alias("direction"))
+    below = lambda x: x.cast("string") == "-0.0"
+    angle = F.degrees(F.when(below(-u), -F.atan2(F.abs(u), -v)).otherwise(F.atan2(-u, -v)))
+    return table(spark, d, "events").select("event_id", F.round(F.sqrt(u * u + v * v), 6).alias("speed"), F.when(below(angle), angle).otherwise(F.round(angle, 4)).alias("direction"))

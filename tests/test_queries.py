@@ -39,3 +39,14 @@ def test_look_ahead_covers_every_text(spark, tmp_path):
     got = {r.doc_id: (r.rejected, r.required) for r in QUERIES["X-13_look_ahead"](spark, str(tmp_path)).collect()}
     last = lambda t, k: t[k] == "t" and t[k + 1 : k + 2] != "h"
     assert got == {i: (sum(last(t, k) for k in range(len(t))), t.count("th")) for i, t in enumerate(texts) if t is not None}
+
+
+def test_wind_of_zeros(spark, tmp_path):
+    """The sign of a zero decides between 180 and -180, as in the twin."""
+    made = [(k, v, u) for k, (v, u) in enumerate((v, u) for v in (0.0, -0.0, 5.0, -5.0, 1e-9) for u in (0, 3))] + [(99, None, 3)]
+    spark.createDataFrame(made, "event_id long, value double, user_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    df = QUERIES["X3_wind_from_components"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    rel = con.sql(ORACLES["X3_wind_from_components"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(rel.columns, rel.fetchall())
