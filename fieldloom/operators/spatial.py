@@ -7,12 +7,13 @@ corner of its overlap, so no distinct follows. Tile sizes are parameters: about
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import polygon_contains, rects_meet
-from fieldloom.stored import store
+from fieldloom.stored import discard, store
 
 c = F.col
 
@@ -93,12 +94,31 @@ def point_polygon_join(points: DataFrame, polygons: DataFrame, tile: float, comp
 
 def nearest_hit(queries: DataFrame, targets: DataFrame, reach: float = 5.0) -> DataFrame:
     """(query_id, target_id, distance): the nearest target closer than reach; equal distances: the smaller id.
-    queries (query_id, qx, qy), targets (target_id, tx, ty)."""
+    queries (query_id, qx, qy), targets (target_id, tx, ty).
+
+    Places that have no target within a radius look again with twice the radius, up to reach; the first one is such that
+    a square of its side holds about one target. So a place meets few targets however many are within reach. Places that queries
+    or targets share count once."""
+    held = store(targets.filter("target_id is not null").groupBy("tx", "ty").agg(F.min("target_id").alias("target_id")), "targets")
+    n, w, h = held.agg(F.count("*"), F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty")).first()
+    thin = max(w or 0.0, h or 0.0) * max(min(w or 0.0, h or 0.0), reach) / max(n, 1)
+    # Halves of reach, so that the last radius is reach itself.
+    halves = max(0, min(20, math.floor(math.log2(reach / math.sqrt(thin))))) if thin > 0 else 0
+    left, found = store(queries.select("qx", "qy").dropna().distinct(), "places"), []
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    q = queries.withColumn("n", F.explode(near)).withColumn("cx", F.floor(c("qx") / reach) + c("n.i")).withColumn("cy", F.floor(c("qy") / reach) + c("n.j"))
-    t = targets.withColumn("cx", F.floor(c("tx") / reach)).withColumn("cy", F.floor(c("ty") / reach))
     d = F.sqrt((c("qx") - c("tx")) * (c("qx") - c("tx")) + (c("qy") - c("ty")) * (c("qy") - c("ty")))
-    best = q.join(t, ["cx", "cy"]).withColumn("distance", d).filter(c("distance") < reach).groupBy("query_id").agg(F.min(F.struct("distance", "target_id")).alias("m"))
+    for k in range(halves, -1, -1):
+        radius = reach / 2**k
+        q = left.withColumn("n", F.explode(near)).withColumn("cx", F.floor(c("qx") / radius) + c("n.i")).withColumn("cy", F.floor(c("qy") / radius) + c("n.j"))
+        t = held.withColumn("cx", F.floor(c("tx") / radius)).withColumn("cy", F.floor(c("ty") / radius))
+        best = q.join(t, ["cx", "cy"]).withColumn("distance", d).filter(c("distance") < radius).groupBy("qx", "qy").agg(F.min(F.struct("distance", "target_id")).alias("m"))
+        found.append(store(best, "nearest"))
+        if k:
+            after = store(left.join(found[-1], ["qx", "qy"], "left_anti"), "places")
+            discard(left)
+            left = after
+    discard(left, held)
+    best = queries.join(reduce(DataFrame.unionByName, found), ["qx", "qy"]).groupBy("query_id").agg(F.min("m").alias("m"))
     return best.select("query_id", c("m.target_id").alias("target_id"), c("m.distance").alias("distance"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,21 @@ def test_touching_rings():
     assert total(square, inner) == total(inner, square) == 4 and sorted(clip.clip_rings(square, inner)[0]) == sorted(inner)
     corner = [(0.0, 0.0), (2.0, 2.0), (0.0, 4.0)]
     assert total(square, corner) == 4
+
+
+def test_nearest_among_crowds(spark):
+    """Crowds, lone targets, ties, copies and places out of reach, against all pairs; then so many within reach that pairs of all
+    would be 400 million."""
+    rng = random.Random(11)
+    targets = [(k, rng.choice((0.0, 40.0)) + rng.random() * 0.2, rng.random() * 0.2) for k in range(200)] + [(900 + k, 10.0 * k, 30.0) for k in range(5)] + [(7, 3.0, 3.0), (6, 3.0, 3.0), (990, None, 1.0)]
+    asked = [(k, rng.uniform(-7, 47), rng.uniform(-3, 36)) for k in range(200)] + [(500, 3.0, 4.0), (501, 5.0, 30.0), (502, 5.0, 30.0), (503, None, 0.0), (504, 3.0, 3.0), (200, 0.0, 0.0)]
+    df = lambda rows, p, i: spark.createDataFrame(rows, f"{i} long, {p}x double, {p}y double")
+    got = {r.query_id: (r.distance, r.target_id) for r in s.nearest_hit(df(asked, "q", "query_id"), df(targets, "t", "target_id")).collect()}
+    want: dict = {}
+    for q, qx, qy in asked:
+        near = [(d, t) for t, tx, ty in targets if None not in (qx, tx) and (d := math.sqrt((qx - tx) * (qx - tx) + (qy - ty) * (qy - ty))) < 5]
+        want |= {q: min(near)} if near else {}
+    assert got == want
+    begun, crowd = time.monotonic(), lambda p, i, by: spark.range(20_000).select(F.col("id").alias(i), (F.col("id") % 141 / 100 + by).alias(f"{p}x"), (F.floor(F.col("id") / 141) / 100).alias(f"{p}y"))
+    out = s.nearest_hit(crowd("q", "query_id", 0.001), crowd("t", "target_id", 0.0))
+    assert out.filter("query_id = target_id").count() == out.count() == 20_000 and time.monotonic() - begun < 30
