@@ -3,7 +3,8 @@
 A node holds what it is given until it has more than SPILL items; then it hands all of them on, each to the quarter that
 strictly contains it, and keeps for good what no quarter contains. So of n items given in order, the last n modulo SPILL + 1
 stay, and all before are handed on in the same order: a level follows from counts and the last few items of each node,
-both partial aggregates, and no insertion is ever replayed.
+both partial aggregates, and no insertion is ever replayed. Nodes with many items are split so, level by level; the subtree
+below a node with few is grown in one task by the same rule, so the rounds follow the number of items and not the depth.
 
 Joins use leaves instead: places are counted by Morton prefix, prefixes with more than `most` places are split, and both
 sides are dealt to the leaves they touch by descending through the split prefixes. A hot spot is split until it is thin; a
@@ -14,6 +15,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ c = F.col
 BOX = ["x1", "y1", "x2", "y2"]
 #: Items that a node keeps before it splits, and the deepest level that may split.
 SPILL, DEEPEST = 10, 40
+#: Items of the largest subtree that one task grows.
+MOST = 50_000
 
 
 def _quarter(i: int, box: str = "n") -> list[Column]:
@@ -34,41 +40,106 @@ def _quarter(i: int, box: str = "n") -> list[Column]:
     return [cx if i & 1 else x1, cy if i & 2 else y1, x2 if i & 1 else cx, y2 if i & 2 else cy]
 
 
-def build(items: DataFrame, bounds: tuple[float, float, float, float], order: list[str], spill: int = SPILL, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+def _grown(spill: int, deepest: int):
+    """A task's part of build: the whole subtree below one node, from its items in order. Gives items with their node, and the
+    nodes themselves with item null."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        t = t.take(pc.sort_indices(t["pos"]))
+        box = [pc.cast(t[f"b{k}"], pa.float64()) for k in BOX]
+        known = ~np.logical_or.reduce([v.is_null().to_numpy() for v in box])
+        x1, y1, x2, y2 = (v.to_numpy() for v in box)
+        names, depth = np.array([t["node"][0].as_py()], dtype=object), t["depth"][0].as_py()
+        bounds = np.array([[t[f"n{k}"][0].as_py() for k in BOX]])
+        at, node = np.arange(len(t)), np.zeros(len(t), dtype=np.int64)
+        held, tree = [], []
+        while len(at):
+            n = np.bincount(node, minlength=len(names))
+            split = (n > spill) & (depth < deepest)
+            by = np.argsort(node, kind="stable")
+            at, node = at[by], node[by]
+            place = np.arange(len(at)) - (np.cumsum(n) - n)[node]
+            on = split[node] & (place < (n - n % (spill + 1))[node])
+            left, top, right, low = bounds[node].T
+            cx, cy = (left + right) * 0.5, (top + low) * 0.5
+            quarter = np.full(len(at), -1)
+            for i in (3, 2, 1, 0):
+                q = (cx if i & 1 else left, cy if i & 2 else top, right if i & 1 else cx, low if i & 2 else cy)
+                # Not a number is above all numbers, as it is in SQL.
+                inside = ~(x1[at] <= q[0]) & (x2[at] < q[2]) & ~(y1[at] <= q[1]) & (y2[at] < q[3])
+                quarter[on & known[at] & inside] = i
+            stays = quarter < 0
+            held.append((at[stays], names[node[stays]], on[stays]))
+            tree.append((names, np.full(len(names), depth), n, split, bounds))
+            kids, index = np.unique((node * 4 + quarter)[~stays], return_inverse=True)
+            up, q = kids // 4, kids % 4
+            mid = (bounds[:, :2] + bounds[:, 2:]) * 0.5
+            bits = np.stack([q & 1, q >> 1], axis=1).astype(bool)
+            bounds = np.concatenate([np.where(bits, mid[up], bounds[up, :2]), np.where(bits, bounds[up, 2:], mid[up])], axis=1)
+            names = names[up] + np.array(list("0123"), dtype=object)[q] if len(q) else names[:0]
+            at, node, depth = at[~stays], index, depth + 1
+        rows, of, big = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, depths, n, split, bounds = (np.concatenate(x) for x in zip(*tree, strict=True))
+        items, none = t["item"].combine_chunks(), lambda k, kind: pa.nulls(k, kind)
+        both = lambda a, b: pa.concat_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a, b])
+        i, j = len(rows), len(names)
+        out = [
+            both(items.take(pa.array(rows)), none(j, items.type)), pa.array(np.concatenate([of, names]), pa.string()), both(pa.array(big), none(j, pa.bool_())),
+            both(none(i, pa.int32()), pa.array(depths, pa.int32())), *[both(none(i, pa.float64()), pa.array(np.ascontiguousarray(bounds[:, k]))) for k in range(4)],
+            both(none(i, pa.int64()), pa.array(n, pa.int64())), both(none(i, pa.bool_()), pa.array(split)),
+        ]
+        return pa.Table.from_arrays(out, ["item", "node", "big", "depth", *[f"n{k}" for k in BOX], "n", "split"])
+
+    return run
+
+
+def build(items: DataFrame, bounds: tuple[float, float, float, float], order: list[str], spill: int = SPILL, deepest: int = DEEPEST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """nodes (node, depth, nx1, ny1, nx2, ny2, n items given, split, held) that were given items, and placed (items with node
     and big: kept for good). items (id, x1, y1, x2, y2, ...) are inserted by order. A node is named by the quarters that
-    lead to it. All of an empty tree's tables are empty. Both stored."""
-    names = items.columns
+    lead to it. All of an empty tree's tables are empty. Both stored. Nodes given more than most items are split level by
+    level; the subtree below any other is grown in one task."""
+    most = max(most, spill)
     rows = items.withColumn("row", F.monotonically_increasing_id())
     when = F.struct(*order, "row")
-    now = store(rows.select(*names, when.alias("at"), F.lit("").alias("node"), *[F.lit(float(v)).alias(f"n{k}") for k, v in zip(BOX, bounds, strict=True)]), "given")
-    nodes, placed = [], []
-    for depth in range(deepest + 1):
-        shape = ["node", *[f"n{k}" for k in BOX]]
-        counts = now.groupBy(*shape).agg(F.count("*").alias("n"))
-        splits = (c("n") > spill) & F.lit(depth < deepest)
+    shape = ["node", *[f"n{k}" for k in BOX]]
+    box = [c(k).alias(f"b{k}") for k in BOX]
+    now = store(rows.select(F.struct(*items.columns).alias("item"), *box, when.alias("at"), F.lit("").alias("node"), *[F.lit(float(v)).alias(f"n{k}") for k, v in zip(BOX, bounds, strict=True)]), "given")
+    keep, used, nodes, placed, small = now.columns, [now], [], [], []
+    for depth in range(deepest + 2):
+        large = store(now.groupBy(*shape).agg(F.count("*").alias("n")).filter(c("n") > most), "large")
+        used.append(large)
+        if not large.limit(1).count():
+            small.append(now.select(*keep, F.lit(depth).alias("depth")))
+            break
         # Only the last few of a node's items are looked at, and partial limits keep all others from being shuffled.
-        late = now.select("node", "at", F.row_number().over(Window.partitionBy("node").orderBy(c("at").desc())).alias("back")).filter(c("back") <= spill)
+        late = now.join(large.select("node"), "node").select("node", "at", F.row_number().over(Window.partitionBy("node").orderBy(c("at").desc())).alias("back")).filter(c("back") <= spill)
         late = late.groupBy("node").agg(F.array_sort(F.collect_list("at")).alias("late"))
         stay = (c("n") % (spill + 1)).cast("int")
-        counts = counts.join(late, "node").select(*shape, "n", splits.alias("split"), F.when(stay > 0, F.get("late", F.size("late") - stay)).alias("since"))
-        level = store(counts, "nodes")
-        both = now.join(level.select("node", "split", "since"), "node")
-        quarter = F.coalesce(*[F.when((c("x1") > q[0]) & (c("x2") < q[2]) & (c("y1") > q[1]) & (c("y2") < q[3]), F.lit(i)) for i, q in ((i, _quarter(i)) for i in range(4))])
+        splits = (c("n") > spill) & F.lit(depth < deepest)
+        level = store(large.join(late, "node").select(*shape, "n", splits.alias("split"), F.when(stay > 0, F.get("late", F.size("late") - stay)).alias("since")), "nodes")
+        both = now.join(level.select("node", "split", "since"), "node", "left")
+        quarter = F.coalesce(*[F.when((c("bx1") > q[0]) & (c("bx2") < q[2]) & (c("by1") > q[1]) & (c("by2") < q[3]), F.lit(i)) for i, q in ((i, _quarter(i)) for i in range(4))])
         on = c("split") & F.coalesce(c("at") < c("since"), F.lit(True))
-        moved = store(both.withColumn("on", on).withColumn("quarter", F.when(c("on"), quarter)), "moved")
-        discard(now)
-        placed.append(moved.filter("quarter is null").select(*names, "node", c("on").alias("big")))
-        nodes.append(level.drop("since").withColumn("depth", F.lit(depth)))
+        moved = store(both.withColumn("on", on).withColumn("quarter", F.when(c("on"), quarter)).select(*keep, "on", "quarter"), "moved")
+        used += [level, moved]
+        small.append(moved.filter("on is null").select(*keep, F.lit(depth).alias("depth")))
+        placed.append(moved.filter("on is not null and quarter is null").select("item", "node", c("on").alias("big")))
+        nodes.append(level.select(*shape, "n", "split", F.lit(depth).alias("depth")))
         inner = F.array(*[F.struct(*[v.alias(f"n{k}") for k, v in zip(BOX, _quarter(i), strict=True)]) for i in range(4)])
-        down = moved.filter("quarter is not null").withColumn("inner", F.get(inner, c("quarter"))).select(*names, "at", F.concat("node", c("quarter").cast("string")).alias("node"), "inner.*")
-        now = store(down, "given")
-        if not now.limit(1).count():
-            break
-    all_placed = store(reduce(DataFrame.unionByName, placed), "placed")
+        now = moved.filter("quarter is not null").withColumn("inner", F.get(inner, c("quarter"))).select("item", *[f"b{k}" for k in BOX], "at", F.concat("node", c("quarter").cast("string")).alias("node"), "inner.*")
+    left = reduce(DataFrame.unionByName, small)
+    left = left.select("item", *[f"b{k}" for k in BOX], *shape, "depth", F.row_number().over(Window.partitionBy("node").orderBy("at")).alias("pos"))
+    kinds = f"item {left.schema['item'].dataType.simpleString()}, node string, big boolean, depth int, {', '.join(f'n{k} double' for k in BOX)}, n long, split boolean"
+    grown = store(left.groupBy("node").applyInArrow(_grown(spill, deepest), kinds), "grown")
+    own = grown.filter("n is null").select("item", "node", "big")
+    all_placed = store(reduce(DataFrame.unionByName, [own, *placed]).select("item.*", "node", "big"), "placed")
     held = all_placed.groupBy("node").agg(F.count("*").alias("held"))
-    table = reduce(DataFrame.unionByName, nodes).join(held, "node", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    return store(table.select("node", "depth", *[f"n{k}" for k in BOX], "n", "split", "held"), "tree"), all_placed
+    own = grown.filter("n is not null").select(*shape, "n", "split", "depth")
+    table = reduce(DataFrame.unionByName, [own, *nodes]).join(held, "node", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    done = store(table.select("node", "depth", *[f"n{k}" for k in BOX], "n", "split", "held"), "tree")
+    discard(grown, *used)
+    return done, all_placed
 
 
 def statistics(nodes: DataFrame) -> DataFrame:

@@ -103,3 +103,18 @@ def test_labels_are_placed_as_one_after_the_other(spark):
     show = lambda rs: sorted(map(repr, rs))
     assert show(tuple(r) for r in labels.place_labels(df, tile=7.0).collect()) == show(want)
     assert labels.place_labels(df.limit(0)).collect() == []
+
+
+def test_rounds_follow_items_and_not_depth(spark, monkeypatch):
+    """Eighty points on one spot go down forty levels; that takes no round a level. Large nodes are split in rounds, to the same tree."""
+    rng = random.Random(3)
+    items = rects(rng, 300) + [(300 + k, 3.0, 3.0, 3.0, 3.0) for k in range(80)] + [(400, 1.0, 1.0, 999.0, 999.0), (401, None, 1.0, 2.0, 2.0)]
+    bounds = (0.0, 0.0, 1000.0, 1000.0)
+    df = spark.createDataFrame(items, f"id int, {BOX}").repartition(3)
+    stores = []
+    monkeypatch.setattr(quadtree, "store", lambda d, label, real=quadtree.store: (stores.append(label), real(d, label))[1])
+    grown = [quadtree.build(df, bounds, ["id"], most=most) for most in (1000, 100)]
+    assert len(stores) < 40
+    nodes, placed = ([{tuple(r) for r in g[k].collect()} for g in grown] for k in (0, 1))
+    assert nodes[0] == nodes[1] and placed[0] == placed[1]
+    assert len(placed[0]) == len(items) and max(r[1] for r in nodes[0]) == 40
