@@ -7,8 +7,12 @@ corner of its overlap, so no distinct follows. Tile sizes are parameters: about
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +156,94 @@ def segment_crossings(a: DataFrame, b: DataFrame, tile: float) -> DataFrame:
     return out.select("a_id", "b_id", "ua", "ub", (c("a_s.x1") + c("ua") * (c("a_s.x2") - c("a_s.x1"))).alias("x"), (c("a_s.y1") + c("ua") * (c("a_s.y2") - c("a_s.y1"))).alias("y"))
 
 
+def _expanded(start: np.ndarray, stop: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, place) for each place from start to stop of each row, in blocks of about size pairs."""
+    n = np.maximum(stop - start, 0)
+    total = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+        m = n[at:end]
+        row = np.repeat(np.arange(at, end), m)
+        yield row, np.arange(len(row)) + np.repeat(start[at:end] - (np.cumsum(m) - m), m)
+        at = end
+
+
+def _crossed(tile: float):
+    """A task's part of crossing_sums: the segments of both sides that touch one tile. The tile is cut into strips; in a strip
+    both sides are sorted by where they begin, so what overlaps a segment in x and begins after it is one range."""
+
+    def side(t: pa.Table, tx: int, ty: int) -> dict:
+        s = {k: t[k].to_numpy() for k in ("x1", "y1", "x2", "y2")}
+        for k in "xy":
+            s[f"l{k}"], s[f"h{k}"] = np.minimum(s[f"{k}1"], s[f"{k}2"]), np.maximum(s[f"{k}1"], s[f"{k}2"])
+        return {**s, "begins": np.floor(s["lx"] / tile) == tx, "above": np.floor(s["ly"] / tile) < ty, "beyond": np.floor(s["hy"] / tile) > ty}
+
+    def run(ta: pa.Table, tb: pa.Table) -> pa.Table:
+        value = tb["value"].combine_chunks() if len(tb) else pa.array([], pa.int64())
+        known, values = value.is_valid().to_numpy(False).astype(np.int64), value.fill_null(0).to_numpy(False)
+        n, ids, some = (np.zeros(len(ta), dtype=np.int64) for _ in range(3))
+        if len(ta) and len(tb):
+            tx, ty = ta["tx"][0].as_py(), ta["ty"][0].as_py()
+            a, b = side(ta, tx, ty), side(tb, tx, ty)
+            strips = int(np.clip(tile / max(np.mean(a["hy"] - a["ly"]) / 2, np.mean(b["hy"] - b["ly"]), tile / 64), 1, 64))
+            strip = lambda v: np.clip(np.floor((v - ty * tile) * (strips / tile)), 0, strips - 1).astype(np.int64)
+            for s in (a, b):
+                s["first"], s["last"] = np.where(s["above"], -1, strip(s["ly"])), np.where(s["beyond"], strips - 1, strip(s["hy"]))
+            for k in range(strips):
+                i, j = (r[np.argsort(s["lx"][r], kind="stable")] for s in (a, b) for r in [np.flatnonzero((s["first"] <= k) & (s["last"] >= k))])
+                la, lb = a["lx"][i], b["lx"][j]
+                after = _expanded(np.searchsorted(lb, la, "left"), np.searchsorted(lb, a["hx"][i], "right"))
+                before = _expanded(np.searchsorted(la, lb, "right"), np.searchsorted(la, b["hx"][j], "right"))
+                for p, q in chain(after, ((p, q) for q, p in before)):
+                    p, q = i[p], j[q]
+                    # A pair counts in the strip and the tile that hold the lower corner of its overlap.
+                    ok = (a["ly"][p] <= b["hy"][q]) & (b["ly"][q] <= a["hy"][p]) & (np.maximum(a["first"][p], b["first"][q]) == k) & (a["begins"][p] | b["begins"][q])
+                    p, q = p[ok], q[ok]
+                    ax, ay, bx, by = a["x1"][p], a["y1"][p], b["x1"][q], b["y1"][q]
+                    dx, dy, ex, ey = a["x2"][p] - ax, a["y2"][p] - ay, b["x2"][q] - bx, b["y2"][q] - by
+                    with np.errstate(all="ignore"):
+                        den = ey * dx - ex * dy
+                        ua, ub = (ex * (ay - by) - ey * (ax - bx)) / den, (dx * (ay - by) - dy * (ax - bx)) / den
+                        ok = (den != 0) & (ua > 0) & (ua < 1) & (ub > 0) & (ub < 1)
+                    p, q = p[ok], q[ok]
+                    n += np.bincount(p, minlength=len(n))
+                    np.add.at(ids, p, values[q])
+                    np.add.at(some, p, known[q])
+        met = pa.array(np.flatnonzero(n))
+        return pa.Table.from_arrays([ta["id"].take(met), *[pa.array(v).take(met) for v in (n, ids, some)]], ["a_id", "n", "ids", "known"])
+
+    return run
+
+
+def crossing_sums(a: DataFrame, b: DataFrame, tile: float, most: int = 50_000) -> DataFrame:
+    """a_id, n, ids: with how many segments of b each of a (both id, x1, y1, x2, y2) crosses as in segment_crossings, and the sum of
+    their ids (longs). Ids that cross nothing are left out; those of several rows are added up. Pairs are counted in the
+    task of their tile and never leave it; of a tile with more than most segments a side, a task takes parts of both sides."""
+    finite = reduce(Column.__and__, [F.abs(c(k).cast("double")) < float("inf") for k in ("x1", "y1", "x2", "y2")])
+
+    def side(df: DataFrame, *own: Column) -> DataFrame:
+        out = df.filter(finite).select(*own, *[c(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")], F.monotonically_increasing_id().alias("row"))
+        return reduce(lambda d, k: d.withColumn(f"t{k}", F.explode(_tiles(F.least(f"{k}1", f"{k}2"), F.greatest(f"{k}1", f"{k}2"), tile))), "xy", out)
+
+    left, right = side(a, c("id")), side(b, c("id").cast("long").alias("value"))
+    each = left.select("tx", "ty", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(right.select("tx", "ty", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    # At most one tile in most rows is such, so these are few.
+    hot = each.groupBy("tx", "ty").agg(*[F.ceil(F.sum(k) / most).cast("int").alias(f"{k}_parts") for k in "ab"]).filter("a_parts > 1 or b_parts > 1")
+    hot = F.broadcast(store(hot, "hot"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        parts = lambda k: F.greatest(F.coalesce(c(f"{k}_parts"), F.lit(1)), F.lit(1))
+        out = df.join(hot, ["tx", "ty"], "left").withColumn(own, F.pmod(c("row"), parts(own)).cast("int"))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), parts(other) - 1))).drop("row", "a_parts", "b_parts")
+
+    keys = ["tx", "ty", "a", "b"]
+    kind = left.schema["id"].dataType.simpleString()
+    both = dealt(left, "a", "b").groupBy(*keys).cogroup(dealt(right, "b", "a").groupBy(*keys)).applyInArrow(_crossed(tile), f"a_id {kind}, n long, ids long, known long")
+    out = both.groupBy("a_id").agg(*[F.sum(k).alias(k) for k in ("n", "ids", "known")])
+    return out.select("a_id", "n", F.when(c("known") > 0, c("ids")).alias("ids"))
+
+
 def text_layout(lines: DataFrame, glyphs: DataFrame) -> DataFrame:
     """line_id, seq, code, x: pen position of each character of lines (line_id, text). glyphs (code, advance): one
     row a code; codes it lacks advance by 0. With faces, lines and glyphs have face and size too, and a line takes the

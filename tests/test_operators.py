@@ -133,3 +133,31 @@ def test_nearest_among_crowds(spark):
     begun, crowd = time.monotonic(), lambda p, i, by: spark.range(20_000).select(F.col("id").alias(i), (F.col("id") % 141 / 100 + by).alias(f"{p}x"), (F.floor(F.col("id") / 141) / 100).alias(f"{p}y"))
     out = s.nearest_hit(crowd("q", "query_id", 0.001), crowd("t", "target_id", 0.0))
     assert out.filter("query_id = target_id").count() == out.count() == 20_000 and time.monotonic() - begun < 30
+
+
+def test_crossing_sums_are_those_of_all_pairs(spark):
+    """Long segments among short ones, copies, nulls and crowded tiles that several tasks share."""
+    import random
+
+    from fieldloom.operators import spatial
+
+    rng = random.Random(5)
+
+    def strokes(n, first):
+        out = []
+        for k in range(n):
+            x, y, size = rng.randint(-40, 90), rng.randint(-40, 90), 150 if k % 20 == 0 else 25
+            out.append((first + k, float(x), float(y), x + rng.randint(-size, size) + 0.5, y + rng.randint(-size, size) - 0.25))
+        return out + out[:5] + [(first + 7, None, 1.0, 2.0, 3.0), (None, 0.0, 0.0, 50.0, 51.0)]
+
+    shape = "id long, x1 double, y1 double, x2 double, y2 double"
+    a, b = (spark.createDataFrame(strokes(n, first), shape) for n, first in ((300, 1000), (350, 5000)))
+    pairs = spatial.segment_crossings(a, b, 32.0).select("a_id", "b_id").collect()
+    want: dict = {}
+    for p in pairs:
+        n, ids, known = want.get(p.a_id, (0, 0, 0))
+        want[p.a_id] = n + 1, ids + (p.b_id or 0), known + (p.b_id is not None)
+    assert len(pairs) > 500
+    for most in (50_000, 7):
+        got = {r.a_id: (r.n, r.ids) for r in spatial.crossing_sums(a, b, 32.0, most).collect()}
+        assert got == {k: (n, ids if known else None) for k, (n, ids, known) in want.items()}
