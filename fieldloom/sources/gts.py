@@ -7,7 +7,7 @@ frames before it), binary columns and streams. Everything after framing is regul
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,19 +83,42 @@ def split(data: bytes, chunk: int | None = None) -> list[tuple[str, str | None,
     return out + list(s.feed(b"", last=True))
 
 
+#: Bytes of one batch of runs that leaves a task, and of the small files that one task reads.
+BATCH, GROUP = 4 << 20, 8 << 20
+
+
+def batched(rows: Iterable[tuple], schema: pa.Schema, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about size bytes, counting 64 a row and what its last value, if bytes, holds."""
+    out, held = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        out.append(row)
+        held += 64 + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
+        if held >= size:
+            yield made()
+            out, held = [], 0
+    if out:
+        yield made()
+
+
+RUNS = pa.schema([("path", pa.string()), ("no", pa.int32()), ("kind", pa.string()), ("type", pa.string()), ("start", pa.int64()), ("finish", pa.int64()), ("bytes", pa.binary())])
+
+
 def frames(dumps: DataFrame, path: str = "path", content: str = "content", chunk: int | None = None) -> DataFrame:
     """(path, no, kind, type, start, finish, bytes) for each run of each row's content."""
 
-    def run(batches):
+    def found(batches):
         for b in batches:
-            out: dict = {k: [] for k in ("path", "no", "kind", "type", "start", "finish", "bytes")}
             for p, c in zip(b.column(0), b.column(1), strict=True):
-                data = c.as_py() or b""
+                name, data = p.as_py(), c.as_py() or b""
                 for no, (kind, type_, start, finish) in enumerate(split(data, chunk)):
-                    for k, v in zip(out, (p.as_py(), no, kind, type_, start, finish, data[start:finish]), strict=True):
-                        out[k].append(v)
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+                    yield name, no, kind, type_, start, finish, data[start:finish]
+
+    def run(batches):
+        return batched(found(batches), RUNS)
 
     return dumps.select(F.col(path).cast("string").alias("path"), content).mapInArrow(run, "path string, no int, kind string, type string, start long, finish long, bytes binary")
 
@@ -122,16 +145,15 @@ def strict_runs(data: bytes) -> list[tuple[str, str | None, int, int, int]]:
 def strict_frames(dumps: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(path, no, kind, type, start, finish, body) by the strict grammar; a bad run's bytes are its body."""
 
-    def run(batches):
+    def found(batches):
         for b in batches:
-            out: dict = {k: [] for k in ("path", "no", "kind", "type", "start", "finish", "body")}
             for p, c in zip(b.column(0), b.column(1), strict=True):
-                data = c.as_py() or b""
+                name, data = p.as_py(), c.as_py() or b""
                 for no, (kind, type_, start, body, finish) in enumerate(strict_runs(data)):
-                    for k, v in zip(out, (p.as_py(), no, kind, type_, start, finish, data[start + 10 * (kind == "frame") : body]), strict=True):
-                        out[k].append(v)
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+                    yield name, no, kind, type_, start, finish, data[start + 10 * (kind == "frame") : body]
+
+    def run(batches):
+        return batched(found(batches), pa.schema([*list(RUNS)[:-1], ("body", pa.binary())]))
 
     return dumps.select(F.col(path).cast("string").alias("path"), content).mapInArrow(run, "path string, no int, kind string, type string, start long, finish long, body binary")
 

@@ -196,3 +196,20 @@ def test_report_kinds_hold_at_the_beginning_only(spark):
         (1, "TEMP", None, "UUAA 61001 1="), (1, "TEMP", None, "UUBB 2="), (2, "SIGMET", None, "LFFF SIGMET 2 VALID="), (3, "SYNOP", "AAXX 01004", "AAXX 01004 03772 1="), (3, "SYNOP", "AAXX 01004", "AAXX 01004 03773 2="),
         (4, "TAF AMD", "TAF AMD", "TAF AMD EGLL 1="), (4, "TAF AMD", "TAF AMD", "TAF AMD EGKK 2="), (5, "TAF", "TAF", "TAF EGLL 1="), (6, "METAR", None, "EGLL 1="), (6, "METAR", None, "EGKK 2="),
     ]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Runs and vertices leave a task in batches of a few megabytes, however many rows come in at once."""
+    import pyarrow as pa
+
+    from fieldloom.sources import files, gts
+
+    schema = pa.schema([("n", pa.int64()), ("bytes", pa.binary())])
+    got = list(gts.batched(((k, bytes(1000)) for k in range(100)), schema, size=10_000))
+    assert max(b.nbytes for b in got) < 15_000 and [x for b in got for x in b.column(0).to_pylist()] == list(range(100))
+    assert list(gts.batched((), schema)) == []
+    frame = b"%08dAN" % 1_000_000 + b"\x01" + bytes(999_999)
+    dumps = spark.createDataFrame([(str(k), frame * 3) for k in range(4)], "path string, content binary").coalesce(1)
+    for f in (gts.frames, gts.strict_frames):
+        assert f(dumps).count() == 12
+    assert files.shape_vertices(dumps).filter("error is not null").count() == 4
