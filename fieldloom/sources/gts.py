@@ -242,13 +242,25 @@ def reports(rows: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*rows.columns, "_found.kind", "_found.header", F.posexplode("_found.reports").alias("no", "report"))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
-def _files(path: str) -> list[str]:
-    """A file, the files of a folder, or those of its folder that a pattern names."""
+def grouped(items: list, sizes: list[int], most: int = GROUP, opening: int = 1 << 16) -> list[list]:
+    """Items one after the other in groups of about most bytes; opening one costs as much as reading so many bytes."""
+    out, held = [], most
+    for item, size in zip(items, sizes, strict=True):
+        if held + size + opening > most:
+            out.append([])
+            held = 0
+        out[-1].append(item)
+        held += size + opening
+    return out
+
+
+def _files(path: str) -> list[tuple[str, int | None]]:
+    """A file, the files of a folder, or those of its folder that a pattern names, with their sizes; null: not there."""
     from fnmatch import fnmatch
 
     from pyarrow import fs
@@ -257,26 +269,28 @@ def _files(path: str) -> list[str]:
     where, plain = fs.FileSystem.from_uri(path) if scheme else (fs.LocalFileSystem(), path)
     folder, _, name = plain.rpartition("/")
     if any(x in name for x in "*?["):
-        found = [x.path for x in where.get_file_info(fs.FileSelector(folder or ".")) if x.is_file and fnmatch(x.base_name, name)]
-    elif where.get_file_info(plain).type == fs.FileType.Directory:
-        found = [x.path for x in where.get_file_info(fs.FileSelector(plain)) if x.is_file and x.base_name[0] not in "._"]
+        found = [x for x in where.get_file_info(fs.FileSelector(folder or ".")) if x.is_file and fnmatch(x.base_name, name)]
+    elif (info := where.get_file_info(plain)).type == fs.FileType.Directory:
+        found = [x for x in where.get_file_info(fs.FileSelector(plain)) if x.is_file and x.base_name[0] not in "._"]
     else:
-        return [path]
-    return sorted(path[: len(path) - len(plain)] + x if scheme else x for x in found)
+        return [(path, info.size)]
+    return sorted((path[: len(path) - len(plain)] + x.path if scheme else x.path, x.size) for x in found)
 
 
 class GtsReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [f for p in options.get("paths", options.get("path", "")).split(",") if p for f in _files(p)]
+        self.files = [f for p in options.get("paths", options.get("path", "")).split(",") if p for f in _files(p)]
         self.chunk = int(options.get("chunk", 1 << 20))
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        # A file is read by one task, and small files share a task.
+        return [_Files(g) for g in grouped([p for p, _ in self.files], [n or 0 for _, n in self.files])]
 
     def read(self, partition):
-        from pyarrow import fs
+        return batched((run for p in partition.paths for run in self.runs(p)), RUNS)
 
-        where, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
+    def runs(self, name: str) -> Iterator[tuple]:
+        where, path = _opened(name)
         s, no, held, base = Splitter(), 0, [], 0
         with where.open_input_stream(path) as f:
             while True:
@@ -284,7 +298,7 @@ class GtsReader(DataSourceReader):
                 held.append(data)
                 for kind, type_, start, finish in s.feed(data, last=not data):
                     buf = b"".join(held) if buf is None else buf
-                    yield partition.path, no, kind, type_, start, finish, buf[start - base : finish - base]
+                    yield name, no, kind, type_, start, finish, buf[start - base : finish - base]
                     no += 1
                 if buf is not None:
                     held, base = [buf[s.offset - base :]], s.offset
@@ -304,6 +318,11 @@ class _Range(InputPartition):
         self.path, self.start, self.stop, self.ends = path, start, stop, ends
 
 
+class _Ranges(InputPartition):
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+
 class ChunkReader(DataSourceStreamReader):
     """Bytes of growing files. The offset is the byte position reached in each file, and whether its end has been told: a query
     that starts again goes on at the byte where it stopped, and any task may read any range anew."""
@@ -321,16 +340,14 @@ class ChunkReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         out = {}
-        for f in [f for p in self.paths.split(",") if p for f in _files(p)]:
-            where, plain = _opened(f)
-            size = where.get_file_info(plain).size
+        for f, size in [f for p in self.paths.split(",") if p for f in _files(p)]:
             if size is not None:
                 out[f] = [size, self.closed]
         return out
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         step = max(1, self.RANGE // self.chunk) * self.chunk
-        out: list[InputPartition] = []
+        out: list[_Range] = []
         for path, (size, closed) in end.items():
             at, told = start.get(path, (0, False))
             cuts = [*range(at, size, step), size] if size > at else [at, at]
@@ -339,9 +356,14 @@ class ChunkReader(DataSourceStreamReader):
                 ends = closed and not told and k + 1 == len(ranges)
                 if b > a or ends:
                     out.append(_Range(path, a, b, ends))
-        return out
+        # Small ranges share a task.
+        return [g[0] if len(g) == 1 else _Ranges(g) for g in grouped(out, [r.stop - r.start for r in out], min(GROUP, step))]
+
+    def read(self, partition: _Range | _Ranges):
+        for r in getattr(partition, "ranges", [partition]):
+            yield from self.chunks(r)
 
-    def read(self, partition: _Range):
+    def chunks(self, partition: _Range) -> Iterator[tuple]:
         where, plain = _opened(partition.path)
         at = partition.start
         if partition.stop > at:

@@ -87,3 +87,25 @@ def test_ranges_of_a_file():
     assert parts({"x": [45, False]}, {"x": [45, True]}) == [(45, 45, True)]
     assert parts({"x": [45, True]}, {"x": [45, True]}) == []
     assert parts({"x": [40, False]}, {"x": [45, True], "y": [0, True]}) == [(40, 45, True), (0, 0, True)]
+
+
+def test_small_files_share_a_task(tmp_path):
+    """A hundred small files are a few tasks, each file read whole by one of them; a large one has a task of its own."""
+    from fieldloom.sources import gts
+
+    frame = b"00000003AN\x01bc"
+    for k in range(100):
+        (tmp_path / f"{k:03}").write_bytes(frame * (k % 3))
+    r = gts.GtsReader({"paths": str(tmp_path)})
+    parts = r.partitions()
+    assert 1 <= len(parts) < 10
+    got = [x for p in parts for b in r.read(p) for x in zip(*(b.column(k).to_pylist() for k in (0, 1, 6)), strict=True)]
+    assert got == [(str(tmp_path / f"{k:03}"), no, frame) for k in range(100) for no in range(k % 3)]
+    c = gts.ChunkReader({"paths": str(tmp_path), "chunk": "4096", "closed": "true"})
+    end = c.latestOffset()
+    parts = c.partitions({}, end)
+    assert len(end) == 100 and 1 <= len(parts) < 10
+    told = [x for p in parts for x in c.read(p)]
+    assert sorted(f for f, _, data in told if data is None) == sorted(end)
+    assert sum(len(data) for _, _, data in told if data) == sum(n for n, _ in end.values())
+    assert gts.grouped(["a", "b", "c", "d"], [1, 5, 99, 1], most=10, opening=1) == [["a", "b"], ["c"], ["d"]]
