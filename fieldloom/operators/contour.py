@@ -85,18 +85,20 @@ def chains(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tile_pieces(buf: np.ndarray, levels: list[float], x0: int, y0: int, width: int, height: int) -> Iterator[tuple]:
-    """(level_no, level, piece, next, n, seed, seed_at, down, xs, ys) of the stretches of lines that run through one tile.
+    """(level_no, level, piece, next, n, seed, seed_at, down, whole, xs, ys) of the stretches of lines that run through one tile.
 
     Each cell has two triangles, left of its diagonal and right of it; a level that crosses one edge of a triangle crosses one
     more. A line goes from the one to the other with the higher ground on one side, so every edge that it crosses has
     one way on and one way back. A piece is named by the first edge it crosses; the piece of the next tile begins with
     the edge that this one ends at, and next names it. next is null at the surface's border and the piece itself if a
     ring lies in the tile. Points are crossings of horizontal and vertical edges. seed is the least horizontal edge above
-    the surface's last row; down: the line crosses it downwards."""
+    the surface's last row; down: the line crosses it downwards. whole: the piece is all of its line."""
     ny, nx = buf.shape
     y, x = np.mgrid[y0 : y0 + ny - 1, x0 : x0 + nx - 1]
     name = lambda kind, i, j: ((y + j) * width + x + i) * 4 + kind
     top, right, left, bottom, across = name(0, 0, 0), name(1, 1, 0), name(1, 0, 0), name(0, 0, 1), name(2, 0, 0)
+    border = lambda kind, i, j: kind == 0 and (j == 0 or j == height - 1) or kind == 1 and (i == 0 or i == width - 1)
+    place_of = lambda edge: (edge & 3, (edge >> 2) % width, (edge >> 2) // width)
     for k, level in enumerate(levels):
         high = buf > level
         a, b, c, d = high[:-1, :-1], high[:-1, 1:], high[1:, 1:], high[1:, :-1]
@@ -115,31 +117,31 @@ def tile_pieces(buf: np.ndarray, levels: list[float], x0: int, y0: int, width: i
         starts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
         for s, e in zip(starts, np.r_[starts[1:], len(u)], strict=True):
             nodes, last = u[s:e], v[e - 1]
-            kind, i, j = last & 3, (last >> 2) % width, (last >> 2) // width
-            ends = kind == 0 and (j == 0 or j == height - 1) or kind == 1 and (i == 0 or i == width - 1)
+            ends = border(*place_of(last))
+            whole = bool(last == nodes[0] or ends and border(*place_of(nodes[0])))
             nodes = np.r_[nodes, last] if ends and last != nodes[0] else nodes
             piece, nodes = int(nodes[0]), nodes[nodes & 3 != 2]
-            kind, i, j = nodes & 3, (nodes >> 2) % width, (nodes >> 2) // width
+            kind, i, j = place_of(nodes)
             dx, dy = 1 - kind, kind
             p, q = buf[j - y0, i - x0], buf[j - y0 + dy, i - x0 + dx]
             w = 1 - (level - q) / (p - q)
             seeds = np.flatnonzero((kind == 0) & (j < height - 1))
             at = int(seeds[nodes[seeds].argmin()]) if len(seeds) else None
             seed = None if at is None else int(nodes[at])
-            yield k, level, piece, None if ends else int(last), len(nodes), seed, at, None if at is None else bool(p[at] > q[at]), i + w * dx, j + w * dy
+            yield k, level, piece, None if ends else int(last), len(nodes), seed, at, None if at is None else bool(p[at] > q[at]), whole, i + w * dx, j + w * dy
 
 
 def line_pieces(tiles: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, level_no, level, piece, next, n, seed, seed_at, down, xs, ys, error: what lines there are in each tile by itself. A
+    """keys, level_no, level, piece, next, n, seed, seed_at, down, whole, xs, ys, error: what lines there are in each tile by itself. A
     tile without all its values gives a row with an error. Stored: one scan of the tiles."""
     rows = tiles.select(*keys, "width", "height", "x0", "y0", "nx", "ny", "buf", "levels")
-    shape = ", ".join(f"{n} {t}" for n, t in rows.select(*keys).dtypes) + ", level_no int, level double, piece long, next long, n int, seed long, seed_at int, down boolean, xs array<double>, ys array<double>, error string"
+    shape = ", ".join(f"{n} {t}" for n, t in rows.select(*keys).dtypes) + ", level_no int, level double, piece long, next long, n int, seed long, seed_at int, down boolean, whole boolean, xs array<double>, ys array<double>, error string"
     floats = pa.list_(pa.float64())
-    kinds = {"level_no": pa.int32(), "level": pa.float64(), "piece": pa.int64(), "next": pa.int64(), "n": pa.int32(), "seed": pa.int64(), "seed_at": pa.int32(), "down": pa.bool_(), "xs": floats, "ys": floats, "error": pa.string()}
+    kinds = {"level_no": pa.int32(), "level": pa.float64(), "piece": pa.int64(), "next": pa.int64(), "n": pa.int32(), "seed": pa.int64(), "seed_at": pa.int32(), "down": pa.bool_(), "whole": pa.bool_(), "xs": floats, "ys": floats, "error": pa.string()}
 
     def found(width, height, x0, y0, nx, ny, buf, levels) -> Iterator[tuple]:
         if not buf.is_valid or buf.values.null_count or len(buf) != nx * ny:
-            yield (*[None] * 10, "cells are missing")
+            yield (*[None] * 11, "cells are missing")
         elif nx > 1 and ny > 1:
             for p in tile_pieces(buf.values.to_numpy().reshape(ny, nx), levels or [], x0, y0, width, height):
                 yield (*p, None)
@@ -187,13 +189,16 @@ def joined_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
     place along the line), total (points of the line), at (the seed's place) and down. Lines without a seed are left out,
     as they are by a search from horizontal edges."""
     by = [*keys, "level_no"]
-    whole = pieces.filter(F.col("error").isNull())
-    links = whole.select(*by, F.col("piece").alias("id"), F.col("next").alias("jump"), "seed", F.when(F.col("next").isNull(), F.col("piece")).alias("tail"))
+    fine = pieces.filter(F.col("error").isNull())
+    # Most lines of rough ground lie in one tile: these are complete as they are.
+    alone = fine.filter("whole and seed is not null").select(*by, "level", "seed", F.col("next").isNotNull().alias("closed"), F.col("n").cast("long").alias("total"), F.lit(0).cast("long").alias("start"), F.col("seed_at").cast("long").alias("at"), "down", "xs", "ys")
+    split = fine.filter("not whole").withColumnRenamed("piece", "id")
+    links = split.select(*by, "id", F.col("next").alias("jump"), "seed", F.when(F.col("next").isNull(), F.col("id")).alias("tail"))
     gather = {"seed": F.least("seed", "their_seed"), "tail": F.coalesce("tail", "their_tail")}
     found = doubled(links, by, gather, rings=True)
     tails = found.filter("tail is not null").groupBy(*by, "tail").agg(F.min("seed").alias("first"))
     found = found.withColumn("closed", F.col("tail").isNull()).join(tails, [*by, "tail"], "left").select(*by, "id", "closed", F.coalesce("first", "seed").alias("line"))
-    parts = whole.withColumnRenamed("piece", "id").join(found, [*by, "id"]).filter("line is not null")
+    parts = split.select(*by, "id", "next", "n", "seed", "seed_at", "down").join(found, [*by, "id"]).filter("line is not null")
     parts = store(parts, "parts")
     # A ring is opened before the piece that holds its seed.
     firsts = parts.filter("seed = line").select(*by, "line", F.col("id").alias("opens"), F.col("seed_at").alias("offset"), F.col("down").alias("downward"))
@@ -202,9 +207,9 @@ def joined_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
     ranked = doubled(links, by, {"rest": F.col("rest") + F.coalesce("their_rest", F.lit(0))}, rings=False)
     ranked = store(ranked.select(*by, "id", "rest").join(cut, [*by, "id"]), "ranked")
     totals = ranked.groupBy(*by, "line").agg(F.sum("n").alias("total"), F.max(F.when(F.col("id") == F.col("opens"), F.col("rest"))).alias("ahead"))
-    ranked = ranked.join(totals, [*by, "line"]).select(*by, "id", "total", (F.col("total") - F.col("rest")).alias("start"), (F.col("total") - F.col("ahead") + F.col("offset")).alias("at"), "downward")
-    out = parts.join(ranked, [*by, "id"])
-    return out.select(*by, "level", F.col("line").alias("seed"), "closed", "total", "start", "at", F.col("downward").alias("down"), "xs", "ys")
+    ranked = ranked.join(totals, [*by, "line"]).select(*by, "id", F.col("line").alias("seed"), "closed", "total", (F.col("total") - F.col("rest")).alias("start"), (F.col("total") - F.col("ahead") + F.col("offset")).alias("at"), F.col("downward").alias("down"))
+    # Points are fetched once, when all else is known.
+    return alone.unionByName(split.select(*by, "id", "level", "xs", "ys").join(ranked, [*by, "id"]).drop("id"))
 
 
 def line_vertices(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -220,6 +225,15 @@ def line_vertices(parts: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("seq", F.explode(F.when(F.col("closed"), ring).otherwise(line))).select(*keys, "level_no", "level", "seed", "closed", "seq", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
 
 
+def in_order(v: Column) -> Column:
+    """An array along a whole line, in the order of line_vertices; at and down are columns."""
+    at = F.col("at")
+    before, upto, since, after = F.slice(v, F.lit(1), at), F.slice(v, F.lit(1), at + 1), F.slice(v, at + 1, F.size(v) - at), F.slice(v, at + 2, F.greatest(F.size(v) - at - 1, F.lit(0)))
+    ring = F.when(F.col("down"), F.concat(since, before)).otherwise(F.concat(F.reverse(upto), F.reverse(after)))
+    line = F.concat(upto, since)
+    return F.when(F.col("closed"), ring).when(F.col("down"), F.reverse(line)).otherwise(line)
+
+
 def traced(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """The vertices of all contour lines of surfaces cut into tiles (see cut_tiles), and a row with an error, and else nulls, for
     each tile without all its values."""
@@ -232,8 +246,9 @@ def contour_lines(packed: DataFrame, keys: list[str], side: int = SIDE) -> DataF
     """keys, level_no, level, line_no, closed, xs, ys, error: one row a line, numbered within its level by seed. packed has
     levels. Surfaces with null cells give a row with an error. Lines longer than a row can hold: use traced."""
     odd = F.col("buf").isNull() | F.exists("buf", lambda v: v.isNull()) | (F.size("buf") != F.col("nx") * F.col("ny"))
-    out = traced(cut_tiles(packed.filter(~odd), keys, side), keys)
-    whole = out.groupBy(*keys, "level_no", "level", "seed", "closed").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    parts = joined_pieces(line_pieces(cut_tiles(packed.filter(~odd), keys, side), keys), keys)
+    # One shuffle, of arrays: the numbers need a level's lines together anyway.
+    whole = parts.repartition(*keys, "level_no").groupBy(*keys, "level_no", "level", "seed", "closed").agg(F.array_sort(F.collect_list(F.struct("start", "xs", "ys"))).alias("p"), F.first(F.col("at").cast("int")).alias("at"), F.first("down").alias("down"))
     number = F.row_number().over(Window.partitionBy(*keys, "level_no").orderBy("seed")) - 1
-    lines = whole.select(*keys, "level_no", "level", number.alias("line_no"), "closed", F.transform("p", lambda v: v.x).alias("xs"), F.transform("p", lambda v: v.y).alias("ys"), F.lit(None).cast("string").alias("error"))
+    lines = whole.select(*keys, "level_no", "level", number.alias("line_no"), "closed", in_order(F.flatten("p.xs")).alias("xs"), in_order(F.flatten("p.ys")).alias("ys"), F.lit(None).cast("string").alias("error"))
     return lines.unionByName(packed.filter(odd).select(*keys, F.lit("cells are missing").alias("error")), allowMissingColumns=True)

@@ -79,3 +79,29 @@ def test_tiles_given_as_such(spark):
     broken = [(*r[:7], [None, *r[7][1:]]) if r[3:5] == (0, 0) else r for r in rows]
     got = contour.traced(contour.tile_levels(spark.createDataFrame(broken, shape), ["k"]), ["k"])
     assert got.filter("error is not null").count() == 1 and got.filter("x is not null").count() > 0
+
+
+def test_only_lines_that_leave_their_tile_are_put_in_order(spark, monkeypatch):
+    """Rings within a tile, and open lines from border to border of a surface of one tile, take no part in doubling."""
+    seen = []
+    plain = contour.doubled
+
+    def watched(links, *args, **kw):
+        seen.append((links.count(), links.columns))
+        return plain(links, *args, **kw)
+
+    monkeypatch.setattr(contour, "doubled", watched)
+    rng = random.Random(3)
+    bump = [float((x - 4) ** 2 + (y - 4) ** 2) for y in range(9) for x in range(9)]
+    rough = [rng.gauss(0, 1) for _ in range(49)]
+    df = contour.with_levels(spark.createDataFrame([(1, 9, 9, bump), (2, 7, 7, rough)], "k int, nx int, ny int, buf array<double>"))
+    order = lambda rows: sorted((r.k, r.level_no, r.line_no, r.closed, tuple(r.xs), tuple(r.ys)) for r in rows)
+    one = order(contour.contour_lines(df, ["k"], 64).collect())
+    assert {r[3] for r in one} == {False, True} and [n for n, _ in seen] == [0, 0]
+    seen.clear()
+    cut = order(contour.contour_lines(df, ["k"], 3).collect())
+    pieces = contour.line_pieces(contour.cut_tiles(df, ["k"], 3), ["k"])
+    assert 0 < seen[0][0] < pieces.count() and not {"xs", "ys"} & set(seen[0][1])
+    assert len(cut) == len(one)
+    for a, b in zip(one, cut, strict=True):
+        assert a[:4] == b[:4] and all(abs(p - q) < 1e-9 for i in (4, 5) for p, q in zip(a[i], b[i], strict=True))
