@@ -4,14 +4,18 @@ A label is placed if it meets no label placed before it, in order of z; that ord
 labels are near each other. Each round puts the open labels on tiles, and a label that comes first in every tile it touches
 has all its earlier neighbours decided: it is placed, and what it meets is decided against. A tile has one first label at
 most, so a round joins each open label with at most one label a tile; pairs of labels are never listed, however many lie on
-one spot. Labels with equal bounds stand and fall together: only the first of them takes part.
+one spot. Labels with equal bounds stand and fall together: only the first of them takes part. Once few labels are open, chains of
+them would still take round after round; a task then goes through each view's last labels one by one.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
+from math import floor
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import rects_meet
@@ -21,10 +25,33 @@ c = F.col
 BOX = ["x1", "y1", "x2", "y2"]
 
 
-def place_labels(jobs: DataFrame, front: int = 100, tile: float = 16.0) -> DataFrame:
+def _in_turn(left: DataFrame, tile: float) -> DataFrame:
+    """placed: the rows of open labels that the sequential rule places. Each view's labels meet in one task."""
+
+    def tiles(lo, hi) -> range:
+        a, b = floor(lo / tile), floor(hi / tile)
+        return range(a, b + 1) if a <= b else range(a, b - 1, -1)
+
+    def run(view: pa.Table) -> pa.Table:
+        held: dict[tuple[int, int], list[tuple]] = {}
+        free = []
+        for row, *box in zip(*[view.sort_by("turn").column(k).to_pylist() for k in ("row", *BOX)], strict=True):
+            x1, y1, x2, y2 = box
+            own = list(product(tiles(float(x1), float(x2)), tiles(float(y1), float(y2))))
+            if not any(p <= x2 and x1 <= r and q <= y2 and y1 <= s for t in own for p, q, r, s in held.get(t, ())):
+                free.append(row)
+                for t in own:
+                    held.setdefault(t, []).append((x1, y1, x2, y2))
+        return pa.table({"placed": pa.array(free, pa.int64())})
+
+    turn = F.row_number().over(Window.partitionBy("view").orderBy("rank")).alias("turn")
+    return left.select("view", turn, c("rank.row").alias("row"), *BOX).groupBy("view").applyInArrow(run, "placed long")
+
+
+def place_labels(jobs: DataFrame, front: int = 100, tile: float = 16.0, few: int = 100_000) -> DataFrame:
     """jobs (view, id, z, x1, y1, x2, y2) with free: whether the label is placed. Passive labels (z < front) come in order of z,
     then id; active ones after all of them, in order of z, then id. Views are independent; their labels need not meet in one
-    task. tile: about the size of a label.
+    task before at most few labels are open. tile: about the size of a label.
 
     Defined results. Bounds that are null or not finite: not placed, and in nobody's way. Null views are one view, null z comes
     first. Repeated rows: one of them is placed at most. Empty table: no row."""
@@ -36,7 +63,10 @@ def place_labels(jobs: DataFrame, front: int = 100, tile: float = 16.0) -> DataF
     span = lambda lo, hi: F.sequence(F.floor(c(lo) / tile).cast("long"), F.floor(c(hi) / tile).cast("long"))
     spread = lambda df: df.withColumn("tx", F.explode(span("x1", "x2"))).withColumn("ty", F.explode(span("y1", "y2")))
     placed = []
-    while left.limit(1).count():
+    while open_ := left.count():
+        if open_ <= few:
+            placed.append(store(_in_turn(left, tile), "placed"))
+            break
         tiles = spread(left)
         firsts = tiles.groupBy("view", "tx", "ty").agg(F.min(F.struct("rank", *BOX)).alias("m"))
         won = firsts.groupBy("view", "m").agg(F.count("*").alias("tiles")).filter(c("tiles") == F.size(span("m.x1", "m.x2")) * F.size(span("m.y1", "m.y2")))

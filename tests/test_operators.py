@@ -175,3 +175,26 @@ def test_paths_are_dealt_into_tasks_of_fixed_size(spark, tmp_path, monkeypatch):
     dealt = [QUERIES["W-06_edge_events"](spark, f"{tmp_path}/{n}") for n in (2000, 4000)]
     assert [df.rdd.getNumPartitions() for df in dealt] == [20, 40]
     assert sorted(map(tuple, dealt[1].collect())) == want and len(want) == 3000
+
+
+def test_chains_of_labels_end_without_a_round_a_label(spark, monkeypatch):
+    """A chain in which each label waits for the one before, null views, null z and bounds the wrong way round."""
+    import random
+
+    from fieldloom.operators import labels
+
+    rng = random.Random(9)
+    rows = [("chain", i, 0, i * 1.0, 0.0, i + 1.0, 1.0) for i in range(40)]
+    for i in range(200):
+        x, y = rng.randint(-20, 20) / 2, rng.randint(-20, 20) / 2
+        rows.append((rng.choice(["a", "b", None]), 100 + i, rng.choice([None, 1, 2, 100, 101]), x, y, x + rng.choice([0.0, 1.5, 4.0, -1.0]), y + rng.choice([0.0, 2.0, 5.0])))
+    jobs = spark.createDataFrame(rows, "view string, id long, z int, x1 double, y1 double, x2 double, y2 double")
+    made, plain = [], labels.store
+    monkeypatch.setattr(labels, "store", lambda df, label: made.append(label) or plain(df, label))
+    order = lambda df: sorted(map(repr, df.collect()))
+    quick = order(labels.place_labels(jobs, tile=2.0))
+    assert made.count("placed") == 1
+    made.clear()
+    assert order(labels.place_labels(jobs, tile=2.0, few=0)) == quick and made.count("placed") > 10
+    made.clear()
+    assert order(labels.place_labels(jobs, tile=2.0, few=60)) == quick and made.count("placed") > 1
